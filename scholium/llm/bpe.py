@@ -28,9 +28,8 @@ END = "</w>"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
 #: The same for texts within Latin-1 letters and ASCII, where the built-in engine's plain classes agree with it.
-PLAIN = re.compile(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+PLAIN = re.compile(r"[^\x00-\x1B\x20-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
 SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[0-9]|[^\s0-9a-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
-CONTROLS = re.compile(r"[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -61,15 +60,19 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_symbols()
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Every token that merging can make, by a number of its own, and the pairs known to fit or not.
+        self.names = [t for t in self.ids if t in self.made or size(t) == 1]
+        self.number = {t: i for i, t in enumerate(self.names)}
+        self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.cap = cache
 
     def joined(self, a: str, b: str) -> bool:
         """Whether ``a`` and ``b`` may stand side by side: no merge across their border comes before they are complete."""
-        if (known := self.fits.get((a, b))) is not None:
+        pair = self.number[a] << 20 | self.number[b]
+        if (known := self.fits.get(pair)) is not None:
             return known
-        first, second, limit, good = a, b, len(self.rank), True
+        limit, good = len(self.rank), True
         while True:
             if self.rank.get((a, b), limit) < limit:
                 good = False
@@ -85,7 +88,7 @@ class Encoder:
                 limit, b = made_b + 1, self.made[b][0]
         if len(self.fits) >= 4 * self.cap:
             self.fits.clear()
-        self.fits[first, second] = good
+        self.fits[pair] = good
         return good
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
@@ -97,7 +100,7 @@ class Encoder:
         def step(i: int) -> str:
             for k in range(max(0, i - self.lookahead), i):
                 token = "".join(window[k:i])
-                if token in self.ids and (i - k == 1 or token in self.made):
+                if token in self.number:
                     before = last[k] if k else start_token
                     if (before is None and not k) or (before is not None and self.joined(before, token)):
                         return token
@@ -136,54 +139,53 @@ class Encoder:
         """``stream`` for a word that fits in the window; ``s`` without the suffix."""
         if (whole := s + self.suffix) in self.made:
             return [whole]
-        ids, fits, reach, n = self.ids, self.fits, self.lookahead, len(s)
-        last: list = [None] * (n + 1)
+        number, fits, reach, n = self.number, self.fits, self.lookahead, len(s)
+        last, back = [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             tail = self.suffix if i == n else ""
             for k in range(i - reach if i > reach else 0, i):
-                token = s[k:i] + tail
-                if token in ids:
-                    if not k:
-                        last[i] = token
-                        break
-                    before = last[k]
-                    if fits[before, token] if (before, token) in fits else self.joined(before, token):
-                        last[i] = token
-                        break
-        out, i, drop = [], n, len(self.suffix)
+                token = number.get(s[k:i] + tail)
+                if token is not None:
+                    if k:
+                        good = fits.get(last[k] << 20 | token)
+                        if not (self.joined(self.names[last[k]], self.names[token]) if good is None else good):
+                            continue
+                    last[i], back[i] = token, k
+                    break
+        out, i = [], n
         while i > 0:
-            out.append(last[i])
-            i -= len(last[i]) - (drop if i == n else 0)
+            out.append(self.names[last[i]])
+            i = back[i]
         return out[::-1]
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian 32-bit integers."""
+        if (known := self.cache.get(word)) is not None:
+            return known
         names, raw = self.bytes, word.encode("utf-8", "replace")
         if (n := len(raw)) <= 64:
             tokens = self.short("".join([names[b] for b in raw]))
         else:
             tokens = self.stream(names[b] + (self.suffix if i == n - 1 else "") for i, b in enumerate(raw))
-        return b"".join([self.ids[t].to_bytes(4, "little") for t in tokens])
+        return self.kept(word, b"".join([self.ids[t].to_bytes(4, "little") for t in tokens]))
+
+    def kept(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
+            if len(self.cache) >= self.cap:
+                self.cache.clear()
+            self.cache[text] = ids
+        return ids
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text without white space, lower case."""
-        if (known := self.cache.get(chunk)) is not None:
-            return known
         words = (SPLIT if PLAIN.search(chunk) else SPLIT_PLAIN).findall(chunk)
         if len(words) == 1:
-            out = self.word(chunk)
-        else:
-            known = self.cache
-            out = b"".join([known.get(w) or self.word(w) for w in words])
-        if len(chunk) <= 64:
-            if len(self.cache) >= self.cap:
-                self.cache.clear()
-            self.cache[chunk] = out
-        return out
+            return self.word(words[0])
+        return self.kept(chunk, b"".join([self.word(w) for w in words]))
 
     def segments(self, text: str, size: int = 1 << 20) -> Iterator[bytes]:
         """Ids of a text, a part of it at a time: parts end at white space, across which no token reaches."""
-        for piece in self.cut.split(text) if self.cut else [text]:
+        for piece in self.cut.split(text) if self.cut and any(t in text for t in self.special) else [text]:
             if piece in self.special:
                 yield self.special[piece].to_bytes(4, "little")
                 continue
@@ -193,7 +195,7 @@ class Encoder:
                 while cut < len(piece) and piece[cut] not in " \t\n":
                     cut += 1
                 part, at = piece[at:cut], cut
-                if PLAIN.search(part) or CONTROLS.search(part):
+                if PLAIN.search(part):
                     part = SPACES.sub(" ", unicodedata.normalize("NFC", part))
                     chunks = part.replace("Σ", "σ").lower().split(" ")  # letter by letter: no final sigma
                 else:
@@ -220,8 +222,10 @@ class Decoder:
 
     def push(self, ids: Iterable[int]) -> str:
         if self.spaced:
-            # Ids that the vocabulary lacks give nothing.
-            part = " ".join([self.tokens[i] for i in ids if i in self.tokens])
+            try:
+                part = " ".join(map(self.tokens.__getitem__, ids))
+            except KeyError:  # ids that the vocabulary lacks give nothing
+                part = " ".join([self.tokens[i] for i in ids if i in self.tokens])
             if part and self.begun:
                 part = " " + part
             self.begun = self.begun or bool(part)

@@ -124,7 +124,7 @@ def _cells(words: int, radius: int, lanes: int) -> tuple[F.Column, list[int]]:
         # Population counts of equal lanes of the first word; their distances sum to the radius at most.
         width, key = 64 // lanes, F.lit(0).cast("long")
         for k in range(lanes):
-            key = key + F.bit_count(F.shiftrightunsigned(F.col("fp")[0], k * width).bitwiseAND((1 << width) - 1)) * 1000**k
+            key = key + F.bit_count(F.shiftrightunsigned(F.col("fp")[0], k * width).bitwiseAND((1 << width) - 1)) * F.lit(1000**k).cast("long")
         near = [o for o in product(range(-radius, radius + 1), repeat=lanes) if sum(map(abs, o)) <= radius]
         return key, sorted({x for o in near if (x := sum(v * 1000**k for k, v in enumerate(o))) >= 0})
     # A band of lengths (a similarity of 0.8 bounds the ratio of shingle counts) and a band of population counts.
