@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where it is unset (tests, local mode)."""
+    """``spark.checkpoint.dir`` of the session, with its file system; a temporary folder is set only where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return re.sub(r"^file:/+", "file:///", whole).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
