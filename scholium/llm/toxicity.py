@@ -25,24 +25,37 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 from .common import bounded, fold, utf8, word_blocks
 
-#: Bytes of a window, and the largest savings of a text that count.
-WINDOW, TOP = 48, 4
+#: Words of a window, and the largest savings of a text that count.
+WINDOW, TOP = 6, 3
+#: A saving that a chance match hardly reaches.
+CLEAR = 7
 MARKS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
 #: Lower case for ASCII letters; other ASCII characters become spaces.
 CLEAN = bytes(32 if b in MARKS else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
-
-
-def windows(text: object, size: int = WINDOW) -> Iterator[list[bytes]]:
-    """The text's words in windows of some ``size`` bytes, each with a space at both ends; a block of windows at a time."""
+#: A word is written three times, in shifted bytes, so that a match of a whole word outweighs the cost of coding a match.
+SHIFTED = [bytes((b + s) % 256 for b in range(256)) for s in (85, 170)]
+LONGEST = 48
+_written: dict[bytes, bytes] = {}
+
+
+def spelled(word: bytes) -> bytes:
+    """A word as the dictionaries see it; very long ones are written once."""
+    if (known := _written.get(word)) is not None:
+        return known
+    if len(word) > LONGEST:
+        return b" " + word
+    out = b" " + word + word.translate(SHIFTED[0]) + word.translate(SHIFTED[1])
+    if len(_written) >= 200_000:
+        _written.clear()
+    _written[word] = out
+    return out
+
+
+def windows(text: object) -> Iterator[list[bytes]]:
+    """The text's words in windows of ``WINDOW`` words; a block of windows at a time."""
     for words in word_blocks(utf8(text).translate(CLEAN)):
-        joined = b" " + b" ".join(words) + b" "
-        out, at, end = [], 0, len(joined)
-        while at < end - 1:
-            cut = joined.find(b" ", at + size)
-            cut = end - 1 if cut < 0 else cut
-            out.append(joined[at : cut + 1])
-            at = cut
-        yield out
+        coded = [_written[w] if w in _written else spelled(w) for w in words]
+        yield [b"".join(coded[k : k + WINDOW]) + b" " for k in range(0, len(coded), WINDOW)]
 
 
 class Coder:
@@ -76,20 +89,21 @@ class Distance:
         self.ordinary, self.both = Coder(ordinary), Coder(toxic + ordinary)
 
     def features(self, text: object) -> list[float]:
-        """The ``TOP`` largest savings of a text's windows, and the logarithm of their number."""
-        best, n = np.zeros(TOP, np.int32), 0
+        """The ``TOP`` largest savings of a text's different windows, and the logarithms of how many are clear and of their number."""
+        best, n, clear = np.zeros(TOP, np.int32), 0, 0
         for many in windows(text):
+            many = list(dict.fromkeys(many))
             gain = self.ordinary.lengths(many) - self.both.lengths(many)
-            n += len(many)
-            best = np.sort(np.concatenate([best, gain]))[-TOP:]
-        return [*map(float, np.maximum(best[::-1], 0)), math.log1p(n)]
+            n, clear = n + len(many), clear + int((gain >= CLEAR).sum())
+            best = np.sort(np.concatenate([best, np.minimum(gain, 2 * CLEAR)]))[-TOP:]
+        return [*map(float, np.maximum(best[::-1], 0)), math.log1p(clear), math.log1p(n)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (bias last) by ridge-regularised Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) * 1.0
+    ridge = np.eye(len(w)) * 0.1
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -108,7 +122,7 @@ def _significance(t: str, o: str, nt: int, no: int) -> F.Column:
     return F.when(a / nt > b / no, 2 * g).otherwise(0.0)
 
 
-def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, least: float = 22.0, toxic_bytes: int = 1 << 14, ordinary_bytes: int = 1 << 16) -> tuple | None:
+def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, least: float = 22.0, toxic_bytes: int = 1 << 15, ordinary_bytes: int = 1 << 16) -> tuple | None:
     """Dictionaries and weights from rows ``(doc_id, text, toxic)``; None if a class has no row, with the known class."""
     counts = {r[0]: r[1] for r in labelled.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     nt, no = counts.get(1, 0), counts.get(0, 0)
@@ -116,10 +130,10 @@ def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000,
         return None
     key = F.concat_ws(":", F.lit("tox"), F.col("doc_id").cast("string"))
     sample = written(
-        bounded(labelled.where("toxic = 1"), key, max_toxic, nt).unionByName(bounded(labelled.where("toxic = 0"), key, max_ordinary, no)).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))),
+        bounded(labelled.where("toxic = 1"), key, max_toxic, nt).unionByName(bounded(labelled.where("toxic = 0"), key, max_ordinary, no)).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(3)) == 0),
         "toxicsample",
     )
-    fit = sample.where("half = 0")
+    fit = sample.where("not half")
     sizes = {r[0]: r[1] for r in fit.groupBy("toxic").count().collect()}
     ft, fo = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     words = fit.select("doc_id", "toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"))).alias("word"))
@@ -132,13 +146,13 @@ def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000,
     if not found:
         found = [r for r in words.where("toxic = 1").groupBy("word").agg(F.countDistinct("doc_id").alias("n")).orderBy(F.desc("n"), "word").limit(50).collect()]
     toxic_words = [r["word"].encode() for r in found]
-    ordinary = [w for r in fit.where("toxic = 0").select("text").orderBy(F.xxhash64("doc_id")).limit(600).collect() for many in windows(r["text"][:20_000] if r["text"] else "") for w in many]
+    ordinary = [w for r in fit.where("toxic = 0").select("text").orderBy(F.xxhash64("doc_id")).limit(600).collect() for many in windows(r["text"]) for w in many]
     # Each marked word stands in a window of its own; the most telling ones come last, nearest to the text.
-    plain = b" " + b" ".join(toxic_words[::-1]) + b" "
+    plain = b"".join(map(spelled, toxic_words[::-1])) + b" "
     toxic = plain[-toxic_bytes:]
-    coded = trained([b" " + w + b" " for w in toxic_words for _ in range(4)], toxic_bytes // 4) if len(toxic_words) > 20 else b""
+    coded = trained([spelled(w) + b" " for w in toxic_words for _ in range(4)], toxic_bytes // 4) if len(toxic_words) > 20 else b""
     dictionaries = (coded + toxic, trained(ordinary, ordinary_bytes))
-    scored = features(sample.where("half = 1"), dictionaries, ["toxic"]).toPandas()
+    scored = features(sample.where("half"), dictionaries, ["toxic"]).toPandas()
     if scored["toxic"].nunique() < 2:
         scored = features(sample, dictionaries, ["toxic"]).toPandas()
     weights = logistic(np.array(scored["x"].tolist(), float), scored["toxic"].to_numpy(float))
@@ -169,7 +183,7 @@ def scores(docs: DataFrame, model: tuple | None, known: float = 0.0) -> DataFram
         dictionaries, w = shared.value
         distance = Distance(*dictionaries)
         for pdf in batches:
-            x = np.array([distance.features(t) for t in pdf["text"]], float).reshape(len(pdf), TOP + 1)
+            x = np.array([distance.features(t) for t in pdf["text"]], float).reshape(len(pdf), TOP + 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))})
 
     return docs.mapInPandas(run, "doc_id long, score double")
