@@ -1,6 +1,537 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and, where SQL can express them, the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import documents as D
+from ..operators import graph as G
+from ..operators import linkage as L
+from ..operators import papers as P
+from ..operators import registry as R
+from ..operators import retrieval as S
+from ..sources.fixtures import table, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+YEAR_NOW = 2024
+
+
+def query(sql: str | None = None, views: tuple[str, ...] = ()):
+    """Register a query under its function's name, with its SQL over the given views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+# Retrieval.
+
+
+@query(
+    """with n as (select count(*) as n from documents), dl as (select doc_id, count(token) as dl from documents left join v_token using (doc_id) group by doc_id),
+avg_dl as (select avg(dl) as avgdl from dl), tf as (select doc_id, token, count(*) as tf from v_token group by all), df as (select token, count(*) as df from tf group by token),
+q as (select item_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) as token from benchmark),
+qt as (select item_id, token, count(*) as times from q group by all),
+s as (select item_id, doc_id, sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / greatest(avgdl, 1)))) as score
+      from qt join tf using (token) join df using (token) join dl using (doc_id), n, avg_dl group by all),
+r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from s where score > 0)
+select item_id, doc_id, round(score, 4) as score, cast(rank as int) as rank from r where rank <= 15""",
+    ("v_token",),
+)
+def bm25_benchmark_topk(spark, sf_dir):
+    hits = S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
+
+
+@query(
+    """with tf as (select doc_id, token, count(*) as tf from v_token group by all), n as (select count(*) as n from documents)
+select token, count(*) as df, cast(sum(tf) as bigint) as uses, round(ln((n - count(*) + 0.5::double) / (count(*) + 0.5::double) + 1), 6) as idf from tf, n group by token, n""",
+    ("v_token",),
+)
+def corpus_token_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    posts = S.postings(docs, "doc_id", "text")
+    stats = S.token_stats(posts, docs.count())
+    uses = posts.groupBy("token").agg(F.sum("tf").alias("uses"))
+    return stats.join(uses, "token").select("token", "df", "uses", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    """with p as (select q.vec_id as qid, v.vec_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as sim
+from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by qid order by sim desc, vec_id) as rank from p) select qid, vec_id, sim, cast(rank as int) as rank from r where rank <= 15"""
+)
+def vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return S.vector_top_k(v, v.where("vec_id % 100 = 0"), 15).select("qid", "vec_id", "sim", "rank")
+
+
+@query(
+    """with p as (select q.vec_id as qid, v.vec_id, case when v.vec_id % 2 = 0 then 'chunk' else 'proposition' end as kind, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as sim
+from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by qid, kind order by sim desc, vec_id) as rank from p)
+select qid, vec_id, kind, sim, cast(rank as int) as rank from r where rank <= case when kind = 'chunk' then 15 else 20 end"""
+)
+def dual_vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, "chunk").otherwise("proposition").alias("kind"))
+    q = v.where("vec_id % 100 = 0").drop("kind")
+    return S.vector_top_k(v, q, 20, per=["kind"]).where("kind = 'proposition' or rank <= 15").select("qid", "vec_id", "kind", "sim", "rank")
+
+
+@query(
+    ORACLES["bm25_benchmark_topk"].replace("select item_id, doc_id, round(score, 4) as score, cast(rank as int) as rank from r where rank <= 15", """,
+v as (select q.vec_id as qid, v.vec_id as id, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) as sim from embeddings q join embeddings v on q.vec_id <> v.vec_id join benchmark b on b.item_id = q.vec_id),
+vr as (select *, row_number() over (partition by qid order by sim desc, id) as rank from v),
+u as (select item_id as qid, doc_id as id, 1.0::double / (60 + rank) as part from r where rank <= 15
+      union all select qid, id, (case when id % 2 = 1 then 1.3::double else 1.0::double end) / (60 + rank) from vr where rank <= 35),
+f as (select qid, id, sum(part) as rrf from u group by all),
+d as (select *, row_number() over (partition by qid, id % 50 order by round(rrf, 9) desc, id) as in_doc from f),
+k as (select *, row_number() over (partition by qid order by round(rrf, 9) desc, id) as rank from d where id % 2 = 1 or in_doc = 1)
+select qid, id, round(rrf, 6) as rrf, cast(rank as int) as rank from k where rank <= 35""")
+)
+def rrf_hybrid(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    words = S.bm25(docs, items).select("qid", "id", "rank")
+    near = S.vector_top_k(v, v.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), 35).select("qid", F.col("vec_id").alias("id"), "rank")
+    fused = S.rrf([(words, 1.0), (near.where("id % 2 = 1"), S.BOOST), (near.where("id % 2 = 0"), 1.0)])
+    ranked = fused.select("qid", "id", (F.col("id") % 50).alias("doc"), (F.col("id") % 2 == 1).alias("is_proposition"), F.col("rrf").alias("score"))
+    return S.diversify(ranked, 35).select("qid", "id", F.round("score", 6).alias("rrf"), "rank")
+
+
+@query(
+    """with p as (select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+select a as vec_id, max(sim) as best from p group by a having max(sim) >= 0.35"""
+)
+def near_duplicate_vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    pairs = G.similar_pairs(v, v, 0.35)
+    both = pairs.select("a", "sim").unionByName(pairs.select(F.col("b").alias("a"), "sim"))
+    return both.groupBy(F.col("a").alias("vec_id")).agg(F.max("sim").alias("best"))
+
+
+@query(
+    """with c as (select avg(list_dot_product(v.embedding::double[], v.embedding::double[])) as one from embeddings v),
+m as (select i, avg(x) filter (where vec_id % 100 = 0) as p, avg(x) filter (where vec_id % 100 = 1) as n from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) group by i),
+s as (select vec_id, round(sum(x * (p - n)), 6) as score from (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings) join m using (i) group by vec_id)
+select vec_id, score from s where vec_id % 100 > 1 order by score desc, vec_id limit 20"""
+)
+def recommend_like(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return S.recommend(v, v.where("id % 100 = 0"), v.where("id % 100 = 1"), 20).withColumnRenamed("id", "vec_id")
+
+
+# Text and documents.
+
+
+@query(
+    """with s as (select doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20)) as text, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20), 1) as n from documents)
+select doc_id, concat(doc_id, '_p', n - 1) as prop_id, text from s"""
+)
+def sentences_to_propositions(spark, sf_dir):
+    return D.propositions(table(spark, sf_dir, "documents")).select("doc_id", "prop_id", "text")
+
+
+@query("select doc_id, substr(sha256(substr(text, 1, 2000)), 1, 16) as content_id, substr(text, 1, 500) as abstract, cast(length(text) // 4 as bigint) as token_estimate from documents")
+def content_hash_documents(spark, sf_dir):
+    return D.from_text(table(spark, sf_dir, "documents"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return D.chunks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def html_to_documents(spark, sf_dir):
+    return D.from_pages(table(spark, sf_dir, "pages"))
+
+
+@query(
+    """with t as (select doc_id, string_split(text, ' ') as w from documents), u as (select doc_id, unnest(w) as token, generate_subscripts(w, 1) as pos from t)
+select doc_id, md5(string_agg(token, ' ' order by pos)) as text_md5, count(*) as n from u group by doc_id"""
+)
+def inverted_index_abstract(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    back = D.from_inverted_index(D.inverted_index(docs.select("doc_id", "text")))
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size(F.split("text", " ")).cast("long").alias("n"))
+
+
+@query(
+    """select doc_id, regexp_replace(lower(trim(substr(text, 1, 80), ' ')), '[^a-z0-9\\s]', ' ', 'g') as raw, substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 80), ' ')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', '_', 'g'), 1, 80) as slug,
+substr(lower(regexp_replace(substr(text, 1, 80), '[^\\p{L}\\p{N}_-]', '', 'g')), 1, 64) as safe_key, cast(greatest(1, length(text) // 4) as bigint) as tokens from documents"""
+)
+def text_scalars(spark, sf_dir):
+    head = F.substring("text", 1, 80)
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.trim(head)), r"[^a-z0-9\s]", " ").alias("raw"), X.slug(head).alias("slug"), X.safe_key(head).alias("safe_key"), X.token_estimate(F.col("text"), 1).alias("tokens"))
+
+
+@query(
+    """with f as (select conv_id, turn, '```json' || chr(10) || '{"turn": ' || turn || ', "role": "' || role || '"}' || chr(10) || '```' as answer from conversations),
+j as (select conv_id, turn, regexp_extract(answer, '(?s)```(?:json)?\\s*\\n(.*?)```', 1) as body from f)
+select conv_id, turn, cast(json_extract_string(body, '$.turn') as bigint) as said_turn, json_extract_string(body, '$.role') as said_role from j"""
+)
+def model_json_parse(spark, sf_dir):
+    answer = F.format_string('```json\n{"turn": %d, "role": "%s"}\n```', "turn", "role")
+    parsed = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.model_json(answer).alias("j"))
+    return parsed.select("conv_id", "turn", F.try_variant_get("j", "$.turn", "bigint").alias("said_turn"), F.try_variant_get("j", "$.role", "string").alias("said_role"))
+
+
+@query(
+    """with c as (select p_partkey, unnest(string_split(lower(p_name), '')) as c from part), k as (select p_partkey, c, count(*) as k from c group by all),
+n as (select p_partkey, sum(k) as n from k group by 1) select p_partkey, round(abs(sum(-(k / n) * log2(k / n))), 6) as entropy from k join n using (p_partkey) group by p_partkey"""
+)
+def name_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(X.name_entropy(F.col("p_name")), 6).alias("entropy"))
+
+
+@query(
+    """with m as (select *, row_number() over (partition by conv_id order by turn) as i from conversations),
+h as (select a.conv_id, a.turn, string_agg(case when b.role = 'user' then 'User: ' else 'Assistant: ' end || substr(b.text, 1, 200), chr(10) order by b.turn) as history
+      from m a join m b on a.conv_id = b.conv_id and b.i between a.i - 10 and a.i - 1 group by a.conv_id, a.turn)
+select m.conv_id, m.turn, coalesce(history, '') as history from m left join h using (conv_id, turn)"""
+)
+def chat_history_window(spark, sf_dir):
+    return D.chat_history(table(spark, sf_dir, "conversations"))
+
+
+@query("select role as model, count(*) as calls, cast(sum(greatest(1, length(text) // 4)) as bigint) as tokens from conversations group by rollup (role)")
+def inference_usage(spark, sf_dir):
+    return D.usage(table(spark, sf_dir, "conversations").withColumnRenamed("role", "model"))
+
+
+# Linkage.
+
+
+@query(
+    """with n as (select distinct p_name as name from part), g as (select distinct name, lower(substr(name, i, 3)) as g from n, range(1, 60) t(i) where i <= length(name) - 2),
+s as (select name, count(*) as k from g group by name), p as (select a.name as a, b.name as b, count(*) as c from g a join g b on a.g = b.g and a.name < b.name group by all)
+select a, b, round(c / (x.k + y.k - c), 6) as jaccard from p join s x on x.name = a join s y on y.name = b where c / (x.k + y.k - c) >= 0.4"""
+)
+def trigram_name_join(spark, sf_dir):
+    return L.trigram_join(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct(), 0.4)
+
+
+@query("""with n as (select p_partkey, p_name from part), a as (select lower(trim(p_name)) as k, min(p_partkey) as id from n group by 1)
+select n.p_partkey, a.id as entity from (select p_partkey, '  ' || upper(p_name) || ' ' as raw from n) n join a on lower(trim(raw)) = a.k""")
+def exact_name_resolution(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    aliases = parts.groupBy(F.lower(F.trim("p_name")).alias("normalized_name")).agg(F.min("p_partkey").alias("entity"))
+    names = parts.select("p_partkey", F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")).alias("name"))
+    return L.resolve_exact(names, aliases).select("p_partkey", "entity")
+
+
+@query(
+    """with v as (select e.vec_id as id, p_name as name, label, embedding::double[] as x from embeddings e join part on p_partkey = e.vec_id + 1),
+p as (select a.id as new_id, b.id as old_id, a.name as na, b.name as nb, a.label = b.label as same_type, round(list_dot_product(a.x, b.x), 6) as sim from v a join v b on a.id % 5 = 0 and b.id % 5 <> 0),
+r as (select *, row_number() over (partition by new_id order by sim desc, old_id) as rn from p where sim >= 0.9::double * 0.3::double)
+select new_id, old_id, sim, case when sim >= 0.3 then 'high' else 'gray' end as band from (select *, row_number() over (partition by new_id order by rn) as first from r where rn <= 5 and same_type and sim >= 0.95::double * 0.3::double) where first = 1"""
+)
+def embedding_resolution(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    named = v.join(table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), "p_name"), "vec_id").select(F.col("vec_id").alias("id"), F.col("p_name").alias("name"), F.col("label").cast("string").alias("type"), "embedding")
+    return L.resolve_by_embedding(named.where("id % 5 = 0"), named.where("id % 5 <> 0"), threshold=0.3, name_overlap=0.0)
+
+
+@query(
+    """with t as (select doc_id, token, count(*) as tf from v_token where length(token) >= 8 group by all),
+e as (select token, sum(tf) as mentions, count(*) as docs from t group by token having count(*) between 2 and 50)
+select token as name, cast(mentions as bigint) as mentions, docs as n_docs, round(log2(1 + mentions) * case when docs = 1 then 0.5 when docs = 2 then 0.8 else 1 end, 3) as confidence from e""",
+    ("v_token",),
+)
+def entity_merge(spark, sf_dir):
+    return L.entities(table(spark, sf_dir, "documents"), 2, 50)
+
+
+@query(
+    """with c as (select citing, cited, count(*) as n from v_cite group by all) select citing as source_id, cited as target_id, 'cites' as relation_type, 1.0 + 0.5 * (n - 1) as weight, n as seen from c""",
+    ("v_cite",),
+)
+def relation_upsert(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_cite").select(F.col("citing").alias("source_id"), F.col("cited").alias("target_id"), F.lit("cites").alias("relation_type"))
+    return L.upserted(rows)
+
+
+@query(
+    """with n as (select p_partkey, p_name || ' ' || p_brand || ' ' || p_size as name from part)
+select name, count(*) as n from n where p_partkey % 3 = 0 and name not in (select name from n where p_partkey % 3 = 1 and name is not null) group by name"""
+)
+def new_entity_antijoin(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("name"))
+    return L.new_names(parts.where("p_partkey % 3 = 0"), parts.where("p_partkey % 3 = 1")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """with e as (select token from v_token where length(token) >= 8 group by token having count(distinct doc_id) between 5 and 50)
+select item_id, count(distinct v.token) as mentions from (select item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')) as token from benchmark) v join e using (token) group by item_id""",
+    ("v_token",),
+)
+def entity_mentions(spark, sf_dir):
+    names = L.entities(table(spark, sf_dir, "documents"), 5, 50).select("name")
+    return L.mentions(table(spark, sf_dir, "benchmark"), names, "item_id").groupBy("item_id").agg(F.count_distinct("name").alias("mentions"))
+
+
+# Graph.
+
+
+@query(
+    """with recursive b as (select src, dst from v_link union select dst, src from v_link), w as (select vec_id as id, vec_id as c from embeddings union select b.dst, w.c from w join b on b.src = w.id where w.c < b.dst),
+m as (select id, min(c) as root from w group by id) select id, root, cast(dense_rank() over (order by root) - 1 as int) as component from m""",
+    ("v_link",),
+)
+def connected_components(spark, sf_dir):
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"))
+    found = G.communities(nodes, view(spark, sf_dir, "v_link"))
+    roots = found.groupBy("component").agg(F.min("id").alias("root"))
+    return found.join(roots, "component").select("id", "root", "component")
+
+
+@query(
+    """with recursive b as (select src, dst from v_link union select dst, src from v_link), w as (select vec_id as a, vec_id as n, 0 as d from embeddings where vec_id % 50 = 0 union select w.a, b.dst, w.d + 1 from w join b on b.src = w.n where w.d < 6),
+s as (select a, n as b, min(d) as path from w group by all) select x.vec_id as a, y.vec_id as b, coalesce(s.path, -1) as path from embeddings x join embeddings y on x.vec_id % 50 = 0 and y.vec_id % 25 = 0 left join s on s.a = x.vec_id and s.b = y.vec_id""",
+    ("v_link",),
+)
+def shortest_paths(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    pairs = ids.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a")).join(ids.where("vec_id % 25 = 0").select(F.col("vec_id").alias("b")), F.col("a").isNotNull())
+    return G.shortest_paths(view(spark, sf_dir, "v_link"), pairs, 6)
+
+
+@query("select p_name as id, count(distinct p_brand) as n_docs, array_to_string(list_sort(list(distinct p_brand)), '|') as docs from part group by p_name having count(distinct p_brand) >= 2")
+def bridges(spark, sf_dir):
+    out = G.bridges(table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), F.col("p_brand").alias("doc")))
+    return out.select("id", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", "|").alias("docs"))
+
+
+@query(
+    """with p as (select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by a order by sim desc, b) as rn from p) select distinct least(a, b) as a, greatest(a, b) as b, sim from r where rn <= 5 and sim >= 0.3 and a % 50 <> b % 50"""
+)
+def latent_connections(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.array(F.col("vec_id") % 50).alias("docs"))
+    return G.latent_links(v, 6, 0.3)
+
+
+@query(
+    """with c as (select p_size as component, p_name as name, count(*) as mentions from part group by all),
+r as (select *, row_number() over (partition by component order by mentions desc, name) as rn from c)
+select component, string_agg(name, '|' order by rn) as concepts, count(*) as n from r where rn <= 5 group by component"""
+)
+def key_concepts(spark, sf_dir):
+    return G.key_concepts(table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("component"), F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("mentions")))
+
+
+@query(
+    """with o as (select vec_id as id, label as component from embeddings where vec_id % 10 <> 0), n as (select vec_id as id, case when vec_id % 7 = 0 then label + 10 else label end as component from embeddings where label < 8),
+p as (select n.component, count(distinct o.component) as k, min(o.component) as old from n left join o using (id) group by 1),
+mo as (select component, list_sort(list(id)) as ids from o group by 1), mn as (select component, list_sort(list(id)) as ids from n group by 1)
+select p.component, case when k = 1 and mo.ids = mn.ids then 'same' when k = 1 then 'carried' else 'fresh' end as outcome, case when k = 1 then p.old end as old_component from p join mn using (component) left join mo on mo.component = p.old"""
+)
+def community_matching(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    old = v.where("id % 10 <> 0").select("id", F.col("label").alias("component"))
+    new = v.where("label < 8").select("id", F.when(F.col("id") % 7 == 0, F.col("label") + 10).otherwise(F.col("label")).alias("component"))
+    return G.matched_communities(old, new)
+
+
+# Papers.
+
+
+@query(
+    """with k as (select ord, 'd:' || doi as k from v_paper_raw where doi <> '' union all select ord, 'a:' || arxiv_id from v_paper_raw where arxiv_id <> ''
+ union all select ord, 't:' || trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) from v_paper_raw),
+c as (select r.ord, min(o.ord) as cluster from v_paper_raw r join k a on a.ord = r.ord join k b on b.k = a.k join v_paper_raw o on o.ord = b.ord group by r.ord)
+select cluster, count(*) as n, max(citation_count) as citation_count, array_to_string(list_sort(list(distinct source)), ',') as sources,
+ arg_max(title, (length(title), -r.ord)) as title from v_paper_raw r join c using (ord) group by cluster""",
+    ("v_paper_raw",),
+)
+def paper_dedup_transitive(spark, sf_dir):
+    return P.deduplicated(view(spark, sf_dir, "v_paper_raw")).select("cluster", "n", "citation_count", "sources", "title")
+
+
+@query()
+def paper_dedup_greedy(spark, sf_dir):
+    return P.greedy_clusters(view(spark, sf_dir, "v_paper_raw"))
+
+
+@query(
+    """select ord, regexp_replace(trim(title), '\\s+', ' ', 'g') as title, lower(trim(doi)) as doi, trim(arxiv_id) as arxiv_id, source as sources,
+case when regexp_matches(arxiv_id, '^\\d{4}\\.\\d{4,5}(v\\d+)?$') then 'arxiv' when regexp_matches(doi, '^10\\.\\d{4,}/') then 'doi' else 'url' end as kind,
+coalesce(nullif(arxiv_id, ''), nullif(doi, ''), cast(ord as varchar)) as best, replace(replace(arxiv_id, '/', '_'), '.', '_') as slug from v_paper_raw""",
+    ("v_paper_raw",),
+)
+def paper_normalise(spark, sf_dir):
+    raw = P.canonical(view(spark, sf_dir, "v_paper_raw"))
+    best = X.best_identifier(F.col("arxiv_id"), F.col("doi"), F.lit(None).cast("string"), F.col("ord").cast("string"))
+    kind = X.identifier_kind(F.coalesce(F.nullif("arxiv_id", F.lit("")), F.col("doi")))
+    return raw.select("ord", "title", "doi", "arxiv_id", F.array_join("sources", ",").alias("sources"), kind.alias("kind"), best.alias("best"), X.arxiv_slug(F.col("arxiv_id")).alias("slug"))
+
+
+@query("select id, title, cast(case when llm_relevance = 0 then 5 else llm_relevance end as int) as relevance from v_paper where case when llm_relevance = 0 then 5 else llm_relevance end >= 5", ("v_paper",))
+def relevance_filter(spark, sf_dir):
+    papers = view(spark, sf_dir, "v_paper").select("id", "title", "llm_relevance")
+    scores = papers.where("llm_relevance > 0").select("id", F.col("llm_relevance").cast("string").alias("model_score"))
+    return P.relevant(papers.select("id", "title"), scores).select("id", "title", "relevance")
+
+
+@query(
+    """with r as (select author_id from v_author group by 1 having count(*) >= 2), t as (select count(*) as n from r), k as (select id, count(*) as k from v_author join r using (author_id) group by id)
+select distinct a.id, round(least(1.0, coalesce(k, 0) / greatest(1, n)), 6) as author from v_author a left join k using (id), t""",
+    ("v_author",),
+)
+def author_reputation(spark, sf_dir):
+    return P.author_reputation(view(spark, sf_dir, "v_author")).select("id", F.round("author", 6).alias("author"))
+
+
+INFLUENCE = """with i as (select id, sum(w) as influence from (select cited as id, case when is_methodology then 2 else 1 end as w from v_cite where is_influential union all select citing, case when is_methodology then 2 else 1 end from v_cite where is_influential) group by id),
+t as (select id as citing from v_paper order by citation_count desc, id limit 20), d as (select distinct citing, cited from v_cite join t using (citing)),
+e as (select *, row_number() over (partition by citing order by cited) as rn from d), s as (select cited as id, count(*) as in_set from e where rn <= 50 group by 1)"""
+
+
+@query(INFLUENCE + " select p.id, cast(coalesce(influence, 0) as bigint) as influence, coalesce(in_set, 0) as in_set from v_paper p left join i using (id) left join s using (id)", ("v_paper", "v_cite"))
+def influential_citations(spark, sf_dir):
+    papers, cites = view(spark, sf_dir, "v_paper"), view(spark, sf_dir, "v_cite")
+    return P.influence(papers, cites).join(P.in_set_citations(papers, cites), "id").select("id", "influence", "in_set")
+
+
+def _features(spark, sf_dir):
+    return P.scored(view(spark, sf_dir, "v_paper"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW)
+
+
+RANKED = (
+    INFLUENCE
+    + f""", r as (select author_id from v_author group by 1 having count(*) >= 2), n as (select greatest(1, count(*)) as n from r), k as (select id, count(*) as k from v_author join r using (author_id) group by id),
+f as (select p.*, coalesce(influence, 0) as inf, coalesce(in_set, 0) as ins, least(1.0, coalesce(k, 0) / n) as author, citation_count / greatest(1, {YEAR_NOW} - year + 1) as vel from v_paper p left join i using (id) left join s using (id) left join k using (id), n),
+g as (select *, inf / greatest(max(inf) over (), 1) as infn, ins / greatest(max(ins) over (), 1) as insn, vel / (max(vel) over ()) as veln from f)"""
+)
+
+
+@query(RANKED + " select id, round(0.55::double * llm_relevance / 10 + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * 0.3::double, 4) as importance from g", ("v_paper", "v_cite", "v_author"))
+def deep_rank(spark, sf_dir):
+    return P.deep_rank(_features(spark, sf_dir))
+
+
+@query(RANKED + " select id, round(0.25::double * veln + 0.20::double * insn + 0.20::double * infn + 0.10::double * author + 0.10::double * 0.3::double, 4) as importance from g", ("v_paper", "v_cite", "v_author"))
+def metadata_rank(spark, sf_dir):
+    return P.metadata_rank(_features(spark, sf_dir).withColumn("n_sources", F.lit(1)))
+
+
+SEEDS = "p as (select id from v_paper order by citation_count desc, id limit 5)"
+
+
+@query(
+    f"""with {SEEDS}, h1 as (select cited as node, 1 as depth, max(is_influential) as influential, array_to_string(list_sort(list(distinct citing)), ',') as parents from v_cite join p on citing = p.id where cited not in (select id from p) group by 1 order by not influential, node limit 20),
+k as (select id from p union all select node from h1),
+h2 as (select cited as node, 2 as depth, max(is_influential) as influential, array_to_string(list_sort(list(distinct citing)), ',') as parents from v_cite join h1 on citing = h1.node where cited not in (select id from k) group by 1 order by not max(is_influential), node limit 20)
+select * from h1 union all select * from h2""",
+    ("v_paper", "v_cite"),
+)
+def citation_hops(spark, sf_dir):
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    edges = view(spark, sf_dir, "v_cite").select(F.col("citing").alias("src"), F.col("cited").alias("dst"), "is_influential")
+    return G.hops(edges, seeds, 2, 20).select("node", "depth", "influential", F.array_join("parents", ",").alias("parents"))
+
+
+@query(
+    f"""with {SEEDS}, e as (select distinct citing, cited from v_cite where is_influential), c1 as (select p.id as seed, cited as node from p join e on citing = p.id),
+c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 5::double as convergence from c where node <> seed and node not in (select id from p) group by node),
+q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m from v_cite group by cited)
+select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
+    ("v_paper", "v_cite"),
+)
+def root_convergence(spark, sf_dir):
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds)
+
+
+# Registry and state.
+
+
+@query("select status, count(*) as n from v_registry_event group by rollup (status)", ("v_registry_event",))
+def registry_rollup(spark, sf_dir):
+    return R.status_counts(view(spark, sf_dir, "v_registry_event"))
+
+
+@query("select paper_id, arg_max(status, seq) as status, count(*) as events from v_registry_event group by paper_id", ("v_registry_event",))
+def registry_latest(spark, sf_dir):
+    return R.latest(view(spark, sf_dir, "v_registry_event"))
+
+
+@query(
+    """with e as (select event_id as seq, user_id as id, event_type = 'signup' as adds, value from events), a as (select id, max(seq) as seq, arg_max(value, seq) as value from e where adds group by id)
+select a.id, a.value, 1 + count(e.seq) as mentions from a left join e on e.id = a.id and not e.adds and e.seq > a.seq group by a.id, a.value"""
+)
+def change_log_replay(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.when(F.col("event_type") == "signup", "add").otherwise("merge").alias("op"), F.col("value").alias("payload"))
+    return R.replayed(log).select("id", F.col("payload").alias("value"), "mentions")
+
+
+@query("select user_id as paper_id, min(event_id) as seq from events where user_id % 4 <> 0 group by user_id")
+def register_new(spark, sf_dir):
+    hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("seq"))
+    known = hits.where("paper_id % 4 = 0").select("paper_id")
+    return R.register_new(hits, known)
+
+
+@query("select status, paper_id, seq from (select arg_max(status, seq) as status, paper_id, max(seq) as seq from v_registry_event group by paper_id) where status = 'queued'", ("v_registry_event",))
+def queued_papers(spark, sf_dir):
+    events = view(spark, sf_dir, "v_registry_event")
+    return events.groupBy("paper_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq")).where("status = 'queued'").select("status", "paper_id", "seq")
+
+
+@query("select id, title, venue from v_paper where contains(lower(title), 'ring') order by id limit 100", ("v_paper",))
+def title_search_preview(spark, sf_dir):
+    return view(spark, sf_dir, "v_paper").where(F.lower("title").contains("ring")).select("id", "title", "venue").orderBy("id").limit(100)
+
+
+@query("select 'papers' as what, (select count(*) from v_paper) as n union all select 'citations', (select count(*) from v_cite) union all select 'authors', (select count(*) from v_author)", ("v_paper", "v_cite", "v_author"))
+def graph_stats(spark, sf_dir):
+    names = {"papers": "v_paper", "citations": "v_cite", "authors": "v_author"}
+    parts = [view(spark, sf_dir, v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("what"), "n") for k, v in names.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """select citing as src, cited as dst, 'CITES' as kind, count(*) as n from v_cite group by all union all select id, author_id, 'WRITTEN_BY', 1 from v_author
+union all select id, cast(llm_relevance as varchar), 'RATED', 1 from v_paper""",
+    ("v_paper", "v_cite", "v_author"),
+)
+def property_graph_export(spark, sf_dir):
+    cites = view(spark, sf_dir, "v_cite").groupBy(F.col("citing").alias("src"), F.col("cited").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).cast("long").alias("n")
+    authors = view(spark, sf_dir, "v_author").select(F.col("id").alias("src"), F.col("author_id").alias("dst"), one)
+    rated = view(spark, sf_dir, "v_paper").select(F.col("id").alias("src"), F.col("llm_relevance").cast("string").alias("dst"), one)
+    kinds = ((cites, "CITES"), (authors, "WRITTEN_BY"), (rated, "RATED"))
+    out = [df.select("src", "dst", F.lit(kind).alias("kind"), "n") for df, kind in kinds]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("select src, dst, sim from v_link where src % 3 <> 0 and dst % 3 <> 0", ("v_link",))
+def visible_links(spark, sf_dir):
+    nodes = table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("vec_id")
+    links = view(spark, sf_dir, "v_link")
+    return links.join(nodes.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("vec_id", "dst"), "dst", "left_semi").select("src", "dst", "sim")
+
+
+@query("select user_id, event_type, count(*) as n, min(event_id) as first_event from events where event_type = 'purchase' group by all")
+def stream_activity(spark, sf_dir):
+    from ..streaming.jobs import counted_stream
+
+    return counted_stream(spark, f"{sf_dir}/events.parquet", "event_type = 'purchase'")
+
+
+@query("select paper_id, arg_max(status, seq) as status, count(*) as events from v_registry_event group by paper_id", ("v_registry_event",))
+def stream_registry(spark, sf_dir):
+    from ..streaming.jobs import registry_stream
+
+    return registry_stream(spark, f"{sf_dir}/events.parquet")
