@@ -136,7 +136,8 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 def addressed(index: DataFrame) -> DataFrame:
     """The index with every row pointing to the first copy of its content."""
     first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return index.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", "at.*")
+    # Written, so that the rows of a digest need not meet in one task: the join alone can be split.
+    return index.select("doc_id", "n_bytes", "digest").join(written(first, "firsts"), "digest").select("doc_id", "n_bytes", "digest", "at.*")
 
 
 class Shards:
