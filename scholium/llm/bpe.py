@@ -42,7 +42,7 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """The tokens of one vocabulary file; ``spec`` is its parsed JSON."""
 
-    def __init__(self, spec: dict, cache: int = 400_000):
+    def __init__(self, spec: dict, cache: int = 200_000):
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -86,7 +86,7 @@ class Encoder:
             else:
                 # A merge of equal rank further left would have come first, so the border's own may tie.
                 limit, b = made_b + 1, self.made[b][0]
-        if len(self.fits) >= 4 * self.cap:
+        if len(self.fits) >= 2 * self.cap:
             self.fits.clear()
         self.fits[pair] = good
         return good

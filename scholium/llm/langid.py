@@ -189,8 +189,8 @@ class Scorer:
                 self.rows.update((unique[i], start + k) for k, (i, _) in enumerate(keep))
         return out
 
-    def texts(self, texts: list, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) log likelihoods and numbers of words; a batch's words are taken some megabytes at a time."""
+    def texts(self, texts: list, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) log likelihoods and numbers of words; a batch's words are taken a megabyte at a time."""
         total, n = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts), np.int64)
         words: list[str] = []
         owner: list[tuple[int, int]] = []
