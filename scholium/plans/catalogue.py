@@ -254,7 +254,7 @@ def entity_merge(spark, sf_dir):
 
 
 @query(
-    """with c as (select citing, cited, count(*) as n from v_cite group by all) select citing as source_id, cited as target_id, 'cites' as relation_type, 1.0 + 0.5 * (n - 1) as weight, n as seen from c""",
+    """with c as (select citing, cited, count(*) as n from v_cite group by all) select citing as source_id, cited as target_id, 'cites' as relation_type, 1.0::double + 0.5::double * (n - 1) as weight, n as seen from c""",
     ("v_cite",),
 )
 def relation_upsert(spark, sf_dir):
