@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .common import bounded, fold
+from .common import fold
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters take the rescaled path, one position at a time.
@@ -131,10 +131,9 @@ def learn(docs: DataFrame, pieces: list[str], docs_per_lang: int = 600, rounds:
     langs = [c[0] for c in counts]
     if not langs:
         return [], np.zeros((len(pieces) + 1, 0))
-    sample = None
-    for lang, n in counts:
-        part = bounded(known.where(F.col("lang") == lang), F.col(id_col), docs_per_lang, n)
-        sample = part if sample is None else sample.unionByName(part)
+    # One pass: each language has its own share of a hash's range.
+    part = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(1.0 if n <= docs_per_lang else docs_per_lang / n))])
+    sample = known.withColumn("__share", part[F.col("lang")]).where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
     number = F.create_map(*[x for i, c in enumerate(langs) for x in (F.lit(c), F.lit(i))])
     words = written(
         sample.select(number[F.col("lang")].alias("lang"), F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
