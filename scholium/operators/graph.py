@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,11 +83,36 @@ def bridges(entities: DataFrame, least: int = 2) -> DataFrame:
     return entities.groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("docs")).where(F.size("docs") >= least)
 
 
-def similar_pairs(vectors: DataFrame, others: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b, sim)``, a < b, with an inner product of ``least`` or more, rounded to 6 digits."""
-    left = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("x"))
-    right = others.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.round(X.dot(F.col("x"), F.col("y")), 6).alias("sim")).where(F.col("sim") >= least)
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """Rows ``(block, ids, flat)``: some ``rows`` vectors each, side by side in one array."""
+    n = max(1, -(-vectors.count() // rows))
+    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+    packed = F.collect_list(F.struct("id", "embedding"))
+    return dealt.groupBy("block").agg(packed.alias("p")).select("block", F.col("p.id").alias("ids"), F.flatten("p.embedding").alias("flat"))
+
+
+def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFrame:
+    """Pairs ``(a, b, sim)``, a < b, of ``vectors (id, embedding)`` with an inner product of ``least`` or more, to 6 digits.
+
+    Exact: every block of vectors meets every other once, as a product of two matrices; only pairs found leave a task.
+    """
+    blocks = written(_blocks(vectors, rows), "blocks")
+    left = blocks.select(F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("flat").alias("xa"))
+    right = blocks.select(F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("flat").alias("xb"))
+    # As many rows as pairs of blocks, spread over all tasks.
+    work = left.join(right, F.col("i") <= F.col("j")).repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism, "i", "j")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ia, xa, ib, xb, same in zip(pdf["ia"], pdf["xa"], pdf["ib"], pdf["xb"], pdf["i"] == pdf["j"]):
+                x, y = np.asarray(xa, float).reshape(len(ia), -1), np.asarray(xb, float).reshape(len(ib), -1)
+                sim = np.round(x @ y.T, 6)
+                u, v = np.nonzero(sim >= least)
+                a, b = np.asarray(ia)[u], np.asarray(ib)[v]
+                keep = (a < b) if same else (a != b)
+                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[u, v][keep]})
+
+    return work.mapInPandas(run, "a long, b long, sim double")
 
 
 def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8) -> DataFrame:

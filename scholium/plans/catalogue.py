@@ -115,7 +115,7 @@ select a as vec_id, max(sim) as best from p group by a having max(sim) >= 0.35""
 )
 def near_duplicate_vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    pairs = G.similar_pairs(v, v, 0.35)
+    pairs = G.similar_pairs(v, 0.35)
     both = pairs.select("a", "sim").unionByName(pairs.select(F.col("b").alias("a"), "sim"))
     return both.groupBy(F.col("a").alias("vec_id")).agg(F.max("sim").alias("best"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.graph import similar_pairs
 
 #: Views that both engines read alike.
 COMMON = {
@@ -43,9 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views, over the tables of ``sf_dir``."""
     if name == "v_link":
-        v = table(spark, sf_dir, "embeddings")
-        a, b = v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("y"))
-        return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", F.round(X.dot(F.col("x"), F.col("y")), 6).alias("sim")).where(F.col("sim") >= LINK)
+        v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+        return similar_pairs(v, LINK).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim")
     if name == "v_token":
         return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
     sql = COMMON[name]
