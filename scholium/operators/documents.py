@@ -85,10 +85,14 @@ def inverted_index(docs: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
 
 
+def from_inverted_index_column(index: Column) -> Column:
+    """The text of an inverted index, in-row: no shuffle. Null for a null index."""
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("word")))))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["word"]), " ")
+
+
 def from_inverted_index(rows: DataFrame) -> DataFrame:
-    """The text of an inverted index, in-row: no shuffle."""
-    pairs = F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("word")))))
-    return rows.select("doc_id", F.array_join(F.transform(F.array_sort(pairs), lambda x: x["word"]), " ").alias("text"))
+    return rows.select("doc_id", from_inverted_index_column(F.col("index")).alias("text"))
 
 
 def chat_history(messages: DataFrame, turns: int = HISTORY) -> DataFrame:

@@ -120,13 +120,17 @@ def scored(papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: in
     )
 
 
-def deep_rank(features: DataFrame) -> DataFrame:
+def deep_score(relevance: F.Column) -> F.Column:
+    """Importance from the features of ``scored`` and a relevance of 0 to 10."""
     w = DEEP
-    score = (
-        w["relevance"] * F.col("llm_relevance") / 10 + w["in_set"] * F.col("in_set") + w["influence"] * F.col("influence") + w["author"] * F.col("author")
+    return (
+        w["relevance"] * relevance / 10 + w["in_set"] * F.col("in_set") + w["influence"] * F.col("influence") + w["author"] * F.col("author")
         + w["velocity"] * F.col("velocity_capped") + w["venue"] * F.col("venue_score") + w["survey"] * 0.3 * F.col("survey")
     )
-    return features.select("id", F.round(score, 4).alias("importance"))
+
+
+def deep_rank(features: DataFrame) -> DataFrame:
+    return features.select("id", F.round(deep_score(F.col("llm_relevance")), 4).alias("importance"))
 
 
 def metadata_rank(features: DataFrame) -> DataFrame:
