@@ -4,6 +4,7 @@ Distinct fingerprints are grouped into cells by population counts (of 16-bit lan
 band of text lengths); a cell's fingerprints form tiles of bounded size. Two tiles are compared, all against all with numpy
 exclusive-or and bit counts, only where the population counts of their cells differ by no more than the radius allows. A
 comparison returns a spanning forest of the links it found, never all pairs, and the forests meet in connected components.
+Near-duplicates by Jaccard similarity take the same tiles to propose pairs, whose shingle sets are then compared exactly.
 
 Nulls, empty texts: fingerprint zero, linked like any other. A null id gets a row with a null component. Repeated rows have
 equal fingerprints, hence one class. An empty table gives an empty result. Further columns of the input are ignored.
@@ -12,7 +13,7 @@ equal fingerprints, hence one class. An empty table gives an empty result. Furth
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -28,6 +29,10 @@ from .common import partitions, utf8, word_blocks
 #: Odd constants that spread one 64-bit shingle hash over further words of a wide fingerprint (finaliser of a public 64-bit mixer).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
+#: Sets of 5 shingles and 4 of them differ by 48 bits of 256 on average, more than larger sets of similarity 0.8. Up to so many
+#: shingles the radius is wider, by so many bits a word.
+SHORT, SHORT_BITS = 6, 2.75
+
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     if k == 0:
@@ -38,30 +43,49 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: object, shingle: int = 3, words: int = 1) -> tuple[list[int], int]:
-    """Unsigned 64-bit words of the fingerprint, and the number of shingles."""
-    ones, n, carry = np.zeros((words, 64), np.int64), 0, []
-
-    def add(shingles: list[bytes]) -> None:
-        h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
-        for k in range(words):
-            bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k] += bits.sum(0, dtype=np.int64)
-
+def _shingles(text: object, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, block by block; a text of fewer words is one shingle."""
+    some, carry = False, []
     for block in word_blocks(utf8(text).lower()):
         block = carry + block
         if len(block) >= shingle:
             many = [b" ".join(x) for x in zip(*(block[i:] for i in range(shingle)))]
-            add(many)
-            n += len(many)
+            some = True
+            yield np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in many), np.uint64, len(many))
         carry = block[-(shingle - 1) :] if shingle > 1 else []
-    if not n and carry:
-        add([b" ".join(carry)])
-        n = 1
+    if not some and carry:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), 42)], np.uint64)
+
+
+def shingle_set(text: object, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    found = list(_shingles(text, shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _majority(blocks: Iterable[np.ndarray], words: int) -> tuple[list[int], int]:
+    ones, n = np.zeros((words, 64), np.int64), 0
+    for h in blocks:
+        n += len(h)
+        for k in range(words):
+            bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(0, dtype=np.int64)
     on = (2 * ones > n).astype(np.uint8)
     return [int(x) for x in np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0]], n
 
 
+def fingerprint(text: object, shingle: int = 3, words: int = 1) -> tuple[list[int], int]:
+    """Unsigned 64-bit words of the fingerprint, and the number of shingles."""
+    return _majority(_shingles(text, shingle), words)
+
+
+def set_fingerprint(text: object, shingle: int = 5, words: int = 4) -> tuple[list[int], int, int]:
+    """As ``fingerprint``, of the distinct shingles; and a signed digest of their set."""
+    hashes = shingle_set(text, shingle)
+    fp, n = _majority((hashes[i : i + 65536] for i in range(0, len(hashes), 65536)), words)
+    return fp, n, int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
     """Rows ``(doc_id, n, fp)``; ``fp`` holds the fingerprint's words as signed longs."""
 
@@ -133,30 +157,37 @@ def _cells(words: int, radius: int, lanes: int) -> tuple[F.Column, list[int]]:
     return (length * 1000 + F.floor(pop / (radius + 1))).cast("long"), [0, 1, 999, 1000, 1001]
 
 
-def radius_for(similarity: float, words: int) -> int:
-    """Bits by which fingerprints of two equally large shingle sets of this Jaccard similarity differ on average."""
-    return round(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def radius_for(similarity: float, words: int, deviations: float = 4) -> int:
+    """Bits by which fingerprints of two shingle sets of this Jaccard similarity differ: the mean and ``deviations`` standard
+    deviations. With four, some 3 in 100,000 pairs of just this similarity differ by more, and fewer of higher ones."""
+    bits, p = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, lanes: int = 4, tile: int = 2048) -> DataFrame:
-    """Rows ``(doc_id, fp, component_id)``: one for each input row, with the smallest id reachable over links of ``radius`` bits."""
-    spark = docs.sparkSession
-    fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fps")
-    key, offsets = _cells(words, radius, lanes)
-    reps = written(fps.withColumn("cell", key).groupBy("fp", "cell").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
+def _work(reps: DataFrame, row: F.Column, offsets: list[int], tile: int) -> DataFrame:
+    """Rows ``(target, slot, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, and that tile itself."""
     # One row for each cell: at most 17**4 lane counts, or length bands times population bands, whatever the input's size.
     sizes = reps.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_tiles"))
     dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    tiles = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(F.concat(F.array("rep"), "fp"))).alias("flat"))
+    tiles = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
     moved = tiles.select("cell", "part", "flat", F.explode(F.array(*map(F.lit, offsets))).alias("off")).withColumn("target", F.col("cell") + F.col("off"))
     there = sizes.select(F.col("cell").alias("target"), "n_tiles")
-    work = (
+    return (
         moved.join(F.broadcast(there), "target")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
         .withColumn("own", (F.col("off") == 0) & (F.col("slot") == F.col("part")))
         .where("off > 0 or part <= slot")
         .select("target", "slot", "own", "flat")
-    )
+        .repartition(4 * partitions(reps.sparkSession), "target", "slot").sortWithinPartitions("target", "slot", F.col("own").desc())
+    )
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, lanes: int = 4, tile: int = 2048) -> DataFrame:
+    """Rows ``(doc_id, fp, component_id)``: one for each input row, with the smallest id reachable over links of ``radius`` bits."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fps")
+    key, offsets = _cells(words, radius, lanes)
+    reps = written(fps.withColumn("cell", key).groupBy("fp", "cell").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
+    work = _work(reps, F.concat(F.array("rep"), "fp"), offsets, tile)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, None
@@ -173,16 +204,99 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 links = np.concatenate(found)
                 yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
-    n = 4 * partitions(spark)
-    links = work.repartition(n, "target", "slot").sortWithinPartitions("target", "slot", F.col("own").desc()).mapInPandas(run, "src long, dst long")
+    links = work.mapInPandas(run, "src long, dst long")
     found = connected_components(links)
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "cell", F.coalesce("component", "rep").alias("component_id"))
     return fps.withColumn("cell", key).join(named, ["fp", "cell"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4) -> DataFrame:
-    """``classes`` for a Jaccard similarity of word shingles, judged by wide fingerprints."""
-    return classes(docs, shingle=shingle, words=words, radius=radius_for(similarity, words))
+def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, nearest: bool, block: int = 256) -> Iterator[np.ndarray]:
+    """Pairs of ids of tiles ``a`` and ``b`` (or inside ``a``) that may be similar; columns: id, label, shingles, words.
+
+    Pairs of one label are left out. ``nearest`` yields one pair for each row of ``a``, the one of least distance; else all.
+    """
+    same = b is None
+    other = a if same else b
+    left, right = a[:, 3:].view(np.uint64), np.ascontiguousarray(other[:, 3:]).view(np.uint64)
+    radius = radius_for(similarity, left.shape[1])
+    wide = radius + round(SHORT_BITS * left.shape[1])
+    for s in range(0, len(a), block):
+        part = a[s : s + block]
+        for c in range(0, len(other), 8192):
+            you = other[c : c + 8192]
+            d = np.zeros((len(part), len(you)), np.uint16)
+            for k in range(left.shape[1]):
+                d += np.bitwise_count(left[s : s + block, k, None] ^ right[None, c : c + 8192, k])
+            i, j = np.nonzero(d <= wide)
+            n, m = part[i, 2], you[j, 2]
+            most = np.maximum(n, m)
+            keep = (part[i, 1] != you[j, 1]) & (np.minimum(n, m) >= similarity * most - 1e-6) & ((d[i, j] <= radius) | (most <= SHORT))
+            if same:
+                keep &= part[i, 0] > you[j, 0]
+            i, j = i[keep], j[keep]
+            if nearest and len(i):
+                order = np.lexsort((you[j, 0], d[i, j], i))
+                first = order[np.unique(i[order], return_index=True)[1]]
+                i, j = i[first], j[first]
+            if len(i):
+                yield np.stack([part[i, 0], you[j, 0]], 1)
+
+
+def _verified(docs: DataFrame, reps: DataFrame, offsets: list[int], tile: int, similarity: float, shingle: int, words: int, nearest: bool) -> DataFrame:
+    """Rows ``(src, dst)``: candidates among ``reps`` whose shingle sets have the similarity, counted from the sets themselves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, None
+        for pdf in batches:
+            for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
+                rows = np.asarray(flat, np.int64).reshape(-1, 3 + words)
+                if mine:
+                    at, own = (target, slot), rows
+                if at == (target, slot):
+                    for found in candidates(own, None if mine else rows, similarity, nearest):
+                        yield pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
+
+    row = F.concat(F.array("rep", "label", "n"), "fp")
+    pairs = written(_work(reps, row, offsets, tile).mapInPandas(run, "src long, dst long").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
+    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "ends")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["doc_id"], "s": [shingle_set(t, shingle).view(np.int64) for t in pdf["text"]]})
+
+    # An id with several texts has several sets; a link of one of them counts.
+    found = written(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(sets, "id long, s array<long>").distinct(), "sets")
+    both = pairs.join(found.select(F.col("id").alias("src"), F.col("s").alias("x")), "src").join(found.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
+    shared = both.select("src", "dst", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return written(shared.where(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("src", "dst").distinct(), "links")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048) -> DataFrame:
+    """Rows ``(doc_id, fp, component_id)``: classes of documents linked by a Jaccard similarity of their shingle sets.
+
+    Fingerprints of the distinct shingles only propose pairs. First each one's nearest neighbour in a tile is verified; then
+    every pair whose ends these links leave in different components, so that no link hides another and a large class does
+    not make a pair of each two members.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [set_fingerprint(t, shingle, words) for t in pdf["text"]]
+            fps = [np.array(f, np.uint64).view(np.int64) for f, _, _ in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [n for _, n, _ in found], "sig": [x for _, _, x in found], "fp": fps})
+
+    key, offsets = _cells(words, radius_for(similarity, words) + round(SHORT_BITS * words), 4)
+    fps = written(texts.mapInPandas(run, "doc_id long, n long, sig long, fp array<long>").withColumn("cell", key), "fps")
+    same = ["fp", "sig", "n", "cell"]
+    reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
+    links = _verified(texts, reps.withColumn("label", F.col("rep")), offsets, tile, similarity, shingle, words, True)
+    first = written(connected_components(links), "first")
+    labelled = reps.join(first, reps["rep"] == first["node"], "left").select(*same, "rep", F.coalesce("component", "rep").alias("label"))
+    links = links.unionByName(_verified(texts, labelled, offsets, tile, similarity, shingle, words, False))
+    found = connected_components(links)
+    named = reps.join(found, reps["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, same, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -54,6 +54,27 @@ def test_near_duplicates_keep_one_of_each_class(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, 5, 11]
 
 
+def test_near_duplicates_have_exactly_the_similarity(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = [(1, "a b c d e f g h i"), (2, "a b c d e f g h")]  # sets of 5 and 4 shingles: just 0.8
+    for k in range(60):
+        base = [word() for _ in range(104)]
+        rows += [(1000 + 10 * k, " ".join(base)), (1001 + 10 * k, " ".join(base[:50] + [word(), word()] + base[52:] if k % 2 else base[:-11] + [word() for _ in range(11)]))]
+        rows += [(1002 + 10 * k, " ".join([word() for _ in range(14)] + base[14:]))]
+    loop = [word() for _ in range(6)]
+    rows += [(5000, " ".join(loop * 30)), (5001, " ".join(loop * 10)), (5002, " ".join(loop * 30 + [word() for _ in range(9)]))]
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in rows}
+    label = {i: i for i in sets}
+    for _ in range(5):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(frame(spark, rows), tile=16).collect()}
+    assert got == label and label[2] == 1 and len(set(label.values())) < len(label)
+
+
 def test_tiles_lose_no_link():
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 40).astype(np.int64)
