@@ -1,7 +1,7 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-Templates of licence notices are indexed by word and position. A document is looked up by its licence words of highest IDF
-(document frequencies are counted over the whole corpus); postings are intersected by relative position, that is, grouped by
+Templates of licence notices are indexed by word and position. A document is looked up, for each template, by its words of highest IDF among
+the template's (document frequencies are counted over the whole corpus); postings are intersected by relative position, that is, grouped by
 the offset between document and template. The best alignments are verified: the template's mandatory key phrase must stand
 in the document. Base phrases are found wherever their words stand consecutively.
 
@@ -44,7 +44,7 @@ TEMPLATES = (
 )
 #: Function words are no licence words: they tell nothing and occur everywhere.
 COMMON = frozenset("a an and any are as be by for from in is it may of on or that the this to with you not no 0 1 2 3 4 v".split())
-#: Words looked up in a document, and how many of them must agree on an offset.
+#: Words looked up in a document for each template, and how many of them must agree on an offset.
 TOP, AGREE = 8, 2
 
 
@@ -88,26 +88,31 @@ def method_labels(found: DataFrame) -> DataFrame:
     # One row for each licence word: as many as the templates have, whatever the corpus.
     df = found.select(F.explode("has").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1))
     idf = df.join(total, "one").select("word", F.log((F.col("total") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    # A document's few licence words (one for each template word at most) are ranked inside its row.
-    looked = found.where("hits is not null").select("row", "has", "hits", "keys")
-    chosen = looked.select("row", F.explode("has").alias("word")).join(F.broadcast(idf), "word").groupBy("row").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("x"), "word"))), 1, TOP).getField("word").alias("top")
-    )
+    looked = found.where("hits is not null and size(keys) > 0").select("row", "has", "hits", "keys")
     postings = spark.createDataFrame(
         [(w, k, p, label) for k, (label, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON],
         T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("tpos", T.IntegerType()), T.StructField("label", T.StringType())]),
     )
+    # A template's words are ranked among themselves, so that no other notice of the document takes their places. Verified
+    # templates only: the mandatory key phrase stands in the document.
+    chosen = (
+        looked.select("row", "keys", F.explode("has").alias("word")).join(F.broadcast(idf), "word").join(F.broadcast(postings.select("word", "template").distinct()), "word")
+        .where(F.array_contains("keys", F.col("template"))).groupBy("row", "template")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("x"), "word"))), 1, TOP).getField("word").alias("top"))
+    )
     sizes = F.create_map(*[F.lit(x) for k, (_, text, _) in enumerate(TEMPLATES) for x in (k, len(set(text.split()) - COMMON))])
+    # The key phrase's own words are looked up as well: where it stands, it is an alignment, however rare other words are.
+    key_words = F.create_map(*[x for k, (_, _, key) in enumerate(TEMPLATES) for x in (F.lit(k), F.array(*(F.lit(w) for w in key.split() if w not in COMMON)))])
     at = (
-        looked.join(chosen, "row").select("row", "keys", "top", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("top"), h["word"]))).alias("h"))
-        .select("row", "keys", F.size("top").alias("n_top"), "h.*")
-        .join(F.broadcast(postings), "word")
-        .where(F.array_contains("keys", F.col("template")))  # verified: the mandatory key phrase stands in the document
+        looked.select("row", "hits").join(chosen, "row").withColumn("use", F.array_union("top", key_words[F.col("template")]))
+        .select("row", "template", "top", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("use"), h["word"]))).alias("h"))
+        .select("row", "template", "h.*", F.when(F.array_contains("top", F.col("h.word")), F.col("h.word")).alias("best"))
+        .join(F.broadcast(postings), ["word", "template"])
     )
-    agreed = at.groupBy("row", "template", "label", "n_top", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.count_distinct("word").alias("agree"))
+    agreed = at.groupBy("row", "template", "label", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.count_distinct("word").alias("agree"), F.count_distinct("best").alias("best"))
     # A short notice may have fewer licence words than AGREE asks for.
     need = F.least(F.lit(AGREE), sizes[F.col("template")])
-    good = agreed.where(F.col("agree") >= need).withColumn("share", F.col("agree") / F.least(F.lit(TOP), sizes[F.col("template")]))
+    good = agreed.where(F.col("agree") >= need).withColumn("share", F.col("best") / F.least(F.lit(TOP), sizes[F.col("template")]))
     return good.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
 

@@ -129,6 +129,19 @@ def test_license_places(spark):
     assert licenses.query(frame(spark, [])).count() == 0
 
 
+def test_licenses_keep_the_labels_of_each_notice(spark):
+    notices = [(label, text) for label, text, _ in licenses.TEMPLATES]
+    alone = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.query(frame(spark, list(enumerate(t for _, t in notices)))).collect()}
+    assert all(label in alone[k] for k, (label, _) in enumerate(notices))
+    pairs = [(i, j) for i in range(len(notices)) for j in range(len(notices)) if i != j]
+    rows = [(100 * i + j, f"{notices[i][1]}\n\nalso: {notices[j][1]}") for i, j in pairs]
+    got = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.query(frame(spark, rows)).collect()}
+    assert not [(i, j) for i, j in pairs if not alone[i] | alone[j] <= got[100 * i + j]]
+    apart = "Permission is hereby granted, free of charge. Files, documentation: associated software; copy obtaining person"
+    rows = [(0, apart)] + [(k, "permission hereby granted free charge") for k in range(1, 30)]
+    assert {x["doc_id"]: x["labels"] for x in licenses.query(frame(spark, rows)).collect()}[0] == "mit"
+
+
 def test_warc_round_trip(spark):
     big = "é" * 1_500_000
     rows = [(1, "http://a/ b", "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", big), (7, "u", "WARC/1.1\r\n\r\n" * 9), (None, "u", "n")]
