@@ -143,9 +143,12 @@ def metadata_rank(features: DataFrame) -> DataFrame:
     return features.select("id", F.round(score, 4).alias("importance"))
 
 
-def root_candidates(cites: DataFrame, seeds: DataFrame, depth: int = 2, keep: int = 15) -> DataFrame:
-    """Rows ``(id, convergence, influential, methodology, score)``: where the seeds' references meet, best first."""
-    edges = cites.where("is_influential").select(F.col("citing").alias("src"), F.col("cited").alias("dst")).distinct()
+def root_candidates(cites: DataFrame, seeds: DataFrame, depth: int = 2, keep: int = 15, influential_only: bool = False) -> DataFrame:
+    """Rows ``(id, convergence, influential, methodology, score)``: where the seeds' references meet, best first.
+
+    All references count; ``influential_only`` follows the influential ones alone.
+    """
+    edges = (cites.where("is_influential") if influential_only else cites).select(F.col("citing").alias("src"), F.col("cited").alias("dst")).distinct()
     closure = reachable(edges, seeds, depth)
     n = seeds.count()
     met = closure.where("node <> seed").groupBy("node").agg((F.count_distinct("seed") / F.lit(n)).alias("convergence"))

@@ -450,6 +450,18 @@ select node as id, round(convergence, 6) as convergence, round(i, 6) as influent
     ("v_paper", "v_cite"),
 )
 def root_convergence(spark, sf_dir):
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds, influential_only=True)
+
+
+@query(
+    f"""with {SEEDS}, e as (select distinct citing, cited from v_cite), c1 as (select p.id as seed, cited as node from p join e on citing = p.id),
+c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 5::double as convergence from c where node <> seed and node not in (select id from p) group by node),
+q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m from v_cite group by cited)
+select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
+    ("v_paper", "v_cite"),
+)
+def root_convergence_all(spark, sf_dir):
     seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
     return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds)
 

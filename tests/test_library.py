@@ -96,3 +96,10 @@ def test_replay_resets_at_an_add(spark):
 def test_inverted_index_round_trip(spark):
     docs = spark.createDataFrame([(1, "a b a c"), (2, "x")], "doc_id long, text string")
     assert {r[0]: r[1] for r in D.from_inverted_index(D.inverted_index(docs)).collect()} == {1: "a b a c", 2: "x"}
+
+
+def test_roots_follow_references_that_are_not_influential(spark):
+    rows = [("s1", "a", False, False), ("s2", "b", True, False), ("a", "root", False, True), ("b", "root", True, False)]
+    cites = spark.createDataFrame(rows, "citing string, cited string, is_influential boolean, is_methodology boolean")
+    got = {r["id"]: r["convergence"] for r in P.root_candidates(cites, spark.createDataFrame([("s1",), ("s2",)], "seed string")).collect()}
+    assert got == {"root": 1.0, "a": 0.5, "b": 0.5}

@@ -35,6 +35,10 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_roots_over_all_references_equal_sql(spark, duck):
+    test_query_equals_sql(spark, duck, "root_convergence_all")
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
