@@ -1,14 +1,17 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on windows of the words (and their
-relatives by prefix) that are significantly more frequent in toxic texts, and is backed by the ordinary one, so that both
-code ordinary text alike. A window's saving is its length under the ordinary dictionary minus its length under both. A
-logistic threshold over a text's largest savings is calibrated on labelled texts that neither dictionary has seen.
-
-The dictionaries and the calibration are fitted on a bounded sample of labelled rows (``max_toxic``, ``max_ordinary``);
-scoring covers every window of every whole text. Null and empty texts have no window and get the score of no saving. Rows
-with a null label are never learned from. If a class is missing, the score is that of the only class known (0 without any).
-Repeated rows score alike; empty tables give empty results; further columns are ignored.
+Each dictionary is trained on short windows of the texts of its class, every distinct window counting once, so that copies
+of a text do not outweigh what recurs; both end with the same background of ordinary windows. A window's margin is its
+length under the ordinary dictionary minus its length under the toxic one. A second round trains both anew on the windows
+of the largest margins (those of toxic texts that do look toxic, and the ordinary ones most like them); calibration keeps
+the better round. A logistic threshold over a text's largest margins is calibrated on labelled texts that neither
+dictionary has seen.
+
+Dictionaries and calibration are fitted on a bounded sample of labelled rows and of their windows (``max_toxic``,
+``max_ordinary``, ``max_windows``, none longer than ``WIDEST`` bytes); scoring covers every window of every whole text. Null
+and empty texts have no window and get the score of no margin. Rows with a null label are never learned from. If a class is
+missing, the score is that of the only class known (0 without any). Repeated rows score alike and rows without an id get a
+row each; ties in margins do not matter; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 from .common import bounded, fold, utf8, word_blocks
 
-#: Words of a window, and the largest savings of a text that count.
-WINDOW, TOP = 6, 3
-#: A saving that a chance match hardly reaches.
+#: Words of a window that is scored and of one that is learned from, and the largest margins of a text that count.
+WINDOW, LEARNED, TOP = 6, 2, 3
+#: A margin that a chance match hardly reaches.
 CLEAR = 7
+#: Sizes of the dictionaries' own part and of the background, and of the pieces that training picks: about a word each.
+OWN, BACKGROUND, PIECE = 1 << 14, 1 << 15, 28
+#: Bytes of the longest window that is learned from.
+WIDEST = 400
 MARKS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
 #: Lower case for ASCII letters; other ASCII characters become spaces.
 CLEAN = bytes(32 if b in MARKS else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
@@ -51,11 +58,11 @@ def spelled(word: bytes) -> bytes:
     return out
 
 
-def windows(text: object) -> Iterator[list[bytes]]:
-    """The text's words in windows of ``WINDOW`` words; a block of windows at a time."""
-    for words in word_blocks(utf8(text).translate(CLEAN)):
+def windows(text: object, size: int = WINDOW) -> Iterator[list[bytes]]:
+    """The text's words in windows of ``size`` words; a block of windows at a time."""
+    for words in word_blocks(utf8(text.lower() if isinstance(text, str) else text).translate(CLEAN)):
         coded = [_written[w] if w in _written else spelled(w) for w in words]
-        yield [b"".join(coded[k : k + WINDOW]) + b" " for k in range(0, len(coded), WINDOW)]
+        yield [b"".join(coded[k : k + size]) + b" " for k in range(0, len(coded), size)]
 
 
 class Coder:
@@ -79,31 +86,48 @@ class Coder:
 def trained(samples: list[bytes], size: int) -> bytes:
     """A dictionary's content; too few samples are taken as they are."""
     try:
-        return zstd.train_dictionary(size, samples).as_bytes()
+        return zstd.train_dictionary(size, samples, k=PIECE, d=8).as_bytes()
     except zstd.ZstdError:
         return b"".join(samples)[-size:]
 
 
 class Distance:
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.ordinary, self.both = Coder(ordinary), Coder(toxic + ordinary)
+        self.ordinary, self.toxic = Coder(ordinary), Coder(toxic)
+
+    def margins(self, many: list[bytes]) -> np.ndarray:
+        return self.ordinary.lengths(many) - self.toxic.lengths(many)
 
     def features(self, text: object) -> list[float]:
-        """The ``TOP`` largest savings of a text's different windows, and the logarithms of how many are clear and of their number."""
+        """The ``TOP`` largest margins of a text's different windows, and the logarithms of how many are clear and of their number."""
         best, n, clear = np.zeros(TOP, np.int32), 0, 0
         for many in windows(text):
             many = list(dict.fromkeys(many))
-            gain = self.ordinary.lengths(many) - self.both.lengths(many)
+            gain = self.margins(many)
             n, clear = n + len(many), clear + int((gain >= CLEAR).sum())
             best = np.sort(np.concatenate([best, np.minimum(gain, 2 * CLEAR)]))[-TOP:]
         return [*map(float, np.maximum(best[::-1], 0)), math.log1p(clear), math.log1p(n)]
 
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A toxic and an ordinary dictionary from windows of each class, by the first round and, if windows stand out, the second."""
+    background = trained(ordinary, BACKGROUND)
+    pair = lambda t, o: (trained(t, OWN) + background, trained(o, OWN) + background)
+    out = [pair(toxic, ordinary)]
+    distance = Distance(*out[0])
+    t, o = distance.margins(toxic), distance.margins(ordinary)
+    keep = np.flatnonzero(t > max(np.percentile(o, 99), 1))
+    if len(keep) >= 100:
+        hard = np.argsort(-o, kind="stable")[: max(len(keep), 2000)]
+        out.append(pair([toxic[i] for i in keep], [ordinary[i] for i in hard]))
+    return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (bias last) by ridge-regularised Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) * 0.1
+    ridge = np.eye(len(w)) * 2.0
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -114,53 +138,61 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     return w
 
 
-def _significance(t: str, o: str, nt: int, no: int) -> F.Column:
-    """Log-likelihood ratio of document frequencies, for words that toxic texts have more often."""
-    a, b = F.col(t).cast("double"), F.col(o).cast("double")
-    share = nt / (nt + no)
-    g = a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
-    return F.when(a / nt > b / no, 2 * g).otherwise(0.0)
+def log_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def _learned_windows(fit: DataFrame, most: dict[int, int]) -> dict[int, list[bytes]]:
+    """Distinct windows of the rows of each class; of more than ``most`` a share by hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for toxic, text in zip(pdf["toxic"], pdf["text"]):
+                for many in windows(text, LEARNED):
+                    many = [w for w in dict.fromkeys(many) if len(w) <= WIDEST]
+                    yield pd.DataFrame({"toxic": [toxic] * len(many), "w": many})
+
+    found = written(fit.select("toxic", "text").mapInPandas(run, "toxic int, w binary").distinct(), "toxicwindows")
+    counts = {r[0]: r[1] for r in found.groupBy("toxic").count().collect()}
+    parts = {k: bounded(found.where(F.col("toxic") == k), F.col("w"), most[k], counts.get(k, 0)).orderBy("w").toPandas()["w"] for k in (0, 1)}
+    return {k: [bytes(w) for w in part] for k, part in parts.items()}
+
 
+def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, max_windows: tuple[int, int] = (60_000, 120_000)) -> tuple | None:
+    """Dictionaries and weights from rows ``(doc_id, text, toxic)``; None if a class has no row.
 
-def learn(labelled: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, least: float = 22.0, toxic_bytes: int = 1 << 15, ordinary_bytes: int = 1 << 16) -> tuple | None:
-    """Dictionaries and weights from rows ``(doc_id, text, toxic)``; None if a class has no row, with the known class."""
+    ``max_windows`` bounds the windows of toxic and of ordinary texts that reach the driver, ``WIDEST`` each one's bytes.
+    """
     counts = {r[0]: r[1] for r in labelled.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
     nt, no = counts.get(1, 0), counts.get(0, 0)
     if not nt or not no:
         return None
-    key = F.concat_ws(":", F.lit("tox"), F.col("doc_id").cast("string"))
+    labelled = labelled.withColumn("toxic", F.col("toxic").cast("int"))
+    # By id and text, so that rows without an id, or many of one, are sampled too.
+    key = F.concat_ws(":", F.lit("tox"), F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
     sample = written(
-        bounded(labelled.where("toxic = 1"), key, max_toxic, nt).unionByName(bounded(labelled.where("toxic = 0"), key, max_ordinary, no)).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(3)) == 0),
+        bounded(labelled.where("toxic = 1"), key, max_toxic, nt).unionByName(bounded(labelled.where("toxic = 0"), key, max_ordinary, no)).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(4)) == 0),
         "toxicsample",
     )
-    fit = sample.where("not half")
-    sizes = {r[0]: r[1] for r in fit.groupBy("toxic").count().collect()}
-    ft, fo = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    words = fit.select("doc_id", "toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"))).alias("word"))
-    stems = words.select("doc_id", "toxic", "word", F.explode(F.expr("transform(sequence(4, greatest(4, least(7, length(word)))), k -> substr(word, 1, k))")).alias("stem"))
-    stems = stems.unionByName(words.select("doc_id", "toxic", "word", F.col("word").alias("stem"))).where("length(word) between 3 and 40")
-    df = stems.select("doc_id", "toxic", "stem").distinct().groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    marked = df.where(_significance("t", "o", ft, fo) >= least).where("t >= 3").select("stem", (F.col("t") / ft - F.col("o") / fo).alias("lift"))
-    # At most 2,000 words: what fits into the toxic dictionary.
-    found = stems.where("toxic = 1").join(marked, "stem").groupBy("word").agg(F.countDistinct("doc_id").alias("n"), F.max("lift").alias("lift")).orderBy(F.desc("lift"), F.desc("n"), "word").limit(2000).collect()
-    if not found:
-        found = [r for r in words.where("toxic = 1").groupBy("word").agg(F.countDistinct("doc_id").alias("n")).orderBy(F.desc("n"), "word").limit(50).collect()]
-    toxic_words = [r["word"].encode() for r in found]
-    ordinary = [w for r in fit.where("toxic = 0").select("text").orderBy(F.xxhash64("doc_id")).limit(600).collect() for many in windows(r["text"]) for w in many]
-    # Each marked word stands in a window of its own; the most telling ones come last, nearest to the text.
-    plain = b"".join(map(spelled, toxic_words[::-1])) + b" "
-    toxic = plain[-toxic_bytes:]
-    coded = trained([spelled(w) + b" " for w in toxic_words for _ in range(4)], toxic_bytes // 4) if len(toxic_words) > 20 else b""
-    dictionaries = (coded + toxic, trained(ordinary, ordinary_bytes))
-    scored = features(sample.where("half"), dictionaries, ["toxic"]).toPandas()
-    if scored["toxic"].nunique() < 2:
-        scored = features(sample, dictionaries, ["toxic"]).toPandas()
-    weights = logistic(np.array(scored["x"].tolist(), float), scored["toxic"].to_numpy(float))
-    return dictionaries, weights
-
-
-def features(docs: DataFrame, dictionaries: tuple[bytes, bytes], keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    seen = _learned_windows(sample.where("not held"), {1: max_windows[0], 0: max_windows[1]})
+    if not seen[0] or not seen[1]:
+        seen = _learned_windows(sample, {1: max_windows[0], 0: max_windows[1]})
+    best = None
+    for pair in dictionaries(seen[1] or [b" "], seen[0] or [b" "]):
+        scored = features(sample.where("held"), pair, ["toxic"]).toPandas()
+        if scored["toxic"].nunique() < 2:
+            scored = features(sample, pair, ["toxic"]).toPandas()
+        x, y = np.array(scored["x"].tolist(), float).reshape(-1, TOP + 2), scored["toxic"].to_numpy(float)
+        weights = logistic(x, y)
+        loss = log_loss(weights, x, y)
+        if best is None or loss < best[0]:
+            best = loss, pair, weights
+    return best[1:]
+
+
+def features(docs: DataFrame, pair: tuple[bytes, bytes], keep: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(pair)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distance = Distance(*shared.value)
