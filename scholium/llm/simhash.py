@@ -4,7 +4,8 @@ Distinct fingerprints are grouped into cells by population counts (of 16-bit lan
 band of text lengths); a cell's fingerprints form tiles of bounded size. Two tiles are compared, all against all with numpy
 exclusive-or and bit counts, only where the population counts of their cells differ by no more than the radius allows. A
 comparison returns a spanning forest of the links it found, never all pairs, and the forests meet in connected components.
-Near-duplicates by Jaccard similarity take the same tiles to propose pairs, whose shingle sets are then compared exactly.
+Near-duplicates by Jaccard similarity take the same tiles to find the documents that have a candidate at all; those meet
+again in small tiles that carry their shingle sets, where candidates are compared exactly and, again, a forest is returned.
 
 Nulls, empty texts: fingerprint zero, linked like any other. A null id gets a row with a null component. Repeated rows have
 equal fingerprints, hence one class. An empty table gives an empty result. Further columns of the input are ignored.
@@ -79,11 +80,10 @@ def fingerprint(text: object, shingle: int = 3, words: int = 1) -> tuple[list[in
     return _majority(_shingles(text, shingle), words)
 
 
-def set_fingerprint(text: object, shingle: int = 5, words: int = 4) -> tuple[list[int], int, int]:
-    """As ``fingerprint``, of the distinct shingles; and a signed digest of their set."""
-    hashes = shingle_set(text, shingle)
-    fp, n = _majority((hashes[i : i + 65536] for i in range(0, len(hashes), 65536)), words)
-    return fp, n, int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
+def set_fingerprint(hashes: np.ndarray, words: int = 4) -> tuple[list[int], int]:
+    """As ``fingerprint``, of a shingle set; and a signed digest of the set."""
+    fp, _ = _majority((hashes[i : i + 65536] for i in range(0, len(hashes), 65536)), words)
+    return fp, int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
@@ -164,10 +164,13 @@ def radius_for(similarity: float, words: int, deviations: float = 4) -> int:
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _work(reps: DataFrame, row: F.Column, offsets: list[int], tile: int) -> DataFrame:
-    """Rows ``(target, slot, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, and that tile itself."""
+def _work(reps: DataFrame, row: F.Column, offsets: list[int], tiles: F.Column) -> DataFrame:
+    """Rows ``(target, slot, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, and that tile itself.
+
+    ``tiles``: into how many tiles a cell is cut, an aggregate of its rows.
+    """
     # One row for each cell: at most 17**4 lane counts, or length bands times population bands, whatever the input's size.
-    sizes = reps.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n_tiles"))
+    sizes = reps.groupBy("cell").agg(F.ceil(tiles).cast("int").alias("n_tiles"))
     dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
     tiles = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
     moved = tiles.select("cell", "part", "flat", F.explode(F.array(*map(F.lit, offsets))).alias("off")).withColumn("target", F.col("cell") + F.col("off"))
@@ -187,7 +190,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fps")
     key, offsets = _cells(words, radius, lanes)
     reps = written(fps.withColumn("cell", key).groupBy("fp", "cell").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
-    work = _work(reps, F.concat(F.array("rep"), "fp"), offsets, tile)
+    work = _work(reps, F.concat(F.array("rep"), "fp"), offsets, F.count(F.lit(1)) / tile)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, None
@@ -210,14 +213,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return fps.withColumn("cell", key).join(named, ["fp", "cell"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, nearest: bool, block: int = 256) -> Iterator[np.ndarray]:
-    """Pairs of ids of tiles ``a`` and ``b`` (or inside ``a``) that may be similar; columns: id, label, shingles, words.
-
-    Pairs of one label are left out. ``nearest`` yields one pair for each row of ``a``, the one of least distance; else all.
-    """
+def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of tiles ``a`` and ``b`` (or inside ``a``) that may be similar; columns: id, shingles, words."""
     same = b is None
     other = a if same else b
-    left, right = a[:, 3:].view(np.uint64), np.ascontiguousarray(other[:, 3:]).view(np.uint64)
+    left, right = a[:, 2:].view(np.uint64), np.ascontiguousarray(other[:, 2:]).view(np.uint64)
     radius = radius_for(similarity, left.shape[1])
     wide = radius + round(SHORT_BITS * left.shape[1])
     for s in range(0, len(a), block):
@@ -228,73 +228,120 @@ def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, nearest:
             for k in range(left.shape[1]):
                 d += np.bitwise_count(left[s : s + block, k, None] ^ right[None, c : c + 8192, k])
             i, j = np.nonzero(d <= wide)
-            n, m = part[i, 2], you[j, 2]
+            n, m = part[i, 1], you[j, 1]
             most = np.maximum(n, m)
-            keep = (part[i, 1] != you[j, 1]) & (np.minimum(n, m) >= similarity * most - 1e-6) & ((d[i, j] <= radius) | (most <= SHORT))
-            if same:
-                keep &= part[i, 0] > you[j, 0]
-            i, j = i[keep], j[keep]
-            if nearest and len(i):
-                order = np.lexsort((you[j, 0], d[i, j], i))
-                first = order[np.unique(i[order], return_index=True)[1]]
-                i, j = i[first], j[first]
-            if len(i):
-                yield np.stack([part[i, 0], you[j, 0]], 1)
+            keep = (part[i, 0] > you[j, 0]) if same else (part[i, 0] != you[j, 0])
+            keep &= (np.minimum(n, m) >= similarity * most - 1e-6) & ((d[i, j] <= radius) | (most <= SHORT))
+            if keep.any():
+                yield i[keep] + s, j[keep] + c
+
+
+class Sets:
+    """The shingle sets of a tile, and how many of their members each shares with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.index = sets, None
+
+    def shared(self, mine: np.ndarray, which: np.ndarray) -> np.ndarray:
+        if len(which) <= 4:
+            return np.array([len(np.intersect1d(mine, self.sets[j], assume_unique=True)) for j in which])
+        if self.index is None:
+            whole = np.concatenate(self.sets)
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            order = np.argsort(whole, kind="stable")
+            known, starts = np.unique(whole[order], return_index=True)
+            self.index = known, np.append(starts, len(whole)), owner[order]
+        known, starts, owner = self.index
+        at = np.searchsorted(known, mine)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)]
+        sizes = starts[at + 1] - starts[at]
+        places = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(at) else np.zeros(0, int)
+        return np.bincount(owner[places], minlength=len(self.sets))[which]
+
+
+def linked(a: tuple[np.ndarray, Sets], b: tuple[np.ndarray, Sets] | None, similarity: float) -> np.ndarray:
+    """A spanning forest, as pairs of ids, of the rows whose sets have the similarity. A pair that links found before already
+    connect is not compared."""
+    (rows, mine), same = a, b is None
+    others, sets = a if same else b
+    shift = 0 if same else len(rows)
+    label, out = np.arange(len(rows) + (0 if same else len(others))), []
+    for i, j in candidates(rows, None if same else others, similarity):
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for row, near in zip(i[np.concatenate([[0], cuts])], np.split(j, cuts)):
+            near = near[label[near + shift] != label[row]]
+            if not len(near):
+                continue
+            both = sets.shared(mine.sets[row], near)
+            near = near[both >= similarity * (rows[row, 1] + others[near, 1] - both) - 1e-9]
+            if len(near):
+                roots, first = np.unique(label[near + shift], return_index=True)
+                out += [(rows[row, 0], others[k, 0]) for k in near[first]]
+                label[np.isin(label, roots)] = label[row]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048, small: int = 512, hashes: int = 1 << 18) -> DataFrame:
+    """Rows ``(doc_id, fp, component_id)``: classes of documents linked by a Jaccard similarity of their shingle sets.
 
+    Fingerprints of the distinct shingles, ``words`` of 64 bits, only say which documents may have a partner. Those alone meet
+    again, in tiles of ``small`` documents or ``hashes`` shingles, where every candidate is compared by its whole set unless
+    verified links already connect the two. A large group of near copies, linked or not, makes no rows for its pairs.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-def _verified(docs: DataFrame, reps: DataFrame, offsets: list[int], tile: int, similarity: float, shingle: int, words: int, nearest: bool) -> DataFrame:
-    """Rows ``(src, dst)``: candidates among ``reps`` whose shingle sets have the similarity, counted from the sets themselves."""
+    def run(batches: Iterator[pd.DataFrame], with_set: bool = False) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t, shingle) for t in pdf["text"]]
+            found = [set_fingerprint(x, words) for x in sets]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": list(map(len, sets)), "sig": [x for _, x in found], "fp": [np.array(f, np.uint64).view(np.int64) for f, _ in found]})
+            yield out.assign(s=[x.view(np.int64) for x in sets]) if with_set else out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, offsets = _cells(words, radius_for(similarity, words) + round(SHORT_BITS * words), 4)
+    schema = "doc_id long, n long, sig long, fp array<long>"
+    fps = written(texts.mapInPandas(run, schema).withColumn("cell", key), "fps")
+    same = ["fp", "sig", "n", "cell"]
+    reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, None
         for pdf in batches:
             for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
                 rows = np.asarray(flat, np.int64).reshape(-1, 3 + words)
                 if mine:
                     at, own = (target, slot), rows
-                if at == (target, slot):
-                    for found in candidates(own, None if mine else rows, similarity, nearest):
-                        yield pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
-
-    row = F.concat(F.array("rep", "label", "n"), "fp")
-    pairs = written(_work(reps, row, offsets, tile).mapInPandas(run, "src long, dst long").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "pairs")
-    ends = written(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "ends")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "s": [shingle_set(t, shingle).view(np.int64) for t in pdf["text"]]})
-
-    # An id with several texts has several sets; a link of one of them counts.
-    found = written(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(sets, "id long, s array<long>").distinct(), "sets")
-    both = pairs.join(found.select(F.col("id").alias("src"), F.col("s").alias("x")), "src").join(found.select(F.col("id").alias("dst"), F.col("s").alias("y")), "dst")
-    shared = both.select("src", "dst", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return written(shared.where(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("src", "dst").distinct(), "links")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048) -> DataFrame:
-    """Rows ``(doc_id, fp, component_id)``: classes of documents linked by a Jaccard similarity of their shingle sets.
-
-    Fingerprints of the distinct shingles only propose pairs. First each one's nearest neighbour in a tile is verified; then
-    every pair whose ends these links leave in different components, so that no link hides another and a large class does
-    not make a pair of each two members.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                if at != (target, slot):
+                    continue
+                other = own if mine else rows
+                near, far = np.zeros(len(own), bool), np.zeros(len(other), bool)
+                for i, j in candidates(own[:, [0, *range(2, 3 + words)]], None if mine else other[:, [0, *range(2, 3 + words)]], similarity):
+                    near[i] = far[j] = True
+                found = np.concatenate([own[near, :2], other[far, :2]])
+                if len(found):
+                    yield pd.DataFrame({"doc_id": found[:, 0], "sig": found[:, 1]})
+
+    ends = written(_work(reps, F.concat(F.array("rep", "sig", "n"), "fp"), offsets, F.count(F.lit(1)) / tile).mapInPandas(search, "doc_id long, sig long").distinct(), "ends")
+    some = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(lambda batches: run(batches, True), schema + ", s array<long>")
+    # Of an id with several texts, those count that were found above.
+    sets = written(some.join(ends, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).withColumn("cell", key).withColumnRenamed("doc_id", "rep"), "sets")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, None
         for pdf in batches:
-            found = [set_fingerprint(t, shingle, words) for t in pdf["text"]]
-            fps = [np.array(f, np.uint64).view(np.int64) for f, _, _ in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [n for _, n, _ in found], "sig": [x for _, _, x in found], "fp": fps})
+            for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
+                flat, starts, p = np.asarray(flat, np.int64), [], 0
+                while p < len(flat):
+                    starts.append(p)
+                    p += 2 + words + int(flat[p + 1])
+                rows = np.stack([flat[p : p + 2 + words] for p in starts])
+                now = rows, Sets([flat[p + 2 + words : p + 2 + words + flat[p + 1]].view(np.uint64) for p in starts])
+                if mine:
+                    at, own = (target, slot), now
+                if at == (target, slot) and len(links := linked(own, None if mine else now, similarity)):
+                    yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
-    key, offsets = _cells(words, radius_for(similarity, words) + round(SHORT_BITS * words), 4)
-    fps = written(texts.mapInPandas(run, "doc_id long, n long, sig long, fp array<long>").withColumn("cell", key), "fps")
-    same = ["fp", "sig", "n", "cell"]
-    reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
-    links = _verified(texts, reps.withColumn("label", F.col("rep")), offsets, tile, similarity, shingle, words, True)
-    first = written(connected_components(links), "first")
-    labelled = reps.join(first, reps["rep"] == first["node"], "left").select(*same, "rep", F.coalesce("component", "rep").alias("label"))
-    links = links.unionByName(_verified(texts, labelled, offsets, tile, similarity, shingle, words, False))
-    found = connected_components(links)
+    work = _work(sets, F.concat(F.array("rep", "n"), "fp", "s"), offsets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes))
+    found = connected_components(work.mapInPandas(verify, "src long, dst long"))
     named = reps.join(found, reps["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, same, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
