@@ -34,7 +34,7 @@ PAGES, TREES, TREE_DEPTH, SEED = 720, 24, 5, 7
 #: What a change from kept to dropped costs in decoding, in log odds.
 CHANGE = 2.0
 #: Log odds down to which prose counts as not ruled out.
-DOUBT = -3.0
+DOUBT = -4.0
 
 #: Quoted values may hold any character; outside quotes a tag cannot hold another's start. No repetition gives characters back.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
