@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's docs.
 All but the last return the columns of ``documents``. SQL cannot express the stages (their models are fitted, their
-fingerprints are hashes over shingles), so ``ORACLE_SQL`` is None and the tests compare with brute force.
+fingerprints are hashes over shingles), so ``ORACLE_SQL`` is None and the tests compare each stage with brute force.
+
+Nulls: a null text has no language and goes in the first stage; a row without an id is judged by its text, keeps its lines and
+is never a near-duplicate or removed for a benchmark passage. A text left empty by line dedup stays. Ties: the smallest id of a
+near-duplicate class stays, and of repeated rows with that id all stay. Very long texts are worked on in blocks. An empty
+``documents`` gives an empty result; extra columns pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines leave the texts; n_chars follows. Every row stays."""
     out = linededup.cleaned(docs)
-    changed = F.col("lines_removed") > 0
+    changed = F.col(out.columns[-1]) > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
