@@ -21,6 +21,14 @@ def fold(col: str | Column, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary")) % mod
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column of ``df`` has (names differ by case for no one)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """A number of partitions for explicit repartitioning: the session's shuffle setting, at least its parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -3,11 +3,13 @@
 A language is a probability for each piece of a fixed public vocabulary. A word's likelihood is the sum over all its
 segmentations into pieces, by the forward algorithm; no piece spans white space, so a text's is the product of its words'.
 Piece probabilities are fitted by expectation-maximisation (forward-backward) on a bounded sample of labelled rows; the
-bound, ``docs_per_lang``, is a parameter. Scoring covers every word of every whole text.
+bound, ``docs_per_lang``, is a parameter. Copies of a text teach once; words longer than ``LONG`` letters teach in parts. Every
+learned language can be predicted: more than ``max_langs`` of them are an error, never dropped. Scoring covers every word of
+every whole text.
 
 Null texts and texts without a letter: ``und`` with score 0. Rows with a null language are scored and never learned from.
-Ties go to the alphabetically first language. With no learnable row every text is ``und``. Repeated rows count as often as
-they occur; empty tables give empty results; further columns are ignored.
+Ties go to the alphabetically first language. With no learnable row every text is ``und``. Repeated rows and rows without an
+id get a row each; very long texts are taken a megabyte at a time; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +79,9 @@ class Lattice:
         """(words, languages)."""
         out = np.zeros((len(words), self.p.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for s in range(0, len(short), 4096):
-            part = short[s : s + 4096]
+        step = max(64, 65536 // max(16, self.p.shape[1]))
+        for s in range(0, len(short), step):
+            part = short[s : s + step]
             chosen = [words[i] for i in part]
             alpha = self.forward(chosen, self.edges(chosen))
             out[part] = np.log(alpha[[len(w) for w in chosen], range(len(chosen))])
@@ -120,24 +123,27 @@ class Lattice:
         return total
 
 
-def learn(docs: DataFrame, pieces: list[str], docs_per_lang: int = 600, rounds: int = 3, max_langs: int = 500, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, pieces: list[str], docs_per_lang: int = 600, rounds: int = 3, max_langs: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (pieces + 1, languages) from at most about ``docs_per_lang`` rows of each language.
 
     What reaches the driver is bounded by the vocabulary and ``max_langs``: counts of languages and expected uses of pieces.
     """
     spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null")
-    counts = sorted((r[0], r[1]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    counts = sorted((r[0], r[1]) for r in known.groupBy("lang").count().limit(max_langs + 1).collect())
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs")
     langs = [c[0] for c in counts]
     if not langs:
         return [], np.zeros((len(pieces) + 1, 0))
-    # One pass: each language has its own share of a hash's range.
+    # One pass: each language has its own share of a hash's range. The hash is the text's, so that ids may be null or equal.
     part = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(1.0 if n <= docs_per_lang else docs_per_lang / n))])
-    sample = known.withColumn("__share", part[F.col("lang")]).where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
+    hashed = known.select("lang", "text", F.xxhash64(F.lit("lang"), "text").alias("h"))
+    sample = hashed.where(F.pmod("h", F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000).dropDuplicates(["lang", "h"])
     number = F.create_map(*[x for i, c in enumerate(langs) for x in (F.lit(c), F.lit(i))])
     words = written(
-        sample.select(number[F.col("lang")].alias("lang"), F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).where(F.length("word") < LONG),
+        sample.select(number[F.col("lang")].alias("lang"), F.explode(F.expr(rf"regexp_extract_all(lower(text), '\\p{{L}}{{1,{LONG - 1}}}', 0)")).alias("word"))
+        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")),
         "langwords",
     )
     logp = np.full((len(pieces) + 1, len(langs)), -np.log(len(pieces) + 1))
@@ -147,8 +153,9 @@ def learn(docs: DataFrame, pieces: list[str], docs_per_lang: int = 600, rounds:
         def run(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             lattice, total = Lattice(*model.value), 0
             for pdf in batches:
-                for s in range(0, len(pdf), 4096):
-                    part = pdf.iloc[s : s + 4096]
+                step = max(64, 65536 // max(16, model.value[1].shape[1]))  # the sums take a number a word, position and language
+                for s in range(0, len(pdf), step):
+                    part = pdf.iloc[s : s + step]
                     total = total + lattice.expected(["▁" + w for w in part["word"]], part["lang"].to_numpy(), part["n"].to_numpy(float))
             if not isinstance(total, int):
                 lang, piece = np.nonzero(total)
@@ -164,9 +171,10 @@ def learn(docs: DataFrame, pieces: list[str], docs_per_lang: int = 600, rounds:
 
 
 class Scorer:
-    """Scores of words, kept for words seen before (a bounded table), and of whole texts."""
+    """Scores of words, kept for words seen before (a table of ``cells`` numbers at most), and of whole texts."""
 
-    def __init__(self, pieces: list[str], logp: np.ndarray, cap: int = 300_000):
+    def __init__(self, pieces: list[str], logp: np.ndarray, cells: int = 1_200_000):
+        cap = max(1, min(300_000, cells // max(1, logp.shape[1])))
         self.lattice, self.cap = Lattice(pieces, logp), cap
         self.rows: dict[str, int] = {}
         self.table = np.zeros((cap, logp.shape[1]), np.float32)
@@ -264,7 +272,8 @@ def query(docs: DataFrame, pieces: list[str] | None = None) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.5, pieces: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: a learned language with a score of ``min_score`` or more.
 
-    The model learns from the rows' own non-null languages. Rows without an id are judged like others.
+    The model learns from the rows' own non-null languages; where there is none, nothing can be judged and every text with a
+    letter stays. Rows without an id are judged like others.
     """
     pieces = pieces or default_pieces()
     langs, logp = learn(docs.select("doc_id", "text", "lang"), pieces)
@@ -277,10 +286,8 @@ def accepted(docs: DataFrame, min_score: float = 0.5, pieces: list[str] | None =
         scorer = Scorer(*model.value)
         for batch in batches:
             total, n = scorer.texts(batch.column(place).to_pylist())
-            if not langs:
-                continue
             scaled = total / np.sqrt(np.maximum(n, 1))[:, None]
-            share = np.exp(scaled - scaled.max(1, keepdims=True))
+            share = np.exp(scaled - scaled.max(1, keepdims=True, initial=-np.inf)) if langs else np.ones((len(n), 1))
             score = 1 / share.sum(1)
             yield batch.filter(pa.array((n > 0) & (score >= min_score)))
 

@@ -7,7 +7,8 @@ other row, so that no line vanishes from the corpus and one copy of a widely cop
 
 Nulls: a null text stays null; a null site counts as no site; a row without an id keeps all its lines. Blank lines are
 neither counted nor removed. A text that loses all its lines is empty, and its row stays. Repeated rows are treated alike.
-Empty tables give empty results; other columns pass through unchanged.
+Empty tables give empty results; other columns pass through unchanged, whatever their names. Lines of equal text are equal, so
+there are no ties; very long lines are known by their hashes and length like others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
+from .common import free
 
 #: Production parameters: sites that make a line boilerplate, the sketch's size (relative error about 1.04 / 2**(k/2)), and
 #: the share around the threshold within which estimates are not trusted (over five standard errors).
@@ -53,15 +55,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``; ``lines_removed`` counts them. Other columns as they were."""
+    """``docs`` with boilerplate lines removed from ``text``; a last column, ``lines_removed`` if that name is free (else with
+    underscores behind), counts them. Other columns as they were."""
     spread = written(boilerplate(docs, min_sites), "boilerplate")
     gone = lines(docs).join(spread, ["h", "g", "n"]).where("doc_id > first_doc").select("doc_id", F.struct("h", "g", "n").alias("k")).distinct()
-    gone = gone.groupBy("doc_id").agg(F.collect_list("k").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
-    whole = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__gone"), line_key(F.trim(line))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
-    return whole.withColumn("lines_removed", removed.cast("long")).withColumn("text", text).select(*docs.columns, "lines_removed")
+    owner, keys, counted = free(docs, "line_owner"), free(docs, "line_keys"), free(docs, "lines_removed")
+    gone = gone.groupBy("doc_id").agg(F.collect_list("k").alias(keys)).withColumnRenamed("doc_id", owner)
+    whole = docs.join(gone, docs["doc_id"] == gone[owner], "left")
+    kept = F.filter(F.split("text", "\n"), lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(keys), line_key(F.trim(line))))
+    text = F.when(F.col(keys).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col(keys).isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(kept))
+    return whole.withColumn(counted, removed.cast("long")).withColumn("text", text).select(*docs.columns, counted)
 
 
 def query(docs: DataFrame) -> DataFrame:
