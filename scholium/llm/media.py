@@ -2,8 +2,8 @@
 
 A payload is stored losslessly as an 8-bit grey PNG, 64 samples wide, as a member of a tar shard named by its SHA-256. Rows
 carry digest, shard, offset and length. A task stores equal content once; the index points every row to one copy of its
-content, the first by shard and offset. Metadata columns are filled from the first 33 bytes of a member; features from the
-payload read back.
+content, the first by shard and offset. Width and height are filled from the first 33 bytes of a member; features from the
+payload read back, whose length must agree with them.
 
 Null texts are empty; an empty text is one row of zero samples. Equal texts have equal values; repeated rows and rows without
 an id get a row each. Very long texts are compressed and decompressed a megabyte at a time. Empty tables give empty results;
@@ -29,6 +29,8 @@ from .common import partitions, utf8
 from .files import Rolled, reading
 
 WIDTH, SHARD, STEP = 64, 1 << 28, 1 << 14
+#: Bytes of a shard whose members one task reads.
+STRETCH = 1 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = len(SIGNATURE) + 25
 #: Digests that a task remembers to store equal content once; older ones are forgotten, and such content may be stored again.
@@ -134,10 +136,10 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def addressed(index: DataFrame) -> DataFrame:
-    """The index with every row pointing to the first copy of its content."""
-    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    """The index with every row pointing to the first copy of its content, and ``copies``, the number of its rows."""
+    first = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count(F.lit(1)).alias("copies"))
     # Written, so that the rows of a digest need not meet in one task: the join alone can be split.
-    return index.select("doc_id", "n_bytes", "digest").join(written(first, "firsts"), "digest").select("doc_id", "n_bytes", "digest", "at.*")
+    return index.select("doc_id", "n_bytes", "digest").join(written(first, "firsts"), "digest").select("doc_id", "n_bytes", "digest", "at.*", "copies")
 
 
 class Shards:
@@ -160,16 +162,20 @@ def metadata(index: DataFrame) -> DataFrame:
     """``index`` with ``width``, ``height`` by range reads of headers only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shards = Shards()
+        shards, last, size = Shards(), None, (0, 0)
         for pdf in batches:
-            got = [header(shards.get(s, o, HEADER)) for s, o in zip(pdf["shard"], pdf["offset"])]
-            yield pdf.assign(width=[w for w, _ in got], height=[h for _, h in got])
+            got = []
+            for at in zip(pdf["shard"], pdf["offset"]):
+                if at != last:
+                    last, size = at, header(shards.get(*at, HEADER))
+                got.append(size)
+            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), width=[w for w, _ in got], height=[h for _, h in got])
 
     return index.mapInPandas(run, index.schema.simpleString()[7:-1].replace(":", " ") + ", width int, height int")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from shards written to the shared folder and read back."""
+    """The contract's columns, from shards written to the shared folder and read back; then the row's address and metadata."""
     spark = docs.sparkSession
     index = addressed(store(docs, new_path(spark, "shards")))
 
@@ -177,18 +183,18 @@ def query(docs: DataFrame) -> DataFrame:
         shards, last, values = Shards(), None, ()
         for pdf in batches:
             rows = []
-            for shard, offset, length, digest in zip(pdf["shard"], pdf["offset"], pdf["length"], pdf["digest"]):
+            for shard, offset, length, digest, samples in zip(pdf["shard"], pdf["offset"], pdf["length"], pdf["digest"], pdf["width"] * pdf["height"]):
                 if last != (shard, offset):
-                    width, height = header(shards.get(shard, offset, HEADER))
                     values = measured(shards.get(shard, offset, length))
-                    if values[3] != digest or values[0] != width * height:
+                    if values[3] != digest or values[0] != samples:
                         raise ValueError(f"{shard} at {offset} is not {digest}")
                     last = (shard, offset)
                 rows.append((values[0], values[1], values[2], length, values[3], values[4]))
             got = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield got.assign(doc_id=pdf["doc_id"].astype("Int64").array, n_bytes=pdf["n_bytes"].array)
+            yield got.assign(doc_id=pdf["doc_id"].astype("Int64").array, **{c: pdf[c].array for c in ("n_bytes", "digest", "shard", "offset", "length", "width", "height")})
 
-    # Neighbouring members are read by one task; equal content is spread by the row's id.
-    near = index.repartitionByRange(partitions(spark), "shard", "offset", "doc_id").sortWithinPartitions("shard", "offset")
+    # Members of a stretch of a shard are read by one task; the rows of much copied content are spread by their ids.
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("copies") / 256))
+    near = index.repartition(partitions(spark), "shard", F.floor(F.col("offset") / STRETCH), salt).sortWithinPartitions("shard", "offset").drop("copies")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return near.mapInPandas(run, schema)
+    return metadata(near).mapInPandas(run, schema + ", digest string, shard string, offset long, length long, width int, height int")
