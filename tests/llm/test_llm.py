@@ -131,6 +131,58 @@ def test_license_places(spark):
     assert licenses.query(frame(spark, [])).count() == 0
 
 
+def test_license_labels_equal_brute_force(spark):
+    r = random.Random(12)
+    cases = []
+    for i in range(80):
+        words = [r.choice(WORDS) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 3)):
+            _, text, key = r.choice(licenses.TEMPLATES)
+            piece = r.choice([text.split(), text.split(), key.split(), text.split()[: r.randint(3, 30)]])
+            piece = [w if r.random() > 0.15 else r.choice(WORDS) for w in piece] if r.random() < 0.4 else piece
+            at = r.randint(0, len(words))
+            words[at:at] = piece
+        cases.append((i, " ".join(words).title() if i % 3 else " ".join(words)))
+    cases += EDGE + [(0, cases[0][1])]
+    got = licenses.query(frame(spark, cases)).collect()
+    want = [licenses.labels_by_hand([t for _, t in cases])[k] | set(licenses.places_by_hand(t)[2]) for k, (_, t) in enumerate(cases)]
+    assert sorted((str(i), ",".join(sorted(w))) for (i, _), w in zip(cases, want)) == sorted((str(x["doc_id"]), x["labels"]) for x in got)
+    assert any(len(w) > 1 for w in want) and any(not w for w in want)
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"s{i % 15}", f"same line\nown {i}\n") for i in range(40)] + [(None, "s1", "same line\nx"), (50, None, None), (3, "s3", "same line\nown 3\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"line_keys": F.lit("k"), "Lines_Removed": F.lit("mine"), "line_owner": F.lit(9), "h": F.lit(1)})
+    got = linededup.cleaned(docs)
+    assert got.columns == [*docs.columns, "lines_removed_"]
+    out = got.collect()
+    assert len(out) == len(rows) and all(x["Lines_Removed"] == "mine" and x["line_keys"] == "k" and x["line_owner"] == 9 for x in out)
+    assert {x["doc_id"]: x["lines_removed_"] for x in out} == {**{i: int(i > 0) for i in range(40)}, None: 0, 50: 0}
+    assert linededup.cleaned(docs.limit(0)).count() == 0
+
+
+def test_language_learning_is_bounded_and_whole(spark):
+    from pyspark.sql import functions as F
+
+    pieces = sorted({w[i:j] for w in WORDS for i in range(len(w)) for j in range(i + 1, len(w) + 1)} | {"▁"})
+    r = random.Random(3)
+    make = lambda k: "".join(r.choice("abcde" if k else "vwxyz") for _ in range(5))
+    rows = [(None, " ".join(make(k) for _ in range(8)), f"l{k}") for k in (0, 1) for _ in range(300)] + [(None, "vw xy " * 9, "l0")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = langid.learn(docs, pieces, docs_per_lang=50)
+    assert langs == ["l0", "l1"] and logp.shape == (len(pieces) + 1, 2)
+    out = langid.predict(docs, pieces, langs, logp)
+    assert out.count() == len(rows) and out.where("doc_id is not null").count() == 0
+    with pytest.raises(ValueError):
+        langid.learn(docs, pieces, max_langs=1)
+    assert langid.accepted(docs.withColumn("lang", F.lit(None).cast("string")).withColumn("h", F.lit(1)), pieces=pieces).count() == len(rows)
+    long = spark.createDataFrame([(1, "ab" * 200, "l1"), (2, "x" * 3, "l0")], "doc_id long, text string, lang string")
+    langs, logp = langid.learn(long, ["a", "ab", "b", "▁a"])
+    assert logp[1:3, 1].max() > logp[1:3, 0].max()
+
+
 def test_licenses_keep_the_labels_of_each_notice(spark):
     notices = [(label, text) for label, text, _ in licenses.TEMPLATES]
     alone = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.query(frame(spark, list(enumerate(t for _, t in notices)))).collect()}
