@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Venues of the first tier, and the words that mark a survey.
+#: Venues of the first tier, and the phrases that mark a survey.
 TIER_ONE = (
-    "neurips", "nips", "icml", "iclr", "cvpr", "iccv", "eccv", "acl", "emnlp", "naacl", "aaai", "ijcai", "kdd", "sigir",
-    "www", "nature", "science", "cell", "pnas", "jmlr", "tpami",
+    "neurips", "nips", "icml", "iclr", "cvpr", "iccv", "eccv", "acl", "emnlp", "naacl", "aaai", "ijcai", "icra", "iros",
+    "nature", "science", "cell", "pnas", "jmlr", "tmlr", "transactions on pattern analysis",
 )
-SURVEY_WORDS = ("survey", "review", "overview", "tutorial", "meta-analysis", "systematic review", "literature review")
+SURVEY_WORDS = ("survey", "review", "overview", "tutorial", "systematic review", "meta-analysis", "a comprehensive", "state of the art", "landscape", "taxonomy")
+#: Signs of a page's footer, and the headings of the sections that a long paper keeps.
+FOOTER_SIGNS = ("generated by latexml", "beta", "convert latex packages", "developer contributions", "why html?", "report github issue", "accessibility forum", "arxiv accessibility")
+KEY_HEADINGS = (
+    "abstract", "introduction", r"method(?:ology|s)?|approach|proposed\s+(?:method|approach|framework)", r"model|architecture|framework|system\s+(?:design|overview)",
+    r"experiment(?:s|al)?|results?|evaluation|empirical", "discussion", r"conclusion(?:s)?|summary", r"related\s+work|background|prior\s+work|literature\s+review",
+)
+#: Where a section starts: a heading of one to three marks.
+HEADING = r"(?m)(?=^#{1,3}\s+.+$)"
+HEAD_LINE = r"\A(#{1,3})\s+(.+)"
 
 
 def tokens(text: Column) -> Column:
@@ -101,22 +110,64 @@ def novelty(similarity: Column, path: Column, community_a: Column, community_b:
 
 def title_of(content: Column) -> Column:
     """The first ``# `` line among the first 20, without its mark; null if there is none."""
-    lines = F.filter(F.slice(F.split(content, "\n"), 1, 20), lambda x: x.startswith("# "))
-    return F.trim(F.substring(F.get(lines, F.lit(0)), 3, 10_000))
+    lines = F.filter(F.transform(F.slice(F.split(content, "\n"), 1, 20), stripped), lambda x: x.startswith("# "))
+    return stripped(F.substring(F.get(lines, F.lit(0)), 3, 1 << 30))
 
 
 def abstract_of(content: Column) -> Column:
-    """Up to 1000 characters after an abstract marker, to a blank line or else 500; without a marker the first 500."""
-    low = F.lower(content)
-    out = F.substring(content, 1, 500)
+    """Up to 1000 characters after the first abstract marker there is, to a blank line or else 500; without a marker the first 500."""
+    low, out = F.lower(content), stripped(F.substring(content, 1, 500))
+    # The last condition set wins: markers in order of rank, the first one outermost.
     for marker in ("abstract\n", "abstract:", "## abstract"):
-        rest = F.trim(F.substring(content, F.locate(marker, low) + len(marker), F.lit(1000)))
+        rest = stripped(F.substring(content, F.locate(marker, low) + len(marker), F.lit(1000)))
         stop = F.locate("\n\n", rest)
-        cut = F.when(stop > 1, F.substring(rest, F.lit(1), stop - 1)).otherwise(F.substring(rest, 1, 500))
-        out = F.when(F.locate(marker, low) > 0, F.trim(cut)).otherwise(out)
+        out = F.when(F.locate(marker, low) > 0, stripped(F.when(stop > 1, F.substring(rest, F.lit(1), stop - 1)).otherwise(F.substring(rest, 1, 500)))).otherwise(out)
     return out
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def split_sections(content: Column) -> Column:
+    """Array of ``(title, body)``: text before the first heading under an empty title, then each section without its heading."""
+    parts = F.filter(F.split(content, HEADING), lambda x: x != "")
+    headed = lambda x: x.rlike(HEAD_LINE)
+    out = F.transform(parts, lambda x: F.struct(
+        F.when(headed(x), F.trim(F.regexp_extract(x, HEAD_LINE, 2))).otherwise("").alias("title"),
+        stripped(F.when(headed(x), F.regexp_replace(x, HEAD_LINE, "")).otherwise(x)).alias("body"),
+    ))
+    return F.filter(out, lambda x: (x["title"] != "") | (x["body"] != ""))
+
+
+def few_blank_lines(text: Column) -> Column:
+    return F.regexp_replace(stripped(text), r"\n{3,}", "\n\n")
+
+
+def key_sections(content: Column, chars_per_page: int = 3000, pages: int = 5) -> Column:
+    """Of a long text with headings only the preamble and the key sections; others as they are."""
+    whole = F.split(content, HEADING)
+    key = r"(?i)\A#{1,3}\s+(?:\d+\.?\s*)?(?:" + "|".join(KEY_HEADINGS) + r")\b"
+    kept = F.filter(whole, lambda x: ~x.rlike(HEAD_LINE) | x.rlike(key))
+    text = few_blank_lines(F.array_join(F.transform(F.filter(kept, lambda x: x != ""), lambda x: F.concat(F.regexp_replace(x, r"\n\z", ""), F.lit("\n"))), "\n"))
+    any_heading = F.exists(whole, lambda x: x.rlike(HEAD_LINE))
+    return F.when((F.length(content) > chars_per_page * pages) & any_heading & (F.size(F.filter(kept, lambda x: x != "")) > 0), text).otherwise(content)
+
+
+def strip_boilerplate(content: Column, tail: int = 50) -> Column:
+    """From the first title or just above the first abstract heading, to the last footer sign among the last ``tail`` lines."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.lower(stripped(x)))
+    first = F.transform(lines, lambda x, i: F.when(x.startswith("# ") & (F.length(x) > 4), i).when(x.contains("abstract") & (x.startswith("#") | x.startswith("**")), F.greatest(F.lit(0), i - 2)))
+    start = F.coalesce(F.get(F.filter(first, lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
+    signs = "|".join(w.replace("?", r"\?") for w in FOOTER_SIGNS)
+    size = F.size(lines)
+    found = F.transform(lines, lambda x, i: F.when((i > F.greatest(size - tail, F.lit(0))) & x.rlike(signs), i))
+    end = F.coalesce(F.array_max(found), size)
+    kept = F.slice(F.split(content, "\n"), start + 1, F.greatest(end - start, F.lit(0)))
+    return few_blank_lines(F.array_join(kept, "\n"))
+
+
 def sentences(text: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda x: F.length(x) >= least)
 

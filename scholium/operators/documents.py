@@ -43,32 +43,32 @@ def propositions(docs: DataFrame, least: int = 20) -> DataFrame:
 def _packed(paragraphs: Column, target: int, most: int) -> Column:
     """Greedy packing of paragraphs: a full buffer is closed before a paragraph that would exceed ``most``, and at ``target``."""
     size = lambda x: F.floor(F.length(x) / 4).cast("int")
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("cur"))
-    flushed = lambda s: F.when(F.size(s["buf"]) > 0, F.concat(s["done"], F.array(F.array_join(s["buf"], "\n")))).otherwise(s["done"])
+    none = F.array().cast("array<string>")
+    closed = lambda done, buf: F.concat(done, F.array(F.array_join(buf, "\n\n")))
 
     def step(s: Column, p: Column) -> Column:
         over = (s["cur"] + size(p) > most) & (F.size(s["buf"]) > 0)
-        done = F.when(over, flushed(s)).otherwise(s["done"])
-        buf = F.concat(F.when(over, F.array().cast("array<string>")).otherwise(s["buf"]), F.array(p))
+        done = F.when(over, closed(s["done"], s["buf"])).otherwise(s["done"])
+        buf = F.concat(F.when(over, none).otherwise(s["buf"]), F.array(p))
         cur = F.when(over, size(p)).otherwise(s["cur"] + size(p))
         full = cur >= target
-        return F.struct(
-            F.when(full, F.concat(done, F.array(F.array_join(buf, "\n")))).otherwise(done).alias("done"),
-            F.when(full, F.array().cast("array<string>")).otherwise(buf).alias("buf"),
-            F.when(full, F.lit(0)).otherwise(cur).alias("cur"),
-        )
+        return F.struct(F.when(full, closed(done, buf)).otherwise(done).alias("done"), F.when(full, none).otherwise(buf).alias("buf"), F.when(full, F.lit(0)).otherwise(cur).alias("cur"))
 
-    return F.aggregate(paragraphs, state, step, flushed)
+    start = F.struct(none.alias("done"), none.alias("buf"), F.lit(0).alias("cur"))
+    return F.aggregate(paragraphs, start, step, lambda s: F.when(F.size(s["buf"]) > 0, closed(s["done"], s["buf"])).otherwise(s["done"]))
 
 
 def chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """Chunks of a document's paragraphs (lines): whole if it is small enough, else packed; tiny pieces go; a document left
-    without a chunk keeps its first 3200 characters."""
-    size = F.floor(F.length("text") / 4)
-    parts = F.when((size <= most) & (size >= least), F.array("text")).otherwise(F.filter(_packed(F.split("text", "\n"), target, most), lambda x: F.floor(F.length(x) / 4) >= least))
-    some = docs.where("text is not null").select("doc_id", F.when(F.size(parts) > 0, parts).otherwise(F.array(F.substring("text", 1, 3200))).alias("parts"))
-    out = some.select("doc_id", F.posexplode("parts").alias("chunk_index", "text"))
-    return out.select(F.concat_ws("_c", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "chunk_index", "text", X.token_estimate(F.col("text")).alias("token_estimate"))
+    """Chunks of a document's sections: a section whole if it is small enough, else its paragraphs packed; tiny pieces go; a
+    document left without a chunk keeps its first 3200 characters. Blank and null documents have none. All in-row: no shuffle."""
+    size = lambda x: F.floor(F.length(x) / 4)
+    paragraphs = lambda body: F.filter(F.transform(F.split(body, r"\n\n+"), X.stripped), lambda x: x != "")
+    pieces = lambda s: F.when(size(s["body"]) <= most, F.array(s["body"])).otherwise(_packed(paragraphs(s["body"]), target, most))
+    titled = F.flatten(F.transform(X.split_sections(F.col("text")), lambda s: F.transform(pieces(s), lambda x: F.struct(s["title"].alias("section"), x.alias("text")))))
+    found = docs.where(X.stripped(F.col("text")) != "").select("doc_id", "text", F.filter(titled, lambda x: size(x["text"]) >= least).alias("parts"))
+    first = F.struct(F.lit("").alias("section"), F.substring(X.stripped(F.col("text")), 1, 4 * most).alias("text"))
+    out = found.select("doc_id", F.posexplode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(first))).alias("chunk_index", "c"))
+    return out.select(F.concat_ws("_c", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "chunk_index", "c.section", "c.text", X.token_estimate(F.col("c.text")).alias("token_estimate"))
 
 
 def assigned(props: DataFrame, parts: DataFrame) -> DataFrame:
@@ -95,6 +95,14 @@ def from_inverted_index(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", from_inverted_index_column(F.col("index")).alias("text"))
 
 
+def context_queries(messages: DataFrame, last: int = 3) -> DataFrame:
+    """User turns with what to search for: the message itself, or, from the third message on, the user's words among the last ``last``."""
+    by = W.partitionBy("conv_id").orderBy("turn")
+    said = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(by.rowsBetween(-last + 1, 0))
+    asked = messages.withColumn("nth", F.row_number().over(by)).withColumn("query", F.when(F.col("nth") >= last, F.array_join(said, " ")).otherwise(F.col("text")))
+    return asked.where("role = 'user'").select("conv_id", "turn", "query")
+
+
 def chat_history(messages: DataFrame, turns: int = HISTORY) -> DataFrame:
     """For each turn the ``turns`` before it, cut to 200 characters, with their speaker."""
     said = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring("text", 1, 200))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..plans.lineage import written
+from ..plans.lineage import numbered, written
+from .blocks import nearest, similar_pairs  # noqa: F401  (part of this module's interface)
 from .components import connected_components
+from .retrieval import top_k
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -24,9 +21,9 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = connected_components(edges.select("src", "dst"))
     whole = nodes.join(found, nodes["id"] == found["node"], "left").select("id", "ord", F.coalesce("component", "id").alias("root"))
     firsts = whole.groupBy("root").agg(F.min("ord").alias("first"))
-    # One row for each component: numbering them is a global order of component roots only.
-    numbered = firsts.select("root", (F.dense_rank().over(W.orderBy("first")) - 1).alias("component"))
-    return whole.join(numbered, "root").select("id", "ord", "component")
+    # A row for each component, numbered by ranges: lone nodes make as many rows as nodes.
+    roots = numbered(firsts.select("first", "root"), ["first", "root"], "component", 0).select("root", F.col("component").cast("int").alias("component"))
+    return whole.join(roots, "root").select("id", "ord", "component")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -55,11 +52,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 20, influential_only: bool = False) -> DataFrame:
+def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 20, influential_only: bool = False, by_parents: bool = False) -> DataFrame:
     """Layered expansion over ``edges (src, dst, is_influential)``: rows ``(node, depth, influential, parents)``.
 
-    A hop keeps the ``per_hop`` new nodes with an influential edge first, then by id.
+    A hop keeps the ``per_hop`` new nodes with an influential edge first, or with most parents first, then by id.
     """
+    order = [F.desc(F.size("parents")), F.col("dst")] if by_parents else [(~F.col("influential")).cast("int"), F.col("dst")]
     known = seeds.select(F.col("seed").alias("node")).distinct()
     front, layers = known, []
     use = edges.where("is_influential") if influential_only else edges
@@ -67,7 +65,7 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 20,
         new = (
             use.join(front.select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
             .groupBy("dst").agg(F.max("is_influential").alias("influential"), F.array_sort(F.collect_set("src")).alias("parents"))
-            .orderBy((~F.col("influential")).cast("int"), "dst").limit(per_hop)
+            .orderBy(*order).limit(per_hop)
         )
         layer = written(new.select(F.col("dst").alias("node"), F.lit(d).alias("depth"), "influential", "parents"), "hop")
         layers.append(layer)
@@ -83,55 +81,44 @@ def bridges(entities: DataFrame, least: int = 2) -> DataFrame:
     return entities.groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("docs")).where(F.size("docs") >= least)
 
 
-def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows ``(block, ids, flat)``: some ``rows`` vectors each, side by side in one array."""
-    n = max(1, -(-vectors.count() // rows))
-    dealt = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-    packed = F.collect_list(F.struct("id", "embedding"))
-    return dealt.groupBy("block").agg(packed.alias("p")).select("block", F.col("p.id").alias("ids"), F.flatten("p.embedding").alias("flat"))
+def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """``vectors (id, embedding, docs)``: each one's k nearest (itself included), then those similar enough with disjoint documents that
+    ``known (a, b)``, in either order, does not hold yet."""
+    near = nearest(vectors, vectors, k - 1).select(F.col("qid").alias("a"), F.col("id").alias("b"), "sim").where(F.col("sim") >= least)
+    of = lambda end, name: vectors.select(F.col("id").alias(end), F.col("docs").alias(name))
+    kept = near.join(of("a", "da"), "a").join(of("b", "db"), "b").where(~F.arrays_overlap("da", "db"))
+    pairs = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    return pairs if known is None else pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
 
+def reached(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Rows ``(seed, node, path)``: how far undirected edges lead from each of ``seeds (seed)``, itself included at 0, to ``max_depth``."""
+    return reachable(written(undirected(edges), "both"), seeds.distinct(), max_depth).withColumnRenamed("depth", "path")
 
-def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFrame:
-    """Pairs ``(a, b, sim)``, a < b, of ``vectors (id, embedding)`` with an inner product of ``least`` or more, to 6 digits.
 
-    Exact: every block of vectors meets every other once, as a product of two matrices; only pairs found leave a task.
+def matched_communities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(id, component)`` snapshots to ``(component, outcome, old_component)``: same members, one parent, or fresh.
+
+    Members are counted, not gathered: two sets are the same if they have one parent between them and as many members each.
     """
-    blocks = written(_blocks(vectors, rows), "blocks")
-    left = blocks.select(F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("flat").alias("xa"))
-    right = blocks.select(F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("flat").alias("xb"))
-    # As many rows as pairs of blocks, spread over all tasks.
-    work = left.join(right, F.col("i") <= F.col("j")).repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism, "i", "j")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ia, xa, ib, xb, same in zip(pdf["ia"], pdf["xa"], pdf["ib"], pdf["xb"], pdf["i"] == pdf["j"]):
-                x, y = np.asarray(xa, float).reshape(len(ia), -1), np.asarray(xb, float).reshape(len(ib), -1)
-                sim = np.round(x @ y.T, 6)
-                u, v = np.nonzero(sim >= least)
-                a, b = np.asarray(ia)[u], np.asarray(ib)[v]
-                keep = (a < b) if same else (a != b)
-                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[u, v][keep]})
-
-    return work.mapInPandas(run, "a long, b long, sim double")
-
-
-def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8) -> DataFrame:
-    """``vectors (id, embedding, docs)``: each one's k nearest (itself included), then those similar enough with disjoint documents."""
-    left = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("docs").alias("da"))
-    right = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("docs").alias("db"))
-    pairs = left.join(right, F.col("a") != F.col("b")).withColumn("sim", F.round(X.dot(F.col("x"), F.col("y")), 6)).drop("x", "y")
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rn") <= k - 1)
-    kept = near.where((F.col("sim") >= least) & ~F.arrays_overlap("da", "db"))
-    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    met = new.join(old.withColumnRenamed("component", "old"), "id", "left").groupBy("component", "old").agg(F.count_distinct("id").alias("k"))
+    parents = met.groupBy("component").agg(F.count("old").alias("n_old"), F.min("old").alias("old_component"), F.sum("k").alias("now"), F.sum(F.when(F.col("old").isNotNull(), F.col("k"))).alias("shared"))
+    sizes = old.groupBy(F.col("component").alias("old_component")).agg(F.count_distinct("id").alias("before"))
+    one = F.col("n_old") == 1
+    outcome = F.when(one & (F.col("now") == F.col("shared")) & (F.col("before") == F.col("shared")), "same").when(one, "carried").otherwise("fresh")
+    return parents.join(sizes, "old_component", "left").select("component", outcome.alias("outcome"), F.when(one, F.col("old_component")).alias("old_component"))
 
 
-def matched_communities(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(id, component)`` snapshots to ``(component, outcome, old_component)``: same members, one parent, or fresh."""
-    members = lambda df, name: df.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias(name))
-    parents = new.join(old.withColumnRenamed("component", "old"), "id", "left").groupBy("component").agg(F.count_distinct("old").alias("n_old"), F.min("old").alias("old_component"))
-    joined = parents.join(members(new, "now"), "component").join(members(old, "before").withColumnRenamed("component", "old_component"), "old_component", "left")
-    outcome = F.when((F.col("n_old") == 1) & (F.col("now") == F.col("before")), "same").when(F.col("n_old") == 1, "carried").otherwise("fresh")
-    return joined.select("component", outcome.alias("outcome"), F.when(F.col("n_old") == 1, F.col("old_component")).alias("old_component"))
+def stale(communities: DataFrame) -> DataFrame:
+    """``(component, size, dirty, size_at_last_summary)``: those to be summarised anew: dirty ones, and those that have more than doubled."""
+    return communities.where(F.col("dirty") | ((F.col("size_at_last_summary") > 0) & (F.col("size") > 2 * F.col("size_at_last_summary"))))
+
+
+def community_relations(relations: DataFrame, members: DataFrame, most: int = 20) -> DataFrame:
+    """Rows ``(component, source_id, target_id, relation_type, rank)``: the first relations with both ends in one community."""
+    of = lambda end, name: members.select(F.col("id").alias(end), F.col("component").alias(name))
+    inside = relations.join(of("source_id", "component"), "source_id").join(of("target_id", "other"), "target_id").where("component = other")
+    return top_k(inside.select("component", "source_id", "target_id", "relation_type"), ["component"], [F.col("source_id"), F.col("target_id"), F.col("relation_type")], most)
 
 
 def key_concepts(members: DataFrame, k: int = 5) -> DataFrame:

@@ -9,7 +9,11 @@ from ..functions import text as X
 from .retrieval import bm25
 
 DIM = 256
-#: Words that never name an entity, and the shape of references to parts of a paper.
+#: Phrases that never name an entity, and the shape of references to parts of a paper.
+STOP_NAMES = (
+    "the model", "this approach", "the method", "our system", "the results", "this paper", "the authors", "previous work", "the proposed", "the algorithm", "the network", "this work",
+    "the framework", "the system", "the data", "the dataset", "the task", "the problem", "section", "table", "figure", "equation", "appendix",
+)
 NO_ENTITY = r"(?i)^(section|table|figure|equation)\s*\d+"
 
 
@@ -35,7 +39,7 @@ def relations_of(sentences: DataFrame, names: DataFrame) -> DataFrame:
     return rows.where(F.size("w") > 1).select("doc_id", F.explode(pairs).alias("p")).select("p.source", "p.target", "doc_id").where("source <> target")
 
 
-def valid_entity(name: Column, description: Column, stop: list[str]) -> Column:
+def valid_entity(name: Column, description: Column, stop: tuple[str, ...] | list[str] = STOP_NAMES) -> Column:
     """Names of three characters or more that are no stop word, no part of a paper, and have a description of their own."""
     named = (F.length(name) >= 3) & ~F.lower(name).isin(stop) & ~name.rlike(NO_ENTITY)
     return named & (F.coalesce(F.trim(description), F.lit("")) != "") & (F.lower(description) != F.lower(name))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import written
+from .blocks import nearest
 
 
 def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -37,16 +39,73 @@ def trigram_join(names: DataFrame, least: float) -> DataFrame:
 
 def resolve_by_embedding(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, k: int = 5) -> DataFrame:
     """``(id, name, type, embedding)`` rows to ``(new_id, old_id, sim, band)``: the first of the k nearest that qualifies."""
-    a = new.select(F.col("id").alias("new_id"), F.col("name").alias("na"), F.col("type").alias("ta"), F.col("embedding").alias("x"))
-    b = old.select(F.col("id").alias("old_id"), F.col("name").alias("nb"), F.col("type").alias("tb"), F.col("embedding").alias("y"))
-    pairs = a.join(b, F.col("new_id") != F.col("old_id")).withColumn("sim", F.round(X.dot(F.col("x"), F.col("y")), 6)).drop("x", "y").where(F.col("sim") >= 0.9 * threshold)
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("sim"), "old_id"))).where(F.col("rn") <= k)
-    typed = near.where((F.col("ta") == F.col("tb")) | (F.col("ta") == "concept"))
+    near = nearest(old.select("id", "embedding"), new.select("id", "embedding"), k, 0.9 * threshold).select(F.col("qid").alias("new_id"), F.col("id").alias("old_id"), "sim", F.col("rank").alias("rn"))
+    named = near.join(new.select(F.col("id").alias("new_id"), F.col("name").alias("na"), F.col("type").alias("ta")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb"), F.col("type").alias("tb")), "old_id")
+    typed = named.where((F.col("ta") == F.col("tb")) | (F.col("ta") == "concept"))
     high = (F.col("sim") >= threshold) & (X.gram_jaccard(F.lower("na"), F.lower("nb")) >= name_overlap)
     good = typed.withColumn("band", F.when(high, "high").when(F.col("sim") >= 0.95 * threshold, "gray")).where("band is not null")
     return good.withColumn("first", F.row_number().over(W.partitionBy("new_id").orderBy("rn"))).where("first = 1").select("new_id", "old_id", "sim", "band")
 
 
+def resolved(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, entropy: float = 1.5, shortest: int = 6, few: int = 5, ambiguous: float = 0.5) -> DataFrame:
+    """Rows ``(ord, name, key, tier, reason, entity_id)`` for ``new (ord, name, type, embedding)`` against ``old (id, name, type, embedding)``.
+
+    Exact names first; of other names equal ones go together, by their first row. Names of little entropy or length go to the third tier
+    (the nearest of three entities above ``ambiguous``, unless there are fewer than ``few``); the rest to the second: an entity near by vector
+    and name, or in the gray band by the names alone. What finds nothing founds an entity ``new:<key>``. Entities founded by this batch are
+    met by exact name only. Null names are left out.
+    """
+    keyed = new.where("name is not null").withColumn("key", F.lower(F.trim("name")))
+    aliases = old.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("id").alias("exact"))
+    keys = written(keyed.groupBy("key").agg(F.min_by(F.struct("ord", "name", "type", "embedding"), "ord").alias("r")).join(aliases, "key", "left").select("key", "exact", "r.*"), "keys")
+    open_ = keys.where("exact is null")
+    vague = (X.name_entropy(F.col("name")) < entropy) | (F.length("name") < shortest)
+    clear, unclear = open_.where(~vague), open_.where(vague)
+    near = resolve_by_embedding(clear.select(F.col("ord").alias("id"), "name", "type", "embedding"), old, threshold, name_overlap)
+    both = near.join(open_.select(F.col("ord").alias("new_id"), F.col("name").alias("na")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb")), "old_id")
+    alike = X.gram_jaccard(F.lower("na"), F.lower("nb")) >= 0.5
+    second = both.where((F.col("band") == "high") | alike).select(F.col("new_id").alias("ord"), F.col("old_id").alias("found"), F.when(F.col("band") == "high", "embedding").otherwise("gray").alias("reason"))
+    third = nearest(old.select("id", "embedding"), unclear.where("embedding is not null").select(F.col("ord").alias("id"), "embedding"), 3).where((F.col("rank") == 1) & (F.col("sim") > ambiguous))
+    third = third.select(F.col("qid").alias("ord"), F.col("id").alias("found"), F.lit("ambiguous").alias("reason"))
+    if old.limit(few).count() < few:
+        third = third.limit(0)
+    said = keys.withColumn("vague", vague).join(second.unionByName(third), "ord", "left")
+    tier = F.when(F.col("exact").isNotNull(), 1).when(F.col("vague"), 3).otherwise(2)
+    entity = F.coalesce(F.col("exact").cast("string"), F.col("found").cast("string"), F.concat(F.lit("new:"), "key"))
+    reason = F.when(F.col("exact").isNotNull(), "exact").otherwise(F.coalesce("reason", F.lit("new")))
+    return keyed.select("ord", "name", "key").join(said.select("key", tier.alias("tier"), reason.alias("reason"), entity.alias("entity_id")), "key").select("ord", "name", "key", "tier", "reason", "entity_id")
+
+
+def new_relations(relations: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows ``(source_id, target_id, relation_type)``: ``relations (source_name, target_name, relation_type)`` with both ends resolved by
+    lower-case name (``names (key, id)``), no self loop, and not ``known (source_id, target_id, relation_type)`` yet."""
+    of = lambda end: names.select(F.col("key").alias(f"{end}_key"), F.col("id").alias(f"{end}_id"))
+    keyed = relations.withColumn("source_key", F.lower(F.trim("source_name"))).withColumn("target_key", F.lower(F.trim("target_name")))
+    ends = keyed.join(of("source"), "source_key").join(of("target"), "target_key").where("source_id <> target_id")
+    return ends.select("source_id", "target_id", "relation_type").distinct().join(known.distinct(), ["source_id", "target_id", "relation_type"], "left_anti")
+
+
+def repeated_vectors(new: DataFrame, old: DataFrame, least: float = 0.95) -> DataFrame:
+    """The rows of ``new (id, embedding)`` that have a vector of ``old`` within ``least``."""
+    return new.join(nearest(old.select("id", "embedding"), new.select("id", "embedding"), 1, least).select(F.col("qid").alias("id")), "id", "left_semi")
+
+
+def named_in(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", least: float = 0.5, shortest: int = 3) -> DataFrame:
+    """Rows ``(id, name)``: lower-case ``names (name, confidence)`` that stand anywhere in the texts, words or parts of them.
+
+    Each name meets the texts by its rarest trigram only; what meets is looked up in full.
+    """
+    known = names.where((F.length("name") >= shortest) & (F.col("confidence") >= least)).select(F.lower("name").alias("name")).distinct()
+    name_grams = known.select("name", F.explode(X.grams(F.col("name"))).alias("gram"))
+    low = texts.select(id_col, F.lower(text_col).alias("low"))
+    text_grams = written(low.select(id_col, F.explode(X.grams(F.col("low"))).alias("gram")).join(name_grams.select("gram").distinct(), "gram", "left_semi"), "grams")
+    uses = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    # A gram that no text has rules its name out.
+    rarest = name_grams.join(uses, "gram", "left").fillna(0, ["uses"]).groupBy("name").agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
+    met = text_grams.join(rarest, "gram").join(low, id_col)
+    return met.where(F.col("low").contains(F.col("name"))).select(id_col, "name").distinct()
+
+
 def entities(docs: DataFrame, fewest: int, most: int, least_chars: int = 8) -> DataFrame:
     """Long tokens within a band of document frequencies, with mentions and confidence."""
     words = docs.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("name")).where(F.length("name") >= least_chars)
@@ -54,12 +113,6 @@ def entities(docs: DataFrame, fewest: int, most: int, least_chars: int = 8) -> D
     return found.where(F.col("n_docs").between(fewest, most)).withColumn("confidence", F.round(X.confidence(F.col("mentions"), F.col("n_docs"), F.lit("technique")), 3))
 
 
-def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Rows ``(id, name)``: names of one token that occur in the texts, by an equi-join on tokens."""
-    words = texts.select(id_col, F.explode(F.array_distinct(X.tokens(F.col(text_col)))).alias("name"))
-    return words.join(names.select("name").distinct(), "name")
-
-
 def merged(rows: DataFrame) -> DataFrame:
     """``(entity_id, ord, description, type, mentions, docs)`` to one row an entity: sums, unions, longest text, first type."""
     return rows.groupBy("entity_id").agg(
@@ -69,6 +122,9 @@ def merged(rows: DataFrame) -> DataFrame:
 
 
 def upserted(rows: DataFrame, first_weight: float = 1.0) -> DataFrame:
-    """Relations unique on (source, target, type): half a point for each repeat; self loops go."""
-    grouped = rows.where("source_id <> target_id").groupBy("source_id", "target_id", "relation_type").agg(F.count(F.lit(1)).alias("seen"))
-    return grouped.select("source_id", "target_id", "relation_type", (F.lit(first_weight) + 0.5 * (F.col("seen") - 1)).alias("weight"), "seen")
+    """Relations unique on (source, target, type): half a point for each repeat; self loops go. With ``ord``, ``description`` and ``doc_id``
+    the first row's are kept."""
+    grouped = rows.where("source_id <> target_id").groupBy("source_id", "target_id", "relation_type")
+    first = [F.min_by(c, "ord").alias(c) for c in ("description", "doc_id") if {c, "ord"} <= set(rows.columns)]
+    counted = grouped.agg(F.count(F.lit(1)).alias("seen"), *first)
+    return counted.withColumn("weight", F.lit(first_weight) + 0.5 * (F.col("seen") - 1)).select("source_id", "target_id", "relation_type", "weight", "seen", *(c for c in ("description", "doc_id") if c in counted.columns))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import written
 from .components import connected_components
-from .graph import reachable
+from .graph import hops, reachable
+from .retrieval import recommend, top_k
 
 #: Weights of the two rankings.
 DEEP = {"relevance": 0.55, "in_set": 0.12, "influence": 0.10, "author": 0.05, "velocity": 0.08, "venue": 0.05, "survey": 0.05}
@@ -46,33 +47,51 @@ def _text(name: str) -> F.Column:
 
 
 def deduplicated(records: DataFrame) -> DataFrame:
-    """One row for each transitive cluster: longest title, first non-empty identifiers, most citations, sorted sources."""
-    first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("ord")))
-    return (
-        records.join(same_records(records), "ord").groupBy("cluster")
-        .agg(_text("title").alias("title"), first("doi").alias("doi"), first("arxiv_id").alias("arxiv_id"), F.max("citation_count").alias("citation_count"),
-             F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count(F.lit(1)).alias("n"))
-    )
-
-
-def greedy_clusters(records: DataFrame) -> DataFrame:
+    """One row for each transitive cluster: longest title, abstract and url, first of other values that is there, most citations,
+    sorted sources and search angles. Columns that the records lack are left out."""
+    has = set(records.columns)
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(c)), F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("ord")))
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",")
+    found = [_text(c).alias(c) for c in ("title", "abstract", "url") if c in has] + [first(c).alias(c) for c in ("doi", "arxiv_id", "year", "venue") if c in has]
+    if "authors" in has:
+        found.append(F.min_by(F.when(F.size("authors") > 0, F.col("authors")), F.when(F.size("authors") > 0, F.col("ord"))).alias("authors"))
+    if "search_angles" in has:
+        found.append(listed("search_angles").alias("search_angles"))
+    sources = F.array_join(F.array_sort(F.collect_set("source")), ",")
+    return records.join(same_records(records), "ord").groupBy("cluster").agg(*found, F.max("citation_count").alias("citation_count"), sources.alias("sources"), F.count(F.lit(1)).alias("n"))
+
+
+def greedy_clusters(records: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows ``(ord, cluster)`` of the sequential rule: a record joins the first cluster that holds its DOI, else arXiv id, else
-    title; keys gained by joining are not registered. Replayed inside each transitive cluster, which matches never cross."""
-    keyed = _keys(records).join(same_records(records), "ord").select("cluster", "ord", "doi", "arxiv_id", "key_title")
+    title; keys gained by joining are not registered.
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple[str, str], int] = {}
-        out = []
-        for r in pdf.sort_values("ord").itertuples():
-            mine = [(k, v) for k, v in (("d", r.doi), ("a", r.arxiv_id), ("t", r.key_title)) if v]
-            home = next((seen[x] for x in mine if x in seen), None)
-            if home is None:
-                home = r.ord
-                seen.update((x, home) for x in mine)
-            out.append((r.ord, home))
-        return pd.DataFrame(out, columns=["ord", "cluster"])
-
-    return keyed.groupBy("cluster").applyInPandas(replay, "ord long, cluster long")
+    A record founds a cluster if no earlier founder registered one of its keys. Each round settles the open records of least
+    ``ord`` for all of their keys (they found), and those that share a key with an earlier founder (they do not); both are joins
+    and partial minima, so that no cluster is ever gathered in one task. A key registered twice belongs to its first founder.
+    """
+    rows = written(_keys(records).select("ord", "keys"), "keyed")
+    # Equal key lists behave like their first record, except that only that one can found.
+    same = rows.groupBy("keys").agg(F.min("ord").alias("ord"))
+    open_, founders = written(same, "open"), None
+    for _ in range(max_rounds):
+        each = open_.select("ord", F.explode("keys").alias("key"))
+        least = each.groupBy("key").agg(F.min("ord").alias("first"))
+        late = each.join(least, "key").where("ord > first").select("ord").distinct()
+        new = written(open_.join(late, "ord", "left_anti"), "founders")
+        founders = new if founders is None else founders.unionByName(new)
+        taken = new.select(F.explode("keys").alias("key")).distinct()
+        # A record under a key that a founder holds: an earlier founder's, since a founder is first under all its keys.
+        joined = each.join(taken, "key", "left_semi").select("ord").distinct()
+        open_ = written(open_.join(joined, "ord", "left_anti").join(new.select("ord"), "ord", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"greedy_clusters did not settle in {max_rounds} rounds")
+    held = founders.select(F.col("ord").alias("home"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("home").alias("home"))
+    place = rows.select("ord", F.posexplode("keys").alias("at", "key")).join(held, "key")
+    # DOI before arXiv id before title: the first of a record's keys that is held by a founder no later than itself.
+    found = place.where("home <= ord").groupBy("ord").agg(F.min_by("home", "at").alias("cluster"))
+    return records.select("ord").join(found, "ord", "left").select("ord", F.coalesce("cluster", "ord").alias("cluster"))
 
 
 def relevant(papers: DataFrame, scores: DataFrame, least: int = 5) -> DataFrame:
@@ -81,21 +100,42 @@ def relevant(papers: DataFrame, scores: DataFrame, least: int = 5) -> DataFrame:
     return joined.withColumn("relevance", X.clamp_score(F.col("model_score"))).drop("model_score").where(F.col("relevance") >= least)
 
 
-def in_set_citations(papers: DataFrame, cites: DataFrame, top: int = 20, refs: int = 50) -> DataFrame:
+def single_edges(cites: DataFrame) -> DataFrame:
+    """One row for each citing and cited paper: influential, or methodological, if any of its citations is."""
+    return cites.groupBy("citing", "cited").agg(F.max("is_influential").alias("is_influential"), F.max("is_methodology").alias("is_methodology"))
+
+
+def edges_by_paper(edges: DataFrame, references: int = 1000, citations: int = 1000) -> DataFrame:
+    """Rows ``(id, way, other, is_influential, is_methodology)``: each paper's first references and citations, by the other's id."""
+    back = top_k(edges.select(F.col("citing").alias("id"), F.lit("reference").alias("way"), F.col("cited").alias("other"), "is_influential", "is_methodology"), ["id"], [F.col("other")], references)
+    ahead = top_k(edges.select(F.col("cited").alias("id"), F.lit("citation").alias("way"), F.col("citing").alias("other"), "is_influential", "is_methodology"), ["id"], [F.col("other")], citations)
+    return back.unionByName(ahead).drop("rank")
+
+
+def papers_by_id(papers: DataFrame, ids: DataFrame, angle: str = "graph_expansion") -> DataFrame:
+    """The records of ``ids (id)`` that there are, marked with how they were found."""
+    return papers.join(ids.select("id").distinct(), "id", "left_semi").withColumn("search_angles", F.array(F.lit(angle)))
+
+
+def most_cited(papers: DataFrame, top: int) -> DataFrame:
+    return papers.orderBy(F.desc("citation_count"), "id").limit(top).select("id")
+
+
+def in_set_citations(papers: DataFrame, edges: DataFrame, top: int = 20, refs: int = 50) -> DataFrame:
     """Rows ``(id, in_set)``: how often the ``top`` most cited papers (``refs`` references each) cite a paper of the set."""
-    best = papers.orderBy(F.desc("citation_count"), "id").limit(top).select(F.col("id").alias("citing"))
-    some = cites.join(best, "citing").select("citing", "cited").distinct()
-    some = some.withColumn("rn", F.row_number().over(W.partitionBy("citing").orderBy("cited"))).where(F.col("rn") <= refs)
-    counted = some.groupBy(F.col("cited").alias("id")).agg(F.count(F.lit(1)).alias("in_set"))
-    return papers.select("id").join(counted, "id", "left").fillna(0, ["in_set"])
+    some = edges.join(most_cited(papers, top).withColumnRenamed("id", "citing"), "citing", "left_semi")
+    some = top_k(some.select("citing", "cited"), ["citing"], [F.col("cited")], refs)
+    return some.groupBy(F.col("cited").alias("id")).agg(F.count(F.lit(1)).alias("in_set")).join(papers.select("id"), "id", "left_semi")
 
 
-def influence(papers: DataFrame, cites: DataFrame) -> DataFrame:
-    """Rows ``(id, influence)``: influential edges in both directions, methodological ones twice."""
-    weight = F.when(F.col("is_methodology"), 2).otherwise(1).alias("w")
-    strong = cites.where("is_influential")
-    both = strong.select(F.col("cited").alias("id"), weight).unionByName(strong.select(F.col("citing").alias("id"), weight))
-    return papers.select("id").join(both.groupBy("id").agg(F.sum("w").alias("influence")), "id", "left").fillna(0, ["influence"])
+def influence(papers: DataFrame, edges: DataFrame, top: int = 20, each: int = 100) -> DataFrame:
+    """Rows ``(id, influence)``: influential edges between the set and its ``top`` most cited papers, of which the first ``each``
+    references and citations are looked at; methodological ones count twice. The paper at the other end is credited."""
+    best = most_cited(papers, top)
+    near = edges.join(best.withColumnRenamed("id", "citing"), "citing", "left_semi").unionByName(edges.join(best.withColumnRenamed("id", "cited"), "cited", "left_semi").select(*edges.columns)).distinct()
+    seen = edges_by_paper(near, each, each).join(best, "id", "left_semi").where("is_influential")
+    found = seen.groupBy(F.col("other").alias("id")).agg(F.sum(F.when(F.col("is_methodology"), 2).otherwise(1)).alias("influence"))
+    return found.join(papers.select("id"), "id", "left_semi")
 
 
 def author_reputation(authors: DataFrame) -> DataFrame:
@@ -107,24 +147,31 @@ def author_reputation(authors: DataFrame) -> DataFrame:
     return authors.select("id").distinct().join(own, "id", "left").select("id", F.least(F.lit(1.0), F.coalesce("k", F.lit(0)) / max(1, total)).alias("author"))
 
 
-def scored(papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: int) -> DataFrame:
-    """``papers`` with every ranking feature; counts are divided by their maximum over the set."""
-    whole = papers.join(in_set_citations(papers, cites), "id").join(influence(papers, cites), "id").join(author_reputation(authors), "id", "left").fillna(0.0, ["author"])
-    whole = whole.withColumn("raw_velocity", X.velocity(F.col("citation_count"), F.col("year"), year_now))
+def scored(papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: int, top: int = 20) -> DataFrame:
+    """``papers`` with every ranking feature; counts are divided by their maximum over the set. ``top``: most cited papers asked.
+
+    Papers, edges and features are written once each: what is ranked by them does not read the tables again.
+    """
+    papers, edges = written(papers, "papers"), written(single_edges(cites), "edges")
+    whole = (
+        papers.join(in_set_citations(papers, edges, top), "id", "left").join(influence(papers, edges, top), "id", "left").join(author_reputation(written(authors, "authors")), "id", "left")
+        .fillna(0, ["in_set", "influence"]).fillna(0.0, ["author"]).withColumn("raw_velocity", X.velocity(F.col("citation_count"), F.col("year"), year_now))
+        .withColumn("venue_score", X.venue_score(F.col("venue"))).withColumn("survey", X.is_survey(F.col("title"), F.col("abstract")).cast("int"))
+    )
+    whole = written(whole, "features")
     most = whole.agg(*(F.max(c).alias(c) for c in ("in_set", "influence", "raw_velocity"))).first()
     share = lambda c: F.col(c) / (most[c] or 1)
     return (
         whole.withColumn("velocity_share", share("raw_velocity")).withColumn("velocity_capped", F.least(F.col("raw_velocity") / 100, F.lit(1.0)))
         .withColumn("in_set", share("in_set")).withColumn("influence", share("influence"))
-        .withColumn("venue_score", X.venue_score(F.col("venue"))).withColumn("survey", X.is_survey(F.col("title"), F.col("abstract")).cast("int"))
     )
 
 
 def deep_score(relevance: F.Column) -> F.Column:
-    """Importance from the features of ``scored`` and a relevance of 0 to 10."""
+    """Importance from the features of ``scored`` and a relevance of 0 to 10, which outweighs them all."""
     w = DEEP
     return (
-        w["relevance"] * relevance / 10 + w["in_set"] * F.col("in_set") + w["influence"] * F.col("influence") + w["author"] * F.col("author")
+        w["relevance"] * relevance + w["in_set"] * F.col("in_set") + w["influence"] * F.col("influence") + w["author"] * F.col("author")
         + w["velocity"] * F.col("velocity_capped") + w["venue"] * F.col("venue_score") + w["survey"] * 0.3 * F.col("survey")
     )
 
@@ -143,6 +190,76 @@ def metadata_rank(features: DataFrame) -> DataFrame:
     return features.select("id", F.round(score, 4).alias("importance"))
 
 
+def select_seeds(papers: DataFrame, least: int = 6, most: int = 20) -> DataFrame:
+    """Rows ``(seed)``: the most relevant papers that reach ``least``."""
+    return papers.where(F.col("relevance") >= least).orderBy(F.desc("relevance"), "id").limit(most).select(F.col("id").alias("seed"))
+
+
+def multi_hop(papers: DataFrame, edges: DataFrame, seeds: DataFrame, known: DataFrame, relevance: DataFrame, n_hops: int = 2, cap: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Papers found over the seeds' citations, ``(id, hop, relevance)``, and a funnel ``(hop, stage, n)``.
+
+    The first hop follows influential edges only and keeps 2 * ``cap`` new neighbours, later ones all edges and ``cap``; neighbours without
+    a record go; those of relevance 5 or more (``relevance (id, model_score)``, 5 where missing) stay, and the 20 best of 6 or more lead on.
+    """
+    front, found, funnel = seeds, None, []
+    known = written(known.select("id").distinct(), "known")
+    for hop in range(1, n_hops + 1):
+        use = edges.where("is_influential") if hop == 1 else edges
+        ways = use.select(F.col("citing").alias("seed"), F.col("cited").alias("id")).unionByName(use.select(F.col("cited").alias("seed"), F.col("citing").alias("id")))
+        near = written(ways.join(front, "seed", "left_semi").select("id").distinct(), "near")
+        fresh = written(near.join(known, "id", "left_anti").orderBy("id").limit((cap if hop == 1 else cap // 2) * 2), "fresh")
+        got = written(relevant(papers_by_id(papers, fresh).select("id"), relevance).withColumn("hop", F.lit(hop)).select("id", "hop", "relevance"), "hop")
+        funnel += [(hop, stage, df) for stage, df in (("seeds", front), ("neighbours", near), ("new", fresh), ("approved", got))]
+        found = got if found is None else found.unionByName(got)
+        known, front = known.unionByName(fresh), select_seeds(got)
+    counts = None
+    for hop, stage, df in funnel:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(hop).alias("hop"), F.lit(stage).alias("stage"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return found, counts
+
+
+def backward_layers(edges: DataFrame, seeds: DataFrame, depth: int = 2, refs: int = 120, width: int = 60) -> DataFrame:
+    """Rows ``(citing, cited, is_influential, is_methodology, hop)``: references of the seeds and of the ``width`` most referred-to new
+    papers of each layer, ``refs`` of each paper; every edge met is kept."""
+    front, seen, layers = seeds.select(F.col("seed").alias("citing")).distinct(), None, []
+    known = front.select(F.col("citing").alias("cited"))
+    for hop in range(1, depth + 1):
+        met = top_k(edges.join(front, "citing", "left_semi"), ["citing"], [F.col("cited")], refs).drop("rank").withColumn("hop", F.lit(hop))
+        met = written(met, "layer")
+        layers.append(met)
+        new = met.join(known, "cited", "left_anti").groupBy("cited").agg(F.count(F.lit(1)).alias("n"))
+        known = written(known.unionByName(new.select("cited")).distinct(), "known")
+        front = written(new.orderBy(F.desc("n"), "cited").limit(width).select(F.col("cited").alias("citing")), "front")
+    for layer in layers:
+        seen = layer if seen is None else seen.unionByName(layer)
+    return seen
+
+
+def find_roots(papers: DataFrame, edges: DataFrame, ranked: DataFrame, judged: DataFrame | None = None, n_seeds: int = 15, least: int = 6, roots: int = 5) -> DataFrame:
+    """Where the references of the best papers, ``ranked (id, relevance)``, meet: candidates with a record, judged ``least`` or better.
+
+    ``judged (id, judge)`` are a model's scores of the candidates, 5 where one is missing, which fails; without a table all pass.
+    """
+    seeds = written(ranked.orderBy(F.desc("relevance"), "id").limit(n_seeds).select(F.col("id").alias("seed")), "seeds")
+    met = backward_layers(edges, seeds)
+    known = root_candidates(met, seeds).join(papers.select("id", "title", "year"), "id")
+    if judged is not None:
+        known = known.join(judged, "id", "left").where(F.coalesce("judge", F.lit(5)) >= least).drop("judge")
+    return known.orderBy(F.desc("score"), "id").limit(roots)
+
+
+def hybrid_expand(edges: DataFrame, vectors: DataFrame, seeds: DataFrame, per_hop: int = 15, liked: int = 5, near: int = 20, most: int = 50) -> DataFrame:
+    """Rows ``(id, way)``: papers one influential hop away, and those whose vectors are nearest to the first of them, without the seeds."""
+    ways = edges.select(F.col("citing").alias("src"), F.col("cited").alias("dst"), "is_influential").unionByName(edges.select(F.col("cited").alias("src"), F.col("citing").alias("dst"), "is_influential"))
+    graph = hops(ways, seeds, 1, per_hop, True).select(F.col("node").alias("id"))
+    chosen = vectors.join(graph.orderBy("id").limit(liked), "id", "left_semi")
+    semantic = recommend(vectors, chosen, vectors.limit(0), near).select("id")
+    both = graph.select("id", F.lit("graph").alias("way")).unionByName(semantic.select("id", F.lit("semantic").alias("way")))
+    new = both.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("way").alias("way"))
+    return new.orderBy("id").limit(most)
+
+
 def root_candidates(cites: DataFrame, seeds: DataFrame, depth: int = 2, keep: int = 15, influential_only: bool = False) -> DataFrame:
     """Rows ``(id, convergence, influential, methodology, score)``: where the seeds' references meet, best first.
 

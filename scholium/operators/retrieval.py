@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import written
+from .blocks import nearest
 
 K1, B, RRF_K, BOOST = 1.5, 0.75, 60, 1.3
 
@@ -17,14 +19,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row: documents and average length."""
-    return docs.select(F.size(X.tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def token_stats(posts: DataFrame, n_docs: int) -> DataFrame:
-    """Document frequency and inverse document frequency of each token."""
-    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    """Uses, document frequency and inverse document frequency of each token, in one aggregation."""
+    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
     return df.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
@@ -33,25 +30,31 @@ def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows ``(id, w)``: each document's tokens, written so that they are made once."""
+    return written(docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w")), "tokens")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int = 15) -> DataFrame:
     """Rows ``(query_id, id, score, rank)``: the k best documents of each query with a positive score.
 
-    Only postings of the queries' tokens are formed: the documents' tokens meet the distinct query tokens first.
+    Documents are tokenised once; of their tokens only the queries' are counted, so that other postings are never formed.
     """
-    asked = queries.select(F.col(query_id).alias("qid"), F.explode(X.tokens(F.col(query_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    n, avgdl = corpus_stats(docs, id_col, text_col).first()
-    posts = postings(docs, id_col, text_col).join(asked.select("token").distinct(), "token", "left_semi")
-    idf = token_stats(posts, n or 0)
+    asked = written(queries.select(F.col(query_id).alias("qid"), F.explode(X.tokens(F.col(query_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times")), "asked")
+    words = tokenised(docs, id_col, text_col)
+    n, avgdl = words.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    posts = written(each.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    idf = token_stats(posts, n or 0).select("token", "idf")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(avgdl or 0.0, 1.0)))
-    hits = asked.join(posts, "token").join(idf, "token").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    hits = asked.join(idf, "token").join(posts, "token").groupBy("qid", "id").agg(F.sum(part).alias("score"))
     return top_k(hits.where("score > 0"), ["qid"], [F.round("score", 9).desc(), F.col("id")], k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", per: list[str] | None = None) -> DataFrame:
-    """Exact inner-product top-k of every query against every vector; the query table is a stated, small set."""
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec).alias("q"))
-    pairs = vectors.join(q, F.col(id_col) != F.col("qid")).withColumn("sim", F.round(X.dot(F.col(vec), F.col("q")), 6))
-    return top_k(pairs.drop("q", vec), ["qid", *(per or [])], [F.desc("sim"), F.col(id_col)], k)
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Exact inner-product top-k of every query against every vector, by products of blocks."""
+    q, v = (df.select(F.col(id_col).alias("id"), F.col(vec).alias("embedding")) for df in (queries, vectors))
+    return nearest(v, q, k).withColumnRenamed("id", id_col)
 
 
 def rrf(lists: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -61,9 +61,7 @@ select token, count(*) as df, cast(sum(tf) as bigint) as uses, round(ln((n - cou
 def corpus_token_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     posts = S.postings(docs, "doc_id", "text")
-    stats = S.token_stats(posts, docs.count())
-    uses = posts.groupBy("token").agg(F.sum("tf").alias("uses"))
-    return stats.join(uses, "token").select("token", "df", "uses", F.round("idf", 6).alias("idf"))
+    return S.token_stats(posts, docs.count()).select("token", "df", "uses", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -83,9 +81,10 @@ r as (select *, row_number() over (partition by qid, kind order by sim desc, vec
 select qid, vec_id, kind, sim, cast(rank as int) as rank from r where rank <= case when kind = 'chunk' then 15 else 20 end"""
 )
 def dual_vector_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 2 == 0, "chunk").otherwise("proposition").alias("kind"))
-    q = v.where("vec_id % 100 = 0").drop("kind")
-    return S.vector_top_k(v, q, 20, per=["kind"]).where("kind = 'proposition' or rank <= 15").select("qid", "vec_id", "kind", "sim", "rank")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q, kind = v.where("vec_id % 100 = 0"), {"chunk": ("vec_id % 2 = 0", 15), "proposition": ("vec_id % 2 = 1", 20)}
+    parts = [S.vector_top_k(v.where(which), q, k).select("qid", "vec_id", F.lit(name).alias("kind"), "sim", "rank") for name, (which, k) in kind.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -147,9 +146,43 @@ def content_hash_documents(spark, sf_dir):
     return D.from_text(table(spark, sf_dir, "documents"))
 
 
-@query()
+#: The documents as Markdown, in both engines: blank lines between lines, some of which become headings.
+MARKDOWN = """array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when length(x) > 0 and length(x) % 5 = 0 then '## ' || x else x end), chr(10) || chr(10))"""
+
+
+def markdown(spark, sf_dir):
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when((F.length(x) > 0) & (F.length(x) % 5 == 0), F.concat(F.lit("## "), x)).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+
+
+SECTIONS = f"""md as (select doc_id, {MARKDOWN} as text from documents where text is not null),
+ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from md),
+sc as (select *, sum(case when regexp_matches(line, '^#{{1,3}}\\s+.+$') then 1 else 0 end) over (partition by doc_id order by i) as sec from ln),
+se as (select doc_id, sec, coalesce(max(case when regexp_matches(line, '^#{{1,3}}\\s+.+$') then trim(regexp_extract(line, '^#{{1,3}}\\s+(.+)$', 1)) end), '') as title,
+       regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (where not regexp_matches(line, '^#{{1,3}}\\s+.+$')), ''), '^\\s+', ''), '\\s+$', '') as body from sc group by doc_id, sec)"""
+
+
+@query(
+    f"""with recursive {SECTIONS},
+big as (select *, list_filter(list_transform(string_split_regex(body, '\\n\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ps from se where length(body) // 4 > 800),
+pk as (select doc_id, sec, title, ps, 1 as k, length(ps[1]) // 4 as cur, 0 as c from big union all
+       select doc_id, sec, title, ps, k + 1, case when cur >= 600 or cur + length(ps[k + 1]) // 4 > 800 then length(ps[k + 1]) // 4 else cur + length(ps[k + 1]) // 4 end,
+              case when cur >= 600 or cur + length(ps[k + 1]) // 4 > 800 then c + 1 else c end from pk where k < len(ps)),
+pieces as (select doc_id, sec, 0 as c, title, body as text from se where length(body) // 4 between 100 and 800 union all
+      select doc_id, sec, c, title, string_agg(ps[k], chr(10) || chr(10) order by k) as text from pk group by doc_id, sec, c, title having length(string_agg(ps[k], chr(10) || chr(10) order by k)) // 4 >= 100),
+ck as (select doc_id, row_number() over (partition by doc_id order by sec, c) - 1 as i, title, text from pieces),
+al as (select * from ck union all select doc_id, 0, '', substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 3200) from md where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' and doc_id not in (select doc_id from ck))
+select doc_id || '_c' || i as chunk_id, doc_id, cast(i as int) as chunk_index, title as section, md5(text) as text_md5, cast(length(text) // 4 as bigint) as token_estimate from al"""
+)
 def chunk_documents(spark, sf_dir):
-    return D.chunks(table(spark, sf_dir, "documents"))
+    out = D.chunks(markdown(spark, sf_dir))
+    return out.select("chunk_id", "doc_id", "chunk_index", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"), "token_estimate")
+
+
+@query(f"with {SECTIONS} select doc_id, cast(row_number() over (partition by doc_id order by sec) - 1 as int) as n, title, md5(body) as body_md5 from se where title <> '' or body <> ''")
+def section_spans(spark, sf_dir):
+    found = markdown(spark, sf_dir).select("doc_id", F.posexplode(X.split_sections(F.col("text"))).alias("n", "s"))
+    return found.select("doc_id", "n", "s.title", F.md5(F.col("s.body").cast("binary")).alias("body_md5"))
 
 
 @query()
@@ -168,12 +201,13 @@ def inverted_index_abstract(spark, sf_dir):
 
 
 @query(
-    """select doc_id, regexp_replace(lower(trim(substr(text, 1, 80), ' ')), '[^a-z0-9\\s]', ' ', 'g') as raw, substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 80), ' ')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', '_', 'g'), 1, 80) as slug,
-substr(lower(regexp_replace(substr(text, 1, 80), '[^\\p{L}\\p{N}_-]', '', 'g')), 1, 64) as safe_key, cast(greatest(1, length(text) // 4) as bigint) as tokens from documents"""
+    """select doc_id, md5(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9\\s]', ' ', 'g')) as raw, substr(regexp_replace(regexp_replace(lower(trim(text, ' ')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', '_', 'g'), 1, 80) as slug,
+substr(lower(regexp_replace(text, '[^\\p{L}\\p{N}_-]', '', 'g')), 1, 64) as safe_key, cast(greatest(1, length(text) // 4) as bigint) as tokens from documents"""
 )
 def text_scalars(spark, sf_dir):
-    head = F.substring("text", 1, 80)
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.trim(head)), r"[^a-z0-9\s]", " ").alias("raw"), X.slug(head).alias("slug"), X.safe_key(head).alias("safe_key"), X.token_estimate(F.col("text"), 1).alias("tokens"))
+    text = F.col("text")
+    raw = F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9\s]", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(raw.cast("binary")).alias("raw"), X.slug(text).alias("slug"), X.safe_key(text).alias("safe_key"), X.token_estimate(text, 1).alias("tokens"))
 
 
 @query(
@@ -264,21 +298,21 @@ def relation_upsert(spark, sf_dir):
 
 @query(
     """with n as (select p_partkey, p_name || ' ' || p_brand || ' ' || p_size as name from part)
-select name, count(*) as n from n where p_partkey % 3 = 0 and name not in (select name from n where p_partkey % 3 = 1 and name is not null) group by name"""
+select name, count(*) as n from n where p_partkey % 3 = 0 and name not in (select name from n where p_partkey % 3 <> 0 and name is not null) group by name"""
 )
 def new_entity_antijoin(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string")).alias("name"))
-    return L.new_names(parts.where("p_partkey % 3 = 0"), parts.where("p_partkey % 3 = 1")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return L.new_names(parts.where("p_partkey % 3 = 0"), parts.where("p_partkey % 3 <> 0")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    """with e as (select token from v_token where length(token) >= 8 group by token having count(distinct doc_id) between 5 and 50)
-select item_id, count(distinct v.token) as mentions from (select item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')) as token from benchmark) v join e using (token) group by item_id""",
+    """with t as (select doc_id, token, count(*) as tf from v_token where length(token) >= 8 group by all), e as (select token as name, sum(tf) as m, count(*) as docs from t group by token having count(*) between 5 and 50),
+k as (select name from e where round(log2(1 + m) * case when docs = 1 then 0.5 when docs = 2 then 0.8 else 1 end, 3) >= 0.5)
+select item_id, k.name from benchmark join k on contains(lower(text), k.name)""",
     ("v_token",),
 )
 def entity_mentions(spark, sf_dir):
-    names = L.entities(table(spark, sf_dir, "documents"), 5, 50).select("name")
-    return L.mentions(table(spark, sf_dir, "benchmark"), names, "item_id").groupBy("item_id").agg(F.count_distinct("name").alias("mentions"))
+    return L.named_in(table(spark, sf_dir, "benchmark"), L.entities(table(spark, sf_dir, "documents"), 5, 50), "item_id")
 
 
 # Graph.
@@ -297,14 +331,14 @@ def connected_components(spark, sf_dir):
 
 
 @query(
-    """with recursive b as (select src, dst from v_link union select dst, src from v_link), w as (select vec_id as a, vec_id as n, 0 as d from embeddings where vec_id % 50 = 0 union select w.a, b.dst, w.d + 1 from w join b on b.src = w.n where w.d < 6),
-s as (select a, n as b, min(d) as path from w group by all) select x.vec_id as a, y.vec_id as b, coalesce(s.path, -1) as path from embeddings x join embeddings y on x.vec_id % 50 = 0 and y.vec_id % 25 = 0 left join s on s.a = x.vec_id and s.b = y.vec_id""",
+    """with recursive b as (select src, dst from v_link union select dst, src from v_link), w as (select vec_id as a, vec_id as n, 0 as d from embeddings where vec_id % 100 = 0 union select w.a, b.dst, w.d + 1 from w join b on b.src = w.n where w.d < 10)
+select a as source, n as node, min(d) as path from w group by all""",
     ("v_link",),
 )
 def shortest_paths(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").select("vec_id")
-    pairs = ids.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a")).join(ids.where("vec_id % 25 = 0").select(F.col("vec_id").alias("b")), F.col("a").isNotNull())
-    return G.shortest_paths(view(spark, sf_dir, "v_link"), pairs, 6)
+    """From every hundredth vector to whatever it reaches in ten steps."""
+    seeds = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"))
+    return G.reached(view(spark, sf_dir, "v_link"), seeds, 10).select(F.col("seed").alias("source"), "node", "path")
 
 
 @query("select p_name as id, count(distinct p_brand) as n_docs, array_to_string(list_sort(list(distinct p_brand)), '|') as docs from part group by p_name having count(distinct p_brand) >= 2")
@@ -315,11 +349,13 @@ def bridges(spark, sf_dir):
 
 @query(
     """with p as (select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id),
-r as (select *, row_number() over (partition by a order by sim desc, b) as rn from p) select distinct least(a, b) as a, greatest(a, b) as b, sim from r where rn <= 5 and sim >= 0.3 and a % 50 <> b % 50"""
+r as (select *, row_number() over (partition by a order by sim desc, b) as rn from p) select distinct least(a, b) as a, greatest(a, b) as b, sim from r where rn <= 5 and sim >= 0.3 and a % 50 <> b % 50 and (least(a, b) + greatest(a, b)) % 9 <> 0"""
 )
 def latent_connections(spark, sf_dir):
+    """Links known already: those whose ids add up to a multiple of nine."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.array(F.col("vec_id") % 50).alias("docs"))
-    return G.latent_links(v, 6, 0.3)
+    every = G.latent_links(v, 6, 0.3)
+    return G.latent_links(v, 6, 0.3, every.where("(a + b) % 9 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 @query(
@@ -332,7 +368,7 @@ def key_concepts(spark, sf_dir):
 
 
 @query(
-    """with o as (select vec_id as id, label as component from embeddings where vec_id % 10 <> 0), n as (select vec_id as id, case when vec_id % 7 = 0 then label + 10 else label end as component from embeddings where label < 8),
+    """with o as (select vec_id as id, label as component from embeddings where vec_id % 10 <> 0), n as (select vec_id as id, case when vec_id % 7 = 0 and label < 5 then label + 10 else label end as component from embeddings),
 p as (select n.component, count(distinct o.component) as k, min(o.component) as old from n left join o using (id) group by 1),
 mo as (select component, list_sort(list(id)) as ids from o group by 1), mn as (select component, list_sort(list(id)) as ids from n group by 1)
 select p.component, case when k = 1 and mo.ids = mn.ids then 'same' when k = 1 then 'carried' else 'fresh' end as outcome, case when k = 1 then p.old end as old_component from p join mn using (component) left join mo on mo.component = p.old"""
@@ -340,7 +376,7 @@ select p.component, case when k = 1 and mo.ids = mn.ids then 'same' when k = 1 t
 def community_matching(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     old = v.where("id % 10 <> 0").select("id", F.col("label").alias("component"))
-    new = v.where("label < 8").select("id", F.when(F.col("id") % 7 == 0, F.col("label") + 10).otherwise(F.col("label")).alias("component"))
+    new = v.select("id", F.when((F.col("id") % 7 == 0) & (F.col("label") < 5), F.col("label") + 10).otherwise(F.col("label")).alias("component"))
     return G.matched_communities(old, new)
 
 
@@ -393,40 +429,50 @@ def author_reputation(spark, sf_dir):
     return P.author_reputation(view(spark, sf_dir, "v_author")).select("id", F.round("author", 6).alias("author"))
 
 
-INFLUENCE = """with i as (select id, sum(w) as influence from (select cited as id, case when is_methodology then 2 else 1 end as w from v_cite where is_influential union all select citing, case when is_methodology then 2 else 1 end from v_cite where is_influential) group by id),
-t as (select id as citing from v_paper order by citation_count desc, id limit 20), d as (select distinct citing, cited from v_cite join t using (citing)),
-e as (select *, row_number() over (partition by citing order by cited) as rn from d), s as (select cited as id, count(*) as in_set from e where rn <= 50 group by 1)"""
+def influence_sql(top: int) -> str:
+    return f"""with ed as (select citing, cited, max(is_influential) as is_influential, max(is_methodology) as is_methodology from v_cite group by all),
+t as (select id from v_paper_rich order by citation_count desc, id limit {top}), e as (select citing, cited, row_number() over (partition by citing order by cited) as rn from ed where citing in (select id from t)),
+s as (select cited as id, count(*) as in_set from e where rn <= 50 and cited in (select id from v_paper_rich) group by 1),
+w as (select citing as id, cited as other, is_influential, is_methodology, row_number() over (partition by citing order by cited) as rn from ed union all select cited, citing, is_influential, is_methodology, row_number() over (partition by cited order by citing) from ed),
+i as (select other as id, sum(case when is_methodology then 2 else 1 end) as influence from w where rn <= 100 and id in (select id from t) and is_influential and other in (select id from v_paper_rich) group by 1)"""
 
 
-@query(INFLUENCE + " select p.id, cast(coalesce(influence, 0) as bigint) as influence, coalesce(in_set, 0) as in_set from v_paper p left join i using (id) left join s using (id)", ("v_paper", "v_cite"))
+@query(influence_sql(20) + " select p.id, cast(coalesce(influence, 0) as bigint) as influence, coalesce(in_set, 0) as in_set from v_paper_rich p left join i using (id) left join s using (id)", ("v_paper_rich", "v_cite"))
 def influential_citations(spark, sf_dir):
-    papers, cites = view(spark, sf_dir, "v_paper"), view(spark, sf_dir, "v_cite")
-    return P.influence(papers, cites).join(P.in_set_citations(papers, cites), "id").select("id", "influence", "in_set")
+    papers, edges = view(spark, sf_dir, "v_paper_rich"), P.single_edges(view(spark, sf_dir, "v_cite"))
+    return papers.select("id").join(P.influence(papers, edges), "id", "left").join(P.in_set_citations(papers, edges), "id", "left").fillna(0).select("id", "influence", "in_set")
 
 
-def _features(spark, sf_dir):
-    return P.scored(view(spark, sf_dir, "v_paper"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW)
+def _features(spark, sf_dir, top):
+    return P.scored(view(spark, sf_dir, "v_paper_rich"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, top)
 
 
-RANKED = (
-    INFLUENCE
-    + f""", r as (select author_id from v_author group by 1 having count(*) >= 2), n as (select greatest(1, count(*)) as n from r), k as (select id, count(*) as k from v_author join r using (author_id) group by id),
-f as (select p.*, coalesce(influence, 0) as inf, coalesce(in_set, 0) as ins, least(1.0, coalesce(k, 0) / n) as author, citation_count / greatest(1, {YEAR_NOW} - year + 1) as vel from v_paper p left join i using (id) left join s using (id) left join k using (id), n),
+def ranked_sql(top: int) -> str:
+    tier = "neurips|nips|icml|iclr|cvpr|iccv|eccv|acl|emnlp|naacl|aaai|ijcai|icra|iros|nature|science|cell|pnas|jmlr|tmlr|transactions on pattern analysis"
+    survey = "survey|review|overview|tutorial|systematic review|meta-analysis|a comprehensive|state of the art|landscape|taxonomy"
+    return influence_sql(top) + f""", r as (select author_id from v_author group by 1 having count(*) >= 2), n as (select greatest(1, count(*)) as n from r), k as (select id, count(*) as k from v_author join r using (author_id) group by id),
+f as (select p.*, coalesce(influence, 0) as inf, coalesce(in_set, 0) as ins, least(1.0, coalesce(k, 0) / n) as author, citation_count / greatest(1, {YEAR_NOW} - year + 1) as vel,
+      case when venue = '' then 0.0::double when regexp_matches(lower(venue), '{tier}') then 1.0::double else 0.3::double end as ven, case when regexp_matches(lower(title || ' ' || abstract), '\\b({survey})\\b') then 1.0::double else 0.0::double end as sur
+      from v_paper_rich p left join i using (id) left join s using (id) left join k using (id), n),
 g as (select *, inf / greatest(max(inf) over (), 1) as infn, ins / greatest(max(ins) over (), 1) as insn, vel / (max(vel) over ()) as veln from f)"""
-)
 
 
-@query(RANKED + " select id, round(0.55::double * llm_relevance / 10 + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * 0.3::double, 4) as importance from g", ("v_paper", "v_cite", "v_author"))
+@query(ranked_sql(15) + " select id, round(0.55::double * llm_relevance + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * ven + 0.05::double * 0.3::double * sur, 4) as importance from g", ("v_paper_rich", "v_cite", "v_author"))
 def deep_rank(spark, sf_dir):
-    return P.deep_rank(_features(spark, sf_dir))
+    return P.deep_rank(_features(spark, sf_dir, 15))
 
 
-@query(RANKED + " select id, round(0.25::double * veln + 0.20::double * insn + 0.20::double * infn + 0.10::double * author + 0.10::double * 0.3::double, 4) as importance from g", ("v_paper", "v_cite", "v_author"))
+@query(
+    ranked_sql(20)
+    + """ select id, round(0.25::double * veln + 0.20::double * insn + 0.20::double * infn + 0.10::double * author + 0.05::double * case when n_sources >= 3 then 1.0 when n_sources = 2 then 0.5 else 0.0 end
++ 0.10::double * ven + 0.10::double * sur, 4) as importance from g""",
+    ("v_paper_rich", "v_cite", "v_author"),
+)
 def metadata_rank(spark, sf_dir):
-    return P.metadata_rank(_features(spark, sf_dir).withColumn("n_sources", F.lit(1)))
+    return P.metadata_rank(_features(spark, sf_dir, 20))
 
 
-SEEDS = "p as (select id from v_paper order by citation_count desc, id limit 5)"
+SEEDS = "p as (select id from v_paper order by citation_count desc, id limit 15)"
 
 
 @query(
@@ -437,32 +483,32 @@ select * from h1 union all select * from h2""",
     ("v_paper", "v_cite"),
 )
 def citation_hops(spark, sf_dir):
-    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
     edges = view(spark, sf_dir, "v_cite").select(F.col("citing").alias("src"), F.col("cited").alias("dst"), "is_influential")
     return G.hops(edges, seeds, 2, 20).select("node", "depth", "influential", F.array_join("parents", ",").alias("parents"))
 
 
 @query(
     f"""with {SEEDS}, e as (select distinct citing, cited from v_cite where is_influential), c1 as (select p.id as seed, cited as node from p join e on citing = p.id),
-c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 5::double as convergence from c where node <> seed and node not in (select id from p) group by node),
+c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 15::double as convergence from c where node <> seed and node not in (select id from p) group by node),
 q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m from v_cite group by cited)
 select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
     ("v_paper", "v_cite"),
 )
 def root_convergence(spark, sf_dir):
-    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
     return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds, influential_only=True)
 
 
 @query(
     f"""with {SEEDS}, e as (select distinct citing, cited from v_cite), c1 as (select p.id as seed, cited as node from p join e on citing = p.id),
-c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 5::double as convergence from c where node <> seed and node not in (select id from p) group by node),
+c2 as (select seed, e.cited as node from c1 join e on e.citing = c1.node), c as (select * from c1 union select * from c2), m as (select node, count(distinct seed) / 15::double as convergence from c where node <> seed and node not in (select id from p) group by node),
 q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m from v_cite group by cited)
 select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
     ("v_paper", "v_cite"),
 )
 def root_convergence_all(spark, sf_dir):
-    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(5).select(F.col("id").alias("seed"))
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
     return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds)
 
 
@@ -488,11 +534,13 @@ def change_log_replay(spark, sf_dir):
     return R.replayed(log).select("id", F.col("payload").alias("value"), "mentions")
 
 
-@query("select user_id as paper_id, min(event_id) as seq from events where user_id % 4 <> 0 group by user_id")
+@query("""with h as (select user_id as paper_id, event_id as seq, 'T' || (event_id % 13) as title, props as abstract from events)
+select paper_id, arg_min(title, seq) as title, substr(arg_min(abstract, seq), 1, 500) as abstract, min(seq) as seq, 'shortlisted' as status from h where paper_id not in (select user_id from events where event_type = 'signup') group by paper_id""")
 def register_new(spark, sf_dir):
-    hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("seq"))
-    known = hits.where("paper_id % 4 = 0").select("paper_id")
-    return R.register_new(hits, known)
+    """Known are those that ever signed up."""
+    events = table(spark, sf_dir, "events")
+    hits = events.select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("seq"), F.concat(F.lit("T"), (F.col("event_id") % 13).cast("string")).alias("title"), F.col("props").alias("abstract"))
+    return R.register_new(hits, events.where("event_type = 'signup'").select(F.col("user_id").alias("paper_id")))
 
 
 @query("select status, paper_id, seq from (select arg_max(status, seq) as status, paper_id, max(seq) as seq from v_registry_event group by paper_id) where status = 'queued'", ("v_registry_event",))
@@ -535,11 +583,11 @@ def visible_links(spark, sf_dir):
     return links.join(nodes.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("vec_id", "dst"), "dst", "left_semi").select("src", "dst", "sim")
 
 
-@query("select user_id, event_type, count(*) as n, min(event_id) as first_event from events where event_type = 'purchase' group by all")
+@query("select user_id, event_type, count(*) as n, min(event_id) as first_event from events group by all")
 def stream_activity(spark, sf_dir):
     from ..streaming.jobs import counted_stream
 
-    return counted_stream(spark, f"{sf_dir}/events.parquet", "event_type = 'purchase'")
+    return counted_stream(spark, f"{sf_dir}/events.parquet")
 
 
 @query("select paper_id, arg_max(status, seq) as status, count(*) as events from v_registry_event group by paper_id", ("v_registry_event",))

@@ -14,7 +14,7 @@ from ..operators import papers as P
 from ..operators import retrieval as S
 from ..sources import dumps, stored
 from ..sources.fixtures import table, view
-from .catalogue import ORACLES, RANKED, YEAR_NOW, query
+from .catalogue import ORACLES, YEAR_NOW, query, ranked_sql
 from .lineage import new_path
 
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20)"
@@ -268,13 +268,13 @@ def fanout_retrieval(spark, sf_dir):
 @query(
     FANOUT
     + ", be as (select name, id, max(round(score, 6)) as score from fo group by all), mx as (select name, max(score) as best from be group by name), rr as (select name, id, cast(round(10 * score / best, 0) as int) as relevance from be join mx using (name)), ra as ("
-    + RANKED + """ select * from g), im as (select name, id, relevance, round(0.55::double * relevance / 10 + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * 0.3::double, 4) as importance from rr join ra using (id) where relevance >= 5),
+    + ranked_sql(15) + """ select * from g), im as (select name, id, relevance, round(0.55::double * relevance + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * ven + 0.05::double * 0.3::double * sur, 4) as importance from rr join ra using (id) where relevance >= 5),
 ou as (select *, row_number() over (partition by name order by importance desc, id) as rank from im) select name, id, relevance, importance, cast(rank as int) as rank from ou where rank <= 20""",
-    ("v_paper", "v_cite", "v_author"),
+    ("v_paper", "v_paper_rich", "v_cite", "v_author"),
 )
 def search_papers(spark, sf_dir):
     papers, plans = _paper_sources(spark, sf_dir)
-    features = P.scored(view(spark, sf_dir, "v_paper"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW)
+    features = P.scored(view(spark, sf_dir, "v_paper_rich"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, 15)
     return C.searched(papers, plans, features).withColumnRenamed("qid", "name")
 
 

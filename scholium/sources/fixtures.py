@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.graph import similar_pairs
+from ..operators.blocks import similar_pairs
+from ..plans.lineage import numbered
 
 #: Views that both engines read alike.
 COMMON = {
@@ -23,11 +24,15 @@ from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumbe
        case when l_suppkey % 5 = 0 then upper(concat(p_name, ' no ', cast(p_partkey as string), '!')) else concat(p_name, ' no ', cast(p_partkey as string)) end as title,
        l_suppkey as citation_count
 from (select distinct l_partkey, l_suppkey from lineitem) x join part on p_partkey = l_partkey""",
+    "v_paper_rich": """select id, concat(title, case cast(substr(id, 4, 20) as bigint) % 7 when 0 then ': a survey' when 1 then ', the landscape' when 2 then ' reviewed' else '' end) as title, abstract,
+       case cast(substr(id, 4, 20) as bigint) % 6 when 0 then 'Proc. NeurIPS' when 1 then 'IEEE Transactions on Pattern Analysis' when 2 then 'KDD' when 3 then '' else venue end as venue,
+       year, citation_count, llm_relevance, cast(substr(id, 4, 20) as bigint) % 4 as n_sources from (V_PAPER) p""",
     "v_registry_event": """select event_id as seq, user_id as paper_id, case event_type when 'click' then 'shortlisted' when 'signup' then 'queued'
             when 'view' then 'ingesting' when 'purchase' then 'ingested' else 'failed' end as status, ts from events""",
     "v_vector": """select cast(vec_id as string) as id, embedding, case when vec_id % 2 = 0 then 'chunk' else 'proposition' end as kind,
        cast(vec_id % 50 as string) as doc_id, label as community_id from embeddings""",
 }
+COMMON["v_paper_rich"] = COMMON["v_paper_rich"].replace("V_PAPER", COMMON["v_paper"])
 LINK = 0.35
 DUCK = {
     **COMMON,
@@ -48,6 +53,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return similar_pairs(v, LINK).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim")
     if name == "v_token":
         return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    if name == "v_paper_raw":
+        # Numbered by ranges of the same order, not in one task.
+        sql = COMMON[name].replace("row_number() over (order by l_partkey, l_suppkey) as ord", "l_partkey, l_suppkey")
+        rows = spark.sql(sql.replace("from lineitem", "from {lineitem}").replace("join part", "join {part}"), lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+        return numbered(rows, ["l_partkey", "l_suppkey"], "ord").drop("l_partkey", "l_suppkey")
     sql = COMMON[name]
     frames = {t: table(spark, sf_dir, t) for t in ("part", "lineitem", "events", "embeddings") if t in sql}
     # Each name becomes a frame of this call, so that no temporary view outlives it or meets another's.

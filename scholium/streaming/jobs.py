@@ -30,7 +30,7 @@ def _finished(df: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def counted_stream(spark: SparkSession, path: str, condition: str) -> DataFrame:
+def counted_stream(spark: SparkSession, path: str, condition: str = "true") -> DataFrame:
     """Events that meet a condition, counted by user and type as they arrive."""
     events = _stream(spark, path).where(condition)
     return _finished(events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")), "complete", "counts")

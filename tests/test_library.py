@@ -10,6 +10,7 @@ from scholium.operators import linkage as L
 from scholium.operators import papers as P
 from scholium.operators import registry as R
 from scholium.operators import retrieval as S
+from scholium.operators.blocks import nearest
 from scholium.operators.components import connected_components
 
 
@@ -47,11 +48,25 @@ def test_bm25_counts_repeated_query_tokens(spark):
 
 
 def test_chunks_edges(spark):
-    rows = [(1, "x" * 399), (2, "x" * 400), (3, "x" * 3200), (4, "x" * 3204), (5, "\n".join(["y" * 1200] * 4)), (6, "")]
+    rows = [(1, "x" * 399), (2, "x" * 400), (3, "x" * 3200), (4, "x" * 3204), (5, "\n\n".join(["y" * 1200] * 4)), (6, ""), (7, None), (8, "## A\n" + "z" * 500 + "\n# B\nshort\n### C\n" + "\n\n".join(["w" * 2000] * 3))]
     got = {}
     for r in D.chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r["doc_id"], []).append(len(r["text"]))
-    assert got == {1: [399], 2: [400], 3: [3200], 4: [3204], 5: [2401, 2401], 6: [0]}
+    assert got == {1: [399], 2: [400], 3: [3200], 4: [3204], 5: [2402, 2402], 8: [500, 2000, 2000, 2000]}
+
+
+def test_sections_and_clean_up(spark):
+    content = "Preamble\n# Title here\nfirst\n\n\n\nsecond\n## 1. Introduction\nbody\n#### deep\n## Appendix\nmore"
+    got = [(s["title"], s["body"]) for s in one(spark, X.split_sections(F.lit(content)))]
+    assert got == [("", "Preamble"), ("Title here", "first\n\n\n\nsecond"), ("1. Introduction", "body\n#### deep"), ("Appendix", "more")]
+    assert one(spark, X.key_sections(F.lit(content))) == content
+    long = f"Top\n# 2. Methods\n{'m ' * 5000}\n# Funding\n{'f ' * 5000}\n## Conclusions\nend"
+    kept = one(spark, X.key_sections(F.lit(long)))
+    assert kept.startswith("Top\n\n# 2. Methods") and "Funding" not in kept and kept.endswith("## Conclusions\nend")
+    page = "menu\nskip\n# The title\ntext\n\n\n\nmore\nWhy HTML?\nReport GitHub issue"
+    assert one(spark, X.strip_boilerplate(F.lit(page))) == "# The title\ntext\n\nmore\nWhy HTML?"
+    assert one(spark, X.abstract_of(F.lit("x\nAbstract: first.\n\nnext\n## Abstract\nreal one\n\nrest"))) == "real one"
+    assert one(spark, X.abstract_of(F.lit("no marker"))) == "no marker"
 
 
 def test_diversity_drops_a_chunk_after_its_document(spark):
@@ -81,6 +96,49 @@ def test_greedy_refines_transitive(spark):
     assert [(r["n"], r["title"], r["sources"]) for r in P.deduplicated(records).collect()] == [(3, "three", "s,t")]
 
 
+def test_greedy_equals_the_sequential_rule(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(i, "s", r.choice(["", f"10.1/{r.randint(0, 40)}"]), r.choice(["", f"2401.{r.randint(0, 40):05d}"]), r.choice(["", f"title {r.randint(0, 60)}"]), 1) for i in range(300)]
+    seen, want = {}, {}
+    for i, _, doi, arxiv, title, _ in rows:
+        mine = [x for x in (("d", doi), ("a", arxiv), ("t", title)) if x[1]]
+        want[i] = next((seen[x] for x in mine if x in seen), None)
+        if want[i] is None:
+            want[i] = i
+            seen.update((x, i) for x in mine)
+    records = spark.createDataFrame(rows, "ord long, source string, doi string, arxiv_id string, title string, citation_count long")
+    assert {x["ord"]: x["cluster"] for x in P.greedy_clusters(records).collect()} == want
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    x = np.round(np.random.default_rng(1).normal(size=(70, 8)), 1)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(70)] + [(100, [float(v) for v in x[3]])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = {(r["qid"], r["rank"]): (r["id"], r["sim"]) for r in nearest(v, v.where("id < 9"), 4, rows=16).collect()}
+    for q in range(9):
+        want = sorted(((-round(float(np.dot(x[q], e)), 6), i) for i, e in rows if i != q))[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(i, -s) for s, i in want]
+
+
+def test_entities_resolve_by_tier(spark):
+    unit = lambda *v: [float(a) / sum(b * b for b in v) ** 0.5 for a in v]
+    old = [(1, "Neural network", "method", unit(1, 0, 0)), (2, "Graph store", "tool", unit(0, 1, 0)), (3, "Other", "tool", unit(0, 0, 1)), (4, "More things", "tool", unit(1, 1, 1)), (5, "aaaa", "tool", unit(1, -1, 0))]
+    new = [(1, " neural NETWORK ", "tool", None), (2, "Neural networks", "method", unit(1, 0.05, 0)), (3, "quite different", "method", unit(1, 0.1, 0)), (4, "aaab", "tool", unit(1, -1, 0.1)), (5, "bbb", "tool", unit(-1, 0, 0)), (6, "quite different ", "tool", None), (7, None, "tool", None)]
+    schema = "{} long, name string, type string, embedding array<double>"
+    got = {r["ord"]: (r["tier"], r["reason"], r["entity_id"]) for r in L.resolved(spark.createDataFrame(new, schema.format("ord")), spark.createDataFrame(old, schema.format("id"))).collect()}
+    assert got == {1: (1, "exact", "1"), 2: (2, "embedding", "1"), 3: (2, "new", "new:quite different"), 4: (3, "ambiguous", "5"), 5: (3, "new", "new:bbb"), 6: (2, "new", "new:quite different")}
+
+
+def test_registry_refuses_and_requeues(spark):
+    rows = [(1, "a", "queued"), (2, "a", "ingesting"), (3, "a", "queued"), (4, "a", "failed"), (5, "a", "queued"), (6, "b", "ingested"), (7, "b", "queued"), (8, "c", "queued"), (9, "c", "queued")]
+    got = {r["paper_id"]: (r["status"], r["refused"]) for r in R.states(spark.createDataFrame(rows, "seq long, paper_id string, status string")).collect()}
+    assert got == {"a": ("queued", 1), "b": ("ingested", 1), "c": ("queued", 0)}
+
+
 def test_linkage(spark):
     names = spark.createDataFrame([("steel ring",), ("steel rings",), ("blue pin",), ("ab",)], "name string")
     assert [(r["a"], r["b"]) for r in L.trigram_join(names, 0.6).collect()] == [("steel ring", "steel rings")]
