@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import written
 
 TARGET, MOST, LEAST = 600, 800, 100
 HISTORY = 10
@@ -79,6 +80,14 @@ def assigned(props: DataFrame, parts: DataFrame) -> DataFrame:
     return both.join(need, "chunk_id").where("shared >= need").select("prop_id", "chunk_id", "shared")
 
 
+def chunk_propositions(props: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows ``(chunk_id, way, text)``: the propositions assigned to each chunk, or, where there is none, the chunk's own sentences."""
+    got = written(assigned(props, parts), "assigned")
+    matched = got.join(props.select("prop_id", "text"), "prop_id").select("chunk_id", F.lit("assigned").alias("way"), "text")
+    alone = parts.join(got.select("chunk_id"), "chunk_id", "left_anti")
+    return matched.unionByName(alone.select("chunk_id", F.lit("sentence").alias("way"), F.explode(X.sentences(F.col("text"))).alias("text")))
+
+
 def inverted_index(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, index)``: a map from word to positions, as bibliographic dumps carry abstracts."""
     words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))

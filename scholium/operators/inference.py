@@ -41,7 +41,7 @@ def relations_of(sentences: DataFrame, names: DataFrame) -> DataFrame:
 
 def valid_entity(name: Column, description: Column, stop: tuple[str, ...] | list[str] = STOP_NAMES) -> Column:
     """Names of three characters or more that are no stop word, no part of a paper, and have a description of their own."""
-    named = (F.length(name) >= 3) & ~F.lower(name).isin(stop) & ~name.rlike(NO_ENTITY)
+    named = (F.length(name) >= 3) & ~F.lower(name).isin(*stop) & ~name.rlike(NO_ENTITY)
     return named & (F.coalesce(F.trim(description), F.lit("")) != "") & (F.lower(description) != F.lower(name))
 
 

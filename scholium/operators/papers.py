@@ -253,7 +253,8 @@ def hybrid_expand(edges: DataFrame, vectors: DataFrame, seeds: DataFrame, per_ho
     """Rows ``(id, way)``: papers one influential hop away, and those whose vectors are nearest to the first of them, without the seeds."""
     ways = edges.select(F.col("citing").alias("src"), F.col("cited").alias("dst"), "is_influential").unionByName(edges.select(F.col("cited").alias("src"), F.col("citing").alias("dst"), "is_influential"))
     graph = hops(ways, seeds, 1, per_hop, True).select(F.col("node").alias("id"))
-    chosen = vectors.join(graph.orderBy("id").limit(liked), "id", "left_semi")
+    graph = written(graph, "graph")
+    chosen = vectors.join(graph, "id", "left_semi").orderBy("id").limit(liked)
     semantic = recommend(vectors, chosen, vectors.limit(0), near).select("id")
     both = graph.select("id", F.lit("graph").alias("way")).unionByName(semantic.select("id", F.lit("semantic").alias("way")))
     new = both.join(seeds.select(F.col("seed").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("way").alias("way"))

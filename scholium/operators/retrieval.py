@@ -76,8 +76,11 @@ def diversify(ranked: DataFrame, limit: int) -> DataFrame:
 def recommend(vectors: DataFrame, liked: DataFrame, disliked: DataFrame, k: int) -> DataFrame:
     """Rows ``(id, score)``: nearness to the mean of ``liked`` less nearness to that of ``disliked``; the given rows left out."""
     mean = lambda df, name: df.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias(name))
-    centre = mean(liked, "p").join(mean(disliked, "n"), "i").select("i", (F.col("p") - F.col("n")).alias("w"))
+    # Without disliked rows only the liked ones pull; without liked ones nothing is recommended.
+    centre = mean(liked, "p").join(mean(disliked, "n"), "i", "left").select("i", (F.col("p") - F.coalesce("n", F.lit(0.0))).alias("w"))
     axis = [r["w"] for r in centre.orderBy("i").collect()]  # as many numbers as the vectors have dimensions
+    if not axis:
+        return vectors.select("id", F.lit(0.0).alias("score")).limit(0)
     known = liked.select("id").unionByName(disliked.select("id"))
     scored = vectors.join(known, "id", "left_anti").select("id", F.round(X.dot(F.col("embedding"), F.array(*map(F.lit, axis))), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k)

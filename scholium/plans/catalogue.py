@@ -162,8 +162,7 @@ se as (select doc_id, sec, coalesce(max(case when regexp_matches(line, '^#{{1,3}
        regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (where not regexp_matches(line, '^#{{1,3}}\\s+.+$')), ''), '^\\s+', ''), '\\s+$', '') as body from sc group by doc_id, sec)"""
 
 
-@query(
-    f"""with recursive {SECTIONS},
+CHUNKS = f"""{SECTIONS},
 big as (select *, list_filter(list_transform(string_split_regex(body, '\\n\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ps from se where length(body) // 4 > 800),
 pk as (select doc_id, sec, title, ps, 1 as k, length(ps[1]) // 4 as cur, 0 as c from big union all
        select doc_id, sec, title, ps, k + 1, case when cur >= 600 or cur + length(ps[k + 1]) // 4 > 800 then length(ps[k + 1]) // 4 else cur + length(ps[k + 1]) // 4 end,
@@ -171,9 +170,10 @@ pk as (select doc_id, sec, title, ps, 1 as k, length(ps[1]) // 4 as cur, 0 as c
 pieces as (select doc_id, sec, 0 as c, title, body as text from se where length(body) // 4 between 100 and 800 union all
       select doc_id, sec, c, title, string_agg(ps[k], chr(10) || chr(10) order by k) as text from pk group by doc_id, sec, c, title having length(string_agg(ps[k], chr(10) || chr(10) order by k)) // 4 >= 100),
 ck as (select doc_id, row_number() over (partition by doc_id order by sec, c) - 1 as i, title, text from pieces),
-al as (select * from ck union all select doc_id, 0, '', substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 3200) from md where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' and doc_id not in (select doc_id from ck))
-select doc_id || '_c' || i as chunk_id, doc_id, cast(i as int) as chunk_index, title as section, md5(text) as text_md5, cast(length(text) // 4 as bigint) as token_estimate from al"""
-)
+al as (select * from ck union all select doc_id, 0, '', substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 3200) from md where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' and doc_id not in (select doc_id from ck))"""
+
+
+@query(f"with recursive {CHUNKS} select doc_id || '_c' || i as chunk_id, doc_id, cast(i as int) as chunk_index, title as section, md5(text) as text_md5, cast(length(text) // 4 as bigint) as token_estimate from al")
 def chunk_documents(spark, sf_dir):
     out = D.chunks(markdown(spark, sf_dir))
     return out.select("chunk_id", "doc_id", "chunk_index", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"), "token_estimate")

@@ -92,6 +92,19 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vectors")
 
 
+def exported_property_graph(members: DataFrame, relations: DataFrame, bridges: DataFrame, latent: DataFrame) -> DataFrame:
+    """Rows ``(src, dst, kind, weight)``: typed edges between Entity (``e``), Community (``c``) and Bridge (``b``) nodes.
+
+    ``members (id, component)``, ``relations (source_id, target_id, weight)``, ``bridges (id, docs)``, ``latent (a, b, sim)``.
+    """
+    node = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    edge = lambda df, src, dst, kind, weight: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), weight.cast("double").alias("weight"))
+    return (
+        edge(relations, node("e", "source_id"), node("e", "target_id"), "RELATES", F.col("weight")).unionByName(edge(members, node("e", "id"), node("c", "component"), "MEMBER_OF", F.lit(1.0)))
+        .unionByName(edge(bridges, node("e", "id"), node("b", "id"), "IS_BRIDGE", F.size("docs"))).unionByName(edge(latent, node("e", "a"), node("e", "b"), "LATENT_CONNECTION", F.col("sim")))
+    )
+
+
 def imported_property_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes (id, kind, name)`` and ``edges (src, dst, kind, weight)`` to relations and community sizes.
 

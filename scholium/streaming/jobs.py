@@ -1,33 +1,53 @@
-"""Structured Streaming jobs over file sources, run to the end of what is there (``availableNow``)."""
+"""Structured Streaming jobs over file sources, run to the end of what is there (``availableNow``). A checkpoint makes each resume where
+it stopped; a batch that is run again replaces what it wrote."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.retrieval import postings
 from ..plans.lineage import new_path
 
 STATUS = {"click": "shortlisted", "signup": "queued", "view": "ingesting", "purchase": "ingested"}
 
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
+def _stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, ``files`` of them a batch (all where it is None)."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     # A table is a file or a folder of part files; a file source watches a folder.
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/{name}*")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/{name}*")
+
+
+def _run(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], check: str) -> None:
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def _finished(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a query to its end; each batch's result replaces (complete) or extends (append) the output in the shared folder."""
+    """Run a query to its end; each batch's result replaces (complete) or extends (append, update) the output in the shared folder."""
     spark = df.sparkSession
     out, check = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    _run(df, mode, write, check)
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(out)
+    rows = spark.read.schema(f"{df.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(out)
+    return rows if mode == "update" else rows.drop("batch")
+
+
+def _lifecycle(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    named = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return _stream(spark, path, files).select(F.col("event_id").alias("seq"), F.col("user_id").alias("paper_id"), F.coalesce(named[F.col("event_type")], F.lit("failed")).alias("status"))
 
 
 def counted_stream(spark: SparkSession, path: str, condition: str = "true") -> DataFrame:
@@ -38,13 +58,76 @@ def counted_stream(spark: SparkSession, path: str, condition: str = "true") -> D
 
 def registry_stream(spark: SparkSession, path: str) -> DataFrame:
     """The registry's last status by paper, kept as aggregation state over the stream of lifecycle events."""
-    named = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
-    events = _stream(spark, path).select(F.col("event_id").alias("seq"), F.col("user_id").alias("paper_id"), F.coalesce(named[F.col("event_type")], F.lit("failed")).alias("status"))
+    events = _lifecycle(spark, path)
     return _finished(events.groupBy("paper_id").agg(F.max_by("status", "seq").alias("status"), F.count(F.lit(1)).alias("events")), "complete", "registry")
 
 
-def windowed_stream(spark: SparkSession, path: str, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+def state_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Rows ``(paper_id, status, refused)``: the registry with its rule that a paper being ingested, or ingested, is not queued again.
+
+    A paper's state is its status and the number of refusals; events of a batch are taken in order of ``seq``.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, refused = state.get if state.exists else (None, 0)
+        for _, said in sorted((s, t) for pdf in batches for s, t in zip(pdf["seq"], pdf["status"])):
+            if said == "queued" and status in ("ingesting", "ingested"):
+                refused += 1
+            else:
+                status = said
+        state.update((status, refused))
+        yield pd.DataFrame({"paper_id": [key[0]], "status": [status], "refused": [refused]})
+
+    schema = "paper_id long, status string, refused long"
+    kept = _lifecycle(spark, path, files).groupBy("paper_id").applyInPandasWithState(step, schema, "status string, refused long", "update", GroupStateTimeout.NoTimeout)
+    return _finished(kept, "update", "states").groupBy("paper_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("refused", "batch").alias("refused"))
+
+
+def dedup_stream(spark: SparkSession, path: str, key: str, files: int | None = None) -> DataFrame:
+    """Rows ``(<key>)``: what arrives for the first time; known keys are state."""
+    return _finished(_stream(spark, path, files).select(key).dropDuplicates([key]), "append", "firsts")
+
+
+def windowed_stream(spark: SparkSession, path: str, length: str = "1 hour", delay: str = "10 minutes", files: int | None = None) -> DataFrame:
     """Tumbling counts by event time; windows still open at the end of the data are not emitted."""
-    events = _stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    events = _stream(spark, path, files).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     counts = events.groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return _finished(counts.select("window.start", "event_type", "n"), "append", "windows")
+
+
+class Ingest:
+    """Documents ``(doc_id, text)`` ingested as their files arrive: postings are appended by batch, every document's outcome is noted, and
+    after each ``scan_every`` documents ``scan`` is called with the index so far.
+
+    ``run`` may be called again, in another session too: the checkpoint resumes after the last finished batch. Index statistics are
+    sums over the batches, so that no batch reads an earlier one's postings.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, scan_every: int = 5, scan: Callable[[DataFrame], None] | None = None):
+        self.spark, self.folder = spark, folder or new_path(spark, "ingest")
+        self.scan_every, self.scan = scan_every, scan
+
+    def run(self, path: str, files: int | None = None) -> Ingest:
+        def batch(docs: DataFrame, number: int) -> None:
+            docs = docs.select("doc_id", "text").persist()
+            status = F.when(F.col("text").isNull(), "failed").otherwise("ingested")
+            docs.select("doc_id", status.alias("status"), F.when(F.col("text").isNull(), "no text").alias("error")).write.mode("overwrite").parquet(f"{self.folder}/registry/batch={number}")
+            postings(docs.where("text is not null"), "doc_id", "text").write.mode("overwrite").parquet(f"{self.folder}/postings/batch={number}")
+            docs.unpersist()
+            done = self.registry().where("status = 'ingested'").groupBy(F.col("batch") == number).count().collect()
+            new, before = (sum(r["count"] for r in done if r[0] == flag) for flag in (True, False))
+            if self.scan and (before + new) // self.scan_every > before // self.scan_every:
+                self.scan(self.postings())
+
+        _run(_stream(self.spark, path, files), "append", batch, f"{self.folder}/checkpoint")
+        return self
+
+    def registry(self) -> DataFrame:
+        return self.spark.read.schema("doc_id long, status string, error string, batch long").parquet(f"{self.folder}/registry")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("id long, dl int, token string, tf long, batch long").parquet(f"{self.folder}/postings")
+
+    def tokens(self) -> DataFrame:
+        """Rows ``(token, df, uses)``."""
+        return self.postings().groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))

@@ -8,7 +8,11 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("bm25_benchmark_topk", "vector_topk", "trigram_name_join", "relation_upsert", "bridges", "root_convergence", "registry_latest", "stream_registry", "chat_history_window")
+NAMES = (
+    "bm25_benchmark_topk", "vector_topk", "trigram_name_join", "relation_upsert", "bridges", "root_convergence", "registry_latest", "stream_registry", "chat_history_window",
+    "chunk_documents", "section_spans", "deep_rank", "metadata_rank", "influential_citations", "entity_mentions", "shortest_paths", "multi_hop_expand", "find_roots", "hybrid_expand", "proposition_assignment",
+    "document_scalars", "resolve_entities", "merged_entities", "property_graph_edges", "register_or_requeue", "registry_states", "stream_states", "stream_windows", "community_matching", "latent_connections",
+)
 
 
 @pytest.fixture(scope="module")
