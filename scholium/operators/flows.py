@@ -61,6 +61,44 @@ def ranked_communities(communities: DataFrame, members: DataFrame, queries: Data
     return S.top_k(both.select("qid", "component", score.cast("long").alias("score")), ["qid"], [F.desc("score"), F.desc("component")], k)
 
 
+def hybrid_search(queries: DataFrame, chunks: DataFrame, props: DataFrame, n_words: int = 15, n_chunks: int = 15, n_props: int = 20) -> DataFrame:
+    """Rows ``(qid, id, doc_id, is_proposition, score, rank)`` for ``queries (qid, query)``, chunks and propositions ``(id, doc_id, text)``.
+
+    Nearest chunks and propositions make one list, ranked by similarity, propositions boosted; the chunks' best by words another. The lists
+    are fused by rank, and of a document's chunks only one stays that comes first of all its rows.
+    """
+    vectors = lambda df, key, text: I.dense(I.hashed_embedding(df, key, text))
+    asked = written(vectors(queries, "qid", "query"), "asked")
+    near = S.nearest(vectors(chunks, "id", "text"), asked, n_chunks).withColumn("p", F.lit(False)).unionByName(S.nearest(vectors(props, "id", "text"), asked, n_props).withColumn("p", F.lit(True)))
+    near = written(near.drop("rank").withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "id"))), "near")
+    words = S.bm25(chunks, queries, id_col="id", text_col="text", query_id="qid", query_text="query", k=n_words).select("qid", "id", "rank")
+    fused = S.rrf([(near.where("p"), S.BOOST), (near.where("not p"), 1.0), (words, 1.0)])
+    known = chunks.select("id", "doc_id", F.lit(False).alias("is_proposition")).unionByName(props.select("id", "doc_id", F.lit(True).alias("is_proposition")))
+    ranked = fused.join(known, "id").select("qid", "id", F.col("doc_id").alias("doc"), "is_proposition", F.col("rrf").alias("score"))
+    return S.diversify(ranked, n_chunks + n_props).withColumnRenamed("doc", "doc_id")
+
+
+def chat_context(messages: DataFrame, chunks: DataFrame, props: DataFrame, graph: DataFrame | None = None, n_facts: int = 15, n_passages: int = 10, n_sources: int = 10) -> DataFrame:
+    """Rows ``(conv_id, turn, query, facts, passages, sources, history, prompt)``: what an answering model is given for each user turn.
+
+    ``graph (conv_id, turn, text)`` is the graph's context for a turn, if there is any.
+    """
+    asked = written(D.context_queries(messages).withColumn("qid", F.concat_ws(":", "conv_id", "turn")), "asked")
+    found = written(hybrid_search(asked.select("qid", "query"), chunks, props), "found")
+    text = chunks.select("id", "text").unionByName(props.select("id", "text"))
+    told = found.join(text, "id").withColumn("nth", F.row_number().over(W.partitionBy("qid", "is_proposition").orderBy("rank")))
+    said = F.when(F.col("is_proposition") & (F.col("nth") <= n_facts), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), "text"))
+    shown = F.when(~F.col("is_proposition") & (F.col("nth") <= n_passages), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]\n"), F.substring("text", 1, 500)))
+    lines = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("rank", c.alias("t"))))), lambda x: x["t"]), "\n\n")
+    listed = F.array_sort(F.collect_list(F.when(F.col("rank") <= n_sources, F.struct("rank", "id", "doc_id", F.substring("text", 1, 200).alias("text"), F.round("score", 3).alias("score")))))
+    context = told.groupBy("qid").agg(lines(said).alias("facts"), lines(shown).alias("passages"), listed.alias("sources"))
+    whole = asked.join(context, "qid", "left").join(D.chat_history(messages), ["conv_id", "turn"])
+    if graph is not None:
+        whole = whole.join(graph.select("conv_id", "turn", F.col("text").alias("graph")), ["conv_id", "turn"], "left").withColumn("facts", F.concat_ws("\n\n", "graph", "facts"))
+    last = messages.select("conv_id", "turn", F.col("text").alias("question"))
+    return I.prompts(whole.join(last, ["conv_id", "turn"])).select("conv_id", "turn", "query", "facts", "passages", "sources", "history", "prompt")
+
+
 def graph_context(names: DataFrame, entities: DataFrame, relations: DataFrame, neighbours: int = 5, most: int = 15, each: int = 5) -> DataFrame:
     """Rows ``(qid, id, named, rank, relations)`` for ``names (qid, id)``: named entities, some neighbours, their relations.
 

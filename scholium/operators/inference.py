@@ -26,6 +26,12 @@ def hashed_embedding(texts: DataFrame, id_col: str, text_col: str, dim: int = DI
     return cells.join(norms, "id").select("id", "i", (F.col("n") / F.col("norm")).alias("x"))
 
 
+def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
+    """Rows ``(id, i, x)`` to ``(id, embedding)``, with zeros where a cell is empty."""
+    cells = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return cells.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("embedding"))
+
+
 def relations_of(sentences: DataFrame, names: DataFrame) -> DataFrame:
     """Rows ``(source, target, doc_id)`` from ``sentences (doc_id, n, text)``: neighbouring names in a sentence.
 
@@ -90,6 +96,6 @@ def single_angle(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prompts(context: DataFrame) -> DataFrame:
-    """``(conv_id, turn, facts, history, question)`` with ``prompt``: what an answering model would be given."""
+    """``(conv_id, turn, facts, history, question)``, maybe ``passages``, with ``prompt``: what an answering model would be given."""
     part = lambda head, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head + "\n"), c))
-    return context.withColumn("prompt", F.concat_ws("\n\n", part("Facts:", "facts"), part("History:", "history"), part("Question:", "question")))
+    return context.withColumn("prompt", F.concat_ws("\n\n", part("Facts:", "facts"), *([part("Passages:", "passages")] if "passages" in context.columns else []), part("History:", "history"), part("Question:", "question")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import documents as D
+from ..operators import flows as C
 from ..operators import graph as G
 from ..operators import inference as I
 from ..operators import linkage as L
@@ -355,6 +357,34 @@ def index_stats(spark, sf_dir):
     return v.select("workspace", F.coalesce("chunk", F.lit(0)).alias("chunks"), F.coalesce("proposition", F.lit(0)).alias("propositions"))
 
 
+# Chat.
+
+
+CHAT = f"""with m as (select *, row_number() over (partition by conv_id order by turn) as nth from conversations),
+aq as (select a.conv_id || ':' || a.turn as qid, a.conv_id, a.turn, case when a.nth >= 3 then (select string_agg(b.text, ' ' order by b.turn) from m b where b.conv_id = a.conv_id and b.nth between a.nth - 2 and a.nth and b.role = 'user') else a.text end as query from m a where a.role = 'user'),
+ck as (select 'c' || doc_id as id, doc_id, text from documents), pp as (select doc_id || '_p' || (n - 1) as id, doc_id, text from (select doc_id, unnest({SENTENCES.format('text')}) as text, generate_subscripts({SENTENCES.format('text')}, 1) as n from documents)),
+ts as (select 'q' as what, qid as id, unnest({TOKENS.format('query')}) as token from aq union all select 'c', id, unnest({TOKENS.format('text')}) from ck union all select 'p', id, unnest({TOKENS.format('text')}) from pp),
+ce as (select what, id, cast(('0x' || substr(md5(token), 1, 8))::bigint % 256 as int) as i, count(*) as n from ts group by all), nr as (select what, id, sqrt(sum(n * n)) as norm from ce group by all), em as (select what, id, i, n / norm as x from ce join nr using (what, id)),
+sm as (select q.id as qid, e.what, e.id, round(sum(q.x * e.x), 6) as sim from em q join em e on q.what = 'q' and e.what <> 'q' and q.i = e.i group by all),
+ns as (select *, row_number() over (partition by qid, what order by sim desc, id) as k from sm), nk as (select *, row_number() over (partition by qid order by sim desc, id) as rank from ns where k <= case what when 'c' then 15 else 20 end),
+tc as (select id, token, count(*) as tf from ts where what = 'c' group by all), dl as (select ck.id, coalesce(sum(tf), 0) as dl from ck left join tc using (id) group by ck.id), av as (select count(*) as n, avg(dl) as avgdl from dl), df as (select token, count(*) as df from tc group by 1),
+qt as (select id as qid, token, count(*) as times from ts where what = 'q' group by all),
+bs as (select qid, id, sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / greatest(avgdl, 1)))) as score from qt join tc using (token) join df using (token) join dl using (id), av group by all),
+bk as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from bs where score > 0),
+un as (select qid, id, (case what when 'p' then 1.3::double else 1.0::double end) / (60 + rank) as part from nk union all select qid, id, 1.0::double / (60 + rank) from bk where rank <= 15), fu as (select qid, id, sum(part) as rrf from un group by all),
+kn as (select id, doc_id, false as p from ck union all select id, doc_id, true from pp), dv as (select *, row_number() over (partition by qid, doc_id order by round(rrf, 9) desc, id) as in_doc from fu join kn using (id)),
+fd as (select *, row_number() over (partition by qid order by round(rrf, 9) desc, id) as rank from dv where p or in_doc = 1)"""
+
+
+@query(CHAT + " select conv_id, turn, count(*) filter (where p) as n_facts, count(*) filter (where not p) as n_passages, string_agg(id, ' ' order by rank) filter (where rank <= 10) as sources from fd join aq using (qid) where rank <= 35 group by all")
+def chat_context(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "doc_id", "text")
+    out = C.chat_context(table(spark, sf_dir, "conversations"), chunks, D.propositions(docs).select(F.col("prop_id").alias("id"), "doc_id", "text"), n_facts=35, n_passages=35).where("sources is not null")
+    count = lambda c, mark: F.when(F.col(c) == "", 0).otherwise(F.size(F.regexp_extract_all(c, F.lit(mark), F.lit(0)))).cast("long")
+    return out.select("conv_id", "turn", count("facts", r"(?:^|\n\n)\[\d+\] ").alias("n_facts"), count("passages", r"(?:^|\n\n)\[\d+\]\n").alias("n_passages"), F.array_join("sources.id", " ").alias("sources"))
+
+
 # The registry and the streams.
 
 
@@ -376,6 +406,32 @@ g as (select *, status = 'queued' and coalesce(state in ('ingesting', 'ingested'
 select paper_id, arg_max(status, seq) filter (where not refuse) as status, count(*) filter (where refuse) as refused from g group by paper_id"""
 
 
+@query(
+    f"select paper_id, status, cast(row_number() over (order by list_position(['ingesting', 'queued', 'ingested', 'shortlisted', 'failed'], status), paper_id) as int) as place from ({STATES}) order by place limit 100",
+    ("v_registry_event",),
+)
+def registry_by_status(spark, sf_dir):
+    """The first page of the registry: a hundred rows in its order of statuses."""
+    page = R.by_status(R.states(view(spark, sf_dir, "v_registry_event"))).limit(100)
+    place = F.array_position(F.array(*map(F.lit, R.ORDER)), F.col("status"))
+    return page.select("paper_id", "status", F.row_number().over(W.orderBy(place, "paper_id")).alias("place"))
+
+
+@query(
+    "select ord, case when ord % 4 = 0 then 'k' || ord when arxiv_id <> '' then 'ARXIV:' || arxiv_id end as key from v_paper_raw", ("v_paper_raw",)
+)
+def citation_keys(spark, sf_dir):
+    raw = view(spark, sf_dir, "v_paper_raw")
+    return raw.select("ord", X.citation_key(F.when(F.col("ord") % 4 == 0, F.concat(F.lit("s2:k"), F.col("ord").cast("string"))).otherwise("manual"), F.concat("arxiv_id", F.when(F.col("arxiv_id") != "", "v2").otherwise(""))).alias("key"))
+
+
+@query("select vec_id, round(list_dot_product(embedding::double[], embedding::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * 3), 6) as scaled from embeddings")
+def unit_vectors(spark, sf_dir):
+    """Vectors thrice as long are brought to length one; their product with the given ones."""
+    v = table(spark, sf_dir, "embeddings").withColumn("long", F.transform("embedding", lambda x: x.cast("double") * 3))
+    return v.select("vec_id", F.round(X.dot(X.unit(F.col("long")), F.col("embedding")) / 3, 6).alias("scaled"))
+
+
 @query(STATES, ("v_registry_event",))
 def registry_states(spark, sf_dir):
     return R.states(view(spark, sf_dir, "v_registry_event"))
