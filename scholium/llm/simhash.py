@@ -14,7 +14,7 @@ equal fingerprints, hence one class. An empty table gives an empty result. Furth
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -33,6 +33,8 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Sets of 5 shingles and 4 of them differ by 48 bits of 256 on average, more than larger sets of similarity 0.8. Up to so many
 #: shingles the radius is wider, by so many bits a word.
 SHORT, SHORT_BITS = 6, 2.75
+#: Tiles that meet another one in one share of work.
+GROUP = 32
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -165,26 +167,43 @@ def radius_for(similarity: float, words: int, deviations: float = 4) -> int:
 
 
 def _work(reps: DataFrame, row: F.Column, offsets: list[int], tiles: F.Column) -> DataFrame:
-    """Rows ``(target, slot, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, and that tile itself.
+    """Rows ``(target, slot, share, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, in shares of about ``GROUP``
+    tiles, so that what one share reads does not grow with the input; and that tile itself for each share (``own`` 1, and 2 for
+    the one in which it is compared with itself).
 
     ``tiles``: into how many tiles a cell is cut, an aggregate of its rows.
     """
     # One row for each cell: at most 17**4 lane counts, or length bands times population bands, whatever the input's size.
-    sizes = reps.groupBy("cell").agg(F.ceil(tiles).cast("int").alias("n_tiles"))
+    sizes = written(reps.groupBy("cell").agg(F.ceil(tiles).cast("int").alias("n_tiles")), "sizes")
     dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    tiles = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
-    moved = tiles.select("cell", "part", "flat", F.explode(F.array(*map(F.lit, offsets))).alias("off")).withColumn("target", F.col("cell") + F.col("off"))
-    there = sizes.select(F.col("cell").alias("target"), "n_tiles")
+    flats = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
+    moved = flats.select("cell", "part", "flat", F.explode(F.array(*map(F.lit, offsets))).alias("off")).withColumn("target", F.col("cell") + F.col("off"))
+    met = sizes.select(F.explode(F.array(*(F.col("cell") + F.lit(o) for o in offsets))).alias("target"), F.col("n_tiles").alias("n")).groupBy("target").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("n_shares"))
+    there = sizes.select(F.col("cell").alias("target"), "n_tiles").join(met, "target")
+    placed = moved.join(F.broadcast(there), "target").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).where("off > 0 or part <= slot")
+    mine = (F.col("off") == 0) & (F.col("slot") == F.col("part"))
+    shares = F.when(mine, F.sequence(F.lit(0), F.col("n_shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "part"), F.col("n_shares")).cast("int")))
     return (
-        moved.join(F.broadcast(there), "target")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-        .withColumn("own", (F.col("off") == 0) & (F.col("slot") == F.col("part")))
-        .where("off > 0 or part <= slot")
-        .select("target", "slot", "own", "flat")
-        .repartition(4 * partitions(reps.sparkSession), "target", "slot").sortWithinPartitions("target", "slot", F.col("own").desc())
+        placed.withColumn("share", F.explode(shares)).withColumn("own", F.when(~mine, 0).when(F.col("share") == 0, 2).otherwise(1))
+        .select("target", "slot", "share", "own", "flat")
+        .repartition(4 * partitions(reps.sparkSession), "target", "slot", "share").sortWithinPartitions("target", "slot", "share", F.col("own").desc())
     )
 
 
+def _met(batches: Iterator[pd.DataFrame], parsed: Callable[[np.ndarray], object]) -> Iterator[tuple[object, object | None]]:
+    """The pairs of tiles of ``_work``, each parsed once: a tile and one that meets it, or None for itself."""
+    at, own = None, None
+    for pdf in batches:
+        for target, slot, share, mine, flat in zip(pdf["target"], pdf["slot"], pdf["share"], pdf["own"], pdf["flat"]):
+            here = target, slot, share
+            if mine:
+                at, own = here, parsed(np.asarray(flat, np.int64))
+                if mine == 2:
+                    yield own, None
+            elif at == here:
+                yield own, parsed(np.asarray(flat, np.int64))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, lanes: int = 4, tile: int = 2048) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``: one for each input row, with the smallest id reachable over links of ``radius`` bits."""
     fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fps")
@@ -193,18 +212,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     work = _work(reps, F.concat(F.array("rep"), "fp"), offsets, F.count(F.lit(1)) / tile)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, None
-        for pdf in batches:
-            found = []
-            for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
-                rows = np.asarray(flat, np.int64).reshape(-1, 1 + words)
-                if mine:
-                    at, own = (target, slot), rows
-                    found.append(compared(own, None, radius))
-                elif at == (target, slot):
-                    found.append(compared(own, rows, radius))
-            if found:
-                links = np.concatenate(found)
+        for own, other in _met(batches, lambda flat: flat.reshape(-1, 1 + words)):
+            if len(links := compared(own, other, radius)):
                 yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
     links = work.mapInPandas(run, "src long, dst long")
@@ -304,41 +313,33 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, None
-        for pdf in batches:
-            for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
-                rows = np.asarray(flat, np.int64).reshape(-1, 3 + words)
-                if mine:
-                    at, own = (target, slot), rows
-                if at != (target, slot):
-                    continue
-                other = own if mine else rows
-                near, far = np.zeros(len(own), bool), np.zeros(len(other), bool)
-                for i, j in candidates(own[:, [0, *range(2, 3 + words)]], None if mine else other[:, [0, *range(2, 3 + words)]], similarity):
-                    near[i] = far[j] = True
-                found = np.concatenate([own[near, :2], other[far, :2]])
-                if len(found):
-                    yield pd.DataFrame({"doc_id": found[:, 0], "sig": found[:, 1]})
+        plain = [0, *range(2, 3 + words)]
+        for own, other in _met(batches, lambda flat: flat.reshape(-1, 3 + words)):
+            you = own if other is None else other
+            near, far = np.zeros(len(own), bool), np.zeros(len(you), bool)
+            for i, j in candidates(own[:, plain], None if other is None else other[:, plain], similarity):
+                near[i] = far[j] = True
+            found = np.concatenate([own[near, :2], you[far, :2]])
+            if len(found):
+                yield pd.DataFrame({"doc_id": found[:, 0], "sig": found[:, 1]})
 
     ends = written(_work(reps, F.concat(F.array("rep", "sig", "n"), "fp"), offsets, F.count(F.lit(1)) / tile).mapInPandas(search, "doc_id long, sig long").distinct(), "ends")
     some = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(lambda batches: run(batches, True), schema + ", s array<long>")
     # Of an id with several texts, those count that were found above.
     sets = written(some.join(ends, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).withColumn("cell", key).withColumnRenamed("doc_id", "rep"), "sets")
 
+    def parsed(flat: np.ndarray) -> tuple[np.ndarray, Sets]:
+        starts, at = [], 0
+        while at < len(flat):
+            starts.append(at)
+            at += 2 + words + int(flat[at + 1])
+        rows = np.stack([flat[k : k + 2 + words] for k in starts])
+        return rows, Sets([flat[k + 2 + words : k + 2 + words + flat[k + 1]].view(np.uint64) for k in starts])
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = None, None
-        for pdf in batches:
-            for target, slot, mine, flat in zip(pdf["target"], pdf["slot"], pdf["own"], pdf["flat"]):
-                flat, starts, p = np.asarray(flat, np.int64), [], 0
-                while p < len(flat):
-                    starts.append(p)
-                    p += 2 + words + int(flat[p + 1])
-                rows = np.stack([flat[p : p + 2 + words] for p in starts])
-                now = rows, Sets([flat[p + 2 + words : p + 2 + words + flat[p + 1]].view(np.uint64) for p in starts])
-                if mine:
-                    at, own = (target, slot), now
-                if at == (target, slot) and len(links := linked(own, None if mine else now, similarity)):
-                    yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
+        for own, other in _met(batches, parsed):
+            if len(links := linked(own, other, similarity)):
+                yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
     work = _work(sets, F.concat(F.array("rep", "n"), "fp", "s"), offsets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes))
     found = connected_components(work.mapInPandas(verify, "src long, dst long"))
