@@ -25,7 +25,7 @@ def fanned_out(papers: DataFrame, plans: DataFrame) -> DataFrame:
     ``papers (id, source, text)``; each source is an index of its own, with its own statistics and limit. A source without
     papers contributes nothing.
     """
-    out = None
+    papers, plans, out = written(papers, "papers"), written(plans, "plans"), None
     for source, k in PER_SOURCE.items():
         asked = plans.where(F.col("source") == source).select(F.struct("qid", "label").alias("key"), F.col("query").alias("q"))
         hits = S.bm25(papers.where(F.col("source") == source), asked, id_col="id", text_col="text", query_id="key", query_text="q", k=k)
@@ -40,7 +40,7 @@ def searched(papers: DataFrame, plans: DataFrame, features: DataFrame, least: in
     ``features`` are ``papers.scored`` for the whole set. Relevance is the retrieval score scaled by the query's best.
     """
     limit = max(5, min(100, limit))
-    found = fanned_out(papers, plans).groupBy("qid", "id").agg(F.max(F.round("score", 6)).alias("score"))
+    found = written(fanned_out(papers, plans).groupBy("qid", "id").agg(F.max(F.round("score", 6)).alias("score")), "found")
     best = found.groupBy("qid").agg(F.max("score").alias("best"))
     judged = found.join(best, "qid").withColumn("relevance", F.round(10 * F.col("score") / F.col("best"), 0).cast("int")).where(F.col("relevance") >= least)
     ranked = judged.join(features, "id").withColumn("importance", F.round(P.deep_score(F.col("relevance")), 4))
