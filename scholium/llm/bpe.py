@@ -6,7 +6,7 @@ the last token only. A later token reaches back over at most ``lookahead`` symbo
 whatever all chains of that window have in common is stable and leaves the buffer. Memory is a window, not a word.
 
 Null and empty texts: no token, empty decoding. Very long texts and words stream through. Ties cannot occur: merges are
-ranked. Empty tables give empty results; further columns are ignored.
+ranked. Repeated rows and rows without an id get a row each, equal texts equal tokens. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
