@@ -119,6 +119,15 @@ def graph_context(names: DataFrame, entities: DataFrame, relations: DataFrame, n
     return top.join(said, "id", "left").select("qid", "id", "named", "rank", F.coalesce("relations", F.lit("")).alias("relations"))
 
 
+def graph_notes(names: DataFrame, bridges: DataFrame, links: DataFrame, most: int = 5, shown: int = 3) -> DataFrame:
+    """Rows ``(qid, kind, id, text, rank)`` for ``names (qid, id)``: the first bridges among a query's entities, with some of their documents
+    (``bridges (id, docs)``), and the first confirmed links that touch one (``links (a, b)``)."""
+    spread = names.join(bridges, "id").select("qid", F.lit("bridge").alias("kind"), "id", F.array_join(F.slice("docs", 1, shown), ", ").alias("text"))
+    touched = names.join(links.withColumn("id", F.col("a")), "id").select("qid", "a", "b").unionByName(names.join(links.withColumn("id", F.col("b")), "id").select("qid", "a", "b")).distinct()
+    joined = touched.select("qid", F.lit("link").alias("kind"), F.col("a").alias("id"), F.col("b").cast("string").alias("text"))
+    return S.top_k(spread.unionByName(joined), ["qid", "kind"], [F.col("id"), F.length("text"), F.col("text")], most)
+
+
 def updated_communities(nodes: DataFrame, edges: DataFrame, members: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """Rows ``(component, size, summary, outcome)``: components, their key concepts and summaries, matched with ``old``.
 

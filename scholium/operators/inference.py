@@ -95,6 +95,13 @@ def single_angle(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return asked.select(F.col(id_col).alias("qid"), F.lit("direct_query").alias("label"), F.explode(F.array(*map(F.lit, ("arxiv", "openalex", "s2")))).alias("source"), F.col(text_col).alias("query"))
 
 
+def with_raw(plans: DataFrame, queries: DataFrame, id_col: str, text_col: str, sources: tuple[str, ...] = ("s2", "openalex")) -> DataFrame:
+    """``plans`` and, for each query, its own words as they are to two of the sources."""
+    asked = queries.where(F.trim(text_col) != "")
+    raw = asked.select(F.col(id_col).alias("qid"), F.lit("raw_query").alias("label"), F.explode(F.array(*map(F.lit, sources))).alias("source"), F.col(text_col).alias("query"))
+    return plans.unionByName(raw)
+
+
 def prompts(context: DataFrame) -> DataFrame:
     """``(conv_id, turn, facts, history, question)``, maybe ``passages``, with ``prompt``: what an answering model would be given."""
     part = lambda head, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head + "\n"), c))

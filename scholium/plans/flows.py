@@ -265,6 +265,13 @@ def fanout_retrieval(spark, sf_dir):
     return C.fanned_out(papers, plans).select(F.col("qid").alias("name"), "source", "id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(FANOUT + " select name, source, label, id, round(score, 4) as score, cast(rank as int) as rank from fo, (values ('direct_query'), ('raw_query')) t(label) where label = 'direct_query' or source <> 'arxiv'", ("v_paper",))
+def fanout_angles(spark, sf_dir):
+    papers, plans = _paper_sources(spark, sf_dir)
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return C.fanned_out(papers, I.with_raw(plans, names, "name", "name")).select(F.col("qid").alias("name"), "source", "label", "id", F.round("score", 4).alias("score"), "rank")
+
+
 @query(
     FANOUT
     + ", be as (select name, id, max(round(score, 6)) as score from fo group by all), mx as (select name, max(score) as best from be group by name), rr as (select name, id, cast(round(10 * score / best, 0) as int) as relevance from be join mx using (name)), ra as ("
@@ -323,6 +330,19 @@ def graph_context(spark, sf_dir):
     return C.graph_context(v.where("id % 100 = 0").select(F.col("id").alias("qid"), "id"), v, links)
 
 
+@query(
+    """with nm as (select vec_id as qid, vec_id as id from embeddings where vec_id % 10 = 0), b as (select qid, 'bridge' as kind, id, array_to_string(list_sort(list_distinct([id % 50, id % 7, id % 3]))[1:3], ', ') as text from nm where len(list_distinct([id % 50, id % 7, id % 3])) >= 2),
+l as (select distinct qid, 'link' as kind, src as id, cast(dst as varchar) as text from nm join v_link on id = src or id = dst), r as (select *, row_number() over (partition by qid, kind order by id, length(text), text) as rank from (select * from b union all select * from l))
+select qid, kind, id, text, cast(rank as int) as rank from r where rank <= 5""",
+    ("v_link",),
+)
+def graph_notes(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    bridges = G.bridges(v.select("id", F.explode(F.array(F.col("id") % 50, F.col("id") % 7, F.col("id") % 3)).alias("doc")))
+    links = view(spark, sf_dir, "v_link").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return C.graph_notes(v.where("id % 10 = 0").select(F.col("id").alias("qid"), "id"), bridges, links)
+
+
 @query()
 def community_update(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("component"))
