@@ -34,7 +34,7 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: shingles the radius is wider, by so many bits a word.
 SHORT, SHORT_BITS = 6, 2.75
 #: Tiles that meet another one in one share of work.
-GROUP = 32
+GROUP = 24
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -290,7 +290,7 @@ def linked(a: tuple[np.ndarray, Sets], b: tuple[np.ndarray, Sets] | None, simila
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048, small: int = 512, hashes: int = 1 << 18) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048, small: int = 256, hashes: int = 1 << 16) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``: classes of documents linked by a Jaccard similarity of their shingle sets.
 
     Fingerprints of the distinct shingles, ``words`` of 64 bits, only say which documents may have a partner. Those alone meet
