@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Generated pages to learn from, and the size of the model.
 PAGES, TREES, TREE_DEPTH, SEED = 720, 24, 5, 7
 #: What a change from kept to dropped costs in decoding, in log odds.
-CHANGE = 2.0
+CHANGE = 1.5
 #: Log odds down to which prose counts as not ruled out.
 DOUBT = -4.0
 
@@ -72,6 +72,7 @@ HINTS = {
 }
 HINT_OF = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
 N_KINDS, N_HINTS = len(KINDS), len(HINTS)
+MAIN, OTHER_PARTS = list(HINTS).index("main"), frozenset(("nav", "header", "footer", "aside", "form", "button"))
 #: What a node inherits: whether an ancestor is of these kinds or hints.
 COLUMNS = [*(f"tag_{k}" for k in KINDS), *(f"hint_{k}" for k in HINTS), *(f"under_{k}" for k in KINDS), *(f"under_{k}" for k in HINTS), "depth", "index", "siblings", "from_end", "chars", "link_share", "chars_per_tag", "tags", "page_share", "punctuation", "parent_share", "para_chars", "para_share", "around_para", "up_para_share", "up_link_share", "up_chars", "up_page_share"]
 
@@ -271,7 +272,8 @@ def decoded(page: Page, odds: np.ndarray) -> list[bool]:
     """Which nodes are kept: the most likely labelling in which a dropped node has only dropped descendants.
 
     A node's weight grows with the text that is its own, so that empty wrappers follow what they hold. To drop a node under a
-    kept one costs ``CHANGE``, so that a paragraph in doubt goes with its neighbours. Where a page would lose all its text
+    kept one costs ``CHANGE``, so that a paragraph in doubt goes with its neighbours; nodes that say what they are by a hint or a tag of
+    other parts of a page are no such paragraphs. Where a page would lose all its text
     although some of its prose was not clearly ruled out (``DOUBT``), the bar is lowered to the best of that prose.
     """
     nodes, n = page.nodes, len(page.nodes)
@@ -282,15 +284,17 @@ def decoded(page: Page, odds: np.ndarray) -> list[bool]:
             own[i] += min(size, 200) / 50
             prose[i] |= size >= LONG_TEXT and nodes[i].tag != "a"
 
+    cost = np.array([0.0 if node.tag in OTHER_PARTS or any(h != MAIN for h in node.hints) else CHANGE for node in nodes])
+
     def best_labels(odds: np.ndarray) -> list[bool]:
         gain = np.zeros(n)
         gain[1:] = odds * own[1:]
         best = gain.copy()
         for i in range(n - 1, 0, -1):
-            best[nodes[i].parent] += max(best[i], -CHANGE)
+            best[nodes[i].parent] += max(best[i], -cost[i])
         kept = [True] + [False] * (n - 1)
         for i in range(1, n):
-            kept[i] = kept[nodes[i].parent] and best[i] > -CHANGE
+            kept[i] = kept[nodes[i].parent] and best[i] > -cost[i]
         return kept
 
     kept = best_labels(odds)
