@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,13 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = cut
 
 
+def few_rows(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The batches in parts of ``rows``, so that what is derived from a part is handed on before the next is begun."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def utf8(text: object) -> bytes:
     """A text's UTF-8 bytes; null is empty."""
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""

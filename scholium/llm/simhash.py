@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.lineage import written
-from .common import partitions, utf8, word_blocks
+from .common import few_rows, partitions, utf8, word_blocks
 
 #: Odd constants that spread one 64-bit shingle hash over further words of a wide fingerprint (finaliser of a public 64-bit mixer).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows ``(doc_id, n, fp)``; ``fp`` holds the fingerprint's words as signed longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few_rows(batches):
             found = [fingerprint(t, shingle, words) for t in pdf["text"]]
             fps = [np.array(f, np.uint64).view(np.int64) for f, _ in found]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [n for _, n in found], "fp": fps})
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pd.DataFrame], with_set: bool = False) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few_rows(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             found = [set_fingerprint(x, words) for x in sets]
             out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": list(map(len, sets)), "sig": [x for _, x in found], "fp": [np.array(f, np.uint64).view(np.int64) for f, _ in found]})
