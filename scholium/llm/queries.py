@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, simhash, toxicity, warc
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, simhash, toxicity, warc
 from .common import table
 
 
@@ -50,8 +50,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_toxicity, op3_language_id, op4_simhash, op5_line_dedup, op6_warc, op7_bpe, op8_decontamination, op9_media_columns, op10_license_scan)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(table(spark, sf_dir, "documents", *merkle.FIELDS))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_toxicity, op3_language_id, op4_simhash, op5_line_dedup, op6_warc, op7_bpe, op8_decontamination, op9_media_columns, op10_license_scan,
+        op13_merkle_manifest,
+    )
+}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op5_line_dedup": linededup.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES = {"op5_line_dedup": linededup.ORACLE, "op6_warc": warc.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
