@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, simhash, toxicity, warc
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, periodic, simhash, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.query(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.query(table(spark, sf_dir, "documents", *merkle.FIELDS))
 
@@ -58,7 +62,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_language_id, op4_simhash, op5_line_dedup, op6_warc, op7_bpe, op8_decontamination, op9_media_columns, op10_license_scan,
-        op13_merkle_manifest,
+        op11_periodic_runs, op13_merkle_manifest,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
