@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, periodic, simhash, toxicity, warc
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, periodic, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.query(table(spark, sf_dir, "documents", *merkle.FIELDS))
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_toxicity, op3_language_id, op4_simhash, op5_line_dedup, op6_warc, op7_bpe, op8_decontamination, op9_media_columns, op10_license_scan,
-        op11_periodic_runs, op13_merkle_manifest,
+        op11_periodic_runs, op12_quality, op13_merkle_manifest,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
