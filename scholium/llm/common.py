@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,18 @@ def few_rows(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Da
             yield pdf.iloc[at : at + rows]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows go to a Python worker at once, for jobs that are run inside: their rows are large, and batches are bounded by rows alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def utf8(text: object) -> bytes:
     """A text's UTF-8 bytes; null is empty."""
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.lineage import written
-from .common import few_rows, partitions, utf8, word_blocks
+from .common import arrow_rows, few_rows, partitions, utf8, word_blocks
 
 #: Odd constants that spread one 64-bit shingle hash over further words of a wide fingerprint (finaliser of a public 64-bit mixer).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -33,8 +33,10 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Sets of 5 shingles and 4 of them differ by 48 bits of 256 on average, more than larger sets of similarity 0.8. Up to so many
 #: shingles the radius is wider, by so many bits a word.
 SHORT, SHORT_BITS = 6, 2.75
-#: Tiles that meet another one in one share of work.
-GROUP = 24
+#: Tiles that meet another one in one share of work, and tiles up to whose number the list of them is broadcast.
+GROUP, FEW = 24, 1 << 20
+#: Hashes of a set that one row carries, rows of them and whole tiles that go to a Python worker at once.
+PIECE, PIECES, WHOLE = 1 << 14, 256, 64
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -166,42 +168,67 @@ def radius_for(similarity: float, words: int, deviations: float = 4) -> int:
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _work(reps: DataFrame, row: F.Column, offsets: list[int], tiles: F.Column) -> DataFrame:
-    """Rows ``(target, slot, share, own, flat)``: the tiles that meet the tile ``slot`` of the cell ``target``, in shares of about ``GROUP``
-    tiles, so that what one share reads does not grow with the input; and that tile itself for each share (``own`` 1, and 2 for
-    the one in which it is compared with itself).
+def _tiles(reps: DataFrame, offsets: list[int], tiles: F.Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
+    """A number of its tile (``part``) for each ``rep``, and rows ``(target, slots, n_shares)``: a cell's tiles, and into how many shares of
+    about ``GROUP`` what meets one of them is dealt, so that what one share reads does not grow with the input.
 
-    ``tiles``: into how many tiles a cell is cut, an aggregate of its rows.
+    ``tiles``: into how many tiles a cell is cut, an aggregate of its rows with ``where``, one for each ``rep``; never more than these,
+    and only tiles in which a row lies.
     """
     # One row for each cell: at most 17**4 lane counts, or length bands times population bands, whatever the input's size.
-    sizes = written(reps.groupBy("cell").agg(F.ceil(tiles).cast("int").alias("n_tiles")), "sizes")
-    dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int"))
-    flats = dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
-    moved = flats.select("cell", "part", "flat", F.explode(F.array(*map(F.lit, offsets))).alias("off")).withColumn("target", F.col("cell") + F.col("off"))
-    met = sizes.select(F.explode(F.array(*(F.col("cell") + F.lit(o) for o in offsets))).alias("target"), F.col("n_tiles").alias("n")).groupBy("target").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("n_shares"))
-    there = sizes.select(F.col("cell").alias("target"), "n_tiles").join(met, "target")
-    placed = moved.join(F.broadcast(there), "target").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1))).where("off > 0 or part <= slot")
+    sizes = written(reps.where(where).groupBy("cell").agg(F.least(F.count(F.lit(1)), F.ceil(tiles)).cast("int").alias("n_tiles")), "sizes")
+    dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int")).drop("n_tiles")
+    full = written(dealt.where(where).groupBy("cell").agg(F.collect_set("part").alias("slots")), "slots")
+    met = full.select(F.explode(F.array(*(F.col("cell") + F.lit(o) for o in offsets))).alias("target"), F.size("slots").alias("n")).groupBy("target").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("n_shares"))
+    there = full.select(F.col("cell").alias("target"), "slots").join(met, "target")
+    few = (full.agg(F.sum(F.size("slots"))).first()[0] or 0) <= FEW
+    return dealt, F.broadcast(there) if few else there
+
+
+def _work(rows: DataFrame, there: DataFrame, offsets: list[int], *order: str) -> DataFrame:
+    """Rows ``(target, slot, share, own, ...)``: what stands in tiles that meet the tile ``slot`` of the cell ``target``, by share; and
+    that tile itself for each share (``own`` 1, and 2 for the one in which it is compared with itself)."""
+    moved = rows.withColumn("off", F.explode(F.array(*map(F.lit, offsets)))).withColumn("target", F.col("cell") + F.col("off"))
+    placed = moved.join(there, "target").withColumn("slot", F.explode("slots")).where("off > 0 or part <= slot")
     mine = (F.col("off") == 0) & (F.col("slot") == F.col("part"))
     shares = F.when(mine, F.sequence(F.lit(0), F.col("n_shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "part"), F.col("n_shares")).cast("int")))
     return (
         placed.withColumn("share", F.explode(shares)).withColumn("own", F.when(~mine, 0).when(F.col("share") == 0, 2).otherwise(1))
-        .select("target", "slot", "share", "own", "flat")
-        .repartition(4 * partitions(reps.sparkSession), "target", "slot", "share").sortWithinPartitions("target", "slot", "share", F.col("own").desc())
+        .select("target", "slot", "share", "own", *rows.columns)
+        .repartition(4 * partitions(rows.sparkSession), "target", "slot", "share").sortWithinPartitions("target", "slot", "share", F.col("own").desc(), "cell", "part", *order)
     )
 
 
-def _met(batches: Iterator[pd.DataFrame], parsed: Callable[[np.ndarray], object]) -> Iterator[tuple[object, object | None]]:
-    """The pairs of tiles of ``_work``, each parsed once: a tile and one that meets it, or None for itself."""
-    at, own = None, None
+def _met(batches: Iterator[pd.DataFrame], parsed: Callable[[list[tuple]], object]) -> Iterator[tuple[object, object | None]]:
+    """The pairs of tiles of ``_work``, each parsed once from its rows: a tile and one that meets it, or None for itself."""
+    at, own, tile, rows = None, None, None, []
+
+    def ended() -> Iterator[tuple[object, object | None]]:
+        nonlocal at, own
+        if tile is None:
+            return
+        here, mine = tile[:3], tile[3]
+        if mine:
+            at, own = here, parsed(rows)
+            if mine == 2:
+                yield own, None
+        elif at == here:
+            yield own, parsed(rows)
+
     for pdf in batches:
-        for target, slot, share, mine, flat in zip(pdf["target"], pdf["slot"], pdf["share"], pdf["own"], pdf["flat"]):
-            here = target, slot, share
-            if mine:
-                at, own = here, parsed(np.asarray(flat, np.int64))
-                if mine == 2:
-                    yield own, None
-            elif at == here:
-                yield own, parsed(np.asarray(flat, np.int64))
+        rest = [c for c in pdf.columns if c not in ("target", "slot", "share", "own", "cell", "part")]
+        keys = zip(pdf["target"], pdf["slot"], pdf["share"], pdf["own"], pdf["cell"], pdf["part"])
+        for key, row in zip(keys, zip(*(pdf[c] for c in rest))):
+            if key != tile:
+                yield from ended()
+                tile, rows = key, []
+            rows.append(row)
+    yield from ended()
+
+
+def _flat(dealt: DataFrame, row: F.Column) -> DataFrame:
+    """A row for each tile."""
+    return dealt.groupBy("cell", "part").agg(F.flatten(F.collect_list(row)).alias("flat"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, radius: int = 2, lanes: int = 4, tile: int = 2048) -> DataFrame:
@@ -209,14 +236,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     fps = written(fingerprints(docs, id_col, text_col, shingle, words), "fps")
     key, offsets = _cells(words, radius, lanes)
     reps = written(fps.withColumn("cell", key).groupBy("fp", "cell").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
-    work = _work(reps, F.concat(F.array("rep"), "fp"), offsets, F.count(F.lit(1)) / tile)
+    dealt, there = _tiles(reps, offsets, F.count(F.lit(1)) / tile)
+    work = _work(_flat(dealt, F.concat(F.array("rep"), "fp")), there, offsets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for own, other in _met(batches, lambda flat: flat.reshape(-1, 1 + words)):
+        for own, other in _met(batches, lambda rows: np.array(rows[0][0], np.int64).reshape(-1, 1 + words)):
             if len(links := compared(own, other, radius)):
                 yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
-    links = work.mapInPandas(run, "src long, dst long")
+    with arrow_rows(docs.sparkSession, WHOLE):
+        links = written(work.mapInPandas(run, "src long, dst long"), "links")
     found = connected_components(links)
     named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "cell", F.coalesce("component", "rep").alias("component_id"))
     return fps.withColumn("cell", key).join(named, ["fp", "cell"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -245,6 +274,17 @@ def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, block: in
                 yield i[keep] + s, j[keep] + c
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members two sorted sets share, a piece at a time."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    n = 0
+    for k in range(0, len(a) if len(b) else 0, 1 << 16):
+        part = a[k : k + (1 << 16)]
+        at = np.searchsorted(b, part)
+        n += int((b[np.minimum(at, len(b) - 1)] == part).sum())
+    return n
+
+
 class Sets:
     """The shingle sets of a tile, and how many of their members each shares with another set."""
 
@@ -253,7 +293,7 @@ class Sets:
 
     def shared(self, mine: np.ndarray, which: np.ndarray) -> np.ndarray:
         if len(which) <= 4:
-            return np.array([len(np.intersect1d(mine, self.sets[j], assume_unique=True)) for j in which])
+            return np.array([_common(mine, self.sets[j]) for j in which])
         if self.index is None:
             whole = np.concatenate(self.sets)
             owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
@@ -298,23 +338,38 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     verified links already connect the two. A large group of near copies, linked or not, makes no rows for its pairs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, n long, sig long, fp array<long>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in few_rows(batches):
+            found = [(len(x), *set_fingerprint(x, words)) for t in pdf["text"] for x in [shingle_set(t, shingle)]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [n for n, _, _ in found], "sig": [x for _, _, x in found], "fp": [np.array(f, np.uint64).view(np.int64) for _, f, _ in found]})
 
-    def run(batches: Iterator[pd.DataFrame], with_set: bool = False) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """As ``run``, with the sets: a set that is longer than ``PIECE`` takes several rows."""
+        rows, size = [], 0
+        made = lambda: pd.DataFrame(rows, columns=["doc_id", "n", "sig", "fp", "piece", "s"]).astype({"doc_id": "Int64"})
         for pdf in few_rows(batches):
-            sets = [shingle_set(t, shingle) for t in pdf["text"]]
-            found = [set_fingerprint(x, words) for x in sets]
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": list(map(len, sets)), "sig": [x for _, x in found], "fp": [np.array(f, np.uint64).view(np.int64) for f, _ in found]})
-            yield out.assign(s=[x.view(np.int64) for x in sets]) if with_set else out
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                x = shingle_set(text, shingle)
+                f, sig = set_fingerprint(x, words)
+                for k in range(0, max(len(x), 1), PIECE):
+                    rows.append((doc_id, len(x), sig, np.array(f, np.uint64).view(np.int64), k // PIECE, x[k : k + PIECE].view(np.int64)))
+                    size += PIECE if len(x) > PIECE else len(x)
+                    if size >= 1 << 20:
+                        yield made()
+                        rows, size = [], 0
+        if rows:
+            yield made()
 
     key, offsets = _cells(words, radius_for(similarity, words) + round(SHORT_BITS * words), 4)
-    schema = "doc_id long, n long, sig long, fp array<long>"
     fps = written(texts.mapInPandas(run, schema).withColumn("cell", key), "fps")
     same = ["fp", "sig", "n", "cell"]
     reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain = [0, *range(2, 3 + words)]
-        for own, other in _met(batches, lambda flat: flat.reshape(-1, 3 + words)):
+        for own, other in _met(batches, lambda rows: np.array(rows[0][0], np.int64).reshape(-1, 3 + words)):
             you = own if other is None else other
             near, far = np.zeros(len(own), bool), np.zeros(len(you), bool)
             for i, j in candidates(own[:, plain], None if other is None else other[:, plain], similarity):
@@ -323,26 +378,29 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             if len(found):
                 yield pd.DataFrame({"doc_id": found[:, 0], "sig": found[:, 1]})
 
-    ends = written(_work(reps, F.concat(F.array("rep", "sig", "n"), "fp"), offsets, F.count(F.lit(1)) / tile).mapInPandas(search, "doc_id long, sig long").distinct(), "ends")
-    some = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(lambda batches: run(batches, True), schema + ", s array<long>")
+    dealt, there = _tiles(reps, offsets, F.count(F.lit(1)) / tile)
+    with arrow_rows(docs.sparkSession, WHOLE):
+        ends = written(_work(_flat(dealt, F.concat(F.array("rep", "sig", "n"), "fp")), there, offsets).mapInPandas(search, "doc_id long, sig long").distinct(), "ends")
+    some = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(pieces, schema + ", piece int, s array<long>")
     # Of an id with several texts, those count that were found above.
-    sets = written(some.join(ends, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"]).withColumn("cell", key).withColumnRenamed("doc_id", "rep"), "sets")
+    sets = written(some.join(ends, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig", "piece"]).withColumn("cell", key).withColumnRenamed("doc_id", "rep"), "sets")
 
-    def parsed(flat: np.ndarray) -> tuple[np.ndarray, Sets]:
-        starts, at = [], 0
-        while at < len(flat):
-            starts.append(at)
-            at += 2 + words + int(flat[at + 1])
-        rows = np.stack([flat[k : k + 2 + words] for k in starts])
-        return rows, Sets([flat[k + 2 + words : k + 2 + words + flat[k + 1]].view(np.uint64) for k in starts])
+    def parsed(rows: list[tuple]) -> tuple[np.ndarray, Sets]:
+        # Rows (rep, n, sig, fp, piece, s), the pieces of a set one after another.
+        cuts = [k for k, r in enumerate(rows) if r[4] == 0] + [len(rows)]
+        first = np.array([[rows[k][0], rows[k][1], *rows[k][3]] for k in cuts[:-1]], np.int64)
+        return first, Sets([np.concatenate([np.asarray(r[5], np.int64) for r in rows[a:b]]).view(np.uint64) for a, b in zip(cuts, cuts[1:])])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own, other in _met(batches, parsed):
             if len(links := linked(own, other, similarity)):
                 yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
-    work = _work(sets, F.concat(F.array("rep", "n"), "fp", "s"), offsets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes))
-    found = connected_components(work.mapInPandas(verify, "src long, dst long"))
+    dealt, there = _tiles(sets, offsets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes), "piece = 0")
+    work = _work(dealt.select("cell", "part", "rep", "n", "sig", "fp", "piece", "s"), there, offsets, "rep", "sig", "piece")
+    with arrow_rows(docs.sparkSession, PIECES):
+        links = written(work.mapInPandas(verify, "src long, dst long"), "links")
+    found = connected_components(links)
     named = reps.join(found, reps["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, same, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
