@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-Templates, whole notices and the short phrases that stand for them, are indexed by word and position. A document is looked up,
-for each template whose mandatory key phrase it has, by its words of highest IDF among the template's (document frequencies are
-counted over the whole corpus); postings are intersected by relative position, that is, grouped by the offset between document
-and template. The key phrase's own words are looked up too, however frequent. An alignment is an offset on which at least ``AGREE``
-words agree; it is verified by the key phrase, which must stand at that very offset. Base phrases are found wherever their words stand consecutively.
+Templates, whole notices and the short sentences that stand for them, are indexed by word and position. A document is looked up,
+for each template whose mandatory key phrase it has, by its words of highest IDF among those of the template outside the key phrase
+(document frequencies are counted over the whole corpus); postings are intersected by relative position, that is, a word agrees with
+an alignment if its offset between document and template is that of the key phrase, give or take ``SLACK`` words that an edit put in or
+took out. A template is found where at least ``SHARE`` of its rarest words agree around its key phrase, which is thereby verified; the phrase
+alone, in a sentence of another kind, is no notice. Base phrases are found wherever their words stand consecutively.
 
 Null and empty texts: no word, no label, score 0. Ties in IDF go to the alphabetically first word. Repeated rows and rows
 without an id get a row each. A very long text is one row of its words, of which only licence words go further. Empty tables
@@ -70,8 +71,8 @@ TEMPLATES = (
 )
 #: Function words are no licence words: they tell nothing and occur everywhere.
 COMMON = frozenset("a an and any are as be by for from in is it may of on or that the this to with you not no 0 1 2 3 4 v".split())
-#: Words looked up in a document for each template, besides those of its key phrase, and how many must agree on an offset.
-TOP, AGREE = 8, 2
+#: Words looked up in a document for each template, what share of so many must agree, and words by which an edit may move them.
+TOP, SHARE, SLACK = 8, 0.5, 3
 
 
 def licence_words() -> list[str]:
@@ -94,6 +95,17 @@ def key_starts() -> list[int]:
     return [next(i for i in range(len(w)) if w[i : i + len(k)] == k) for _, text, key in TEMPLATES for w, k in [(text.split(), key.split())]]
 
 
+def postings() -> list[tuple[str, int, int]]:
+    """Words outside the key phrase, with template and place."""
+    spans = [range(k, k + len(key.split())) for k, (_, _, key) in zip(key_starts(), TEMPLATES)]
+    return [(w, k, p) for k, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON and p not in spans[k]]
+
+
+def wanted() -> list[int]:
+    """How many rare words each template is looked up by: ``TOP``, or all that it has outside its key phrase."""
+    return [min(TOP, len({w for w, t, _ in postings() if t == k})) for k in range(len(TEMPLATES))]
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """One row for each document: word count, base places, licence words with their positions, and the alignments (template, offset) at
     which a key phrase of its stands."""
@@ -124,32 +136,30 @@ def method_labels(found: DataFrame) -> DataFrame:
     df = found.select(F.explode("has").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1))
     idf = df.join(total, "one").select("word", F.log((F.col("total") + 1) / (F.col("df") + 0.5)).alias("idf"))
     looked = found.where("size(keys) > 0").select("row", "has", "hits", "keys")
-    postings = spark.createDataFrame(
-        [(w, k, p) for k, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON],
-        T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("tpos", T.IntegerType())]),
-    )
+    kind = T.StructType([T.StructField("word", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("tpos", T.IntegerType())])
+    places = spark.createDataFrame(postings(), kind)
     # A template's words are ranked among themselves, so that no other notice of the document takes their places.
     chosen = (
-        looked.select("row", "keys", F.explode("has").alias("word")).join(F.broadcast(idf), "word").join(F.broadcast(postings.select("word", "template").distinct()), "word")
+        looked.select("row", "keys", F.explode("has").alias("word")).join(F.broadcast(idf), "word").join(F.broadcast(places.select("word", "template").distinct()), "word")
         .where(F.exists("keys", lambda k: k["template"] == F.col("template"))).groupBy("row", "template")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("x"), "word"))), 1, TOP).getField("word").alias("top"))
     )
-    key_words = F.create_map(*[x for k, (_, _, key) in enumerate(TEMPLATES) for x in (F.lit(k), F.array(*(F.lit(w) for w in key.split() if w not in COMMON)))])
-    # The words that agree on an offset, by offset; only offsets at which the key phrase stands are alignments.
     at = (
-        looked.select("row", "hits").join(chosen, "row").withColumn("use", F.array_union("top", key_words[F.col("template")]))
-        .select("row", "template", "top", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("use"), h["word"]))).alias("h"))
-        .select("row", "template", F.size("top").alias("n_top"), "h.*", F.when(F.array_contains("top", F.col("h.word")), F.col("h.word")).alias("best")).join(F.broadcast(postings), ["word", "template"])
+        looked.select("row", "hits").join(chosen, "row")
+        .select("row", "template", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("top"), h["word"]))).alias("h"))
+        .select("row", "template", "h.*").join(F.broadcast(places), ["word", "template"])
+        .select("row", "template", "word", (F.col("pos") - F.col("tpos")).alias("offset"))
     )
-    agreed = at.groupBy("row", "template", "n_top", (F.col("pos") - F.col("tpos")).alias("offset")).agg(F.count_distinct("word").alias("agree"), F.count_distinct("best").alias("best"))
-    aligned = looked.select("row", F.explode("keys").alias("k")).select("row", "k.*").distinct()
-    good = agreed.join(aligned, ["row", "template", "offset"], "left_semi").where(F.col("agree") >= AGREE).withColumn("share", F.col("best") / F.col("n_top"))
+    aligned = looked.select("row", F.explode("keys").alias("k")).select("row", "k.template", F.col("k.offset").alias("key")).distinct()
+    near = aligned.withColumn("offset", F.explode(F.sequence(F.col("key") - SLACK, F.col("key") + SLACK)))
+    agreed = at.join(near, ["row", "template", "offset"]).groupBy("row", "template", "key").agg(F.count_distinct("word").alias("agree"))
+    good = agreed.withColumn("share", F.col("agree") / F.array(*map(F.lit, wanted()))[F.col("template")]).where(F.col("share") >= SHARE)
     labels = F.array(*(F.lit(label) for label, _, _ in TEMPLATES))
     return good.groupBy("row").agg(F.collect_set(labels[F.col("template")]).alias("found"), F.max("share").alias("share"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The contract's columns. ``score``: 1 with a base phrase, else the best alignment's share of agreeing words."""
+    """The contract's columns. ``score``: 1 with a base phrase, else the share of rare words that agree with the best notice found, 0 without one."""
     found = written(scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "licences")
     extra = method_labels(found)
     out = found.drop("has", "hits", "keys").join(extra, "row", "left")
@@ -159,7 +169,7 @@ def query(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce(F.least("share", F.lit(1.0)), F.lit(0.0))).alias("score"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 
@@ -171,21 +181,23 @@ def places_by_hand(text: str | None) -> tuple[int, list[int], list[str]]:
     return len(w), sorted(i for i, _ in found), sorted({x for _, x in found})
 
 
-def labels_by_hand(texts: list[str | None]) -> list[set[str]]:
-    """The method's labels of some texts by its definition, for tests: every template at every place of its key phrase."""
+def labels_by_hand(texts: list[str | None]) -> list[dict[str, float]]:
+    """The method's labels of some texts, with their best shares, by its definition, for tests: every template at every place of its key phrase."""
     low = str.maketrans(UPPER, LOWER)
     split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low)) for t in texts]
-    known = set(licence_words())
-    df = {w: sum(w in set(x) for x in split) for w in known}
+    df = {w: sum(w in set(x) for x in split) for w in licence_words()}
     out = []
     for w in split:
-        mine = set()
+        mine: dict[str, float] = {}
         for (label, text, key), start in zip(TEMPLATES, key_starts()):
             t, k = text.split(), key.split()
-            top = sorted((set(w) & set(t)) - COMMON, key=lambda x: (-math.log((len(texts) + 1) / (df[x] + 0.5)), x))[:TOP]
-            for at in (i - start for i in range(len(w)) if w[i : i + len(k)] == k):
-                agree = {x for p, x in enumerate(t) if (x in top or x in set(k) - COMMON) and 0 <= at + p < len(w) and w[at + p] == x}
-                if len(agree) >= AGREE:
-                    mine.add(label)
+            outside = [(p, x) for p, x in enumerate(t) if x not in COMMON and not start <= p < start + len(k)]
+            rare = {x for _, x in outside}
+            top = sorted(rare & set(w), key=lambda x: (-math.log((len(texts) + 1) / (df[x] + 0.5)), x))[:TOP]
+            for i in (i for i in range(len(w)) if w[i : i + len(k)] == k):
+                agree = {x for p, x in outside if x in top and any(0 <= (at := i - start + p + d) < len(w) and w[at] == x for d in range(-SLACK, SLACK + 1))}
+                share = len(agree) / min(TOP, len(rare))
+                if share >= SHARE:
+                    mine[label] = max(mine.get(label, 0), share)
         out.append(mine)
     return out

@@ -120,14 +120,14 @@ def test_line_dedup_keeps_the_first_and_counts_exactly(spark):
 
 
 def test_license_places(spark):
-    cases = [(1, "Released under the MIT License. under the mit license"), (2, "Apache License, Version 2.0; CC BY-NC"), (3, "GNU General Public License, version 3 licensed"), (4, "mit license under the"), *EDGE]
+    cases = [(1, "Released under the MIT License. under the mit license"), (2, "Apache License, Version 2.0; CC BY-NC"), (3, "This is licensed under the GNU General Public License, version 3"), (4, "mit license under the"), *EDGE]
     got = {r["doc_id"]: r for r in licenses.query(frame(spark, cases)).collect()}
     for i, text in cases:
         n, places, labels = licenses.places_by_hand(text)
         r = got[i]
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (n, len(places), ",".join(labels))
         assert (r["first_word"], r["last_word"]) == ((places[0], places[-1]) if places else (None, None))
-    assert got[3]["labels"] == "gpl-3" and got[1]["labels"] == "mit" and 0 <= got[4]["score"] <= 1
+    assert got[3]["labels"] == "gpl-3" and got[1]["labels"] == "mit" and got[1]["score"] == 1 and got[4]["score"] == got[900]["score"] == got[901]["score"] == 0
     assert licenses.query(frame(spark, [])).count() == 0
 
 
@@ -145,11 +145,32 @@ def test_license_labels_equal_brute_force(spark):
         cases.append((i, " ".join(words).title() if i % 3 else " ".join(words)))
     cases += EDGE + [(0, cases[0][1])]
     got = licenses.query(frame(spark, cases)).collect()
-    want = [licenses.labels_by_hand([t for _, t in cases])[k] | set(licenses.places_by_hand(t)[2]) for k, (_, t) in enumerate(cases)]
-    assert sorted((str(i), ",".join(sorted(w))) for (i, _), w in zip(cases, want)) == sorted((str(x["doc_id"]), x["labels"]) for x in got)
+    hand = licenses.labels_by_hand([t for _, t in cases])
+    base = [licenses.places_by_hand(t)[2] for _, t in cases]
+    want = [set(h) | set(b) for h, b in zip(hand, base)]
+    score = [1 if b else round(max(h.values(), default=0), 6) for h, b in zip(hand, base)]
+    assert sorted((str(i), ",".join(sorted(w)), s) for (i, _), w, s in zip(cases, want, score)) == sorted((str(x["doc_id"]), x["labels"], round(x["score"], 6)) for x in got)
     assert any(len(w) > 1 for w in want) and any(not w for w in want)
 
 
+def test_licenses_need_more_than_the_key_phrase(spark):
+    r = random.Random(4)
+    said = ["we often discuss the mit license here", "the apache license of that project", "permission is hereby granted free of charge to enter the park", "the gnu general public license version 3", "hello world", None]
+    whole = [(label, text) for label, text, _ in licenses.TEMPLATES if len(text.split()) > 20]
+    edited = []
+    for (_, text), (_, _, key) in zip(whole, [t for t in licenses.TEMPLATES if len(t[1].split()) > 20]):
+        words, start = text.split(), text.split().index(key.split()[0])
+        for _ in range(2):
+            words[r.choice([p for p in range(len(words)) if not start - 3 <= p < start + 20] or [len(words) - 1])] = "thing"
+        edited.append(" ".join(words) + " and so on")
+    rows = list(enumerate([*said, *(t for _, t in whole), *edited]))
+    got = {x["doc_id"]: x for x in licenses.query(frame(spark, rows)).collect()}
+    assert all(got[k]["labels"] == "" and got[k]["score"] == 0 for k in range(len(said)))
+    for k, (label, _) in enumerate(whole):
+        assert label in got[len(said) + k]["labels"].split(",") and got[len(said) + k]["score"] == 1
+        assert label in got[len(said) + len(whole) + k]["labels"].split(",") and got[len(said) + len(whole) + k]["score"] >= 0.5
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     from pyspark.sql import functions as F
 
@@ -193,7 +214,7 @@ def test_licenses_keep_the_labels_of_each_notice(spark):
     assert not [(i, j) for i, j in pairs if not alone[i] | alone[j] <= got[100 * i + j]]
     apart = "Permission is hereby granted, free of charge. Files, documentation: associated software; copy obtaining person"
     rows = [(0, apart)] + [(k, "permission hereby granted free charge") for k in range(1, 30)]
-    assert {x["doc_id"]: x["labels"] for x in licenses.query(frame(spark, rows)).collect()}[0] == "mit"
+    assert {x["doc_id"]: x["labels"] for x in licenses.query(frame(spark, rows)).collect()}[0] == ""  # the key phrase, and the notice's words elsewhere
 
 
 def test_warc_round_trip(spark):
