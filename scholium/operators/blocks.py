@@ -1,4 +1,9 @@
-"""Exact inner products of many vectors: blocks of them meet as products of matrices, and only what is asked for leaves a task."""
+"""Exact inner products of many vectors: blocks of them meet as products of matrices, and only what is asked for leaves a task.
+
+Few queries are broadcast (``FEW``, counted first) and the vectors are scanned once where they lie. Otherwise blocks are dealt into groups of
+``HELD``; a task takes one group of either side, holds one and streams the other past it, so that a block is shipped once for each
+group of the other side, not for each block.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
+#: Queries that are broadcast, and blocks that a task holds.
+FEW, HELD = 2048, 64
+
 
 def blocks(vectors: DataFrame, rows: int = 1024) -> DataFrame:
     """Rows ``(block, ids, flat)`` of ``vectors (id, embedding)``: some ``rows`` vectors each, side by side in one array."""
@@ -20,17 +28,34 @@ def blocks(vectors: DataFrame, rows: int = 1024) -> DataFrame:
     return written(dealt.groupBy("block").agg(packed.alias("p")).select("block", F.col("p.id").alias("ids"), F.flatten("p.embedding").alias("flat")), "blocks")
 
 
-def _met(left: DataFrame, right: DataFrame, condition: F.Column) -> DataFrame:
-    """As many rows as pairs of blocks, spread over all tasks."""
-    a = left.select(F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("flat").alias("xa"))
-    b = right.select(F.col("block").alias("j"), F.col("ids").alias("ib"), F.col("flat").alias("xb"))
-    return a.join(b, condition).repartition(4 * left.sparkSession.sparkContext.defaultParallelism, "i", "j")
-
-
-def _products(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    for ia, xa, ib, xb, same in zip(pdf["ia"], pdf["xa"], pdf["ib"], pdf["xb"], pdf["i"] == pdf["j"]):
-        x, y = np.asarray(xa, float).reshape(len(ia), -1), np.asarray(xb, float).reshape(len(ib), -1)
-        yield np.asarray(ia), np.asarray(ib), np.round(x @ y.T, 6), bool(same)
+def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """Rows ``(i, j, side, block, ids, flat)``: the groups ``i`` of the left and ``j`` of the right side, the left one first. Without a
+    right side the left one meets itself, each pair of groups once."""
+    other = left if right is None else right
+    size = lambda df: max(1, -(-df.count() // HELD))
+    n, m = size(left), size(other)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    mine = left.withColumn("i", F.pmod("block", F.lit(n)).cast("int")).withColumn("j", every(m)).withColumn("side", F.lit(0))
+    yours = other.withColumn("j", F.pmod("block", F.lit(m)).cast("int")).withColumn("i", every(n)).withColumn("side", F.lit(1))
+    both = mine.unionByName(yours).where("i <= j" if right is None else "true")
+    return both.repartition(min(n * m, 1 << 16), "i", "j").sortWithinPartitions("i", "j", "side", "block").select("i", "j", "side", "block", "ids", "flat")
+
+
+def _products(batches: Iterator[pd.DataFrame], once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Ids of two blocks, their products to six digits, and whether they are one block; ``once`` for a side that meets itself."""
+    at, held = None, []
+    for pdf in batches:
+        for i, j, side, block, ids, flat in zip(*(pdf[c] for c in ("i", "j", "side", "block", "ids", "flat"))):
+            x = np.array(flat, float).reshape(len(ids), -1)
+            if (i, j) != at:
+                at, held = (i, j), []
+            if side == 0:
+                held.append((block, np.array(ids), x))
+                continue
+            for mine, ia, xa in held:
+                if once and i == j and mine > block:
+                    continue
+                yield ia, np.asarray(ids), np.round(xa @ x.T, 6), once and mine == block
 
 
 def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFrame:
@@ -38,17 +63,35 @@ def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFra
 
     Exact: every block of vectors meets every other once; only pairs found leave a task.
     """
-    own = blocks(vectors, rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ia, ib, sim, same in _products(pdf):
-                u, v = np.nonzero(sim >= least)
-                a, b = ia[u], ib[v]
-                keep = (a < b) if same else (a != b)
-                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[u, v][keep]})
-
-    return _met(own, own, F.col("i") <= F.col("j")).mapInPandas(run, "a long, b long, sim double")
+        for ia, ib, sim, same in _products(batches, True):
+            u, v = np.nonzero(sim >= least)
+            a, b = ia[u], ib[v]
+            keep = (a < b) if same else (a != b)
+            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[u, v][keep]})
+
+    return _met(blocks(vectors, rows)).mapInPandas(run, "a long, b long, sim double")
+
+
+def best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int, least: float) -> pd.DataFrame:
+    """The ``k`` nearest of each query in a matrix of products, itself left out; ties go to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, sim = ids[order], sim[:, order]
+    sim = np.where((qids[:, None] == ids[None, :]) | (sim < least), -np.inf, sim)
+    if sim.shape[1] > 4 * k:
+        # What is under a query's k-th largest product cannot be among the first k.
+        floor = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k][:, None]
+        u, v = np.nonzero((sim >= floor) & (sim > -np.inf))
+        found = pd.DataFrame({"q": u, "v": v, "s": sim[u, v]}).sort_values(["q", "s", "v"], ascending=[True, False, True], kind="stable")
+        found = found[found.groupby("q").cumcount() < k]
+        u, v = found["q"].to_numpy(), found["v"].to_numpy()
+    else:
+        first = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        u, v = np.repeat(np.arange(len(qids)), first.shape[1]), first.ravel()
+        keep = sim[u, v] > -np.inf
+        u, v = u[keep], v[keep]
+    return pd.DataFrame({"qid": qids[u], "id": ids[v], "sim": sim[u, v]})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.inf, rows: int = 1024) -> DataFrame:
@@ -56,21 +99,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.i
 
     Exact. A block hands on at most ``k`` rows a query; ties go to the smaller id. Products under ``least`` are left out.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ia, ib, sim, _ in _products(pdf):
-                order = np.argsort(ib, kind="stable")
-                ib, sim = ib[order], sim[:, order]
-                sim = np.where((ia[:, None] == ib[None, :]) | (sim < least), -np.inf, sim)
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                u, v = np.repeat(np.arange(len(ia)), best.shape[1]), best.ravel()
-                keep = sim[u, v] > -np.inf
-                u, v = u[keep], v[keep]
-                yield pd.DataFrame({"qid": ia[u], "id": ib[v], "sim": sim[u, v]})
+    from .retrieval import top_k
 
     types = dict(queries.dtypes)["id"], dict(vectors.dtypes)["id"]
-    found = _met(blocks(queries, rows), blocks(vectors, rows), F.lit(True)).mapInPandas(run, f"qid {types[0]}, id {types[1]}, sim double")
-    from .retrieval import top_k
+    schema, order = f"qid {types[0]}, id {types[1]}, sim double", [F.desc("sim"), F.col("id")]
+    some = queries.select("id", "embedding").where("embedding is not null").limit(FEW + 1).toPandas()
+    if len(some) <= FEW:
+        asked = np.array(some["id"]), np.array(some["embedding"].tolist(), float).reshape(len(some), -1)
+        shared = vectors.sparkSession.sparkContext.broadcast(asked)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, x = shared.value
+            for pdf in batches:
+                for at in range(0, len(pdf) if len(qids) else 0, rows):
+                    part = pdf.iloc[at : at + rows]
+                    yield best(qids, part["id"].to_numpy(), np.round(x @ np.array(part["embedding"].tolist(), float).T, 6), k, least)
+
+        return top_k(vectors.select("id", "embedding").where("embedding is not null").mapInPandas(scan, schema), ["qid"], order, k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ia, ib, sim, _ in _products(batches, False):
+            yield best(ia, ib, sim, k, least)
 
-    return top_k(found, ["qid"], [F.desc("sim"), F.col("id")], k)
+    return top_k(_met(blocks(queries, rows), blocks(vectors, rows)).mapInPandas(run, schema), ["qid"], order, k)

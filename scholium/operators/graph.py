@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import numbered, written
+from .ann import Index, search
 from .blocks import nearest, similar_pairs  # noqa: F401  (part of this module's interface)
 from .components import connected_components
 from .retrieval import top_k
@@ -81,10 +82,11 @@ def bridges(entities: DataFrame, least: int = 2) -> DataFrame:
     return entities.groupBy("id").agg(F.array_sort(F.collect_set("doc")).alias("docs")).where(F.size("docs") >= least)
 
 
-def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8, known: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """``vectors (id, embedding, docs)``: each one's k nearest (itself included), then those similar enough with disjoint documents that
-    ``known (a, b)``, in either order, does not hold yet."""
-    near = nearest(vectors, vectors, k - 1).select(F.col("qid").alias("a"), F.col("id").alias("b"), "sim").where(F.col("sim") >= least)
+    ``known (a, b)``, in either order, does not hold yet. With an ``index`` of the vectors the nearest are those of its probed lists."""
+    found = search(index, vectors, k - 1) if index else nearest(vectors, vectors, k - 1)
+    near = found.select(F.col("qid").alias("a"), F.col("id").alias("b"), "sim").where(F.col("sim") >= least)
     of = lambda end, name: vectors.select(F.col("id").alias(end), F.col("docs").alias(name))
     kept = near.join(of("a", "da"), "a").join(of("b", "db"), "b").where(~F.arrays_overlap("da", "db"))
     pairs = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.lineage import written
+from .ann import Index, search
 from .blocks import nearest
 
 
@@ -37,9 +38,12 @@ def trigram_join(names: DataFrame, least: float) -> DataFrame:
     return out.where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def resolve_by_embedding(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, k: int = 5) -> DataFrame:
-    """``(id, name, type, embedding)`` rows to ``(new_id, old_id, sim, band)``: the first of the k nearest that qualifies."""
-    near = nearest(old.select("id", "embedding"), new.select("id", "embedding"), k, 0.9 * threshold).select(F.col("qid").alias("new_id"), F.col("id").alias("old_id"), "sim", F.col("rank").alias("rn"))
+def resolve_by_embedding(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, k: int = 5, index: Index | None = None) -> DataFrame:
+    """``(id, name, type, embedding)`` rows to ``(new_id, old_id, sim, band)``: the first of the k nearest that qualifies. With an ``index`` of
+    ``old`` only its probed lists are looked at."""
+    asked = new.select("id", "embedding")
+    found = search(index, asked, k, 0.9 * threshold) if index else nearest(old.select("id", "embedding"), asked, k, 0.9 * threshold)
+    near = found.select(F.col("qid").alias("new_id"), F.col("id").alias("old_id"), "sim", F.col("rank").alias("rn"))
     named = near.join(new.select(F.col("id").alias("new_id"), F.col("name").alias("na"), F.col("type").alias("ta")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb"), F.col("type").alias("tb")), "old_id")
     typed = named.where((F.col("ta") == F.col("tb")) | (F.col("ta") == "concept"))
     high = (F.col("sim") >= threshold) & (X.gram_jaccard(F.lower("na"), F.lower("nb")) >= name_overlap)
@@ -85,9 +89,11 @@ def new_relations(relations: DataFrame, names: DataFrame, known: DataFrame) -> D
     return ends.select("source_id", "target_id", "relation_type").distinct().join(known.distinct(), ["source_id", "target_id", "relation_type"], "left_anti")
 
 
-def repeated_vectors(new: DataFrame, old: DataFrame, least: float = 0.95) -> DataFrame:
-    """The rows of ``new (id, embedding)`` that have a vector of ``old`` within ``least``."""
-    return new.join(nearest(old.select("id", "embedding"), new.select("id", "embedding"), 1, least).select(F.col("qid").alias("id")), "id", "left_semi")
+def repeated_vectors(new: DataFrame, old: DataFrame, least: float = 0.95, index: Index | None = None) -> DataFrame:
+    """The rows of ``new (id, embedding)`` that have a vector of ``old`` within ``least``; with an ``index`` of ``old``, one in its probed lists."""
+    asked = new.select("id", "embedding")
+    found = search(index, asked, 1, least) if index else nearest(old.select("id", "embedding"), asked, 1, least)
+    return new.join(found.select(F.col("qid").alias("id")), "id", "left_semi")
 
 
 def named_in(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", least: float = 0.5, shortest: int = 3) -> DataFrame:

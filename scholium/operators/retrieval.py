@@ -25,6 +25,11 @@ def token_stats(posts: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
+def score_part(avgdl: float) -> Column:
+    """What a token adds to a document's BM25 score, of ``times``, ``idf``, ``tf`` and ``dl``."""
+    return F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(avgdl, 1.0)))
+
+
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key. Spark keeps k rows a task and key before the shuffle, so that hot keys do not gather."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
@@ -42,12 +47,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """
     asked = written(queries.select(F.col(query_id).alias("qid"), F.explode(X.tokens(F.col(query_text))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times")), "asked")
     words = tokenised(docs, id_col, text_col)
-    n, avgdl = words.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    n, avgdl = words.agg(F.count(F.lit(1)), F.avg(F.coalesce(F.size("w"), F.lit(0)))).first()  # a null text is an empty one
     each = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
     posts = written(each.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
     idf = token_stats(posts, n or 0).select("token", "idf")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(avgdl or 0.0, 1.0)))
-    hits = asked.join(idf, "token").join(posts, "token").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    hits = asked.join(idf, "token").join(posts, "token").groupBy("qid", "id").agg(F.sum(score_part(avgdl or 0.0)).alias("score"))
     return top_k(hits.where("score > 0"), ["qid"], [F.round("score", 9).desc(), F.col("id")], k)
 
 

@@ -39,7 +39,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def cleared(spark: SparkSession) -> None:
     """Delete what this application has put down, once no frame that reads it is needed any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    deleted(spark, run_dir(spark))
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -43,7 +43,10 @@ from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_dot_
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts that come in few files, or in one large group of rows, are dealt to all cores, since what is done with them is work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() <= cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,8 @@ it stopped; a batch that is run again replaces what it wrote."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.retrieval import postings
-from ..plans.lineage import new_path
+from ..operators.keywords import KeywordIndex
+from ..plans.lineage import new_path, written
+from .tables import KeyedTable
 
 STATUS = {"click": "shortlisted", "signup": "queued", "view": "ingesting", "purchase": "ingested"}
 
@@ -25,9 +28,11 @@ def _stream(spark: SparkSession, path: str, files: int | None = None) -> DataFra
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/{name}*")
 
 
-def _run(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], check: str) -> None:
+def _run(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None], check: str) -> list[dict]:
+    """Run a query to the end of what is there; its progress by batch."""
     query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
     query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
 
 def _finished(df: DataFrame, mode: str, name: str) -> DataFrame:
@@ -83,9 +88,40 @@ def state_stream(spark: SparkSession, path: str, files: int | None = None) -> Da
     return _finished(kept, "update", "states").groupBy("paper_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("refused", "batch").alias("refused"))
 
 
-def dedup_stream(spark: SparkSession, path: str, key: str, files: int | None = None) -> DataFrame:
-    """Rows ``(<key>)``: what arrives for the first time; known keys are state."""
-    return _finished(_stream(spark, path, files).select(key).dropDuplicates([key]), "append", "firsts")
+class Firsts:
+    """What arrives for the first time, with state that does not grow with the keys: repeats within ``delay`` of event time go by the stream's
+    state, which forgets a key when the watermark passes; later ones, which the state no longer knows, go because the table of known
+    keys holds them. So every key is registered once, whatever the batches, and a late repeat is dropped like any other.
+
+    ``progress`` holds, for each batch, the keys in state.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, delay: str = "1 hour", folder: str | None = None, buckets: int = 16):
+        self.spark, self.key, self.delay = spark, key, delay
+        self.folder, self.buckets, self.progress = folder or new_path(spark, "firsts"), buckets, []
+
+    def run(self, path: str, files: int | None = None, ts: str = "ts") -> Firsts:
+        arriving = _stream(self.spark, path, files).select(self.key, F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", self.delay)
+        kind = dict(arriving.dtypes)[self.key]
+        self.known = KeyedTable(self.spark, f"{self.key} {kind}, batch long", self.key, f"{self.folder}/known", self.buckets)
+
+        def batch(rows: DataFrame, number: int) -> None:
+            new = rows.select(self.key).distinct().persist()
+            fresh = lambda old: old.unionByName(new.join(old, self.key, "left_anti").withColumn("batch", F.lit(number).cast("long")))
+            self.known.change(new, fresh, f"batch{number}")
+            new.unpersist()
+
+        once = arriving.dropDuplicatesWithinWatermark([self.key])
+        self.progress += [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in _run(once, "append", batch, f"{self.folder}/checkpoint")]
+        return self
+
+    def keys(self) -> DataFrame:
+        return self.known.read()
+
+
+def dedup_stream(spark: SparkSession, path: str, key: str, files: int | None = None, delay: str = "1 hour") -> DataFrame:
+    """Rows ``(<key>)``: what arrives for the first time."""
+    return Firsts(spark, key, delay).run(path, files).keys().select(key)
 
 
 def windowed_stream(spark: SparkSession, path: str, length: str = "1 hour", delay: str = "10 minutes", files: int | None = None) -> DataFrame:
@@ -95,39 +131,135 @@ def windowed_stream(spark: SparkSession, path: str, length: str = "1 hour", dela
     return _finished(counts.select("window.start", "event_type", "n"), "append", "windows")
 
 
+def session_stream(spark: SparkSession, path: str, gap: str = "30 minutes", delay: str = "10 minutes", files: int | None = None) -> DataFrame:
+    """Rows ``(user_id, start, end, n)``: a user's events, each within ``gap`` of the one before, as one session; open sessions are state that
+    merges as events arrive, and are emitted when the watermark passes their end. Those still open at the end of the data are not."""
+    events = _stream(spark, path, files).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    counts = events.groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return _finished(counts.select("user_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n"), "append", "sessions")
+
+
+class ChangeSync:
+    """A change log ``(seq, id, op, payload)`` applied to a table of nodes as it arrives, in any order and split, once however often a
+    batch or an event is delivered: the result is that of ``registry.replayed`` over all events.
+
+    A node is its last add's payload, with one mention and one more for each merge of a higher ``seq``. Merges stay as rows until the
+    high-water mark, the highest ``seq`` less ``late``, passes them; then they are a number. What arrives at or under the mark is
+    counted as applied already and passed over, so ``late`` is the disorder that is allowed for.
+    """
+
+    SCHEMA = "id long, kind string, seq long, payload string, settled long"
+
+    def __init__(self, spark: SparkSession, late: int = 1_000_000, folder: str | None = None, buckets: int = 16):
+        self.spark, self.late, self.folder = spark, late, folder or new_path(spark, "sync")
+        self.table = KeyedTable(spark, self.SCHEMA, "id", f"{self.folder}/nodes", buckets)
+
+    def apply(self, events: DataFrame, tag: str) -> None:
+        if self.table.done(tag):
+            return
+        mark = self.table.noted()
+        mark = -1 if mark is None else mark
+        events = events.select("seq", "id", "op", F.col("payload").cast("string").alias("payload")).where(F.col("seq") > mark).persist()
+        top = events.agg(F.max("seq")).first()[0]
+        after = mark if top is None else max(mark, top - self.late)
+        new = events.select("id", F.when(F.col("op") == "add", "node").otherwise("merge").alias("kind"), "seq", "payload", F.lit(0).cast("long").alias("settled"))
+
+        def made(old: DataFrame) -> DataFrame:
+            rows = old.unionByName(new)
+            # One add decides; of a merge delivered twice one counts.
+            node = rows.where("kind = 'node'").groupBy("id").agg(F.max(F.struct("seq", "settled", "payload")).alias("a"))
+            merges = rows.where("kind = 'merge'").select("id", "seq").distinct().join(node, "id", "left").where("a is null or seq > a.seq")
+            done = merges.where((F.col("seq") <= after) & F.col("a").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("more"))
+            nodes = node.join(done, "id", "left").select("id", F.lit("node").alias("kind"), "a.seq", "a.payload", (F.col("a.settled") + F.coalesce("more", F.lit(0))).alias("settled"))
+            return nodes.unionByName(merges.where(F.col("seq") > after).select("id", F.lit("merge").alias("kind"), "seq", F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("settled")))
+
+        self.table.change(events, made, tag, after)
+        events.unpersist()
+
+    def run(self, changes: DataFrame) -> ChangeSync:
+        _run(changes, "append", lambda rows, number: self.apply(rows, f"batch{number}"), f"{self.folder}/checkpoint")
+        return self
+
+    def nodes(self) -> DataFrame:
+        """Rows ``(id, payload, mentions)``."""
+        rows = self.table.read()
+        node, open_ = rows.where("kind = 'node'"), rows.where("kind = 'merge'").groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+        return node.join(open_, "id", "left").select("id", "payload", (1 + F.col("settled") + F.coalesce("k", F.lit(0))).alias("mentions"))
+
+
 class Ingest:
-    """Documents ``(doc_id, text)`` ingested as their files arrive: postings are appended by batch, every document's outcome is noted, and
-    after each ``scan_every`` documents ``scan`` is called with the index so far.
+    """Documents ``(doc_id, text)`` ingested as their files arrive, by the registry's states: what arrives is marked ``ingesting``, the work is
+    done, and the outcome noted, ``ingested`` or ``failed`` with its error. A document that is ingested, or being ingested by another
+    batch, is refused; a failed one is taken when it arrives again. After each ``scan_every`` documents ``scan`` is called with the postings.
 
-    ``run`` may be called again, in another session too: the checkpoint resumes after the last finished batch. Index statistics are
-    sums over the batches, so that no batch reads an earlier one's postings.
+    The work adds a segment to the keyword index and makes ``work (doc_id, text) -> (doc_id, error)``, null for success. ``run`` may be called
+    again, in another session too: a batch that broke off is run again by the checkpoint, finds its own documents ``ingesting`` and
+    ends them; ``requeue`` takes those that no batch will end back to ``queued``. Of rows of one id in a batch the greatest text counts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, scan_every: int = 5, scan: Callable[[DataFrame], None] | None = None):
+    SCHEMA = "doc_id long, status string, error string, batch long, refused long"
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, scan_every: int = 5, scan: Callable[[DataFrame], None] | None = None, work: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.folder = spark, folder or new_path(spark, "ingest")
-        self.scan_every, self.scan = scan_every, scan
+        self.scan_every, self.scan, self.work = scan_every, scan, work
+        self.index = KeywordIndex(spark, f"{self.folder}/index")
+        self.states = KeyedTable(spark, self.SCHEMA, "doc_id", f"{self.folder}/registry")
+
+    def batch(self, docs: DataFrame, number: int) -> None:
+        if self.states.done(f"batch{number}-ended"):
+            return
+        docs = docs.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
+        mine = (F.col("status") == "ingesting") & (F.col("batch") == number)
+        taken = F.coalesce(F.col("status").isin("shortlisted", "queued", "failed"), F.lit(True)) | mine
+        kept = lambda old: old.join(docs.select("doc_id"), "doc_id", "left_anti")
+        row = lambda status, error: (status.alias("status"), error.alias("error"), F.lit(number).cast("long").alias("batch"), F.coalesce("refused", F.lit(0)).alias("refused"))
+        none = F.lit(None).cast("string")
+
+        def begun(old: DataFrame) -> DataFrame:
+            met = docs.select("doc_id").join(old, "doc_id", "left")
+            refused = met.where(~taken).withColumn("refused", F.col("refused") + 1).select(*old.columns)
+            return kept(old).unionByName(met.where(taken).select("doc_id", *row(F.lit("ingesting"), none))).unionByName(refused)
+
+        self.states.change(docs, begun, f"batch{number}-begun")
+        todo = docs.join(self.states.read().where(mine).select("doc_id"), "doc_id", "left_semi").persist()
+        before = self.index.sizes()[0]
+        self.index.add(todo.where("text is not null"), number)
+        error = F.when(F.col("text").isNull(), "no text")
+        ended = todo.select("doc_id", error.alias("said"))
+        if self.work:
+            ended = written(ended.join(self.work(todo.where("text is not null")).select("doc_id", F.col("error").alias("broke")), "doc_id", "left").select("doc_id", F.coalesce("said", "broke").alias("said")), "outcomes")
+
+        def noted(old: DataFrame) -> DataFrame:
+            met = old.join(ended, "doc_id")
+            out = met.select("doc_id", *row(F.when(F.col("said").isNull(), "ingested").otherwise("failed"), F.col("said")))
+            return old.join(ended.select("doc_id"), "doc_id", "left_anti").unionByName(out)
+
+        self.states.change(todo, noted, f"batch{number}-ended")
+        todo.unpersist()
+        docs.unpersist()
+        if self.scan and self.index.sizes()[0] // self.scan_every > before // self.scan_every:
+            self.scan(self.postings())
 
     def run(self, path: str, files: int | None = None) -> Ingest:
-        def batch(docs: DataFrame, number: int) -> None:
-            docs = docs.select("doc_id", "text").persist()
-            status = F.when(F.col("text").isNull(), "failed").otherwise("ingested")
-            docs.select("doc_id", status.alias("status"), F.when(F.col("text").isNull(), "no text").alias("error")).write.mode("overwrite").parquet(f"{self.folder}/registry/batch={number}")
-            postings(docs.where("text is not null"), "doc_id", "text").write.mode("overwrite").parquet(f"{self.folder}/postings/batch={number}")
-            docs.unpersist()
-            done = self.registry().where("status = 'ingested'").groupBy(F.col("batch") == number).count().collect()
-            new, before = (sum(r["count"] for r in done if r[0] == flag) for flag in (True, False))
-            if self.scan and (before + new) // self.scan_every > before // self.scan_every:
-                self.scan(self.postings())
-
-        _run(_stream(self.spark, path, files), "append", batch, f"{self.folder}/checkpoint")
+        _run(_stream(self.spark, path, files).select("doc_id", "text"), "append", self.batch, f"{self.folder}/checkpoint")
         return self
 
+    def requeue(self) -> int:
+        """Failed documents, and those left ``ingesting``, to ``queued``; how many there were."""
+        stuck = self.registry().where("status in ('failed', 'ingesting')").persist()
+        n = stuck.count()
+        if n:
+            again = F.col("status").isin("failed", "ingesting")
+            self.states.change(stuck, lambda old: old.withColumn("status", F.when(again, "queued").otherwise(F.col("status"))), f"requeue{uuid.uuid4().hex}")
+        stuck.unpersist()
+        return n
+
     def registry(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, status string, error string, batch long").parquet(f"{self.folder}/registry")
+        return self.states.read()
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("id long, dl int, token string, tf long, batch long").parquet(f"{self.folder}/postings")
+        return self.index.postings()
 
     def tokens(self) -> DataFrame:
         """Rows ``(token, df, uses)``."""
-        return self.postings().groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
+        return self.index.stats().select("token", "df", "uses")
