@@ -4,8 +4,9 @@ Distinct fingerprints are grouped into cells by population counts (of 16-bit lan
 band of text lengths); a cell's fingerprints form tiles of bounded size. Two tiles are compared, all against all with numpy
 exclusive-or and bit counts, only where the population counts of their cells differ by no more than the radius allows. A
 comparison returns a spanning forest of the links it found, never all pairs, and the forests meet in connected components.
-Near-duplicates by Jaccard similarity take the same tiles to find the documents that have a candidate at all; those meet
-again in small tiles that carry their shingle sets, where candidates are compared exactly and, again, a forest is returned.
+Near-duplicates by Jaccard similarity take the same tiles to find candidates, again as forests; the documents of a component of candidates
+meet in small tiles that carry their shingle sets, where they are compared exactly. What is carried grows with the documents that
+have candidates, and with the square of a group of them only beyond a tile.
 
 Nulls, empty texts: fingerprint zero, linked like any other. A null id gets a row with a null component. Repeated rows have
 equal fingerprints, hence one class. An empty table gives an empty result. Further columns of the input are ignored.
@@ -36,7 +37,7 @@ SHORT, SHORT_BITS = 6, 2.75
 #: Tiles that meet another one in one share of work, and tiles up to whose number the list of them is broadcast.
 GROUP, FEW = 24, 1 << 20
 #: Hashes of a set that one row carries, rows of them and whole tiles that go to a Python worker at once.
-PIECE, PIECES, WHOLE = 1 << 14, 256, 64
+PIECE, PIECES, WHOLE = 1 << 14, 256, 32
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -168,33 +169,44 @@ def radius_for(similarity: float, words: int, deviations: float = 4) -> int:
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _tiles(reps: DataFrame, offsets: list[int], tiles: F.Column, where: str = "true") -> tuple[DataFrame, DataFrame]:
+def _tiles(reps: DataFrame, offsets: list[int], tiles: F.Column) -> tuple[DataFrame, DataFrame]:
     """A number of its tile (``part``) for each ``rep``, and rows ``(target, slots, n_shares)``: a cell's tiles, and into how many shares of
     about ``GROUP`` what meets one of them is dealt, so that what one share reads does not grow with the input.
 
-    ``tiles``: into how many tiles a cell is cut, an aggregate of its rows with ``where``, one for each ``rep``; never more than these,
-    and only tiles in which a row lies.
+    ``tiles``: into how many tiles a cell is cut, an aggregate of its rows; never more than rows, and only tiles in which a row lies.
     """
     # One row for each cell: at most 17**4 lane counts, or length bands times population bands, whatever the input's size.
-    sizes = written(reps.where(where).groupBy("cell").agg(F.least(F.count(F.lit(1)), F.ceil(tiles)).cast("int").alias("n_tiles")), "sizes")
+    sizes = written(reps.groupBy("cell").agg(F.least(F.count(F.lit(1)), F.ceil(tiles)).cast("int").alias("n_tiles")), "sizes")
     dealt = reps.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_tiles")).cast("int")).drop("n_tiles")
-    full = written(dealt.where(where).groupBy("cell").agg(F.collect_set("part").alias("slots")), "slots")
+    full = written(dealt.groupBy("cell").agg(F.collect_set("part").alias("slots")), "slots")
     met = full.select(F.explode(F.array(*(F.col("cell") + F.lit(o) for o in offsets))).alias("target"), F.size("slots").alias("n")).groupBy("target").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("n_shares"))
     there = full.select(F.col("cell").alias("target"), "slots").join(met, "target")
     few = (full.agg(F.sum(F.size("slots"))).first()[0] or 0) <= FEW
     return dealt, F.broadcast(there) if few else there
 
 
-def _work(rows: DataFrame, there: DataFrame, offsets: list[int], *order: str) -> DataFrame:
+def _grouped(sets: DataFrame, tiles: F.Column) -> DataFrame:
+    """``sets`` with their tile (``part``) in their component (``cell``), its ``slots`` and ``n_shares`` as of ``_tiles``; most components are one tile."""
+    large = sets.where("piece = 0").groupBy("cell").agg(F.least(F.count(F.lit(1)), F.ceil(tiles)).cast("int").alias("n_tiles")).where("n_tiles > 1")
+    large = written(large, "large")
+    some = F.broadcast if large.count() <= FEW // 16 else (lambda df: df)
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("n_tiles", F.lit(1))).cast("int")
+    dealt = sets.join(some(large), "cell", "left").withColumn("part", part).drop("n_tiles")
+    full = written(dealt.where("piece = 0").join(some(large.select("cell")), "cell", "left_semi").groupBy("cell").agg(F.collect_set("part").alias("slots")), "slots")
+    return dealt.join(some(full), "cell", "left").withColumn("slots", F.coalesce("slots", F.array(F.lit(0)))).withColumn("n_shares", F.ceil(F.size("slots") / GROUP).cast("int"))
+
+
+def _work(rows: DataFrame, there: DataFrame | None, offsets: list[int], *order: str) -> DataFrame:
     """Rows ``(target, slot, share, own, ...)``: what stands in tiles that meet the tile ``slot`` of the cell ``target``, by share; and
-    that tile itself for each share (``own`` 1, and 2 for the one in which it is compared with itself)."""
+    that tile itself for each share (``own`` 1, and 2 for the one in which it is compared with itself). ``there`` is of ``_tiles``, or None where
+    ``rows`` hold it and cells meet themselves alone."""
     moved = rows.withColumn("off", F.explode(F.array(*map(F.lit, offsets)))).withColumn("target", F.col("cell") + F.col("off"))
-    placed = moved.join(there, "target").withColumn("slot", F.explode("slots")).where("off > 0 or part <= slot")
+    placed = (moved if there is None else moved.join(there, "target")).withColumn("slot", F.explode("slots")).where("off > 0 or part <= slot")
     mine = (F.col("off") == 0) & (F.col("slot") == F.col("part"))
     shares = F.when(mine, F.sequence(F.lit(0), F.col("n_shares") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cell", "part"), F.col("n_shares")).cast("int")))
     return (
         placed.withColumn("share", F.explode(shares)).withColumn("own", F.when(~mine, 0).when(F.col("share") == 0, 2).otherwise(1))
-        .select("target", "slot", "share", "own", *rows.columns)
+        .select("target", "slot", "share", "own", *(c for c in rows.columns if c not in ("slots", "n_shares")))
         .repartition(4 * partitions(rows.sparkSession), "target", "slot", "share").sortWithinPartitions("target", "slot", "share", F.col("own").desc(), "cell", "part", *order)
     )
 
@@ -330,12 +342,12 @@ def linked(a: tuple[np.ndarray, Sets], b: tuple[np.ndarray, Sets] | None, simila
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 2048, small: int = 256, hashes: int = 1 << 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 8192, small: int = 256, hashes: int = 1 << 16) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``: classes of documents linked by a Jaccard similarity of their shingle sets.
 
-    Fingerprints of the distinct shingles, ``words`` of 64 bits, only say which documents may have a partner. Those alone meet
-    again, in tiles of ``small`` documents or ``hashes`` shingles, where every candidate is compared by its whole set unless
-    verified links already connect the two. A large group of near copies, linked or not, makes no rows for its pairs.
+    Fingerprints of the distinct shingles, ``words`` of 64 bits, only say which documents may be linked, as a forest. The documents of
+    one of its components meet again, in tiles of ``small`` documents or ``hashes`` shingles, where every candidate is compared by
+    its whole set unless verified links already connect the two. A large group of near copies, linked or not, makes no rows for its pairs.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n long, sig long, fp array<long>"
@@ -348,13 +360,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """As ``run``, with the sets: a set that is longer than ``PIECE`` takes several rows."""
         rows, size = [], 0
-        made = lambda: pd.DataFrame(rows, columns=["doc_id", "n", "sig", "fp", "piece", "s"]).astype({"doc_id": "Int64"})
+        made = lambda: pd.DataFrame(rows, columns=["doc_id", "n", "sig", "fp", "cell", "piece", "s"]).astype({"doc_id": "Int64"})
         for pdf in few_rows(batches):
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, text, cell in zip(pdf["doc_id"], pdf["text"], pdf["cell"]):
                 x = shingle_set(text, shingle)
                 f, sig = set_fingerprint(x, words)
                 for k in range(0, max(len(x), 1), PIECE):
-                    rows.append((doc_id, len(x), sig, np.array(f, np.uint64).view(np.int64), k // PIECE, x[k : k + PIECE].view(np.int64)))
+                    rows.append((doc_id, len(x), sig, np.array(f, np.uint64).view(np.int64), cell, k // PIECE, x[k : k + PIECE].view(np.int64)))
                     size += PIECE if len(x) > PIECE else len(x)
                     if size >= 1 << 20:
                         yield made()
@@ -368,22 +380,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     reps = written(fps.groupBy(*same).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain = [0, *range(2, 3 + words)]
-        for own, other in _met(batches, lambda rows: np.array(rows[0][0], np.int64).reshape(-1, 3 + words)):
+        for own, other in _met(batches, lambda rows: np.array(rows[0][0], np.int64).reshape(-1, 2 + words)):
             you = own if other is None else other
-            near, far = np.zeros(len(own), bool), np.zeros(len(you), bool)
-            for i, j in candidates(own[:, plain], None if other is None else other[:, plain], similarity):
-                near[i] = far[j] = True
-            found = np.concatenate([own[near, :2], you[far, :2]])
-            if len(found):
-                yield pd.DataFrame({"doc_id": found[:, 0], "sig": found[:, 1]})
+            shift = 0 if other is None else len(own)
+            label = np.arange(len(own) + (0 if other is None else len(you)))
+            for i, j in candidates(own, other, similarity):
+                _merge(label, i, j + shift)
+            ids = own[:, 0] if other is None else np.concatenate([own[:, 0], you[:, 0]])
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield pd.DataFrame({"src": ids[moved], "dst": ids[label[moved]]})
 
     dealt, there = _tiles(reps, offsets, F.count(F.lit(1)) / tile)
     with arrow_rows(docs.sparkSession, WHOLE):
-        ends = written(_work(_flat(dealt, F.concat(F.array("rep", "sig", "n"), "fp")), there, offsets).mapInPandas(search, "doc_id long, sig long").distinct(), "ends")
-    some = texts.join(ends.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(pieces, schema + ", piece int, s array<long>")
-    # Of an id with several texts, those count that were found above.
-    sets = written(some.join(ends, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig", "piece"]).withColumn("cell", key).withColumnRenamed("doc_id", "rep"), "sets")
+        likely = written(_work(_flat(dealt, F.concat(F.array("rep", "n"), "fp")), there, offsets).mapInPandas(search, "src long, dst long"), "likely")
+    groups = written(connected_components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("cell")), "groups")
+    # Of an id with several texts all come along.
+    some = texts.join(groups, "doc_id").mapInPandas(pieces, f"{schema}, cell long, piece int, s array<long>")
+    sets = written(some.dropDuplicates(["doc_id", "sig", "piece"]).withColumnRenamed("doc_id", "rep"), "sets")
 
     def parsed(rows: list[tuple]) -> tuple[np.ndarray, Sets]:
         # Rows (rep, n, sig, fp, piece, s), the pieces of a set one after another.
@@ -396,8 +410,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             if len(links := linked(own, other, similarity)):
                 yield pd.DataFrame({"src": links[:, 0], "dst": links[:, 1]})
 
-    dealt, there = _tiles(sets, offsets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes), "piece = 0")
-    work = _work(dealt.select("cell", "part", "rep", "n", "sig", "fp", "piece", "s"), there, offsets, "rep", "sig", "piece")
+    dealt = _grouped(sets, F.greatest(F.count(F.lit(1)) / small, F.sum("n") / hashes))
+    work = _work(dealt.select("cell", "part", "slots", "n_shares", "rep", "n", "sig", "fp", "piece", "s"), None, [0], "rep", "sig", "piece")
     with arrow_rows(docs.sparkSession, PIECES):
         links = written(work.mapInPandas(verify, "src long, dst long"), "links")
     found = connected_components(links)
