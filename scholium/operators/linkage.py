@@ -51,13 +51,55 @@ def resolve_by_embedding(new: DataFrame, old: DataFrame, threshold: float = 0.85
     return good.withColumn("first", F.row_number().over(W.partitionBy("new_id").orderBy("rn"))).where("first = 1").select("new_id", "old_id", "sim", "band")
 
 
-def resolved(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, entropy: float = 1.5, shortest: int = 6, few: int = 5, ambiguous: float = 0.5) -> DataFrame:
+def in_order(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, k: int = 5) -> DataFrame:
+    """Rows ``(ord, founded, found, band)`` for ``new (ord, name, type, embedding)``, as if its rows came one by one: each meets ``old (id, name, type,
+    embedding)`` and what earlier rows founded, and takes the first of the k nearest that qualifies (``founded`` tells whether ``found`` is an
+    ``ord`` or an ``id``; ``band`` as of ``resolve_by_embedding``); a row that takes none founds, and has a null ``found``.
+
+    In rounds: a row is settled once nothing undecided lies before what it takes, that is, no earlier row that is still open is
+    nearer to it; the first open row always is. Ties go to ``old`` before founders, then to the smaller id. Only nearest rows leave a task, never pairs.
+    """
+    floor = 0.9 * threshold
+    rows = new.where("embedding is not null").select(F.col("ord").cast("long").alias("ord"), "name", "type", "embedding")
+    open_, settled = written(rows, "open"), []
+    vectors = lambda df: df.select(F.col("ord").alias("id"), "embedding")
+    said = lambda df, i, flag: df.select(F.col(i).alias("cid"), F.lit(flag).alias("founded"), F.col("name").alias("nb"), F.col("type").alias("tb"))
+    met = nearest(old.select("id", "embedding"), vectors(open_), k, floor).select(F.col("qid").alias("ord"), F.lit(False).alias("founded"), F.col("id").cast("long").alias("cid"), "sim")
+    near = written(met.join(said(old.withColumn("id", F.col("id").cast("long")), "id", False), ["cid", "founded"]), "near")
+    while not open_.isEmpty():
+        waits = nearest(vectors(open_), vectors(open_), 1, floor, earlier=True).select(F.col("qid").alias("ord"), F.col("id").alias("wid"), F.col("sim").alias("wsim"))
+        by = W.partitionBy("ord").orderBy(F.desc("sim"), "founded", "cid")
+        ranked = near.join(open_.select("ord", F.col("name").alias("na"), F.col("type").alias("ta")), "ord").withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k)
+        high = (F.col("sim") >= threshold) & (X.gram_jaccard(F.lower("na"), F.lower("nb")) >= name_overlap)
+        band = F.when((F.col("ta") == F.col("tb")) | (F.col("ta") == "concept"), F.when(high, "high").when(F.col("sim") >= 0.95 * threshold, "gray"))
+        place = F.struct(F.col("rn"), F.col("sim"), F.col("founded"), F.col("cid"), band.alias("band"))
+        per = ranked.groupBy("ord").agg(F.min(F.when(band.isNotNull(), place)).alias("take"), F.max(place).alias("last"))
+        both = open_.select("ord").join(per, "ord", "left").join(waits, "ord", "left")
+        # Whether a candidate comes before the nearest open row in the order of similarity.
+        ahead = lambda c: (F.col(f"{c}.sim") > F.col("wsim")) | ((F.col(f"{c}.sim") == F.col("wsim")) & (~F.col(f"{c}.founded") | (F.col(f"{c}.cid") < F.col("wid"))))
+        free = F.col("wid").isNull()
+        sure = F.when(F.col("take").isNotNull(), free | ahead("take")).otherwise(free | ((F.col("last.rn") == k) & ahead("last")))
+        now = written(both.where(F.coalesce(sure, F.lit(False))).select("ord", "take.founded", F.col("take.cid").alias("found"), "take.band"), "settled")
+        settled.append(now)
+        founders = open_.join(now.where("found is null").select("ord"), "ord", "left_semi")
+        open_ = written(open_.join(now.select("ord"), "ord", "left_anti"), "open")
+        came = nearest(vectors(founders), vectors(open_), k, floor, earlier=True).select(F.col("qid").alias("ord"), F.lit(True).alias("founded"), F.col("id").alias("cid"), "sim")
+        wide = near.join(open_.select("ord"), "ord", "left_semi").unionByName(came.join(said(founders, "ord", True), ["cid", "founded"]).select(*near.columns))
+        near = written(wide.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k).drop("rn"), "near")
+    out = rows.select("ord", F.lit(None).cast("boolean").alias("founded"), F.lit(None).cast("long").alias("found"), F.lit(None).cast("string").alias("band")).limit(0)
+    for part in settled:
+        out = out.unionByName(part)
+    return out
+
+
+def resolved(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overlap: float = 0.6, entropy: float = 1.5, shortest: int = 6, few: int = 5, ambiguous: float = 0.5, within: bool = False) -> DataFrame:
     """Rows ``(ord, name, key, tier, reason, entity_id)`` for ``new (ord, name, type, embedding)`` against ``old (id, name, type, embedding)``.
 
     Exact names first; of other names equal ones go together, by their first row. Names of little entropy or length go to the third tier
     (the nearest of three entities above ``ambiguous``, unless there are fewer than ``few``); the rest to the second: an entity near by vector
-    and name, or in the gray band by the names alone. What finds nothing founds an entity ``new:<key>``. Entities founded by this batch are
-    met by exact name only. Null names are left out.
+    and name, or in the gray band by the names alone. What finds nothing founds an entity ``new:<key>``. With ``within`` the
+    second tier meets what earlier rows of the batch founded too, and the third all that it founded; else that is met by exact name only.
+    Null names are left out.
     """
     keyed = new.where("name is not null").withColumn("key", F.lower(F.trim("name")))
     aliases = old.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("id").alias("exact"))
@@ -65,17 +107,32 @@ def resolved(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overl
     open_ = keys.where("exact is null")
     vague = (X.name_entropy(F.col("name")) < entropy) | (F.length("name") < shortest)
     clear, unclear = open_.where(~vague), open_.where(vague)
-    near = resolve_by_embedding(clear.select(F.col("ord").alias("id"), "name", "type", "embedding"), old, threshold, name_overlap)
-    both = near.join(open_.select(F.col("ord").alias("new_id"), F.col("name").alias("na")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb")), "old_id")
     alike = X.gram_jaccard(F.lower("na"), F.lower("nb")) >= 0.5
-    second = both.where((F.col("band") == "high") | alike).select(F.col("new_id").alias("ord"), F.col("old_id").alias("found"), F.when(F.col("band") == "high", "embedding").otherwise("gray").alias("reason"))
-    third = nearest(old.select("id", "embedding"), unclear.where("embedding is not null").select(F.col("ord").alias("id"), "embedding"), 3).where((F.col("rank") == 1) & (F.col("sim") > ambiguous))
-    third = third.select(F.col("qid").alias("ord"), F.col("id").alias("found"), F.lit("ambiguous").alias("reason"))
-    if old.limit(few).count() < few:
+    pool = old.select(F.col("id").cast("string").alias("entity"), "id", "name", "embedding")
+    if within:
+        took = written(in_order(clear, old, threshold, name_overlap), "took")
+        # What a row takes may be an old entity, or the row that founded one.
+        of_old = old.select(F.lit(False).alias("founded"), F.col("id").cast("long").alias("found"), F.col("name").alias("nb"), F.col("id").cast("string").alias("entity"))
+        of_new = open_.select(F.lit(True).alias("founded"), F.col("ord").cast("long").alias("found"), F.col("name").alias("nb"), F.concat(F.lit("new:"), "key").alias("entity"))
+        taken = took.join(of_old.unionByName(of_new), ["founded", "found"]).join(open_.select("ord", F.col("name").alias("na")), "ord")
+        second = taken.where((F.col("band") == "high") | alike).select("ord", F.col("entity").alias("found"), F.when(F.col("band") == "high", "embedding").otherwise("gray").alias("reason"))
+        # Ids of founders stand behind the old ones, in their order.
+        top = old.agg(F.max(F.col("id").cast("long"))).first()[0] or 0
+        none = clear.join(second.select("ord"), "ord", "left_anti").where("embedding is not null")
+        pool = pool.withColumn("id", F.col("id").cast("long")).unionByName(none.select(F.concat(F.lit("new:"), "key").alias("entity"), (F.col("ord").cast("long") + 1 + top).alias("id"), "name", "embedding"))
+    else:
+        near = resolve_by_embedding(clear.select(F.col("ord").alias("id"), "name", "type", "embedding"), old, threshold, name_overlap)
+        both = near.join(open_.select(F.col("ord").alias("new_id"), F.col("name").alias("na")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb")), "old_id")
+        second = both.where((F.col("band") == "high") | alike).select(F.col("new_id").alias("ord"), F.col("old_id").cast("string").alias("found"), F.when(F.col("band") == "high", "embedding").otherwise("gray").alias("reason"))
+    # Asked under negative ids, so that none is taken for itself.
+    asked = unclear.where("embedding is not null").select((-1 - F.col("ord").cast("long")).alias("id"), "embedding")
+    third = nearest(pool.select(F.col("id").cast("long").alias("id"), "embedding"), asked, 3).where((F.col("rank") == 1) & (F.col("sim") > ambiguous)).drop("rank")
+    third = third.join(pool.select(F.col("id").cast("long").alias("id"), "entity"), "id").select((-1 - F.col("qid")).alias("ord"), F.col("entity").alias("found"), F.lit("ambiguous").alias("reason"))
+    if pool.limit(few).count() < few:
         third = third.limit(0)
     said = keys.withColumn("vague", vague).join(second.unionByName(third), "ord", "left")
     tier = F.when(F.col("exact").isNotNull(), 1).when(F.col("vague"), 3).otherwise(2)
-    entity = F.coalesce(F.col("exact").cast("string"), F.col("found").cast("string"), F.concat(F.lit("new:"), "key"))
+    entity = F.coalesce(F.col("exact").cast("string"), F.col("found"), F.concat(F.lit("new:"), "key"))
     reason = F.when(F.col("exact").isNotNull(), "exact").otherwise(F.coalesce("reason", F.lit("new")))
     return keyed.select("ord", "name", "key").join(said.select("key", tier.alias("tier"), reason.alias("reason"), entity.alias("entity_id")), "key").select("ord", "name", "key", "tier", "reason", "entity_id")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,37 +64,87 @@ def deduplicated(records: DataFrame) -> DataFrame:
     return records.join(same_records(records), "ord").groupBy("cluster").agg(*found, F.max("citation_count").alias("citation_count"), sources.alias("sources"), F.count(F.lit(1)).alias("n"))
 
 
-def greedy_clusters(records: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _replayed(open_: DataFrame) -> DataFrame:
+    """Rows ``(ord)``: the founders among ``open_ (component, ord, keys)``, by the sequential rule, component by component in one pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, set()
+        for pdf in batches:
+            found = []
+            for component, ord_, keys in zip(pdf["component"], pdf["ord"], pdf["keys"]):
+                if component != at:
+                    at, held = component, set()
+                if held.isdisjoint(keys):
+                    held.update(keys)
+                    found.append(ord_)
+            yield pd.DataFrame({"ord": found}, dtype="int64")
+
+    return open_.repartition("component").sortWithinPartitions("component", "ord").mapInPandas(run, "ord long")
+
+
+def _decided(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Founders among ``open_ (ord, keys)`` that this round finds, and what is then still open.
+
+    A record is first under all of its keys: it founds. One that shares keys with a single earlier open record does what that one
+    does not: such records make chains, and pointers along them, doubled, decide a chain of any length in as many rounds as its length
+    has digits. What shares a key with a founder is no founder.
+    """
+    each = written(open_.select("ord", F.explode("keys").alias("key")), "openkeys")
+    first = each.groupBy("key").agg(F.min("ord").alias("one"))
+    second = each.join(first, "key").where("ord > one").groupBy("key").agg(F.min("ord").alias("two"))
+    # Of each record and key: who is before it. From the third place on there is more than one.
+    before = each.join(first, "key").join(second, "key", "left").select("ord", F.when(F.col("ord") > F.col("one"), F.col("one")).alias("one"), (F.col("ord") > F.col("two")).alias("more"))
+    held = before.groupBy("ord").agg(F.min("one").alias("up"), F.max("one").alias("last"), F.max(F.coalesce("more", F.lit(False))).alias("more"))
+    chain = written(held.select("ord", F.when((F.col("up") == F.col("last")) & ~F.col("more"), F.col("up")).alias("up"), F.col("last").isNull().alias("root")), "chain")
+    # up: the record that decides; flip: whether this one does the opposite of it. Ends are roots (they found) or undecided records.
+    now = chain.select("ord", "up", F.lit(True).alias("flip"))
+    while not now.where("up is not null").join(now.where("up is not null").select(F.col("ord").alias("up")), "up", "left_semi").isEmpty():
+        above = now.where("up is not null").select(F.col("ord").alias("via"), F.col("up").alias("next"), F.col("flip").alias("other"))
+        step = now.join(above, now["up"] == above["via"], "left")
+        further = F.col("next").isNotNull()
+        after = written(step.select("ord", F.when(further, F.col("next")).otherwise(F.col("up")).alias("up"), F.when(further, F.col("flip") != F.col("other")).otherwise(F.col("flip")).alias("flip")), "chain")
+        now = after
+    roots = chain.where("root").select(F.col("ord").alias("up"))
+    known = now.join(roots, "up", "left_semi").select("ord", (~F.col("flip")).alias("founds")).unionByName(roots.select(F.col("up").alias("ord"), F.lit(True).alias("founds")))
+    known = written(known, "decided")
+    founders = open_.join(known.where("founds").select("ord"), "ord", "left_semi")
+    taken = founders.select(F.explode("keys").alias("key")).distinct()
+    gone = each.join(taken, "key", "left_semi").select("ord").unionByName(known.select("ord")).distinct()
+    return written(founders, "founders"), written(open_.join(gone, "ord", "left_anti"), "open")
+
+
+def greedy_clusters(records: DataFrame, replay: int = 50_000) -> DataFrame:
     """Rows ``(ord, cluster)`` of the sequential rule: a record joins the first cluster that holds its DOI, else arXiv id, else
     title; keys gained by joining are not registered.
 
-    A record founds a cluster if no earlier founder registered one of its keys. Each round settles the open records of least
-    ``ord`` for all of their keys (they found), and those that share a key with an earlier founder (they do not); both are joins
-    and partial minima, so that no cluster is ever gathered in one task. A key registered twice belongs to its first founder.
+    A record founds a cluster if no earlier founder registered one of its keys; founders of one component of shared keys do not
+    depend on another's. Components of up to ``replay`` different records are replayed in order, many to a task; larger ones go
+    through rounds of joins and partial aggregations until what is open falls into small ones.
     """
     rows = written(_keys(records).select("ord", "keys"), "keyed")
     # Equal key lists behave like their first record, except that only that one can found.
-    same = rows.groupBy("keys").agg(F.min("ord").alias("ord"))
-    open_, founders = written(same, "open"), None
-    for _ in range(max_rounds):
+    open_, founders = written(rows.groupBy("keys").agg(F.min("ord").alias("ord")), "open"), []
+    while not open_.isEmpty():
         each = open_.select("ord", F.explode("keys").alias("key"))
-        least = each.groupBy("key").agg(F.min("ord").alias("first"))
-        late = each.join(least, "key").where("ord > first").select("ord").distinct()
-        new = written(open_.join(late, "ord", "left_anti"), "founders")
-        founders = new if founders is None else founders.unionByName(new)
-        taken = new.select(F.explode("keys").alias("key")).distinct()
-        # A record under a key that a founder holds: an earlier founder's, since a founder is first under all its keys.
-        joined = each.join(taken, "key", "left_semi").select("ord").distinct()
-        open_ = written(open_.join(joined, "ord", "left_anti").join(new.select("ord"), "ord", "left_anti"), "open")
-        if open_.isEmpty():
+        star = each.groupBy("key").agg(F.min("ord").alias("dst"))
+        found = connected_components(each.join(star, "key").where("ord <> dst").select(F.col("ord").alias("src"), "dst"))
+        placed = written(open_.join(found, F.col("ord") == F.col("node"), "left").select("ord", "keys", F.coalesce("component", "ord").alias("component")), "placed")
+        large = placed.groupBy("component").count().where(F.col("count") > replay).select("component")
+        large = written(large, "large")
+        small = placed.join(large, "component", "left_anti")
+        founders.append(written(placed.select("ord", "keys").join(_replayed(small), "ord", "left_semi"), "founders"))
+        if large.isEmpty():
             break
-    else:
-        raise RuntimeError(f"greedy_clusters did not settle in {max_rounds} rounds")
-    held = founders.select(F.col("ord").alias("home"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("home").alias("home"))
+        new, open_ = _decided(placed.join(large, "component", "left_semi").select("ord", "keys"))
+        founders.append(new)
+    whole = rows.limit(0) if not founders else founders[0]
+    for part in founders[1:]:
+        whole = whole.unionByName(part)
+    held = whole.select(F.col("ord").alias("home"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("home").alias("home"))
     place = rows.select("ord", F.posexplode("keys").alias("at", "key")).join(held, "key")
     # DOI before arXiv id before title: the first of a record's keys that is held by a founder no later than itself.
-    found = place.where("home <= ord").groupBy("ord").agg(F.min_by("home", "at").alias("cluster"))
-    return records.select("ord").join(found, "ord", "left").select("ord", F.coalesce("cluster", "ord").alias("cluster"))
+    settled = place.where("home <= ord").groupBy("ord").agg(F.min_by("home", "at").alias("cluster"))
+    return records.select("ord").join(settled, "ord", "left").select("ord", F.coalesce("cluster", "ord").alias("cluster"))
 
 
 def relevant(papers: DataFrame, scores: DataFrame, least: int = 5) -> DataFrame:
