@@ -65,7 +65,7 @@ def _probed(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return df.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").mapInPandas(run, schema)
 
 
-def _searched(index: Index, probed: DataFrame, k: int, least: float) -> DataFrame:
+def _searched(index: Index, probed: DataFrame, k: int, least: float, among: str = "others") -> DataFrame:
     """The ``k`` nearest among what the lists of ``probed`` hold, and the ``place`` of the list each was found in."""
     kind = dict(probed.dtypes)["id"]
     # A query meets a part of a list in a block of queries; all parts are of one size, whatever the list's.
@@ -80,7 +80,7 @@ def _searched(index: Index, probed: DataFrame, k: int, least: float) -> DataFram
             for qids, places, x, ids, flat in zip(*(pdf[c] for c in ("qids", "places", "x", "ids", "flat"))):
                 qids = np.asarray(qids)
                 sim = np.round(np.asarray(x, float).reshape(len(qids), -1) @ np.asarray(flat, float).reshape(len(ids), -1).T, 6)
-                found = best(qids, np.asarray(ids), sim, k, least)
+                found = best(qids, np.asarray(ids), sim, k, least, among)
                 yield found.assign(place=found["qid"].map(dict(zip(qids, places))))
 
     return met.mapInPandas(run, f"qid {kind}, id {dict(index.lists.dtypes)['ids'][6:-1]}, sim double, place int")
@@ -122,9 +122,9 @@ def built(vectors: DataFrame, k: int = 15, recall: float = 0.95, lists: int | No
     return Index(found, sizes, centroids, probes, float(reached[probes - 1]))
 
 
-def search(index: Index, queries: DataFrame, k: int, least: float = -np.inf, probes: int | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, least: float = -np.inf, probes: int | None = None, among: str = "others") -> DataFrame:
     """Rows ``(qid, id, sim, rank)`` as of ``blocks.nearest``, among the vectors of each query's probed lists; products are exact."""
-    found = _searched(index, _probed(queries, index.centroids, probes or index.probes), k, least).drop("place")
+    found = _searched(index, _probed(queries, index.centroids, probes or index.probes), k, least, among).drop("place")
     return top_k(found, ["qid"], [F.desc("sim"), F.col("id")], k)
 
 

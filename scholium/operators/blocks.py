@@ -74,12 +74,14 @@ def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFra
     return _met(blocks(vectors, rows)).mapInPandas(run, "a long, b long, sim double")
 
 
-def best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int, least: float, earlier: bool = False) -> pd.DataFrame:
-    """The ``k`` nearest of each query in a matrix of products, itself left out (or all but smaller ids); ties go to the smaller id."""
+def best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int, least: float, among: str = "others") -> pd.DataFrame:
+    """The ``k`` nearest of each query in a matrix of products, among ``others`` than itself, ``earlier`` ids or ``all``; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, sim = ids[order], sim[:, order]
-    out = ids[None, :] >= qids[:, None] if earlier else qids[:, None] == ids[None, :]
-    sim = np.where(out | (sim < least), -np.inf, sim)
+    out = sim < least
+    if among != "all":
+        out |= ids[None, :] >= qids[:, None] if among == "earlier" else qids[:, None] == ids[None, :]
+    sim = np.where(out, -np.inf, sim)
     if sim.shape[1] > 4 * k:
         # What is under a query's k-th largest product cannot be among the first k.
         floor = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k][:, None]
@@ -95,11 +97,11 @@ def best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int, least: floa
     return pd.DataFrame({"qid": qids[u], "id": ids[v], "sim": sim[u, v]})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.inf, rows: int = 1024, earlier: bool = False) -> DataFrame:
-    """Rows ``(qid, id, sim, rank)``: for ``queries (id, embedding)`` the ``k`` nearest of ``vectors (id, embedding)``, itself left out.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.inf, rows: int = 1024, among: str = "others") -> DataFrame:
+    """Rows ``(qid, id, sim, rank)``: for ``queries (id, embedding)`` the ``k`` nearest of ``vectors (id, embedding)``, itself left out (``among``
+    as of ``best``; ``all`` where the two sides' ids name different things).
 
-    Exact. A block hands on at most ``k`` rows a query; ties go to the smaller id. Products under ``least`` are left out,
-    and with ``earlier`` all ids that are not smaller than the query's.
+    Exact. A block hands on at most ``k`` rows a query; ties go to the smaller id. Products under ``least`` are left out.
     """
     from .retrieval import top_k
 
@@ -117,12 +119,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.i
             for pdf in batches:
                 for at in range(0, len(pdf), rows):
                     part = pdf.iloc[at : at + rows]
-                    yield best(qids, part["id"].to_numpy(), np.round(x @ np.array(part["embedding"].tolist(), float).T, 6), k, least, earlier)
+                    yield best(qids, part["id"].to_numpy(), np.round(x @ np.array(part["embedding"].tolist(), float).T, 6), k, least, among)
 
         return top_k(vectors.select("id", "embedding").where("embedding is not null").mapInPandas(scan, schema), ["qid"], order, k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ia, ib, sim, _ in _products(batches, False):
-            yield best(ia, ib, sim, k, least, earlier)
+            yield best(ia, ib, sim, k, least, among)
 
     return top_k(_met(blocks(queries, rows), blocks(vectors, rows)).mapInPandas(run, schema), ["qid"], order, k)

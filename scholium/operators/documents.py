@@ -18,16 +18,6 @@ def from_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.content_id(F.substring("text", 1, 2000)).alias("content_id"), F.substring("text", 1, 500).alias("abstract"), X.token_estimate(F.col("text")).alias("token_estimate"))
 
 
-def from_pages(pages: DataFrame) -> DataFrame:
-    """Pages to text documents by patterns, inside the JVM; a page without a title has a null one."""
-    body = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form)\b.*?</\1\s*>", " ")
-    plain = F.regexp_replace(body, r"(?is)<head\b.*?</head\s*>|<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    return pages.select(X.content_id(F.col("url")).alias("doc_id"), "page_id", title.alias("title"), X.normal_text(plain).alias("content"), F.lit("url").alias("source_type"), F.col("url").alias("source_url"))
-
-
 def from_metadata(papers: DataFrame) -> DataFrame:
     """A small document from title, venue, year and abstract; records without title and abstract go."""
     content = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.concat(F.lit("Venue: "), "venue"), F.concat(F.lit("Year: "), F.col("year").cast("string")), F.concat(F.lit("\n## Abstract\n"), "abstract"))

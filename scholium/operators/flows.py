@@ -34,16 +34,17 @@ def fanned_out(papers: DataFrame, plans: DataFrame) -> DataFrame:
     return out
 
 
-def searched(papers: DataFrame, plans: DataFrame, features: DataFrame, least: int = 5, limit: int = 20) -> DataFrame:
+def searched(papers: DataFrame, plans: DataFrame, records: DataFrame, cites: DataFrame, authors: DataFrame, year_now: int, least: int = 5, limit: int = 20) -> DataFrame:
     """Rows ``(qid, id, relevance, importance, rank)``: retrieve, keep one row a paper, judge, keep the relevant, rank.
 
-    ``features`` are ``papers.scored`` for the whole set. Relevance is the retrieval score scaled by the query's best.
+    ``records`` have title, abstract, venue, year and citation_count. Ranking features are taken within each query's relevant results, and
+    relevance is the retrieval score scaled by the query's best.
     """
     limit = max(5, min(100, limit))
     found = written(fanned_out(papers, plans).groupBy("qid", "id").agg(F.max(F.round("score", 6)).alias("score")), "found")
     best = found.groupBy("qid").agg(F.max("score").alias("best"))
-    judged = found.join(best, "qid").withColumn("relevance", F.round(10 * F.col("score") / F.col("best"), 0).cast("int")).where(F.col("relevance") >= least)
-    ranked = judged.join(features, "id").withColumn("importance", F.round(P.deep_score(F.col("relevance")), 4))
+    judged = found.join(best, "qid").select("qid", "id", F.round(10 * F.col("score") / F.col("best"), 0).cast("int").alias("relevance")).where(F.col("relevance") >= least)
+    ranked = P.scored_sets(judged, records, cites, authors, year_now).withColumn("importance", F.round(P.deep_score(F.col("relevance")), 4))
     return S.top_k(ranked.select("qid", "id", "relevance", "importance"), ["qid"], [F.desc("importance"), F.col("id")], limit)
 
 

@@ -42,7 +42,7 @@ def resolve_by_embedding(new: DataFrame, old: DataFrame, threshold: float = 0.85
     """``(id, name, type, embedding)`` rows to ``(new_id, old_id, sim, band)``: the first of the k nearest that qualifies. With an ``index`` of
     ``old`` only its probed lists are looked at."""
     asked = new.select("id", "embedding")
-    found = search(index, asked, k, 0.9 * threshold) if index else nearest(old.select("id", "embedding"), asked, k, 0.9 * threshold)
+    found = search(index, asked, k, 0.9 * threshold, among="all") if index else nearest(old.select("id", "embedding"), asked, k, 0.9 * threshold, among="all")
     near = found.select(F.col("qid").alias("new_id"), F.col("id").alias("old_id"), "sim", F.col("rank").alias("rn"))
     named = near.join(new.select(F.col("id").alias("new_id"), F.col("name").alias("na"), F.col("type").alias("ta")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb"), F.col("type").alias("tb")), "old_id")
     typed = named.where((F.col("ta") == F.col("tb")) | (F.col("ta") == "concept"))
@@ -64,10 +64,10 @@ def in_order(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overl
     open_, settled = written(rows, "open"), []
     vectors = lambda df: df.select(F.col("ord").alias("id"), "embedding")
     said = lambda df, i, flag: df.select(F.col(i).alias("cid"), F.lit(flag).alias("founded"), F.col("name").alias("nb"), F.col("type").alias("tb"))
-    met = nearest(old.select("id", "embedding"), vectors(open_), k, floor).select(F.col("qid").alias("ord"), F.lit(False).alias("founded"), F.col("id").cast("long").alias("cid"), "sim")
+    met = nearest(old.select("id", "embedding"), vectors(open_), k, floor, among="all").select(F.col("qid").alias("ord"), F.lit(False).alias("founded"), F.col("id").cast("long").alias("cid"), "sim")
     near = written(met.join(said(old.withColumn("id", F.col("id").cast("long")), "id", False), ["cid", "founded"]), "near")
     while not open_.isEmpty():
-        waits = nearest(vectors(open_), vectors(open_), 1, floor, earlier=True).select(F.col("qid").alias("ord"), F.col("id").alias("wid"), F.col("sim").alias("wsim"))
+        waits = nearest(vectors(open_), vectors(open_), 1, floor, among="earlier").select(F.col("qid").alias("ord"), F.col("id").alias("wid"), F.col("sim").alias("wsim"))
         by = W.partitionBy("ord").orderBy(F.desc("sim"), "founded", "cid")
         ranked = near.join(open_.select("ord", F.col("name").alias("na"), F.col("type").alias("ta")), "ord").withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k)
         high = (F.col("sim") >= threshold) & (X.gram_jaccard(F.lower("na"), F.lower("nb")) >= name_overlap)
@@ -83,7 +83,7 @@ def in_order(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overl
         settled.append(now)
         founders = open_.join(now.where("found is null").select("ord"), "ord", "left_semi")
         open_ = written(open_.join(now.select("ord"), "ord", "left_anti"), "open")
-        came = nearest(vectors(founders), vectors(open_), k, floor, earlier=True).select(F.col("qid").alias("ord"), F.lit(True).alias("founded"), F.col("id").alias("cid"), "sim")
+        came = nearest(vectors(founders), vectors(open_), k, floor, among="earlier").select(F.col("qid").alias("ord"), F.lit(True).alias("founded"), F.col("id").alias("cid"), "sim")
         wide = near.join(open_.select("ord"), "ord", "left_semi").unionByName(came.join(said(founders, "ord", True), ["cid", "founded"]).select(*near.columns))
         near = written(wide.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k).drop("rn"), "near")
     out = rows.select("ord", F.lit(None).cast("boolean").alias("founded"), F.lit(None).cast("long").alias("found"), F.lit(None).cast("string").alias("band")).limit(0)
@@ -124,10 +124,9 @@ def resolved(new: DataFrame, old: DataFrame, threshold: float = 0.85, name_overl
         near = resolve_by_embedding(clear.select(F.col("ord").alias("id"), "name", "type", "embedding"), old, threshold, name_overlap)
         both = near.join(open_.select(F.col("ord").alias("new_id"), F.col("name").alias("na")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("name").alias("nb")), "old_id")
         second = both.where((F.col("band") == "high") | alike).select(F.col("new_id").alias("ord"), F.col("old_id").cast("string").alias("found"), F.when(F.col("band") == "high", "embedding").otherwise("gray").alias("reason"))
-    # Asked under negative ids, so that none is taken for itself.
-    asked = unclear.where("embedding is not null").select((-1 - F.col("ord").cast("long")).alias("id"), "embedding")
-    third = nearest(pool.select(F.col("id").cast("long").alias("id"), "embedding"), asked, 3).where((F.col("rank") == 1) & (F.col("sim") > ambiguous)).drop("rank")
-    third = third.join(pool.select(F.col("id").cast("long").alias("id"), "entity"), "id").select((-1 - F.col("qid")).alias("ord"), F.col("entity").alias("found"), F.lit("ambiguous").alias("reason"))
+    asked = unclear.where("embedding is not null").select(F.col("ord").cast("long").alias("id"), "embedding")
+    third = nearest(pool.select(F.col("id").cast("long").alias("id"), "embedding"), asked, 3, among="all").where((F.col("rank") == 1) & (F.col("sim") > ambiguous)).drop("rank")
+    third = third.join(pool.select(F.col("id").cast("long").alias("id"), "entity"), "id").select(F.col("qid").alias("ord"), F.col("entity").alias("found"), F.lit("ambiguous").alias("reason"))
     if pool.limit(few).count() < few:
         third = third.limit(0)
     said = keys.withColumn("vague", vague).join(second.unionByName(third), "ord", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.lineage import written
+from ..plans.lineage import Funnel, written
 from .components import connected_components
 from .graph import hops, reachable
 from .retrieval import recommend, top_k
@@ -220,6 +220,35 @@ def scored(papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: in
     )
 
 
+def scored_sets(sets: DataFrame, papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: int, top: int = 15, refs: int = 50, each: int = 100) -> DataFrame:
+    """The features of ``scored`` for many result sets ``(qid, id, ...)`` at once, each within its own set: which papers are most cited, whom they
+    cite, which authors come again, and by what maximum counts are divided."""
+    sets, edges = written(sets, "sets"), written(single_edges(cites), "edges")
+    own = written(sets.join(papers, "id"), "own")
+    pairs = own.select("qid", "id")
+    tops = written(top_k(own.select("qid", "id", "citation_count"), ["qid"], [F.desc("citation_count"), F.col("id")], top).select("qid", "id"), "tops")
+    asked = tops.select("id").distinct()
+    cited = top_k(edges.join(asked.withColumnRenamed("id", "citing"), "citing", "left_semi").select("citing", "cited"), ["citing"], [F.col("cited")], refs)
+    in_set = tops.join(cited, F.col("id") == F.col("citing")).select("qid", F.col("cited").alias("id")).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("in_set"))
+    near = edges.join(asked.withColumnRenamed("id", "citing"), "citing", "left_semi").unionByName(edges.join(asked.withColumnRenamed("id", "cited"), "cited", "left_semi").select(*edges.columns)).distinct()
+    seen = edges_by_paper(near, each, each).where("is_influential").join(tops, "id")
+    weight = F.sum(F.when(F.col("is_methodology"), 2).otherwise(1)).alias("influence")
+    influential = seen.groupBy("qid", F.col("other").alias("id")).agg(weight)
+    wrote = written(pairs.join(authors.distinct(), "id"), "wrote")
+    again = wrote.groupBy("qid", "author_id").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("qid", "author_id")
+    of_set = again.groupBy("qid").agg(F.count(F.lit(1)).alias("all_again"))
+    author = wrote.join(again, ["qid", "author_id"]).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("k")).join(of_set, "qid").select("qid", "id", F.least(F.lit(1.0), F.col("k") / F.col("all_again")).alias("author"))
+    whole = own
+    for part in (in_set, influential, author):
+        whole = whole.join(part, ["qid", "id"], "left")
+    whole = whole.fillna(0, ["in_set", "influence"]).fillna(0.0, ["author"]).withColumn("raw_velocity", X.velocity(F.col("citation_count"), F.col("year"), year_now))
+    whole = written(whole.withColumn("venue_score", X.venue_score(F.col("venue"))).withColumn("survey", X.is_survey(F.col("title"), F.col("abstract")).cast("int")), "features")
+    most = whole.groupBy("qid").agg(*(F.max(c).alias(f"most_{c}") for c in ("in_set", "influence", "raw_velocity")))
+    share = lambda c: F.col(c) / F.when(F.col(f"most_{c}") > 0, F.col(f"most_{c}")).otherwise(1)
+    out = whole.join(most, "qid").withColumn("velocity_share", share("raw_velocity")).withColumn("velocity_capped", F.least(F.col("raw_velocity") / 100, F.lit(1.0)))
+    return out.withColumn("in_set", share("in_set")).withColumn("influence", share("influence")).drop("most_in_set", "most_influence", "most_raw_velocity")
+
+
 def deep_score(relevance: F.Column) -> F.Column:
     """Importance from the features of ``scored`` and a relevance of 0 to 10, which outweighs them all."""
     w = DEEP
@@ -254,22 +283,20 @@ def multi_hop(papers: DataFrame, edges: DataFrame, seeds: DataFrame, known: Data
     The first hop follows influential edges only and keeps 2 * ``cap`` new neighbours, later ones all edges and ``cap``; neighbours without
     a record go; those of relevance 5 or more (``relevance (id, model_score)``, 5 where missing) stay, and the 20 best of 6 or more lead on.
     """
-    front, found, funnel = seeds, None, []
+    front, found, funnel = seeds, None, Funnel()
     known = written(known.select("id").distinct(), "known")
     for hop in range(1, n_hops + 1):
         use = edges.where("is_influential") if hop == 1 else edges
         ways = use.select(F.col("citing").alias("seed"), F.col("cited").alias("id")).unionByName(use.select(F.col("cited").alias("seed"), F.col("citing").alias("id")))
-        near = written(ways.join(front, "seed", "left_semi").select("id").distinct(), "near")
-        fresh = written(near.join(known, "id", "left_anti").orderBy("id").limit((cap if hop == 1 else cap // 2) * 2), "fresh")
-        got = written(relevant(papers_by_id(papers, fresh).select("id"), relevance).withColumn("hop", F.lit(hop)).select("id", "hop", "relevance"), "hop")
-        funnel += [(hop, stage, df) for stage, df in (("seeds", front), ("neighbours", near), ("new", fresh), ("approved", got))]
+        front = funnel.stage(front, hop=hop, stage="seeds")
+        near = written(funnel.stage(ways.join(front, "seed", "left_semi").select("id").distinct(), hop=hop, stage="neighbours"), "near")
+        fresh = near.join(known, "id", "left_anti").orderBy("id").limit((cap if hop == 1 else cap // 2) * 2)
+        fresh = written(funnel.stage(fresh, hop=hop, stage="new"), "fresh")
+        got = relevant(papers_by_id(papers, fresh).select("id"), relevance).withColumn("hop", F.lit(hop)).select("id", "hop", "relevance")
+        got = written(funnel.stage(got, hop=hop, stage="approved"), "hop")
         found = got if found is None else found.unionByName(got)
         known, front = known.unionByName(fresh), select_seeds(got)
-    counts = None
-    for hop, stage, df in funnel:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(hop).alias("hop"), F.lit(stage).alias("stage"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return found, counts
+    return found, funnel.rows(seeds.sparkSession, "hop int, stage string, n long")
 
 
 def backward_layers(edges: DataFrame, seeds: DataFrame, depth: int = 2, refs: int = 120, width: int = 60) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import linkage as L
+from ..operators import pages
 from ..operators import papers as P
 from ..operators import registry as R
 from ..operators import retrieval as S
@@ -187,7 +188,7 @@ def section_spans(spark, sf_dir):
 
 @query()
 def html_to_documents(spark, sf_dir):
-    return D.from_pages(table(spark, sf_dir, "pages"))
+    return pages.documents(table(spark, sf_dir, "pages"))
 
 
 @query(
@@ -269,12 +270,13 @@ def exact_name_resolution(spark, sf_dir):
     """with v as (select e.vec_id as id, p_name as name, label, embedding::double[] as x from embeddings e join part on p_partkey = e.vec_id + 1),
 p as (select a.id as new_id, b.id as old_id, a.name as na, b.name as nb, a.label = b.label as same_type, round(list_dot_product(a.x, b.x), 6) as sim from v a join v b on a.id % 5 = 0 and b.id % 5 <> 0),
 r as (select *, row_number() over (partition by new_id order by sim desc, old_id) as rn from p where sim >= 0.9::double * 0.3::double)
-select new_id, old_id, sim, case when sim >= 0.3 then 'high' else 'gray' end as band from (select *, row_number() over (partition by new_id order by rn) as first from r where rn <= 5 and same_type and sim >= 0.95::double * 0.3::double) where first = 1"""
+select new_id, old_id, sim, band from (select *, row_number() over (partition by new_id order by rn) as first from (select *, case when sim >= 0.3 and len(list_intersect(ga, gb)) / len(list_distinct(ga || gb)) >= 0.2 then 'high' else 'gray' end as band from
+  (select *, list_distinct(list_transform(range(1, length(na) - 1), lambda i: substr(lower(na), i, 3))) as ga, list_distinct(list_transform(range(1, length(nb) - 1), lambda i: substr(lower(nb), i, 3))) as gb from r where rn <= 5 and same_type and sim >= 0.95::double * 0.3::double))) where first = 1"""
 )
 def embedding_resolution(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     named = v.join(table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), "p_name"), "vec_id").select(F.col("vec_id").alias("id"), F.col("p_name").alias("name"), F.col("label").cast("string").alias("type"), "embedding")
-    return L.resolve_by_embedding(named.where("id % 5 = 0"), named.where("id % 5 <> 0"), threshold=0.3, name_overlap=0.0)
+    return L.resolve_by_embedding(named.where("id % 5 = 0"), named.where("id % 5 <> 0"), threshold=0.3, name_overlap=0.2)
 
 
 @query(
@@ -495,7 +497,7 @@ q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m
 select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
     ("v_paper", "v_cite"),
 )
-def root_convergence(spark, sf_dir):
+def root_convergence_influential(spark, sf_dir):
     seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
     return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds, influential_only=True)
 
@@ -507,7 +509,7 @@ q as (select cited, avg(is_influential::int) as i, avg(is_methodology::int) as m
 select node as id, round(convergence, 6) as convergence, round(i, 6) as influential, round(q.m, 6) as methodology, round(0.5::double * convergence + 0.3::double * i + 0.2::double * q.m, 6) as score from m join q on q.cited = node order by score desc, id limit 15""",
     ("v_paper", "v_cite"),
 )
-def root_convergence_all(spark, sf_dir):
+def root_convergence(spark, sf_dir):
     seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
     return P.root_candidates(view(spark, sf_dir, "v_cite"), seeds)
 
@@ -535,12 +537,12 @@ def change_log_replay(spark, sf_dir):
 
 
 @query("""with h as (select user_id as paper_id, event_id as seq, 'T' || (event_id % 13) as title, props as abstract from events)
-select paper_id, arg_min(title, seq) as title, substr(arg_min(abstract, seq), 1, 500) as abstract, min(seq) as seq, 'shortlisted' as status from h where paper_id not in (select user_id from events where event_type = 'signup') group by paper_id""")
+select paper_id, arg_min(title, seq) as title, substr(arg_min(abstract, seq), 1, 500) as abstract, min(seq) as seq, 'shortlisted' as status from h where paper_id not in (select user_id from events where event_type = 'signup' and event_id % 40 = 0) group by paper_id""")
 def register_new(spark, sf_dir):
-    """Known are those that ever signed up."""
+    """Known are those of some sign-ups, so that others are new."""
     events = table(spark, sf_dir, "events")
     hits = events.select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("seq"), F.concat(F.lit("T"), (F.col("event_id") % 13).cast("string")).alias("title"), F.col("props").alias("abstract"))
-    return R.register_new(hits, events.where("event_type = 'signup'").select(F.col("user_id").alias("paper_id")))
+    return R.register_new(hits, events.where("event_type = 'signup' and event_id % 40 = 0").select(F.col("user_id").alias("paper_id")))
 
 
 @query("select status, paper_id, seq from (select arg_max(status, seq) as status, paper_id, max(seq) as seq from v_registry_event group by paper_id) where status = 'queued'", ("v_registry_event",))
@@ -549,9 +551,9 @@ def queued_papers(spark, sf_dir):
     return events.groupBy("paper_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq")).where("status = 'queued'").select("status", "paper_id", "seq")
 
 
-@query("select id, title, venue from v_paper where contains(lower(title), 'ring') order by id limit 100", ("v_paper",))
+@query("select id, title, venue from v_paper where contains(lower(title), 'ring')", ("v_paper",))
 def title_search_preview(spark, sf_dir):
-    return view(spark, sf_dir, "v_paper").where(F.lower("title").contains("ring")).select("id", "title", "venue").orderBy("id").limit(100)
+    return view(spark, sf_dir, "v_paper").where(F.lower("title").contains("ring")).select("id", "title", "venue")
 
 
 @query("select 'papers' as what, (select count(*) from v_paper) as n union all select 'citations', (select count(*) from v_cite) union all select 'authors', (select count(*) from v_author)", ("v_paper", "v_cite", "v_author"))

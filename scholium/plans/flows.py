@@ -272,17 +272,36 @@ def fanout_angles(spark, sf_dir):
     return C.fanned_out(papers, I.with_raw(plans, names, "name", "name")).select(F.col("qid").alias("name"), "source", "label", "id", F.round("score", 4).alias("score"), "rank")
 
 
-@query(
+#: Features within each query's relevant results: its most cited papers, their references and influential edges, authors who come again.
+WITHIN = (
     FANOUT
-    + ", be as (select name, id, max(round(score, 6)) as score from fo group by all), mx as (select name, max(score) as best from be group by name), rr as (select name, id, cast(round(10 * score / best, 0) as int) as relevance from be join mx using (name)), ra as ("
-    + ranked_sql(15) + """ select * from g), im as (select name, id, relevance, round(0.55::double * relevance + 0.12::double * insn + 0.10::double * infn + 0.05::double * author + 0.08::double * least(vel / 100, 1) + 0.05::double * ven + 0.05::double * 0.3::double * sur, 4) as importance from rr join ra using (id) where relevance >= 5),
+    + """, be as (select name, id, max(round(score, 6)) as score from fo group by all), mx as (select name, max(score) as best from be group by name),
+rr as (select name, id, cast(round(10 * score / best, 0) as int) as relevance from be join mx using (name)), se as (select rr.*, p.* exclude (id) from rr join v_paper_rich p using (id) where relevance >= 5),
+tp as (select name, id from (select name, id, row_number() over (partition by name order by citation_count desc, id) as k from se) where k <= 15),
+ed as (select citing, cited, max(is_influential) as is_influential, max(is_methodology) as is_methodology from v_cite group by all),
+er as (select citing, cited, row_number() over (partition by citing order by cited) as rn from ed),
+ins as (select tp.name, er.cited as id, count(*) as ins from tp join er on er.citing = tp.id and rn <= 50 group by all),
+w as (select citing as id, cited as other, is_influential, is_methodology, row_number() over (partition by citing order by cited) as rn from ed union all select cited, citing, is_influential, is_methodology, row_number() over (partition by cited order by citing) from ed),
+inf as (select tp.name, w.other as id, sum(case when is_methodology then 2 else 1 end) as inf from tp join w on w.id = tp.id where rn <= 100 and is_influential group by all),
+wr as (select name, id, author_id from se join v_author using (id)), ag as (select name, author_id from wr group by all having count(*) >= 2), na as (select name, count(*) as n from ag group by name),
+au as (select name, id, least(1.0, count(*) / any_value(n)) as author from wr join ag using (name, author_id) join na using (name) group by all),"""
+)
+
+
+@query(
+    WITHIN
+    + ranked_sql(15).split("f as (select p.*")[1].join(["f as (select p.*", ""]).replace("coalesce(influence, 0) as inf, coalesce(in_set, 0) as ins, least(1.0, coalesce(k, 0) / n) as author", "coalesce(inf, 0) as inf_, coalesce(ins, 0) as ins_, coalesce(author, 0) as author_")
+    .split("from v_paper_rich p left join")[0]
+    + """ from se p left join ins using (name, id) left join inf using (name, id) left join au using (name, id)),
+g as (select *, inf_ / greatest(max(inf_) over (partition by name), 1) as infn, ins_ / greatest(max(ins_) over (partition by name), 1) as insn from f),
+im as (select name, id, relevance, round(0.55::double * relevance + 0.12::double * insn + 0.10::double * infn + 0.05::double * author_ + 0.08::double * least(vel / 100, 1) + 0.05::double * ven + 0.05::double * 0.3::double * sur, 4) as importance from g),
 ou as (select *, row_number() over (partition by name order by importance desc, id) as rank from im) select name, id, relevance, importance, cast(rank as int) as rank from ou where rank <= 20""",
     ("v_paper", "v_paper_rich", "v_cite", "v_author"),
 )
 def search_papers(spark, sf_dir):
     papers, plans = _paper_sources(spark, sf_dir)
-    features = P.scored(view(spark, sf_dir, "v_paper_rich"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, 15)
-    return C.searched(papers, plans, features).withColumnRenamed("qid", "name")
+    found = C.searched(papers, plans, view(spark, sf_dir, "v_paper_rich"), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW)
+    return found.withColumnRenamed("qid", "name")
 
 
 def _part_communities(spark, sf_dir):
@@ -331,7 +350,7 @@ def graph_context(spark, sf_dir):
 
 
 @query(
-    """with nm as (select vec_id as qid, vec_id as id from embeddings where vec_id % 10 = 0), b as (select qid, 'bridge' as kind, id, array_to_string(list_sort(list_distinct([id % 50, id % 7, id % 3]))[1:3], ', ') as text from nm where len(list_distinct([id % 50, id % 7, id % 3])) >= 2),
+    """with nm as (select vec_id as qid, vec_id as id from embeddings), b as (select qid, 'bridge' as kind, id, array_to_string(list_sort(list_distinct([id % 50, id % 7, id % 3]))[1:3], ', ') as text from nm where len(list_distinct([id % 50, id % 7, id % 3])) >= 2),
 l as (select distinct qid, 'link' as kind, src as id, cast(dst as varchar) as text from nm join v_link on id = src or id = dst), r as (select *, row_number() over (partition by qid, kind order by id, length(text), text) as rank from (select * from b union all select * from l))
 select qid, kind, id, text, cast(rank as int) as rank from r where rank <= 5""",
     ("v_link",),
@@ -340,7 +359,7 @@ def graph_notes(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     bridges = G.bridges(v.select("id", F.explode(F.array(F.col("id") % 50, F.col("id") % 7, F.col("id") % 3)).alias("doc")))
     links = view(spark, sf_dir, "v_link").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return C.graph_notes(v.where("id % 10 = 0").select(F.col("id").alias("qid"), "id"), bridges, links)
+    return C.graph_notes(v.select(F.col("id").alias("qid"), "id"), bridges, links)
 
 
 @query()

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Funnel:
+    """Rows of named stages, counted by the jobs that make them anyway. A stage's frame must be run once, by some job, before ``rows``;
+    a stage that the optimizer finds empty counts 0."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[dict, Observation]] = []
+
+    def stage(self, df: DataFrame, **names: object) -> DataFrame:
+        noted = Observation()
+        self.seen.append((names, noted))
+        return df.observe(noted, F.count(F.lit(1)).alias("n"))
+
+    def rows(self, spark: SparkSession, schema: str) -> DataFrame:
+        """Rows of the stages' names and ``n``, in the order of ``schema``."""
+        found = [{**names, "n": int(noted.get.get("n") or 0)} for names, noted in self.seen]
+        kind = spark.createDataFrame([], schema).schema
+        return spark.createDataFrame([tuple(row[c] for c in kind.names) for row in found], kind)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession

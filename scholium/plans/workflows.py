@@ -18,7 +18,7 @@ from ..sources import stored
 from ..sources.fixtures import table, view
 from ..streaming import jobs
 from .catalogue import CHUNKS, MARKDOWN, ORACLES, markdown, query
-from .lineage import new_path
+from .lineage import new_path, numbered
 
 EDGES = "ed as (select citing, cited, max(is_influential) as is_influential, max(is_methodology) as is_methodology from v_cite group by all)"
 
@@ -407,14 +407,13 @@ select paper_id, arg_max(status, seq) filter (where not refuse) as status, count
 
 
 @query(
-    f"select paper_id, status, cast(row_number() over (order by list_position(['ingesting', 'queued', 'ingested', 'shortlisted', 'failed'], status), paper_id) as int) as place from ({STATES}) order by place limit 100",
+    f"select paper_id, status, row_number() over (order by list_position(['ingesting', 'queued', 'ingested', 'shortlisted', 'failed'], status), paper_id) as place from ({STATES})",
     ("v_registry_event",),
 )
 def registry_by_status(spark, sf_dir):
-    """The first page of the registry: a hundred rows in its order of statuses."""
-    page = R.by_status(R.states(view(spark, sf_dir, "v_registry_event"))).limit(100)
+    """The registry in its order of statuses, numbered by ranges."""
     place = F.array_position(F.array(*map(F.lit, R.ORDER)), F.col("status"))
-    return page.select("paper_id", "status", F.row_number().over(W.orderBy(place, "paper_id")).alias("place"))
+    return numbered(R.states(view(spark, sf_dir, "v_registry_event")).withColumn("at", place), ["at", "paper_id"], "place").select("paper_id", "status", "place")
 
 
 @query(

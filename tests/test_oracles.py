@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_roots_over_all_references_equal_sql(spark, duck):
-    test_query_equals_sql(spark, duck, "root_convergence_all")
+    test_query_equals_sql(spark, duck, "root_convergence_influential")
 
 
 def test_contract(spark):
