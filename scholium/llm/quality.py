@@ -114,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | N
     """
     seen = written(labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")), "qualitylabels")
     some = F.broadcast(bounded(seen, F.concat(F.lit("quality"), F.col("doc_id").cast("string")), max_rows, seen.count()))
-    sample = docs.join(some, "doc_id").where("text is not null").groupBy("text").agg(F.avg("label").alias("label"))
+    sample = docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").groupBy("text").agg(F.avg("label").alias("label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in few_rows(batches):
