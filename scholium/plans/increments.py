@@ -8,11 +8,13 @@ from ..operators import ann
 from ..operators import documents as D
 from ..operators import linkage as L
 from ..operators import models as M
+from ..operators import search as H
 from ..operators.communities import Communities
 from ..operators.keywords import KeywordIndex
 from ..sources.fixtures import table, view
 from ..streaming import jobs
-from .catalogue import ORACLES, query
+from .catalogue import ORACLES, YEAR_NOW, query, ranked_sql
+from .flows import WITHIN, _paper_sources
 from .lineage import new_path
 from .workflows import _named
 
@@ -118,3 +120,62 @@ def incremental_communities(spark, sf_dir):
     kept.add(nodes.limit(0), links.where("(src + dst) % 2 = 1"), "odd")
     links.unpersist()
     return kept.communities().select("component", "size", "concepts")
+
+
+#: Search with expansion: two hops a query, the nearest vectors to its best papers, ranking within all of these, and roots.
+EXPANDED = (
+    WITHIN.split("se as (select rr.*")[0]
+    + """fd as (select rr.* from rr where relevance >= 5), jd as (select id, case when llm_relevance is null then 5 else cast(llm_relevance as int) end as relevance from v_paper),
+ed as (select citing, cited, max(is_influential) as is_influential, max(is_methodology) as is_methodology from v_cite group by all), wy as (select citing as seed, cited as id, is_influential from ed union all select cited, citing, is_influential from ed),
+s1 as (select name, id from (select *, row_number() over (partition by name order by relevance desc, id) as k from fd where relevance >= 6) where k <= 20),
+n1 as (select distinct s1.name, wy.id from s1 join wy on wy.seed = s1.id where is_influential), f1 as (select name, id from (select *, row_number() over (partition by name order by id) as k from n1 anti join fd using (name, id)) where k <= 80),
+g1 as (select name, id, relevance from f1 join jd using (id) where relevance >= 5), s2 as (select name, id from (select *, row_number() over (partition by name order by relevance desc, id) as k from g1 where relevance >= 6) where k <= 20),
+n2 as (select distinct s2.name, wy.id from s2 join wy on wy.seed = s2.id), f2 as (select name, id from (select *, row_number() over (partition by name order by id) as k from n2 anti join fd using (name, id) anti join f1 using (name, id)) where k <= 40),
+g2 as (select name, id, relevance from f2 join jd using (id) where relevance >= 5), vc as (select 's2:' || (vec_id + 1) as id, embedding::double[] as x from embeddings),
+lk as (select name, id from (select *, row_number() over (partition by name order by relevance desc, id) as k from fd) where k <= 5),
+ax as (select name, i, avg(v) as w from (select name, unnest(x) as v, generate_subscripts(x, 1) as i from lk join vc using (id)) group by all), ay as (select name, list(w order by i) as c from ax group by name),
+nr as (select name, id, row_number() over (partition by name order by round(list_dot_product(x, c), 6) desc, id) as k from ay, vc where (name, id) not in (select name, id from lk)),
+g3 as (select name, id, relevance from nr join jd using (id) where k <= 50 and relevance >= 5 and (name, id) not in (select name, id from fd union select name, id from f1 union select name, id from f2)),
+al as (select name, id, relevance, 'found' as way from fd union all select *, 'hop1' from g1 union all select *, 'hop2' from g2 union all select *, 'recommended' from g3),
+se as (select al.*, p.* exclude (id) from al join v_paper_rich p using (id)),"""
+    + WITHIN.split("where relevance >= 5),", 1)[1].replace("ed as (select citing, cited, max(is_influential) as is_influential, max(is_methodology) as is_methodology from v_cite group by all),", "")
+)
+RANKED = (
+    EXPANDED
+    + "f as (select p.*" + ranked_sql(15).split("f as (select p.*")[1].replace("coalesce(influence, 0) as inf, coalesce(in_set, 0) as ins, least(1.0, coalesce(k, 0) / n) as author", "coalesce(inf, 0) as inf_, coalesce(ins, 0) as ins_, coalesce(author, 0) as author_").split("from v_paper_rich p left join")[0]
+    + """ from se p left join ins using (name, id) left join inf using (name, id) left join au using (name, id)),
+g as (select *, inf_ / greatest(max(inf_) over (partition by name), 1) as infn, ins_ / greatest(max(ins_) over (partition by name), 1) as insn from f),
+im as (select name, id, relevance, way, round(0.55::double * relevance + 0.12::double * insn + 0.10::double * infn + 0.05::double * author_ + 0.08::double * least(vel / 100, 1) + 0.05::double * ven + 0.05::double * 0.3::double * sur, 4) as importance from g),
+ou as (select * from (select *, row_number() over (partition by name order by importance desc, id) as rank from im) where rank <= 20)"""
+)
+ROOTS = """, sd as (select name, id from (select *, row_number() over (partition by name order by relevance desc, id) as k from ou) where k <= 15),
+l1 as (select sd.name, ed.* from sd join (select *, row_number() over (partition by citing order by cited) as rn from ed) ed on ed.citing = sd.id where rn <= 120),
+w1 as (select name, id from (select name, cited as id, row_number() over (partition by name order by count(*) desc, cited) as k from l1 where (name, cited) not in (select name, id from sd) group by name, cited) where k <= 50),
+l2 as (select w1.name, ed.* from w1 join (select *, row_number() over (partition by citing order by cited) as rn from ed) ed on ed.citing = w1.id where rn <= 120),
+ly as (select * from l1 union all select * from l2), c1 as (select name, citing as seed, cited as node from l1), c2 as (select c1.name, c1.seed, ly.cited as node from c1 join ly on ly.name = c1.name and ly.citing = c1.node),
+cm as (select name, node, count(distinct seed) as k from (select * from c1 union all select * from c2) where node <> seed and (name, node) not in (select name, id from sd) group by all), ns as (select name, count(*) as n from sd group by name),
+qu as (select name, cited as node, avg(is_influential::int) as i, avg(is_methodology::int) as m from ly group by all),
+rt as (select name, node as id, round(k / n, 6) as convergence, round(0.5::double * k / n + 0.3::double * i + 0.2::double * m, 6) as score from cm join ns using (name) join qu using (name, node)),
+rb as (select rt.* from (select *, row_number() over (partition by name order by score desc, id) as k from rt) rt join jd using (id) where rt.k <= 15 and jd.relevance >= 6),
+rx as (select *, row_number() over (partition by name order by score desc, id) as rank from rb)
+select name, id, convergence, score, cast(rank as int) as rank from rx where rank <= 5"""
+
+
+def _searched(spark, sf_dir):
+    papers, plans = _paper_sources(spark, sf_dir)
+    rich = view(spark, sf_dir, "v_paper_rich")
+    given = view(spark, sf_dir, "v_paper").select("id", F.col("llm_relevance").cast("string").alias("model_score"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s2:"), (F.col("vec_id") + 1).cast("string")).alias("id"), "embedding")
+    return H.search(papers, plans, rich, view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, lambda pairs: pairs.join(given, "id"), vectors)
+
+
+@query(RANKED + " select name, id, relevance, way, importance, cast(rank as int) as rank from ou", ("v_paper", "v_paper_rich", "v_cite", "v_author"))
+def search_expanded(spark, sf_dir):
+    """Search with two hops over citations and recommendations by vectors."""
+    return _searched(spark, sf_dir)[0].withColumnRenamed("qid", "name")
+
+
+@query(RANKED + ROOTS, ("v_paper", "v_paper_rich", "v_cite", "v_author"))
+def search_roots(spark, sf_dir):
+    """The roots of each query's results."""
+    return _searched(spark, sf_dir)[1].withColumnRenamed("qid", "name")
