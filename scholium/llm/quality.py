@@ -83,15 +83,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Term weights, directions, and the neighbours with their labels."""
+    """Term weights, directions, and the neighbours with their labels. Singles are weighted in place: the sample is held once."""
 
     def __init__(self, x: np.ndarray, label: np.ndarray, dimensions: int = DIMENSIONS):
         # Terms that most labelled texts have say little: inverse document frequencies over them.
-        self.weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-        x = x * self.weight
-        values, vectors = np.linalg.eigh(x.T @ x)
+        self.weight = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1
+        x = np.asarray(x, np.float32)
+        x *= self.weight.astype(np.float32)
+        _, vectors = np.linalg.eigh((x.T @ x).astype(float))
         self.directions = vectors[:, ::-1][:, :dimensions].copy()
-        self.neighbours, self.label, self.base = unit(x @ self.directions), label, float(label.mean())
+        self.neighbours, self.label, self.base = unit((x @ self.directions.astype(np.float32)).astype(float)), label, float(label.mean())
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         some = x.any(1)
@@ -120,12 +121,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Model | N
         for pdf in few_rows(batches):
             found = [terms(t) for t in pdf["text"]]
             at = [np.flatnonzero(x) for x in found]
-            yield pd.DataFrame({"hash": pdf["hash"], "label": pdf["label"], "at": at, "x": [x[k] for x, k in zip(found, at)]})
+            yield pd.DataFrame({"hash": pdf["hash"], "label": pdf["label"], "at": at, "x": [x[k].astype(np.float32) for x, k in zip(found, at)]})
 
-    rows = written(sample.select(F.xxhash64("text").alias("hash"), "label", "text").mapInPandas(run, "hash long, label double, at array<long>, x array<double>"), "qualitysample").orderBy("hash", "label").toPandas()
+    rows = written(sample.select(F.xxhash64("text").alias("hash"), "label", "text").mapInPandas(run, "hash long, label double, at array<long>, x array<float>"), "qualitysample").orderBy("hash", "label").toPandas()
     if not len(rows):
         return None
-    x = np.zeros((len(rows), sum(SIZES)))
+    x = np.zeros((len(rows), sum(SIZES)), np.float32)
     for k, (at, values) in enumerate(zip(rows["at"], rows["x"])):
         x[k, np.asarray(at, int)] = values
     return Model(x, rows["label"].to_numpy(float))
