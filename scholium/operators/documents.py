@@ -63,15 +63,18 @@ def chunks(docs: DataFrame, target: int = TARGET, most: int = MOST, least: int =
 
 
 def assigned(props: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows ``(prop_id, chunk_id, shared)``: propositions to chunks of their document with enough words in common."""
-    words = lambda df, key: df.select("doc_id", key, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("word"))
-    need = parts.select("chunk_id", F.greatest(F.lit(3.0), 0.05 * F.size(F.array_distinct(X.tokens(F.col("text"))))).alias("need"))
-    both = words(props, "prop_id").join(words(parts, "chunk_id"), ["doc_id", "word"]).groupBy("prop_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared"))
-    return both.join(need, "chunk_id").where("shared >= need").select("prop_id", "chunk_id", "shared")
+    """Rows ``(prop_id, chunk_id, shared)``: propositions to chunks of their document with enough words in common. Words are made once for
+    each side; a document's propositions meet its chunks as sets of words."""
+    words = lambda df, key, name: written(df.select("doc_id", key, F.array_distinct(X.tokens(F.col("text"))).alias(name)), name)
+    need = F.greatest(F.lit(3.0), 0.05 * F.size("theirs"))
+    both = words(props, "prop_id", "mine").where(F.size("mine") >= 3).join(words(parts, "chunk_id", "theirs"), "doc_id")
+    met = both.select("prop_id", "chunk_id", F.size(F.array_intersect("mine", "theirs")).cast("long").alias("shared"), need.alias("need"))
+    return met.where("shared >= need").select("prop_id", "chunk_id", "shared")
 
 
 def chunk_propositions(props: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows ``(chunk_id, way, text)``: the propositions assigned to each chunk, or, where there is none, the chunk's own sentences."""
+    props, parts = written(props.select("doc_id", "prop_id", "text"), "props"), written(parts.select("doc_id", "chunk_id", "text"), "parts")
     got = written(assigned(props, parts), "assigned")
     matched = got.join(props.select("prop_id", "text"), "prop_id").select("chunk_id", F.lit("assigned").alias("way"), "text")
     alone = parts.join(got.select("chunk_id"), "chunk_id", "left_anti")

@@ -53,6 +53,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+def directed(cites: DataFrame, direction: str = "references") -> DataFrame:
+    """Edges ``(src, dst, is_influential)`` of ``cites (citing, cited, is_influential)`` as steps: to what a paper refers to, to what cites it, or ``both``."""
+    back = cites.select(F.col("citing").alias("src"), F.col("cited").alias("dst"), "is_influential")
+    forth = cites.select(F.col("cited").alias("src"), F.col("citing").alias("dst"), "is_influential")
+    return {"references": back, "citations": forth, "both": back.unionByName(forth)}[direction]
+
+
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 20, influential_only: bool = False, by_parents: bool = False) -> DataFrame:
     """Layered expansion over ``edges (src, dst, is_influential)``: rows ``(node, depth, influential, parents)``.
 

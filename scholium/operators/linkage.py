@@ -183,6 +183,25 @@ def merged(rows: DataFrame) -> DataFrame:
     )
 
 
+def aliases(found: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows ``(normalized_name, entity_id)``: the names of ``old (id, name)``, and those that ``resolved`` led to an entity; a name of both is the old one's."""
+    known = old.where("name is not null").groupBy(F.lower(F.trim("name")).alias("normalized_name")).agg(F.min("id").cast("string").alias("entity_id"))
+    new = found.groupBy(F.col("key").alias("normalized_name")).agg(F.min("entity_id").alias("entity_id"))
+    return known.unionByName(new.join(known.select("normalized_name"), "normalized_name", "left_anti"))
+
+
+def merge_log(found: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows ``(ord, merged_from_name, merged_into, merged_into_name, reason)``: every row of ``resolved`` that joined an entity, old or founded by an
+    earlier row of its name."""
+    names = old.select(F.col("id").cast("string").alias("entity_id"), F.col("name").alias("into")).unionByName(
+        found.where("reason = 'new'").groupBy("entity_id").agg(F.min_by("name", "ord").alias("into"))
+    )
+    first = found.where("reason = 'new'").groupBy("entity_id").agg(F.min("ord").alias("founder"))
+    joined = found.join(first, "entity_id", "left").where("reason <> 'new' or ord > founder")
+    reason = F.when(F.col("reason") == "new", "exact").otherwise(F.col("reason"))
+    return joined.join(names, "entity_id").select("ord", F.col("name").alias("merged_from_name"), F.col("entity_id").alias("merged_into"), F.col("into").alias("merged_into_name"), reason.alias("reason"))
+
+
 def upserted(rows: DataFrame, first_weight: float = 1.0) -> DataFrame:
     """Relations unique on (source, target, type): half a point for each repeat; self loops go. With ``ord``, ``description`` and ``doc_id``
     the first row's are kept."""

@@ -36,12 +36,15 @@ def _keys(records: DataFrame) -> DataFrame:
 
 
 def same_records(records: DataFrame) -> DataFrame:
-    """Rows ``(ord, cluster)``: records that share a DOI, arXiv id or title, transitively. Each key links its records in a star."""
-    keyed = _keys(records).select("ord", F.explode("keys").alias("key"))
-    star = keyed.groupBy("key").agg(F.min("ord").alias("dst"))
-    links = keyed.join(star, "key").where("ord <> dst").select(F.col("ord").alias("src"), "dst")
-    found = connected_components(links)
-    return records.select("ord").join(found, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("component", "ord").alias("cluster"))
+    """Rows ``(ord, cluster)``: records that share a DOI, arXiv id or title, transitively. Records of equal keys count once, each key links
+    what is left in a star; a record without a key is alone."""
+    rows = written(_keys(records).select("ord", "keys"), "keyed")
+    same = written(rows.where(F.size("keys") > 0).groupBy("keys").agg(F.min("ord").alias("first")), "same")
+    keyed = same.select("first", F.explode("keys").alias("key"))
+    star = keyed.groupBy("key").agg(F.min("first").alias("dst"))
+    found = connected_components(keyed.join(star, "key").where("first <> dst").select(F.col("first").alias("src"), "dst"))
+    placed = same.join(found, F.col("first") == F.col("node"), "left").select("keys", F.coalesce("component", "first").alias("cluster"))
+    return rows.join(placed, "keys", "left").select("ord", F.coalesce("cluster", "ord").alias("cluster"))
 
 
 def _text(name: str) -> F.Column:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ann
 from ..operators import documents as D
+from ..operators import flows as C
+from ..operators import graph as G
 from ..operators import linkage as L
 from ..operators import models as M
 from ..operators import search as H
@@ -13,10 +15,10 @@ from ..operators.communities import Communities
 from ..operators.keywords import KeywordIndex
 from ..sources.fixtures import table, view
 from ..streaming import jobs
-from .catalogue import ORACLES, YEAR_NOW, query, ranked_sql
+from .catalogue import ORACLES, SEEDS, YEAR_NOW, query, ranked_sql
 from .flows import WITHIN, _paper_sources
 from .lineage import new_path
-from .workflows import _named
+from .workflows import NAMED, _named, _resolved
 
 
 @query(
@@ -179,3 +181,50 @@ def search_expanded(spark, sf_dir):
 def search_roots(spark, sf_dir):
     """The roots of each query's results."""
     return _searched(spark, sf_dir)[1].withColumnRenamed("qid", "name")
+
+
+# Entities: names that lead to them, and what was merged.
+
+
+@query(f"with {NAMED}, kn as (select lower(trim(name)) as normalized_name, cast(min(id) as varchar) as entity_id from ol group by 1) select * from kn union all select key, min(entity_id) from rs where key not in (select normalized_name from kn) group by key")
+def entity_aliases(spark, sf_dir):
+    found, _, old = _resolved(spark, sf_dir)
+    return L.aliases(found, old)
+
+
+@query(
+    f"""with {NAMED}, fo as (select entity_id, min(ord) as founder, arg_min(name, ord) as into_name from rs where reason = 'new' group by 1), na as (select cast(id as varchar) as entity_id, name as into_name from ol union all select entity_id, into_name from fo)
+select ord, rs.name as merged_from_name, rs.entity_id as merged_into, na.into_name as merged_into_name, case when reason = 'new' then 'exact' else reason end as reason
+from rs join na using (entity_id) left join fo using (entity_id) where reason <> 'new' or ord > founder"""
+)
+def entity_merge_log(spark, sf_dir):
+    found, _, old = _resolved(spark, sf_dir)
+    return L.merge_log(found, old)
+
+
+@query(
+    f"""with {SEEDS}, wy as (select citing as src, cited as dst, is_influential from v_cite union all select cited, citing, is_influential from v_cite),
+h1 as (select dst as node, 1 as depth, max(is_influential) as influential, array_to_string(list_sort(list(distinct src)), ',') as parents from wy join p on src = p.id where dst not in (select id from p) group by 1 order by not max(is_influential), node limit 20),
+k as (select id from p union select node from h1),
+h2 as (select dst as node, 2 as depth, max(is_influential) as influential, array_to_string(list_sort(list(distinct src)), ',') as parents from wy join h1 on src = h1.node where dst not in (select id from k) group by 1 order by not max(is_influential), node limit 20)
+select * from h1 union all select * from h2""",
+    ("v_paper", "v_cite"),
+)
+def citation_hops_both(spark, sf_dir):
+    """Hops over references and citations."""
+    seeds = view(spark, sf_dir, "v_paper").orderBy(F.desc("citation_count"), "id").limit(15).select(F.col("id").alias("seed"))
+    return G.hops(G.directed(view(spark, sf_dir, "v_cite"), "both"), seeds, 2, 20).select("node", "depth", "influential", F.array_join("parents", ",").alias("parents"))
+
+
+@query(
+    """with b as (select *, coalesce(nullif(arxiv_id, ''), nullif(doi, '')) as best, substr(sha256(cast(ord as varchar)), 1, 16) as doc_id from v_paper_raw)
+select ord, case when regexp_matches(best, '^\\d{4}\\.\\d{4,5}(v\\d+)?$') then 'https://arxiv.org/pdf/' || best when starts_with(best, '10.') then 'https://doi.org/' || best
+when ord % 2 = 0 then 'ingested/url/t_' || substr(doc_id, 1, 8) || '.md' else title end as locator from b""",
+    ("v_paper_raw",),
+)
+def read_stored_notes(spark, sf_dir):
+    """Papers without an identifier are read from their stored notes, where there is one."""
+    raw = view(spark, sf_dir, "v_paper_raw").withColumn("doc_id", F.substring(F.sha2(F.col("ord").cast("string"), 256), 1, 16)).withColumn("abstract", F.lit(None).cast("string"))
+    notes = raw.where("ord % 2 = 0").select(F.concat(F.lit("ingested/url/t_"), F.substring("doc_id", 1, 8), F.lit(".md")).alias("relative_path"))
+    best = F.coalesce(F.nullif("arxiv_id", F.lit("")), F.nullif("doi", F.lit("")))
+    return C.readable(raw, best, notes).select("ord", "locator")
