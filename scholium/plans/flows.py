@@ -14,7 +14,7 @@ from ..operators import papers as P
 from ..operators import retrieval as S
 from ..sources import dumps, stored
 from ..sources.fixtures import table, view
-from .catalogue import ORACLES, YEAR_NOW, query, ranked_sql
+from .catalogue import CHUNKS, MARKDOWN, ORACLES, YEAR_NOW, query, ranked_sql
 from .lineage import new_path
 
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20)"
@@ -362,14 +362,29 @@ def graph_notes(spark, sf_dir):
     return C.graph_notes(v.select(F.col("id").alias("qid"), "id"), bridges, links)
 
 
-@query()
+@query(
+    """with recursive b as (select src, dst from v_link union select dst, src from v_link), w as (select vec_id as id, vec_id as c from embeddings union select b.dst, w.c from w join b on b.src = w.id where w.c < b.dst),
+m as (select id, min(c) as root from w group by id), n as (select id, dense_rank() over (order by root) - 1 as component, 'vector ' || id as name, id % 7 + 1 as mentions, label from m join embeddings on vec_id = id),
+k as (select *, row_number() over (partition by component order by mentions desc, name) as r from n), c as (select component, count(*) as size, string_agg(name, ', ' order by r) filter (r <= 5) as concepts, min(name || ': mentioned ' || mentions || ' times') as own, count(distinct label) as parents, min(label) as label from k group by component),
+o as (select label, count(*) as before from embeddings group by label)
+select cast(component as int) as component, size, case when size = 1 then own else 'Cluster: ' || concepts end as summary, case when parents > 1 then 'fresh' when before = size then 'same' else 'carried' end as outcome from c join o using (label)""",
+    ("v_link",),
+)
 def community_update(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("component"))
     members = v.select("id", F.concat(F.lit("vector "), F.col("id").cast("string")).alias("name"), (F.col("id") % 7 + 1).alias("mentions"))
     return C.updated_communities(v.select("id", F.col("id").alias("ord")), view(spark, sf_dir, "v_link").select("src", "dst"), members, v)
 
 
-@query()
+@query(
+    f"""with recursive {CHUNKS.replace(MARKDOWN, 'text')}, e as (select token from v_token where length(token) >= 8 group by token having count(distinct doc_id) between 2 and 50),
+s as (select doc_id, unnest({SENTENCES}) as text, generate_subscripts({SENTENCES}, 1) as n from documents),
+t as (select doc_id, n, unnest({TOKENS.format('text')}) as token, generate_subscripts({TOKENS.format('text')}, 1) as pos from s),
+p as (select doc_id, token as source, lead(token) over (partition by doc_id, n order by pos) as target from t semi join e using (token)),
+cc as (select doc_id, count(*) as k from al group by 1), pp as (select doc_id, count(*) as k from s group by 1), ee as (select doc_id, count(distinct token) as k from v_token semi join e using (token) group by 1), rr as (select doc_id, count(*) as k from p where target is not null and source <> target group by 1)
+select d.doc_id, coalesce(cc.k, 0) as chunks, coalesce(pp.k, 0) as propositions, coalesce(ee.k, 0) as entities, coalesce(rr.k, 0) as relations from documents d left join cc using (doc_id) left join pp using (doc_id) left join ee using (doc_id) left join rr using (doc_id)""",
+    ("v_token",),
+)
 def ingest_documents(spark, sf_dir):
     return C.ingested(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
