@@ -30,7 +30,7 @@ def components(nodes, edges):
 def test_batches_equal_a_recomputation(spark, tmp_path, seed):
     r = random.Random(seed)
     kept, nodes, edges, state = Communities(spark, f"file://{tmp_path}/c", 4), {}, [], {}
-    for batch in range(3):
+    for batch in range(2):
         came = {r.randint(0, 60): r.randint(1, 9) for _ in range(15)}
         nodes.update({**came})
         links = [(r.choice(list(nodes)), r.choice([*nodes, 999])) for _ in range(6)]

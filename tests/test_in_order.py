@@ -28,7 +28,7 @@ def clusters(spark, rows, **kw):
 
 @pytest.mark.parametrize("replayed", [50_000, 0])
 def test_a_long_chain(spark, replayed):
-    n = 10_000 if replayed else 300
+    n = 10_000 if replayed else 40
     rows = [(i, "s", f"10.1/{i // 2}" if i % 2 else f"10.1/{i // 2}", f"2401.{(i + 1) // 2:05d}", "", 1) for i in range(n)]
     assert clusters(spark, rows, replay=replayed) == replay(rows)
 
@@ -36,7 +36,7 @@ def test_a_long_chain(spark, replayed):
 @pytest.mark.parametrize("seed", [2])
 def test_rounds_alone_equal_the_replay(spark, seed):
     r = random.Random(seed)
-    rows = [(i, "s", r.choice(["", f"10.1/{r.randint(0, 60)}"]), r.choice(["", f"2401.{r.randint(0, 60):05d}"]), r.choice(["", f"title {r.randint(0, 80)}"]), 1) for i in range(150)]
+    rows = [(i, "s", r.choice(["", f"10.1/{r.randint(0, 60)}"]), r.choice(["", f"2401.{r.randint(0, 60):05d}"]), r.choice(["", f"title {r.randint(0, 80)}"]), 1) for i in range(60)]
     assert clusters(spark, rows, replay=3) == clusters(spark, rows) == replay(rows)
 
 
@@ -73,7 +73,7 @@ def one_by_one(new, old, t, f):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_entities_of_a_batch_meet_each_other(spark, seed):
     r = random.Random(seed)
     g = np.random.default_rng(seed)
@@ -84,7 +84,7 @@ def test_entities_of_a_batch_meet_each_other(spark, seed):
         x = centres[c] + 0.35 * g.normal(size=5)
         return (i, f"{('graph', 'vector', 'neural', 'token', 'search', 'index')[c]} {r.choice(['store', 'model', 'method', 'tree'])} {r.randint(0, 3)}", r.choice(["method", "tool", "concept"]), [float(v) for v in x / np.linalg.norm(x)])
 
-    new, old = [row(i) for i in range(70)], [row(i) for i in range(12)]
+    new, old = [row(i) for i in range(50)], [row(i) for i in range(12)]
     schema = "{} long, name string, type string, embedding array<double>"
     got = {x["ord"]: (x["founded"], x["found"], x["band"]) for x in L.in_order(spark.createDataFrame(new, schema.format("ord")), spark.createDataFrame(old, schema.format("id")), 0.9, 0.5).collect()}
     want = one_by_one(new, old, 0.9, 0.5)
