@@ -15,12 +15,13 @@ to the first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -33,6 +34,10 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 21
+#: Places whose hits go into one stretch, so that its words are bounded however many hits follow each other.
+STRETCH = 512
+#: Rows of one hash, on either side of the join, that one task takes; a hash with more is dealt over several.
+HEAVY = 4096
 
 
 def allowed(n: int) -> int:
@@ -154,17 +159,22 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(run, "item_id long, words array<long>")
 
 
+_overlap = re.compile(rb"[0-9A-Za-z\x80-\xff]*(?:[^0-9A-Za-z\x80-\xff]+[0-9A-Za-z\x80-\xff]+){0,%d}" % (2 * REACH))
+
+
 def pieces(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """A long text in overlapping pieces, and the bytes before each; the overlap exceeds what a comparison looks at."""
-    if len(data) <= BLOCK:
-        yield data, 0
-        return
+    """A long text in overlapping pieces, and the bytes before each; the overlap, in whole words, exceeds what a comparison looks at."""
     at = 0
-    while at < len(data):
-        yield data[at : at + BLOCK + (1 << 15)], at
-        at += BLOCK
-        while at < len(data) and _is_word[data[at]]:
-            at += 1
+    while len(data) - at > BLOCK:
+        cut = at + BLOCK
+        while cut < len(data) and _is_word[data[cut]]:
+            cut += 1
+        end = _overlap.match(data, cut).end()
+        yield data[at:end], at
+        if end == len(data):
+            return
+        at = cut
+    yield data[at:], at
 
 
 def regions(docs: DataFrame, items: DataFrame, bits: int) -> DataFrame:
@@ -220,7 +230,8 @@ def regions(docs: DataFrame, items: DataFrame, bits: int) -> DataFrame:
                 place, h, text = place[whole], h[whole], text[whole]
                 if not len(place):
                     return
-                cut = np.flatnonzero((np.diff(place) > 2 * REACH) | (np.diff(text) != 0)) + 1
+                # Every hit has its own REACH on both sides, so a stretch may be cut between any two.
+                cut = np.flatnonzero((np.diff(place) > 2 * REACH) | (np.diff(text) != 0) | (np.diff(place // STRETCH) != 0)) + 1
                 for p, x, t in zip(np.split(place, cut), np.split(h, cut), np.split(text, cut)):
                     lo, hi = max(first[t[0]], p[0] - REACH), min(first[t[0] + 1], p[-1] + REACH)
                     out.append((group[t[0]][0], words[lo:hi].view(np.int64), x.view(np.int64), (p - lo).astype(np.int32)))
@@ -243,13 +254,40 @@ def regions(docs: DataFrame, items: DataFrame, bits: int) -> DataFrame:
     return written(found.withColumn("region", F.monotonically_increasing_id()), "regions")
 
 
+def dealt(hits: DataFrame, hashed: DataFrame, n_hits: int, n_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns ``left`` and ``right``, by which they join besides ``h``: equal for every pair, exactly once.
+
+    A hash that is frequent on one side or both has its hits dealt over ``left`` and its items over ``right``, and each side is repeated
+    for the parts of the other, so no task gets more than some ``HEAVY`` rows of it from either side. Frequent is a hash with more rows than ``HEAVY``
+    and than a 65,536th of its side: at most 131,072 hashes are broadcast, however large the tables are.
+    """
+
+    def frequent(side: DataFrame, total: int, name: str) -> DataFrame:
+        return side.groupBy("h").agg(F.count("*").alias(name)).where(F.col(name) > max(HEAVY, total >> 16))
+
+    def parts(name: str) -> Column:
+        return F.coalesce(F.ceil(F.col(name) / HEAVY).cast("int"), F.lit(1))
+
+    parted = frequent(hits, n_hits, "k").join(frequent(hashed, n_seeds, "m"), "h", "full").select("h", parts("k").alias("lefts"), parts("m").alias("rights"))
+    parted = F.broadcast(written(parted, "frequentseeds"))
+
+    def side(df: DataFrame, mine: str, other: str) -> DataFrame:
+        spread = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(f"{mine}s"), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}s"), F.lit(1)) - 1))
+        return df.join(parted, "h", "left").select(*df.columns, spread.alias(mine), every.alias(other))
+
+    return side(hits, "left", "right"), side(hashed, "right", "left")
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows ``(doc_id, item_id, matched, compared, similarity)`` of the items that leak into documents."""
     hashed = written(item_seeds(items), "itemseeds")
     n = hashed.count()
     near = regions(docs, hashed, max(16, min(26, (max(n, 1) * 128).bit_length())))
     hits = near.select("region", F.explode(F.arrays_zip("h", "place")).alias("x")).select("region", F.col("x.h").alias("h"), F.col("x.place").alias("at"))
-    lined = hits.join(hashed, "h").select("region", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    n_hits = near.select(F.sum(F.size("place"))).first()[0] or 0
+    hits, hashed = dealt(hits, hashed, n_hits, n)
+    lined = hits.join(hashed, ["h", "left", "right"]).select("region", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
     both = lined.join(near.select("region", "doc_id", "words"), "region").join(item_words(items).withColumnRenamed("words", "item"), "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

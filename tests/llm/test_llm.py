@@ -254,10 +254,30 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d"), (3, "five short words of test"), (4, None)], "item_id long, text string")
     rows = [(1, "intro " + " ".join(item).upper() + " end"), (2, "x " + ", ".join(broken)), (3, " ".join(item[:12])), (4, "a b c d"), (5, "so: five short words of test."), (6, " ".join(w if i % 3 else "zz" for i, w in enumerate(item))), *EDGE]
     rows.append((7, "pad " * 700_000 + " ".join(item)))
+    # Across the border of two pieces, once with a substituted word longer than any overlap in bytes.
+    rows.append((8, "pad " * ((1 << 19) - 10) + " ".join(item) + " pad" * 20_000))
+    rows.append((9, "pad " * ((1 << 19) - 14) + " ".join([*item[:15], "g" * 100_000, *item[16:]]) + " pad" * 20_000))
+    rows.append((10, "\n".join(" ".join(item[:22]) for _ in range(3000))))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.query(frame(spark, rows), items).collect()}
-    assert got == {(1, 1), (2, 1), (5, 3), (7, 1)}
+    assert got == {(1, 1), (2, 1), (5, 3), (7, 1), (8, 1), (9, 1), (10, 1)}
     kept = {r["doc_id"] for r in decontaminate.clean(frame(spark, rows), items).collect()}
-    assert kept == {i for i, _ in rows} - {1, 2, 5, 7}
+    assert kept == {i for i, _ in rows} - {1, 2, 5, 7, 8, 9, 10}
+
+
+def test_common_seed_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HEAVY", 8)
+    item = lambda i: "in the middle of a " + " ".join(f"i{i}w{k}" for k in range(15))
+    items = spark.createDataFrame([(i, item(i)) for i in range(50)], "item_id long, text string")
+    rows = [(d, f"d{d} in the middle of a place " + (item(d) if d < 30 else f"x{d}")) for d in range(200)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.query(frame(spark, rows), items).collect()}
+    assert got == {(d, d) for d in range(30)}
+    hits = spark.createDataFrame([(r, 7 if r % 3 else r, 0) for r in range(300)], "region long, h long, at int")
+    seeds = spark.createDataFrame([(7 if i < 60 else i, i, 0, 20) for i in range(90)], "h long, item_id long, place int, n int")
+    left, right = decontaminate.dealt(hits, seeds, 300, 90)
+    pairs = lambda a, b, on: sorted(map(tuple, a.join(b, on).select("region", "item_id").collect()))
+    assert pairs(left, right, ["h", "left", "right"]) == pairs(hits, seeds, "h")
+    for side in (left, right):
+        assert max(r["count"] for r in side.groupBy("h", "left", "right").count().collect()) < 24
 
 
 def test_forward_sums_all_segmentations():
