@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, periodic, quality, simhash, toxicity, warc
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, media, merkle, periodic, quality, simhash, stages, toxicity, warc
 from .common import table
 
 
@@ -69,7 +67,7 @@ QUERIES = {
         op11_periodic_runs, op12_quality, op13_merkle_manifest,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = stages.run
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op6_warc": warc.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if stages.ORACLE_SQL:
+    ORACLES["pipeline"] = stages.ORACLE_SQL
