@@ -225,6 +225,6 @@ when ord % 2 = 0 then 'ingested/url/t_' || substr(doc_id, 1, 8) || '.md' else ti
 def read_stored_notes(spark, sf_dir):
     """Papers without an identifier are read from their stored notes, where there is one."""
     raw = view(spark, sf_dir, "v_paper_raw").withColumn("doc_id", F.substring(F.sha2(F.col("ord").cast("string"), 256), 1, 16)).withColumn("abstract", F.lit(None).cast("string"))
-    notes = raw.where("ord % 2 = 0").select(F.concat(F.lit("ingested/url/t_"), F.substring("doc_id", 1, 8), F.lit(".md")).alias("relative_path"))
+    notes = raw.where("ord % 2 = 0").select("doc_id", F.concat(F.lit("ingested/url/t_"), F.substring("doc_id", 1, 8), F.lit(".md")).alias("relative_path"))
     best = F.coalesce(F.nullif("arxiv_id", F.lit("")), F.nullif("doi", F.lit("")))
     return C.readable(raw, best, notes).select("ord", "locator")
