@@ -29,28 +29,35 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
     """``pairs (a, b)`` with ``path``: length of a shortest undirected path, 0 for a node itself, -1 beyond ``max_depth``."""
-    both = written(undirected(edges), "both")
-    start = pairs.select(F.col("a").alias("seed")).distinct()
-    seen = written(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")), "seen")
-    front = seen
-    for depth in range(1, max_depth + 1):
-        step = front.select("seed", F.col("node").alias("src")).join(both, "src").select("seed", F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("depth")), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+    seen = reachable(written(undirected(edges), "both"), pairs.select(F.col("a").alias("seed")), max_depth)
     return pairs.join(seen, (F.col("a") == F.col("seed")) & (F.col("b") == F.col("node")), "left").select("a", "b", F.coalesce("depth", F.lit(-1)).alias("path"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """Rows ``(seed, node, depth)``: what ``seeds (seed)`` reach along directed edges, themselves included."""
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    """Rows ``(seed, node, depth)``: what ``seeds (seed)`` reach along directed edges, themselves included.
+
+    Seeds are numbered, and 64 of them are the bits of one number, so that a round's joins and sums have a row for a node and 64 seeds;
+    a row for each seed is made from what was found, at the end.
+    """
+    known = numbered(seeds.select("seed").distinct(), ["seed"], "no", 0)
+    known = written(known.select("seed", F.shiftright("no", 6).alias("word"), F.col("no").bitwiseAND(63).cast("int").alias("bit")), "seeds")
+    front = written(known.groupBy(F.col("seed").alias("node"), "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "front")
+    steps, layers = edges.select("src", F.col("dst").alias("node")), [front.withColumn("depth", F.lit(0))]
+    seen = front
     for depth in range(1, max_depth + 1):
-        step = front.select("seed", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("seed", F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("depth")), "front")
+        step = front.withColumnRenamed("node", "src").join(steps, "src").groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+        before = seen.groupBy("node", "word").agg(F.bit_or("bits").alias("old"))
+        new = step.join(before, ["node", "word"], "left").select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        front = written(new.where("bits <> 0"), "front")
+        if front.isEmpty():
+            break
+        layers.append(front.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
-    return seen
+    whole = layers[0]
+    for layer in layers[1:]:
+        whole = whole.unionByName(layer)
+    each = whole.select("node", "depth", "word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)).alias("bit"))
+    return each.join(known, ["word", "bit"]).select("seed", "node", "depth")
 
 
 def directed(cites: DataFrame, direction: str = "references") -> DataFrame:
