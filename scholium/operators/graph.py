@@ -104,7 +104,12 @@ def latent_links(vectors: DataFrame, k: int = 6, least: float = 0.8, known: Data
     of = lambda end, name: vectors.select(F.col("id").alias(end), F.col("docs").alias(name))
     kept = near.join(of("a", "da"), "a").join(of("b", "db"), "b").where(~F.arrays_overlap("da", "db"))
     pairs = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
-    return pairs if known is None else pairs.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return pairs if known is None else unknown(pairs, known)
+
+
+def unknown(links: DataFrame, known: DataFrame) -> DataFrame:
+    """``links (a, b, sim)``, a before b, that ``known (a, b)``, in either order, does not hold yet."""
+    return links.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
