@@ -181,8 +181,8 @@ def document_scalars(spark, sf_dir):
 @query()
 def cleaned_documents(spark, sf_dir):
     """Without boilerplate above and below, and of long ones the key sections only; the rules have hand-written tests."""
-    text = X.key_sections(X.strip_boilerplate(F.col("text")))
-    return markdown(spark, sf_dir).select("doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+    measures = X.bound(X.key_sections(X.strip_boilerplate(F.col("text"))), lambda x: F.struct(F.length(x).cast("long").alias("n_chars"), F.md5(x.cast("binary")).alias("text_md5")))
+    return markdown(spark, sf_dir).select("doc_id", measures.alias("m")).select("doc_id", "m.n_chars", "m.text_md5")
 
 
 @query(f"select doc_id, count(*) as propositions from (select substr(sha256(cast(doc_id as varchar)), 1, 16) as doc_id, unnest({SENTENCES.format('text')}) as s from documents where length(trim(text, ' ')) >= 50) group by doc_id")
