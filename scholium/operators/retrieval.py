@@ -23,7 +23,7 @@ ASKED, READ, CELLS = 16_384, 2_000_000, 1 << 22
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``(token, id, tf, dl)``. The length is taken before the explosion, so one shuffle, partially aggregated, suffices."""
     words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return X.unrolled(words.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")), "token").groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def token_stats(posts: DataFrame, n_docs: int) -> DataFrame:
@@ -41,11 +41,6 @@ def tf_part(avgdl: float) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(avgdl, 1.0)))
 
 
-def score_part(avgdl: float) -> Column:
-    """What a token adds to a document's BM25 score, of ``times``, ``idf``, ``tf`` and ``dl``."""
-    return F.col("times") * F.col("idf") * tf_part(avgdl)
-
-
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key. Spark keeps k rows a task and key before the shuffle, so that hot keys do not gather."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
@@ -97,19 +92,19 @@ def _scored(asked: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, docs: p
     return np.asarray(ids), out
 
 
-def _ranked(posts: DataFrame, asked: DataFrame, k: int, n_queries: int) -> DataFrame:
+def ranked(posts: DataFrame, asked: DataFrame, k: int, n_queries: int, n_posts: int | None = None) -> DataFrame:
     """Rows ``(q, id, score)``, the k best of each query and task, of ``posts (id, t, part)`` and ``asked (q, t, weight)``.
 
     Queries are dealt into groups of ``ASKED`` and documents into groups of some ``READ`` postings. A task holds a group of queries and
-    streams a group of documents past it, so that what a query shares with a document never becomes a row.
+    streams a group of documents past it, so that what a query shares with a document never becomes a row. ``n_posts``: how many postings, if known.
     """
-    n, m = -(-n_queries // ASKED) or 1, max(posts.sparkSession.sparkContext.defaultParallelism, -(-posts.count() // READ))
+    n, m = -(-n_queries // ASKED) or 1, max(posts.sparkSession.sparkContext.defaultParallelism, -(-(posts.count() if n_posts is None else n_posts) // READ))
     group = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     kind = dict(posts.dtypes)["id"]
     mine = asked.select(group("q", n).alias("i"), every(m).alias("j"), F.lit(0).alias("side"), "q", F.lit(None).cast(kind).alias("id"), "t", F.col("weight").alias("part"))
     yours = posts.select(every(n).alias("i"), group("id", m).alias("j"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("q"), "id", "t", "part")
-    met = mine.unionByName(yours).repartition(min(n * m, 1 << 16), "i", "j").sortWithinPartitions("i", "j", "side", "id")
+    met = yours.unionByName(mine).repartition(min(n * m, 1 << 16), "i", "j").sortWithinPartitions("i", "j", "side", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs() -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -168,7 +163,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     df = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     times = said.select("q", F.explode("w").alias("token")).groupBy("q", "token").agg(F.count(F.lit(1)).alias("times"))
     asked = written(times.join(vocabulary, "token").join(df.select("t", idf_of(n or 0).alias("idf")), "t").select("q", "t", (F.col("times") * F.col("idf")).alias("weight")), "weights")
-    hits = _ranked(posts, asked, k, said.count())
+    hits = ranked(posts, asked, k, said.count())
     best = top_k(hits, ["q"], [F.round("score", 9).desc(), F.col("id")], k)
     return best.join(said.select("q", "qid"), "q").select("qid", "id", "score", "rank")
 

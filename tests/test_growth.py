@@ -5,6 +5,9 @@ import time
 from pyspark.sql import functions as F
 
 from scholium.functions import text as X
+from scholium.operators import documents as D
+from scholium.operators import retrieval as S
+from scholium.operators.keywords import KeywordIndex
 
 
 def test_lines_are_made_once_for_a_text_and_not_once_for_each_line(spark):
@@ -14,3 +17,26 @@ def test_lines_are_made_once_for_a_text_and_not_once_for_each_line(spark):
     got = spark.createDataFrame([(text,)], "text string").select(X.strip_boilerplate(F.col("text")).alias("t")).first()["t"]
     assert time.time() - began < 30
     assert got.startswith("# A title\n  line 0 \n") and got.endswith(f"line {n - 1}")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_taken_apart_once_and_not_for_a_filter_too(spark):
+    docs = spark.createDataFrame([(1, "a word and a word"), (2, ""), (3, None)], "doc_id long, text string")
+    assert plan_of(S.postings(docs, "doc_id", "text")).count("regexp_replace") == 1
+    assert plan_of(D.propositions(docs)).count("split(") == 1
+    assert sorted(map(tuple, S.postings(docs, "doc_id", "text").select("token", "tf").collect())) == [("and", 1), ("word", 2)]
+
+
+def test_an_index_is_searched_within_tasks(spark, tmp_path):
+    """Words of all documents and queries: what a query shares with a document is no row of a join."""
+    index = KeywordIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    docs = spark.createDataFrame([(i, f"common words{i % 3} " + "common " * (i % 4)) for i in range(40)], "doc_id long, text string")
+    index.add(docs, 0)
+    items = spark.createDataFrame([(i, f"common words{i % 3}") for i in range(9)] + [(None, "common")], "item_id long, text string")
+    hits = index.search(items, k=5)
+    assert "MapInPandas" in plan_of(hits) and index.sizes() == (40, sum(2 + i % 4 for i in range(40)) / 40)
+    key = lambda df: sorted(map(str, df.selectExpr("qid", "id", "round(score, 6)", "rank").collect()))
+    assert key(hits) == key(S.bm25(docs, items, k=5)) and hits.where("qid is null").count() == 5
