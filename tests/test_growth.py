@@ -40,3 +40,11 @@ def test_an_index_is_searched_within_tasks(spark, tmp_path):
     assert "MapInPandas" in plan_of(hits) and index.sizes() == (40, sum(2 + i % 4 for i in range(40)) / 40)
     key = lambda df: sorted(map(str, df.selectExpr("qid", "id", "round(score, 6)", "rank").collect()))
     assert key(hits) == key(S.bm25(docs, items, k=5)) and hits.where("qid is null").count() == 5
+
+
+def test_an_inverted_index_shuffles_texts_and_not_words(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (1, "c"), (2, ""), (3, None)], "doc_id long, text string")
+    index = D.inverted_index(docs)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    assert {r["doc_id"]: {k: sorted(v) for k, v in r["index"].items()} for r in index.collect()} == {1: {"a": [1], "b": [0, 2], "c": [0]}, 2: {"": [0]}}
