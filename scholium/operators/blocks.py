@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 
 #: Queries that are broadcast, and blocks that a task holds.
-FEW, HELD = 2048, 64
+FEW, HELD = 2048, 16
 
 
 def blocks(vectors: DataFrame, rows: int = 1024) -> DataFrame:

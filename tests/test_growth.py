@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from scholium.functions import text as X
+from scholium.operators import blocks as B
 from scholium.operators import documents as D
 from scholium.operators import retrieval as S
 from scholium.operators.keywords import KeywordIndex
@@ -48,3 +49,12 @@ def test_an_inverted_index_shuffles_texts_and_not_words(spark):
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
     assert {r["doc_id"]: {k: sorted(v) for k, v in r["index"].items()} for r in index.collect()} == {1: {"a": [1], "b": [0, 2], "c": [0]}, 2: {"": [0]}}
+
+
+def test_blocks_that_one_task_holds_are_few(spark):
+    """Forty blocks meet in more than one task, and all pairs are found."""
+    v = spark.range(400).selectExpr("id", "array(cast(id % 7 as float), 1.0f) as embedding")
+    met = B._met(B.blocks(v, 10))
+    most = met.groupBy("i", "j", "side").count().agg(F.max("count")).first()[0]
+    assert most <= 16 and met.select("i", "j").distinct().count() > 1
+    assert B.similar_pairs(v, 0.5, 10).count() == 400 * 399 // 2
