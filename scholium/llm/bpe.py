@@ -42,7 +42,7 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """The tokens of one vocabulary file; ``spec`` is its parsed JSON."""
 
-    def __init__(self, spec: dict, cache: int = 200_000):
+    def __init__(self, spec: dict, cache: int = 500_000):
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -63,6 +63,12 @@ class Encoder:
         #: Every token that merging can make, by a number of its own, and the pairs known to fit or not.
         self.names = [t for t in self.ids if t in self.made or size(t) == 1]
         self.number = {t: i for i, t in enumerate(self.names)}
+        #: By the last three symbols of a token: how long such tokens are, longest first; then two symbols and one.
+        ends: dict[str, set[int]] = {}
+        for t in self.names:
+            if (n := size(t)) > 2:
+                ends.setdefault(t[n - 3 :], set()).add(n)
+        self.sizes = {end: [*sorted(found, reverse=True), 2, 1] for end, found in ends.items()}
         self.fits: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.cap = cache
@@ -139,12 +145,13 @@ class Encoder:
         """``stream`` for a word that fits in the window; ``s`` without the suffix."""
         if (whole := s + self.suffix) in self.made:
             return [whole]
-        number, fits, reach, n = self.number, self.fits, self.lookahead, len(s)
+        number, fits, sizes, n = self.number, self.fits, self.sizes, len(s)
         last, back = [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             tail = self.suffix if i == n else ""
-            for k in range(i - reach if i > reach else 0, i):
-                token = number.get(s[k:i] + tail)
+            for m in sizes.get(s[i - 3 : i] + tail, (2, 1)) if i > 2 else (2, 1):
+                k = i - m
+                token = number.get(s[k:i] + tail) if k >= 0 else None
                 if token is not None:
                     if k:
                         good = fits.get(last[k] << 20 | token)

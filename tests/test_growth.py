@@ -58,3 +58,13 @@ def test_blocks_that_one_task_holds_are_few(spark):
     most = met.groupBy("i", "j", "side").count().agg(F.max("count")).first()[0]
     assert most <= 16 and met.select("i", "j").distinct().count() > 1
     assert B.similar_pairs(v, 0.5, 10).count() == 400 * 399 // 2
+
+
+def test_encoding_tries_only_lengths_that_tokens_with_these_last_symbols_have():
+    from scholium.llm.bpe import Encoder
+
+    merges = ["a b", "ab c</w>", "c d", "ab cd", "abcd e</w>"]
+    vocab = {t: i for i, t in enumerate([*"abcde", *(f"{x}</w>" for x in "abcde"), *(m.replace(" ", "") for m in merges)])}
+    encoder = Encoder({"model": {"vocab": vocab, "merges": merges, "end_of_word_suffix": "</w>"}})
+    assert encoder.sizes == {"abc</w>": [3, 2, 1], "bcd": [4, 2, 1], "cde</w>": [5, 2, 1]}
+    assert encoder.short("abcdabc") == ["abcd", "abc</w>"] and encoder.short("eab") == ["e", "a", "b</w>"]
