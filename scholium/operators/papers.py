@@ -161,6 +161,15 @@ def single_edges(cites: DataFrame) -> DataFrame:
     return cites.groupBy("citing", "cited").agg(F.max("is_influential").alias("is_influential"), F.max("is_methodology").alias("is_methodology"))
 
 
+def touching(cites: DataFrame, ids: DataFrame, ends: tuple[str, ...] = ("citing", "cited")) -> DataFrame:
+    """The single edges of which one of ``ends`` is among ``ids (id)``. Citations are looked up, in one pass, before they are
+    made single, so that where few papers are asked for only their citations are shuffled."""
+    asked, out = ids.select("id").distinct(), cites
+    for end in ends:
+        out = out.join(asked.select(F.col("id").alias(end), F.lit(True).alias(f"at_{end}")), end, "left")
+    return single_edges(out.where(" or ".join(f"at_{end}" for end in ends)))
+
+
 def edges_by_paper(edges: DataFrame, references: int = 1000, citations: int = 1000) -> DataFrame:
     """Rows ``(id, way, other, is_influential, is_methodology)``: each paper's first references and citations, by the other's id."""
     back = top_k(edges.select(F.col("citing").alias("id"), F.lit("reference").alias("way"), F.col("cited").alias("other"), "is_influential", "is_methodology"), ["id"], [F.col("other")], references)
@@ -226,18 +235,19 @@ def scored(papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: in
 def scored_sets(sets: DataFrame, papers: DataFrame, cites: DataFrame, authors: DataFrame, year_now: int, top: int = 15, refs: int = 50, each: int = 100) -> DataFrame:
     """The features of ``scored`` for many result sets ``(qid, id, ...)`` at once, each within its own set: which papers are most cited, whom they
     cite, which authors come again, and by what maximum counts are divided."""
-    sets, edges = written(sets, "sets"), written(single_edges(cites), "edges")
+    sets = written(sets, "sets")
     own = written(sets.join(papers, "id"), "own")
     pairs = own.select("qid", "id")
     tops = written(top_k(own.select("qid", "id", "citation_count"), ["qid"], [F.desc("citation_count"), F.col("id")], top).select("qid", "id"), "tops")
-    asked = tops.select("id").distinct()
-    cited = top_k(edges.join(asked.withColumnRenamed("id", "citing"), "citing", "left_semi").select("citing", "cited"), ["citing"], [F.col("cited")], refs)
+    asked = written(tops.select("id").distinct(), "asked")
+    near = written(touching(cites, asked), "near")
+    cited = top_k(near.join(asked.withColumnRenamed("id", "citing"), "citing", "left_semi").select("citing", "cited"), ["citing"], [F.col("cited")], refs)
     in_set = tops.join(cited, F.col("id") == F.col("citing")).select("qid", F.col("cited").alias("id")).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("in_set"))
-    near = edges.join(asked.withColumnRenamed("id", "citing"), "citing", "left_semi").unionByName(edges.join(asked.withColumnRenamed("id", "cited"), "cited", "left_semi").select(*edges.columns)).distinct()
     seen = edges_by_paper(near, each, each).where("is_influential").join(tops, "id")
     weight = F.sum(F.when(F.col("is_methodology"), 2).otherwise(1)).alias("influence")
     influential = seen.groupBy("qid", F.col("other").alias("id")).agg(weight)
-    wrote = written(pairs.join(authors.distinct(), "id"), "wrote")
+    those = written(pairs.select("id").distinct(), "those")
+    wrote = written(pairs.join(authors.join(those, "id", "left_semi").distinct(), "id"), "wrote")
     again = wrote.groupBy("qid", "author_id").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("qid", "author_id")
     of_set = again.groupBy("qid").agg(F.count(F.lit(1)).alias("all_again"))
     author = wrote.join(again, ["qid", "author_id"]).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("k")).join(of_set, "qid").select("qid", "id", F.least(F.lit(1.0), F.col("k") / F.col("all_again")).alias("author"))

@@ -13,11 +13,11 @@ from ..operators import models as M
 from ..operators import search as H
 from ..operators.communities import Communities
 from ..operators.keywords import KeywordIndex
-from ..sources.fixtures import table, view
+from ..sources.fixtures import rich, table, view
 from ..streaming import jobs
 from .catalogue import ORACLES, SEEDS, YEAR_NOW, query, ranked_sql
 from .flows import WITHIN, _paper_sources
-from .lineage import new_path
+from .lineage import new_path, written
 from .workflows import NAMED, _named, _resolved
 
 
@@ -164,11 +164,11 @@ select name, id, convergence, score, cast(rank as int) as rank from rx where ran
 
 
 def _searched(spark, sf_dir):
-    papers, plans = _paper_sources(spark, sf_dir)
-    rich = view(spark, sf_dir, "v_paper_rich")
-    given = view(spark, sf_dir, "v_paper").select("id", F.col("llm_relevance").cast("string").alias("model_score"))
+    whole = written(view(spark, sf_dir, "v_paper"), "whole")
+    papers, plans = _paper_sources(spark, sf_dir, whole)
+    given = whole.select("id", F.col("llm_relevance").cast("string").alias("model_score"))
     vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s2:"), (F.col("vec_id") + 1).cast("string")).alias("id"), "embedding")
-    return H.search(papers, plans, rich, view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, lambda pairs: pairs.join(given, "id"), vectors)
+    return H.search(papers, plans, rich(whole), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, lambda pairs: pairs.join(given, "id"), vectors)
 
 
 @query(RANKED + " select name, id, relevance, way, importance, cast(rank as int) as rank from ou", ("v_paper", "v_paper_rich", "v_cite", "v_author"))

@@ -1,12 +1,15 @@
 """Work that grew faster than its input."""
 
+import re
 import time
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from scholium.functions import text as X
 from scholium.operators import blocks as B
 from scholium.operators import documents as D
+from scholium.operators import papers as P
 from scholium.operators import retrieval as S
 from scholium.operators.keywords import KeywordIndex
 
@@ -68,3 +71,26 @@ def test_encoding_tries_only_lengths_that_tokens_with_these_last_symbols_have():
     encoder = Encoder({"model": {"vocab": vocab, "merges": merges, "end_of_word_suffix": "</w>"}})
     assert encoder.sizes == {"abc</w>": [3, 2, 1], "bcd": [4, 2, 1], "cde</w>": [5, 2, 1]}
     assert encoder.short("abcdabc") == ["abcd", "abc</w>"] and encoder.short("eab") == ["e", "a", "b</w>"]
+
+
+def test_citations_are_looked_up_before_they_are_made_single(spark, tmp_path):
+    rows = [(f"p{i % 40}", f"p{i * 7 % 40}", i % 2 == 0, i % 3 == 0) for i in range(400)] * 2
+    spark.createDataFrame(rows, "citing string, cited string, is_influential boolean, is_methodology boolean").write.parquet(f"{tmp_path}/cites")
+    spark.createDataFrame([("p3",), ("p5",), ("p3",), (None,)], "id string").write.parquet(f"{tmp_path}/ids")
+    cites, ids = spark.read.parquet(f"{tmp_path}/cites"), spark.read.parquet(f"{tmp_path}/ids")
+    some, single = P.touching(cites, ids), P.single_edges(cites)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, single.where("citing in ('p3', 'p5') or cited in ('p3', 'p5')").collect()))
+    assert sorted(map(tuple, P.touching(cites, ids, ("cited",)).collect())) == sorted(map(tuple, single.where("cited in ('p3', 'p5')").collect()))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [citing") < plan.index("Join LeftOuter")
+
+
+def test_a_search_makes_papers_and_citations_once(spark, monkeypatch):
+    """Each table that is made of line items is made by one job, however many steps look papers and citations up."""
+    from scholium.plans import increments
+
+    made, plain = [], increments.view
+    monkeypatch.setattr(increments, "view", lambda spark, sf_dir, name: (made.append(name), plain(spark, sf_dir, name))[1])
+    found = entry.queries()["search_expanded"](spark, "/root/testdata/sf0.001")
+    assert sorted(made) == ["v_author", "v_cite", "v_paper"] and found.count()
+    assert not re.search("lineitem", found._jdf.queryExecution().optimizedPlan().toString())
