@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,18 @@ def answered(model: Callable[[str], str], step: Step, batch: list[Row]) -> list[
     return [(step.default(row), "default") if got is None else (got, "model") for row, got in zip(batch, found)]
 
 
+def asked(rows: Iterator[Row], model: Callable[[str], str], step: Step, group: list[str], calls: int) -> Iterator[tuple[list[Row], list[tuple[Answers, str]]]]:
+    """Batches of rows and what was answered, in their order; ``calls`` prompts are asked at once, and no more than twice as many batches are held."""
+    with ThreadPoolExecutor(calls) as pool:
+        held: list[list[Row]] = []
+        for batch in packed(rows, step, group):
+            held.append(batch)
+            if len(held) == 2 * calls:
+                yield from zip(held, pool.map(lambda b: answered(model, step, b), held))
+                held = []
+        yield from zip(held, pool.map(lambda b: answered(model, step, b), held))
+
+
 def infer(df: DataFrame, model: Callable[[str], str], step: Step, answer: T.StructType, group: list[str], order: list[str], keep: list[str], calls: int = 3) -> DataFrame:
     """``df`` with ``answers`` (an array of ``answer``) and ``way`` (``model`` or ``default``), its columns ``keep``.
 
@@ -74,20 +87,15 @@ def infer(df: DataFrame, model: Callable[[str], str], step: Step, answer: T.Stru
     names = answer.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def made(done: list[tuple[list[Row], list[tuple[Answers, str]]]]) -> pd.DataFrame:
-            rows = [(*(row[c] for c in keep), [{n: a.get(n) for n in names} for a in got], way) for batch, found in done for row, (got, way) in zip(batch, found)]
-            return pd.DataFrame(rows, columns=out.names).astype({c: "object" for c in out.names})
-
         each = (row for pdf in batches for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"))
-        with ThreadPoolExecutor(calls) as pool:
-            held: list[list[Row]] = []
-            for batch in packed(each, step, group):
-                held.append(batch)
-                if len(held) == 2 * calls:
-                    yield made(list(zip(held, pool.map(lambda b: answered(model, step, b), held))))
-                    held = []
-            if held:
-                yield made(list(zip(held, pool.map(lambda b: answered(model, step, b), held))))
+        rows: list[tuple] = []
+        for batch, found in asked(each, model, step, group, calls):
+            rows += [(*(row[c] for c in keep), [{n: a.get(n) for n in names} for a in got], way) for row, (got, way) in zip(batch, found)]
+            if len(rows) >= 200:
+                yield pd.DataFrame(rows, columns=out.names).astype("object")
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=out.names).astype("object")
 
     return df.mapInPandas(run, out)
 
@@ -153,17 +161,19 @@ def _valid(name: str, description: str) -> bool:
     return len(name) >= 3 and name.lower() not in STOP_NAMES and own not in ("", name.lower()) and not re.match(NO_ENTITY, name)
 
 
-def entity_step(rows: int = 30, chars: int = 5000) -> Step:
-    """Answers of a prompt belong to its first row: entities that are valid, and relations between entities of the same answer."""
+def entity_step(rows: int = 30, chars: int = 5000, relations: bool = True) -> Step:
+    """Answers of a prompt belong to its first row: entities that are valid, and ``relations`` between entities of the same answer."""
 
     def parse(text: str, batch: list[Row]) -> list[Answers | None]:
         said = parsed_json(text, "{")
         if not isinstance(said, dict):
             return []
-        whole = lambda x, k, other="": str(x.get(k) if x.get(k) is not None else other).strip()
+        whole = lambda x, k, other="": (other if (v := x.get(k)) is None else str(v)).strip()
         of = lambda key: [x for x in said.get(key) or [] if isinstance(x, dict)]
         named = [{"kind": "entity", "name": whole(e, "name"), "type": whole(e, "type", "concept"), "description": whole(e, "description")} for e in of("entities")]
         named = [e for e in named if _valid(e["name"], e["description"])]
+        if not relations:
+            return [named, *([] for _ in batch[1:])]
         known = {e["name"].lower() for e in named}
         ends = [{"kind": "relation", "name": whole(r, "source"), "target": whole(r, "target"), "type": whole(r, "type", "related_to"), "description": whole(r, "description")} for r in of("relationships")]
         mine = named + [r for r in ends if r["name"].lower() in known and r["target"].lower() in known]
@@ -172,14 +182,48 @@ def entity_step(rows: int = 30, chars: int = 5000) -> Step:
     return Step(lambda batch: "\n".join(f'- "{r["text"]}"' for r in batch), parse, lambda r: [], rows, chars, lambda r: len(str(r["text"] or "")) + 5)
 
 
+def _first_entities(props: DataFrame, model: Callable[[str], str], step: Step, calls: int = 3) -> DataFrame:
+    """Rows ``(doc_id, name, type, description)``. A document's rows meet in one task in their order, so that names that it has had are known there."""
+    names = ("doc_id", "name", "type", "description")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def each() -> Iterator[Row]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field("doc_id").type, pa.string(), pa.string(), pa.string()]
+                yield from (dict(zip(batch.schema.names, row)) for row in zip(*batch.to_pydict().values()))
+
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
+        out: list[tuple] = []
+        seen: set[str] = set()
+        at: tuple | None = None
+        for batch, found in asked(each(), model, step, ["doc_id"], calls):
+            doc = batch[0]["doc_id"]
+            if at != (doc,):
+                at, seen = (doc,), set()
+            for got, _ in found:
+                for e in got:
+                    if (key := e["name"].lower()) not in seen:
+                        seen.add(key)
+                        out.append((doc, e["name"], e["type"], e["description"]))
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    dealt = props.select("doc_id", "n", "text").repartition("doc_id").sortWithinPartitions("doc_id", "n")
+    return dealt.mapInArrow(run, T.StructType([props.schema["doc_id"], *(T.StructField(c, T.StringType()) for c in names[1:])]))
+
+
 def entities(props: DataFrame, model: Callable[[str], str], rows: int = 30, chars: int = 5000) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, name, type, description)``, the first of each lower-case name of a document, and ``(doc_id, source_name, target_name, type,
     description)`` in the order of ``props (doc_id, n, text)``."""
     got = infer(props.select("doc_id", "n", "text"), model, entity_step(rows, chars), FOUND, ["doc_id"], ["n"], ["doc_id", "n"])
     each = got.select("doc_id", "n", F.posexplode("answers").alias("at", "a")).select("doc_id", "n", "at", "a.*")
-    first = each.where("kind = 'entity'").groupBy("doc_id", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "type", "description"), F.struct("n", "at")).alias("e"))
     relations = each.where("kind = 'relation'").select("doc_id", F.col("name").alias("source_name"), F.col("target").alias("target_name"), "type", "description")
-    return first.select("doc_id", "e.*"), relations
+    return _first_entities(props, model, entity_step(rows, chars, relations=False)), relations
 
 
 # Relevance of papers.

@@ -92,3 +92,17 @@ def test_relevance_pads_and_clamps(spark):
 def test_json_of_an_answer():
     assert M.parsed_json('```json\n["a"]\n``` more') == ["a"] and M.parsed_json('so: [1, 2] ok') == [1, 2] and M.parsed_json("[1, 2") is None and M.parsed_json("") is None
     assert M.parsed_json('x {"a": 1} y', "{") == {"a": 1} and M.parsed_json('["a"]', "{") is None
+
+
+def test_entities_are_told_apart_where_they_were_asked_for(spark):
+    """Names that a document has had, in whatever case and prompt, are dropped in the task that asks; nothing is shuffled or sorted once more, and no relation is made to be thrown away."""
+    rows = [(1, 0, "Learning and retrieval"), (1, 1, "learning"), (1, 2, "RETRIEVAL and ranking"), (2, 0, "learning"), (None, 0, "ranking"), (None, 1, "Ranking"), (3, 0, None)]
+    props = spark.createDataFrame(rows, "doc_id long, n int, text string").repartition(3)
+    said = lambda prompt: json.dumps({"entities": [{"name": w, "description": f"from {prompt[3:11]}"} for w in prompt.translate(str.maketrans("", "", '-"')).split() if len(w) > 5], "relationships": [{"source": "learning", "target": "learning"}]})
+    for size in (1, 30):
+        found = M.entities(props, said, rows=size)[0]
+        assert sorted(((r["doc_id"] or 0), r["name"]) for r in found.collect()) == [(0, "ranking"), (1, "Learning"), (1, "ranking"), (1, "retrieval"), (2, "learning")]
+    plan = M.entities(props, said)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Aggregate" not in plan
+    assert M.entity_step(relations=False).parse(said('- "learning"'), [{"text": ""}, {"text": ""}])[0][0]["name"] == "learning"
+    assert [len(x) for x in M.entity_step(relations=False).parse(said('- "learning"'), [{}, {}])] == [1, 0] and len(M.entity_step().parse(said('- "learning"'), [{}])[0]) == 2
