@@ -168,7 +168,8 @@ def _searched(spark, sf_dir):
     papers, plans = _paper_sources(spark, sf_dir, whole)
     given = whole.select("id", F.col("llm_relevance").cast("string").alias("model_score"))
     vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s2:"), (F.col("vec_id") + 1).cast("string")).alias("id"), "embedding")
-    return H.search(papers, plans, rich(whole), view(spark, sf_dir, "v_cite"), view(spark, sf_dir, "v_author"), YEAR_NOW, lambda pairs: pairs.join(given, "id"), vectors)
+    records, cites, judge = rich(whole), written(view(spark, sf_dir, "v_cite"), "cites"), lambda pairs: pairs.join(given, "id")
+    return H.search(papers, plans, records, cites, view(spark, sf_dir, "v_author"), YEAR_NOW, judge, vectors), cites, records, judge
 
 
 @query(RANKED + " select name, id, relevance, way, importance, cast(rank as int) as rank from ou", ("v_paper", "v_paper_rich", "v_cite", "v_author"))
@@ -180,7 +181,7 @@ def search_expanded(spark, sf_dir):
 @query(RANKED + ROOTS, ("v_paper", "v_paper_rich", "v_cite", "v_author"))
 def search_roots(spark, sf_dir):
     """The roots of each query's results."""
-    return _searched(spark, sf_dir)[1].withColumnRenamed("qid", "name")
+    return H.roots(*_searched(spark, sf_dir)).withColumnRenamed("qid", "name")
 
 
 # Entities: names that lead to them, and what was merged.

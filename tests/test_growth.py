@@ -86,11 +86,12 @@ def test_citations_are_looked_up_before_they_are_made_single(spark, tmp_path):
 
 
 def test_a_search_makes_papers_and_citations_once(spark, monkeypatch):
-    """Each table that is made of line items is made by one job, however many steps look papers and citations up."""
+    """Each table that is made of line items is made once, however many steps look it up; no roots where none are asked for."""
     from scholium.plans import increments
 
     made, plain = [], increments.view
     monkeypatch.setattr(increments, "view", lambda spark, sf_dir, name: (made.append(name), plain(spark, sf_dir, name))[1])
+    monkeypatch.setattr(increments.H, "roots", lambda *a: made.append("roots"))
     found = entry.queries()["search_expanded"](spark, "/root/testdata/sf0.001")
     assert sorted(made) == ["v_author", "v_cite", "v_paper"] and found.count()
     assert not re.search("lineitem", found._jdf.queryExecution().optimizedPlan().toString())
