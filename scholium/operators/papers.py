@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,19 +70,19 @@ def deduplicated(records: DataFrame) -> DataFrame:
 def _replayed(open_: DataFrame) -> DataFrame:
     """Rows ``(ord)``: the founders among ``open_ (component, ord, keys)``, by the sequential rule, component by component in one pass."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, set()
-        for pdf in batches:
+        for batch in batches:
             found = []
-            for component, ord_, keys in zip(pdf["component"], pdf["ord"], pdf["keys"]):
+            for component, ord_, keys in zip(*(batch.column(c).to_pylist() for c in ("component", "ord", "keys"))):
                 if component != at:
                     at, held = component, set()
                 if held.isdisjoint(keys):
                     held.update(keys)
                     found.append(ord_)
-            yield pd.DataFrame({"ord": found}, dtype="int64")
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["ord"])
 
-    return open_.repartition("component").sortWithinPartitions("component", "ord").mapInPandas(run, "ord long")
+    return open_.repartition("component").sortWithinPartitions("component", "ord").mapInArrow(run, "ord long")
 
 
 def _decided(open_: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,3 +95,28 @@ def test_a_search_makes_papers_and_citations_once(spark, monkeypatch):
     found = entry.queries()["search_expanded"](spark, "/root/testdata/sf0.001")
     assert sorted(made) == ["v_author", "v_cite", "v_paper"] and found.count()
     assert not re.search("lineitem", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_records_are_numbered_before_their_texts_are_made(spark, monkeypatch):
+    """Numbering samples, sorts and writes keys and names only; the records are those of the view's SQL."""
+    import duckdb
+
+    from scholium.sources import fixtures
+
+    seen, plain = [], fixtures.numbered
+    monkeypatch.setattr(fixtures, "numbered", lambda df, *a: (seen.append(df.columns), plain(df, *a))[1])
+    sf = "/root/testdata/sf0.001"
+    got = fixtures.view(spark, sf, "v_paper_raw")
+    assert seen == [["l_partkey", "l_suppkey", "p_partkey", "p_name"]]
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({fixtures.COMMON['v_paper_raw']})").fetchall())
+
+
+def test_titles_lose_everything_but_letters_and_digits_in_one_pass(spark):
+    titles = [" A--b\t\n c ", "Ünïcode—title 9", "…", "", None, "x 1", "🙂 y🙂🙂z"]
+    column = X.normal_title(F.col("t"))
+    got = [r["n"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").orderBy("i").select(column.alias("n")).collect()]
+    assert got == [None if t is None else re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t.lower(), flags=re.ASCII), flags=re.ASCII).strip(" ") for t in titles]
+    assert str(column).count("regexp_replace") == 1
