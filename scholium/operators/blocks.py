@@ -29,8 +29,8 @@ def blocks(vectors: DataFrame, rows: int = 1024) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """Rows ``(i, j, side, block, ids, flat)``: the groups ``i`` of the left and ``j`` of the right side, the left one first. Without a
-    right side the left one meets itself, each pair of groups once."""
+    """Rows ``(i, j, side, block, ids, flat)``: the groups ``i`` of the left and ``j`` of the right side, the left one first, a task for each
+    pair of groups. Without a right side the left one meets itself, each pair of groups once."""
     other = left if right is None else right
     size = lambda df: max(1, -(-df.count() // HELD))
     n, m = size(left), size(other)
@@ -38,11 +38,11 @@ def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     mine = left.withColumn("i", F.pmod("block", F.lit(n)).cast("int")).withColumn("j", every(m)).withColumn("side", F.lit(0))
     yours = other.withColumn("j", F.pmod("block", F.lit(m)).cast("int")).withColumn("i", every(n)).withColumn("side", F.lit(1))
     both = mine.unionByName(yours).where("i <= j" if right is None else "true")
-    return both.repartition(min(n * m, 1 << 16), "i", "j").sortWithinPartitions("i", "j", "side", "block").select("i", "j", "side", "block", "ids", "flat")
+    return both.repartitionById(min(n * m, 1 << 16), F.col("i") * m + F.col("j")).sortWithinPartitions("i", "j", "side", "block").select("i", "j", "side", "block", "ids", "flat")
 
 
-def _products(batches: Iterator[pd.DataFrame], once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Ids of two blocks, their products to six digits, and whether they are one block; ``once`` for a side that meets itself."""
+def _pairs(batches: Iterator[pd.DataFrame], once: bool) -> Iterator[tuple]:
+    """Numbers, ids and vectors of two blocks; ``once`` for a side that meets itself."""
     at, held = None, []
     for pdf in batches:
         for i, j, side, block, ids, flat in zip(*(pdf[c] for c in ("i", "j", "side", "block", "ids", "flat"))):
@@ -55,7 +55,28 @@ def _products(batches: Iterator[pd.DataFrame], once: bool) -> Iterator[tuple[np.
             for mine, ia, xa in held:
                 if once and i == j and mine > block:
                     continue
-                yield ia, np.asarray(ids), np.round(xa @ x.T, 6), once and mine == block
+                yield mine, ia, xa, block, np.asarray(ids), x
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of two blocks and their products to six digits."""
+    for _, ia, xa, _, ib, xb in _pairs(batches, False):
+        yield ia, ib, np.round(xa @ xb.T, 6)
+
+
+def _alike(xa: np.ndarray, xb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two blocks whose product to six digits is ``least`` or more, and these products. Products in single precision, which err by
+    less than ``slack``, say which pairs are multiplied again."""
+    longest = [float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))) for x in (xa, xb)]
+    slack = 1e-6 + 1.2e-7 * (xa.shape[1] + 3) * longest[0] * longest[1]
+    near = np.flatnonzero(xa.astype(np.float32) @ xb.T.astype(np.float32) >= least - slack)
+    if 20 * len(near) > len(xa) * len(xb):
+        sim = np.round(xa @ xb.T, 6)
+        u, v = np.nonzero(sim >= least)
+        return u, v, sim[u, v]
+    u, v = np.divmod(near, len(xb))
+    sim = np.round(np.einsum("ij,ij->i", xa[u], xb[v]), 6)
+    return u[sim >= least], v[sim >= least], sim[sim >= least]
 
 
 def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFrame:
@@ -65,15 +86,33 @@ def similar_pairs(vectors: DataFrame, least: float, rows: int = 1024) -> DataFra
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ia, ib, sim, same in _products(batches, True):
-            u, v = np.nonzero(sim >= least)
+        for mine, ia, xa, theirs, ib, xb in _pairs(batches, True):
+            u, v, sim = _alike(xa, xb, least)
             a, b = ia[u], ib[v]
-            keep = (a < b) if same else (a != b)
-            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[u, v][keep]})
+            keep = (a < b) if mine == theirs else (a != b)
+            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": sim[keep]})
 
     return _met(blocks(vectors, rows)).mapInPandas(run, "a long, b long, sim double")
 
 
+def similar_places(dealt: DataFrame, least: float) -> DataFrame:
+    """Rows ``(a, b, na, nb, links)``: for two of the blocks that ``blocks`` has dealt their numbers, sizes, and pairs of places with an inner
+    product of ``least`` or more, the place in ``a`` times 65,536 plus that in ``b``; of a block and itself each pair once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, frame = [], lambda rows: pd.DataFrame(rows, columns=["a", "b", "na", "nb", "links"])
+        for mine, ia, xa, theirs, ib, xb in _pairs(batches, True):
+            u, v, _ = _alike(xa, xb, least)
+            keep = u < v if mine == theirs else slice(None)
+            found.append((mine, theirs, len(ia), len(ib), (u[keep] << 16 | v[keep]).astype(np.int32)))
+            if len(found) == HELD:
+                yield frame(found)
+                found = []
+        yield frame(found)
+
+    return _met(dealt).mapInPandas(run, "a long, b long, na int, nb int, links array<int>")
+
+
 def best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int, least: float, among: str = "others") -> pd.DataFrame:
     """The ``k`` nearest of each query in a matrix of products, among ``others`` than itself, ``earlier`` ids or ``all``; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
@@ -124,7 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -np.i
         return top_k(vectors.select("id", "embedding").where("embedding is not null").mapInPandas(scan, schema), ["qid"], order, k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ia, ib, sim, _ in _products(batches, False):
+        for ia, ib, sim in _products(batches):
             yield best(ia, ib, sim, k, least, among)
 
     return top_k(_met(blocks(queries, rows), blocks(vectors, rows)).mapInPandas(run, schema), ["qid"], order, k)
